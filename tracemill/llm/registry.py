@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontamination, packing, token_counts
+from tracemill.llm import decontamination, packing, repeats, token_counts
 from tracemill.llm.common import table
 
 
@@ -30,10 +30,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
+    "op10_repeats": op10_repeats,
 }
 
 #: A vocabulary's merges, models and alignments have no SQL form; those queries are tested against brute force.
