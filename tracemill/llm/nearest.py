@@ -123,8 +123,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows = rows.filter(F.size("v") == width)
     v_blocks, q_blocks = -(-most["n"] // BLOCK_VECTORS), -(-most["q"] // BLOCK_QUERIES)
     key = F.xxhash64("vec_id")
-    blocks = rows.select(F.pmod(key, F.lit(v_blocks)).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long").alias("qb"), "vec_id", "v")
-    asked = rows.filter(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).cast("long").alias("vb"), F.pmod(key, F.lit(q_blocks)).alias("qb"), "vec_id", "v")
+    blocks = rows.select(F.pmod(key, F.lit(v_blocks)).alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"), "vec_id", "v")
+    asked = rows.filter(is_query).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))).alias("vb"), F.pmod(key, F.lit(q_blocks)).alias("qb"), "vec_id", "v")
 
     def search(_, block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if block.empty or queries.empty:

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import written
 
-#: A worker's lexicon is emptied when it holds this many entries (bounded memory; results do not depend on it).
-LEXICON_ENTRIES = 500_000
+#: A worker's lexicon is pruned when it holds this many entries (bounded memory; results do not depend on it).
+LEXICON_ENTRIES = 800_000
 #: Rows of one length that one task ranks, about.
 RANKED_ROWS = 100_000
 
@@ -31,6 +31,16 @@ RANKED_ROWS = 100_000
 # --- tokens ---------------------------------------------------------------
 
 
+def _byte_level() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_byte_characters = _byte_level()
+
+
 class WordEncoder:
     """Ids of whole texts from a lexicon of blank-separated parts.
 
@@ -43,16 +53,25 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
         self.lexicon: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
+        self.batches = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         # Lower-casing ASCII first only makes more parts alike; the vocabulary's normaliser does the rest.
         parts = [(t or "").encode().lower().replace(b"\n", b" ").replace(b"\t", b" ").split(b" ") for t in texts]
+        every = set().union(*parts)
         if len(self.lexicon) > LEXICON_ENTRIES:
-            self.lexicon.clear()
+            # Words met again since they were learnt stay; a sample of the batches tells which.
+            self.lexicon = {w: self.lexicon[w] for w in self.again} if len(self.again) < LEXICON_ENTRIES // 2 else {}
+            self.again = set()
         self.lexicon[b""] = b""
-        self._learn(set().union(*parts))
+        if self.batches % 8 == 0:
+            self.again |= every & self.lexicon.keys()
+        self.batches += 1
+        self._learn(every)
         get = self.lexicon.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
@@ -62,20 +81,15 @@ class WordEncoder:
             return
         ended = {w for w in missing if w[-1:] in b".," and w[-2:-1].isalpha()}
         bases = (missing - ended) | {w[:-1] for w in ended} | {b".", b","}
-        words = [w.decode() for w in bases - self.lexicon.keys()]
-        # Plain Latin words are one pre-token each, so many can be encoded as one text.
-        plain = [w for w in words if len(w) < 100 and w.isalpha() and max(w) < "\u0250"]
-        odd = [w for w in words if not (len(w) < 100 and w.isalpha() and max(w) < "\u0250")]
-        blocks = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        for block, e in zip(blocks, self.tokenizer.encode_batch([" ".join(b) for b in blocks], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            firsts = np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1))
-            if len(firsts) != len(block):
-                odd += block
-                continue
-            raw, cuts = ids.tobytes(), [*(firsts * 4).tolist(), len(ids) * 4]
-            for w, a, b in zip(block, cuts, cuts[1:]):
-                self.lexicon[w.encode()] = raw[a:b]
+        odd = []
+        for raw in bases - self.lexicon.keys():
+            w = raw.decode()
+            # A lower-case Latin word is one pre-token that the normaliser leaves alone: straight to the model.
+            if len(w) < 100 and w.isalpha() and max(w) < "\u0250" and w.islower() and w == w.lower():
+                got = self.model.tokenize(w if w.isascii() else raw.decode("latin-1").translate(_byte_characters))
+                self.lexicon[raw] = np.array([t.id for t in got], "<u4").tobytes()
+            else:
+                odd.append(w)
         for at in range(0, len(odd), 5_000):
             block = odd[at : at + 5_000]
             for w, e in zip(block, self.tokenizer.encode_batch(block, add_special_tokens=False)):
