@@ -5,7 +5,9 @@ rarest terms of each test window, stored in the shared folder.  A window's
 candidates are its rarest term's postings shifted by the term's offset; they
 are intersected with the shifted lists of the next rarest term, and what is
 left is matched word by word against the stored context: in order (exact
-phrase) or within a few words in any order (proximity).
+phrase) or within a few words in any order (proximity).  Neighbouring windows
+share terms, so lists are shifted to the item's start and a match grows from
+the rarest term to both sides.
 """
 
 from __future__ import annotations
@@ -42,13 +44,6 @@ def words_column(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def item_windows(item_id: str, text: str | None, n: int) -> list[tuple[str, list[str]]]:
-    words = words_of(text)
-    if not words:
-        return []
-    return [(item_id, words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
-
-
 def term_counts(docs: DataFrame, text_col: str, terms: set[str]) -> dict[str, int]:
     """Occurrences over all documents of the given terms (at most one block's vocabulary)."""
     spark = docs.sparkSession
@@ -62,28 +57,32 @@ def term_counts(docs: DataFrame, text_col: str, terms: set[str]) -> dict[str, in
     return {r["term"]: r["n"] for r in counted.collect()}
 
 
-def anchored(windows: list[tuple[str, list[str]]], counts: dict[str, int]) -> list[tuple]:
-    """(item, words, anchor terms and offsets from the rarest) of each window."""
-    rows = []
-    for item, words in windows:
-        first = {w: i for i, w in reversed([*enumerate(words)])}
-        rarest = sorted(first, key=lambda w: (counts.get(w, 0), w))[:ANCHORS]
-        if all(w in counts for w in words):  # else no document has it
-            rows.append((item, words, [(w, first[w]) for w in rarest]))
-    return rows
+def anchored(items: list[tuple[str, list[str]]], counts: dict[str, int], n: int) -> list[tuple]:
+    """(item, its words, term, offset, rank of the list, only list, a window's start) for the rarest terms of each window."""
+    rows: dict[tuple, tuple] = {}
+    for item, words in items:
+        for at in range(max(1, len(words) - n + 1)):
+            window = words[at : at + n]
+            if not all(w in counts for w in window):
+                continue  # some word is in no document
+            first = {w: i for i, w in reversed([*enumerate(window)])}
+            rarest = sorted(first, key=lambda w: (counts[w], w))[:ANCHORS]
+            for nth, w in enumerate(rarest):
+                rows.setdefault((item, at + first[w], nth, len(rarest)), (item, words, w, at + first[w], nth, len(rarest) == 1, at))
+    return [*rows.values()]
 
 
-def build_index(docs: DataFrame, terms: set[str], radius: int, text_col: str = "text") -> DataFrame:
-    """Store postings of ``terms``: ``row_id``, ``doc_id``, ``n_words`` and ``postings`` of each document.
+def build_index(docs: DataFrame, rarest: set[str], others: set[str], radius: int, text_col: str = "text") -> DataFrame:
+    """Store the postings of some terms: ``row_id``, ``doc_id``, ``n_words`` and ``postings`` of each document.
 
-    A posting is (term, position, context, place in the context); the context
-    is the words up to ``radius`` before and after, so a match needs no second
-    look at the document.
+    A posting is (term, position, context, place in the context).  The context
+    (words up to ``radius`` before and after) is kept for the ``rarest`` terms, so a
+    match needs no second look at the document.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+    shared = docs.sparkSession.sparkContext.broadcast((frozenset(rarest), frozenset(rarest | others)))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = shared.value
+        with_context, wanted = shared.value
         for batch in batches:
             sizes, lists = [], []
             for text in batch["text"].tolist():
@@ -91,7 +90,7 @@ def build_index(docs: DataFrame, terms: set[str], radius: int, text_col: str = "
                 sizes.append(len(words))
                 lists.append(
                     [
-                        {"term": w, "pos": i, "context": words[max(0, i - radius) : i + radius + 1], "place": min(i, radius)}
+                        (w, i, words[max(0, i - radius) : i + radius + 1] if w in with_context else None, min(i, radius))
                         for i, w in enumerate(words)
                         if w in wanted
                     ]
@@ -104,36 +103,55 @@ def build_index(docs: DataFrame, terms: set[str], radius: int, text_col: str = "
     return written(docs.select("row_id", "doc_id", F.col(text_col).alias("text")).mapInPandas(post, schema), "positional-index")
 
 
-def window_matches(index: DataFrame, windows: list[tuple], slop: int = 0) -> DataFrame:
-    """``row_id``, ``item_id``, ``start``, ``length`` and ``exact`` of each match of the anchored windows.
+def _run(same: Column, length: Column) -> Column:
+    """How many leading entries are true."""
+    first_false = F.array_position(same, False)
+    return F.when(first_false > 0, first_false - 1).otherwise(length)
+
 
-    Exact matches have the window's words in order.  With ``slop`` > 0, places
-    where the rarest term has all the window's words within its length plus
-    ``slop`` to either side are returned too, with ``exact`` false.
+def item_matches(index: DataFrame, lists: list[tuple], n: int, slop: int = 0) -> DataFrame:
+    """``row_id``, ``item_id``, ``start``, ``length`` and ``exact`` of each match of the items' windows.
+
+    Exact matches are runs of at least ``n`` item words in order (all of a
+    shorter item).  With ``slop`` > 0, places where a rarest term has its
+    window's words in any order, within the window's length plus ``slop`` to
+    either side, are returned too, with ``exact`` false.
     """
-    spark = index.sparkSession
-    kind = "item_id string, words array<string>, anchors array<struct<term:string,offset:int>>"
-    # One block of windows: at most BLOCK_WINDOWS rows.
-    wins = spark.createDataFrame(windows, kind).withColumn("window", F.xxhash64("item_id", "words"))
-    lists = F.broadcast(wins.select("item_id", "window", "words", F.size("anchors").alias("lists"), F.posexplode("anchors").alias("nth", "a")))
+    kind = "item_id string, words array<string>, term string, offset int, nth int, alone boolean, at int"
+    # One block of items: at most BLOCK_WINDOWS windows.
+    wanted = index.sparkSession.createDataFrame(lists, kind)
+    terms = wanted.select("item_id", "term", "offset", "nth", "alone", "at")
+    words = wanted.groupBy("item_id").agg(F.first("words").alias("words"))
     postings = index.select("row_id", F.explode("postings").alias("p")).select("row_id", "p.*")
-    shifted = postings.join(lists, postings["term"] == lists["a.term"]).withColumn("start", F.col("pos") - F.col("a.offset"))
-    found = shifted.groupBy("row_id", "item_id", "window", "start").agg(
-        F.count(F.lit(1)).alias("met"),
-        F.min("lists").alias("lists"),
-        F.max_by(F.struct("words", "context", "place", "a"), F.when(F.col("nth") == 0, 1).otherwise(0)).alias("m"),
-        F.max(F.when(F.col("nth") == 0, 1).otherwise(0)).alias("rarest"),
+    shifted = postings.join(F.broadcast(terms), "term").withColumn("shift", F.col("pos") - F.col("offset"))
+    rarest = shifted.filter("nth = 0")
+    key = ["row_id", "item_id", "shift"]
+    both = rarest.join(shifted.filter("nth > 0").select(*key).distinct(), key, "left_semi")
+    met = both.filter("not alone").unionByName(rarest.filter("alone"))
+    left, right = F.least("place", "offset"), F.least(F.size("context") - F.col("place") - 1, F.size("words") - F.col("offset") - 1)
+    before = F.zip_with(
+        F.reverse(F.slice("context", F.col("place") - left + 1, left)), F.reverse(F.slice("words", F.col("offset") - left + 1, left)), lambda a, b: a == b
+    )
+    after = F.zip_with(F.slice("context", F.col("place") + 2, right), F.slice("words", F.col("offset") + 2, right), lambda a, b: a == b)
+    matched = (
+        met.join(F.broadcast(words), "item_id")
+        .withColumn("l", _run(before, left))
+        .withColumn("r", _run(after, right))
+        .withColumn("length", (F.col("l") + F.col("r") + 1).cast("int"))
+        .filter(F.col("length") >= F.least(F.size("words"), F.lit(n)))
+        .select("row_id", "item_id", (F.col("pos") - F.col("l")).cast("int").alias("start"), "length", F.lit(True).alias("exact"))
+    )
+    if not slop:
+        return matched
+    window = F.slice("words", F.col("at") + 1, n)
+    reach = F.size(window) - 1 + slop
+    around = F.slice("context", F.greatest(F.col("place") - reach, F.lit(0)) + 1, F.least("place", reach) + reach + 1)
+    near = (
+        rarest.join(F.broadcast(words), "item_id")
+        .filter(F.size(F.array_except(window, around)) == 0)
+        .select("row_id", "item_id", F.col("pos").alias("start"), F.lit(1).alias("length"), F.lit(False).alias("exact"))
     )
-    size = F.size("m.words")
-    begin = F.col("m.place") - F.col("m.a.offset")
-    phrase = (begin >= 0) & (F.slice("m.context", F.greatest(begin, F.lit(0)) + 1, size) == F.col("m.words"))
-    exact = (F.col("met") == F.col("lists")) & (F.col("rarest") == 1) & phrase
-    reach = size - 1 + slop
-    around = F.slice("m.context", F.greatest(F.col("m.place") - reach, F.lit(0)) + 1, F.least(F.col("m.place"), reach) + reach + 1)
-    close = (F.col("rarest") == 1) & (F.size(F.array_except("m.words", around)) == 0)
-    kept = found.withColumn("exact", exact)
-    kept = kept.filter(F.col("exact") | close) if slop else kept.filter("exact")
-    return kept.select("row_id", "item_id", "start", size.alias("length"), "exact")
+    return matched.unionByName(near)
 
 
 def contamination(
@@ -158,11 +176,12 @@ def contamination(
     sizes, matches = None, None
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct().collect()
-        windows = [w for r in part for w in item_windows(r["item_id"], r["text"], n)]
-        counts = term_counts(docs, "text", {t for _, ws in windows for t in ws}) if windows else {}
-        lists = anchored(windows, counts)
-        index = build_index(docs, {t for _, _, a in lists for t, _ in a}, n - 1)
-        found = window_matches(index, lists)
+        # Items may share an id, so a number tells them apart.
+        known = [(f"{i}:{r['item_id']}", words) for i, r in enumerate(part) if (words := words_of(r["text"]))]
+        counts = term_counts(docs, "text", {t for _, words in known for t in words}) if known else {}
+        lists = anchored(known, counts, n)
+        index = build_index(docs, {r[2] for r in lists if r[4] == 0}, {r[2] for r in lists if r[4]}, n - 1)
+        found = item_matches(index, lists, n).withColumn("item_id", F.regexp_replace("item_id", r"^\d+:", ""))
         sizes = index.select("row_id", "doc_id", "n_words") if sizes is None else sizes
         matches = found if matches is None else matches.unionByName(found)
     places = matches.select("row_id", "start", "length").distinct()
