@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontamination, near_dedup, nearest, packing, repeats, token_counts
+from tracemill.llm import decontamination, language_id, near_dedup, nearest, packing, repeats, token_counts
 from tracemill.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_identify(table(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_nearest": op4_nearest,
     "op5_near_dedup": op5_near_dedup,
+    "op6_language_id": op6_language_id,
     "op10_repeats": op10_repeats,
 }
 
