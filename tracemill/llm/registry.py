@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontamination, language_id, near_dedup, nearest, packing, repeats, token_counts
+from tracemill.llm import decontamination, language_id, near_dedup, nearest, packing, quality, repeats, token_counts, toxicity
 from tracemill.llm.common import table
 
 
@@ -42,6 +42,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_identify(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(table(spark, sf_dir, "documents"))
 
@@ -53,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nearest": op4_nearest,
     "op5_near_dedup": op5_near_dedup,
     "op6_language_id": op6_language_id,
+    "op7_quality": op7_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_repeats": op10_repeats,
 }
 
