@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import written
+
 #: Length of the hashed grams, by which windows are assigned to runs.
 GRAM = 200
 #: Bytes hashed at once; windows of a longer text are taken in slices of this many.
@@ -83,8 +85,14 @@ def slices(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, byt
         yield held
 
 
-def runs_of(parts: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[list[np.ndarray], list[tuple[int, int, int]]]:
-    """Runs (text, start, windows, least gram hash, context hash) and ranges of windows that repeat within a run."""
+def runs_of(parts: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[dict, list[tuple[int, int, int]]]:
+    """Runs and ranges of windows that repeat within a run.
+
+    A run has its text, start, number of windows, least gram hash, context hash,
+    the gram's place, and the hashes of the gram with half of what a window has
+    besides it, before (``left``) and after (``right``); a window holds one of these halves.
+    A run that does not hold a half has 0 for it, and 0 for both if its gram recurs.
+    """
     data = np.frombuffer(b"".join(x for _, _, x in parts), np.uint8)
     sizes = np.array([len(x) for _, _, x in parts])
     begins = np.cumsum(sizes) - sizes
@@ -114,14 +122,31 @@ def runs_of(parts: list[tuple[int, int, bytes]], length: int, gram: int) -> tupl
     order = np.lexsort((chosen, g[chosen]))
     at = chosen[order]
     twice = (g[at[1:]] == g[at[:-1]]) & (at[1:] - at[:-1] <= w)
+    recurs = np.isin(least[first], g[at[1:][twice]])
     within = []
-    for k in np.flatnonzero(np.isin(least[first], g[at[1:][twice]])).tolist():
+    for k in np.flatnonzero(recurs).tolist():
         a, b = int(first[k]), int(after[k])
         h = (p[a + length : b + length] - p[a:b]) * inverse[a:b]
         _, back, count = np.unique(h, return_inverse=True, return_counts=True)
         again = np.flatnonzero(np.diff(np.concatenate([[False], count[back] > 1, [False]])))
         within += [(int(texts[k]), a + int(s) + int(shift[k]), int(e - s)) for s, e in zip(again[::2], again[1::2])]
-    return [texts, first + shift, after - first, least[first].view(np.int64), context.view(np.int64)], within
+    nth = np.searchsorted(chosen, first)
+    while (wrong := g[chosen[nth]] != least[first]).any():
+        nth[wrong] += 1
+    place = chosen[nth]
+    half = (length - gram) // 2
+
+    def part(lo: np.ndarray, hi: np.ndarray, held: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(first), np.uint64)
+        out[held] = mixed((p[hi[held]] - p[lo[held]]) * inverse[lo[held]]) | np.uint64(1)
+        return out.view(np.int64)
+
+    return {
+        "text": texts, "start": first + shift, "n": after - first, "least": least[first].view(np.int64), "context": context.view(np.int64),
+        "place": place - first,
+        "left": part(place - half, place + gram, ~recurs & (place - half >= first)),
+        "right": part(place, place + gram + half, ~recurs & (place + gram + half <= after - 1 + length)),
+    }, within
 
 
 def _utf8(text: str | None) -> bytes:
@@ -141,32 +166,46 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
         for batch in batches:
             ids = batch["row_id"].to_numpy()
             for parts in slices([_utf8(t) for t in batch["text"].tolist()], length):
-                (texts, start, n, least, context), within = runs_of(parts, length, gram)
-                yield pd.DataFrame({"row_id": ids[texts], "start": start, "n": n, "least": least, "context": context})
+                found, within = runs_of(parts, length, gram)
+                yield pd.DataFrame({"row_id": ids[found.pop("text")], **found})
                 if within:
                     t, s, n = map(np.array, zip(*within))
-                    yield pd.DataFrame({"row_id": ids[t], "start": s, "n": n}).assign(
-                        least=pd.array([None] * len(t), "Int64"), context=pd.array([None] * len(t), "Int64")
-                    )
+                    empty = pd.array([None] * len(t), "Int64")
+                    yield pd.DataFrame({"row_id": ids[t], "start": s, "n": n, "least": empty, "context": empty, "place": 0, "left": 0, "right": 0})
 
-    from tracemill.llm.common import written
-
-    found = written(docs.mapInPandas(runs, "row_id long, start int, n int, least long, context long"), "runs")
+    found = written(docs.mapInPandas(runs, "row_id long, start int, n int, least long, context long, place int, left long, right long"), "runs")
     own = found.filter(F.col("least").isNull()).select("row_id", "start", "n")
     runs_only = found.filter(F.col("least").isNotNull())
     grams = (
         runs_only.groupBy("least")
-        .agg(F.count(F.lit(1)).alias("met"), F.min("context").alias("lo"), F.max("context").alias("hi"))
+        .agg(F.count(F.lit(1)).alias("met"), F.min("context").alias("lo"), F.max("context").alias("hi"), F.max((F.col("left") == 0) & (F.col("right") == 0)).alias("recurs"))
         .filter("met > 1")
-        .select("least", (F.col("lo") == F.col("hi")).alias("alike"))
+        .select("least", (F.col("lo") == F.col("hi")).alias("alike"), "recurs")
     )
     met = written(runs_only.join(grams, "least"), "met-runs")
     alike = met.filter("alike").select("row_id", "start", "n")
     differ = met.filter(~F.col("alike"))
-    contexts = differ.groupBy("least", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row_id", "start", "n")).alias("one"))
+    contexts = differ.groupBy("least", "context").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("row_id", "start", "n", "place", "left", "right", "recurs")).alias("one")
+    )
+    contexts = written(contexts.select("least", "context", "copies", "one.*"), "contexts")
     copied = differ.join(contexts.filter("copies > 1").select("least", "context"), ["least", "context"]).select("row_id", "start", "n")
+
+    # A window can repeat in another context only if one of its halves does.
+    def shared(side: str) -> DataFrame:
+        halves = contexts.filter(F.col(side) != 0).groupBy("least", side).agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
+        return halves.select("least", side, F.lit(True).alias(f"{side}_met"))
+
+    half = (length - gram) // 2
+    met_left, met_right = F.coalesce("left_met", F.lit(False)), F.coalesce("right_met", F.lit(False))
+    turn = F.least(F.greatest(F.col("place") - half + 1, F.lit(0)), F.col("n"))  # windows before this one hold the left half
+    lo = F.when(F.col("recurs") | met_left, 0).otherwise(turn)
+    hi = F.when(F.col("recurs") | met_right, F.col("n")).otherwise(turn)
     lists = (
-        contexts.select("one.*", "least", (F.col("copies") == 1).alias("single"))
+        contexts.join(shared("left"), ["least", "left"], "left")
+        .join(shared("right"), ["least", "right"], "left")
+        .select("row_id", "least", (F.col("copies") == 1).alias("single"), (F.col("start") + lo).alias("start"), (hi - lo).alias("n"))
+        .filter("n > 0")
         .groupBy("row_id")
         .agg(F.collect_list(F.struct("start", "n", "least", "single")).alias("runs"))
     )

@@ -1,7 +1,8 @@
-"""Toxicity: non-negative positive-unlabelled learning on hashed words."""
+"""Toxicity: non-negative positive-unlabelled learning on hashed words and word beginnings."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,42 +11,62 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import crc_mod
+from tracemill.llm.common import crc_mod, written
 from tracemill.llm.decontamination import words_of
 
 BUCKETS = 1 << 18
 #: Confirmed toxic and unlabelled documents that training reads at most, chosen by hash of the id.
 MOST_POSITIVE, MOST_UNLABELLED = 4_000, 16_000
-#: Words in fewer sample documents than this carry no weight.
-LEAST_DOCUMENTS = 3
-STEPS, RATE, L2 = 300, 0.1, 1e-5
+#: Only features whose share differs between confirmed and unlabelled by so many standard errors carry weight, and at most so many.
+LEAST_Z, MOST_FEATURES = 4.0, 5_000
+#: Lengths of the word beginnings that are features beside the word.
+BEGINNINGS = (4, 5, 6)
+STEPS, RATE, L2 = 400, 0.05, 1e-5
 #: A worker's word buckets are emptied at this many (bounded memory; results do not depend on it).
 LEXICON_ENTRIES = 500_000
 
-_buckets: dict[str, int] = {}
+_buckets: dict[str, tuple[int, ...]] = {}
 
 
-def word_buckets(text: str | None) -> np.ndarray:
-    """Distinct buckets of a text's lower-cased words."""
+def word_features(word: str) -> tuple[int, ...]:
+    """Buckets of a word and of its beginnings."""
+    parts = {word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) >= n)}
+    return tuple({xxhash.xxh64_intdigest(x) % BUCKETS for x in parts})
+
+
+def text_features(text: str | None) -> list[int]:
+    """Buckets of a text's distinct lower-cased words, once for each word that has them."""
     words = set(words_of(text))
     if len(_buckets) > LEXICON_ENTRIES:
         _buckets.clear()
     for w in words - _buckets.keys():
-        _buckets[w] = xxhash.xxh64_intdigest(w) % BUCKETS
-    return np.unique(np.fromiter(map(_buckets.__getitem__, words), np.int32, len(words)))
+        _buckets[w] = word_features(w)
+    return [b for w in words for b in _buckets[w]]
 
 
 class Linear:
-    def __init__(self, weights: np.ndarray, bias: float):
+    """Sums of word weights over a text's distinct words."""
+
+    def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
+        self.words: dict[str, float] = {}
+
+    def raw(self, text: str | None) -> float:
+        words = set(words_of(text))
+        if len(self.words) > LEXICON_ENTRIES:
+            self.words.clear()
+        get = self.weights.get
+        for w in words - self.words.keys():
+            self.words[w] = math.fsum(get(b, 0.0) for b in word_features(w))
+        return math.fsum(map(self.words.__getitem__, words))  # exact, so a set's order does not matter
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        raw = np.array([self.weights[word_buckets(t)].sum() for t in texts]) + self.bias
+        raw = np.array([self.raw(t) for t in texts]) + self.bias
         return 1 / (1 + np.exp(-np.clip(raw, -35, 35)))
 
 
 class Sparse:
-    """Rows of distinct columns with value 1."""
+    """Rows of columns with value 1; repeated columns add up."""
 
     def __init__(self, rows: list[np.ndarray]):
         self.n = len(rows)
@@ -69,15 +90,12 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     the prior.
     """
     prior = min(max(prior, 1e-4), 0.99)
-    weights, bias = np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
+    bias = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
-        return Linear(weights, bias)
-    seen = np.bincount(np.concatenate(positive + unlabelled), minlength=BUCKETS)
-    used = np.flatnonzero(seen >= LEAST_DOCUMENTS)
-    number = np.full(BUCKETS, -1)
-    number[used] = np.arange(len(used))
-    p, u = (Sparse([number[r][number[r] >= 0] for r in rows]) for rows in (positive, unlabelled))
+        return Linear({}, bias)
+    used = np.unique(np.concatenate([*positive, *unlabelled]))
     size = len(used)
+    p, u = (Sparse([np.searchsorted(used, r) for r in rows]) for rows in (positive, unlabelled))
     theta, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     theta[-1] = bias
     for step in range(1, STEPS + 1):
@@ -92,8 +110,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         grad = np.append(p.back(gp, size) + u.back(gu, size) + L2 * theta[:-1], gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= RATE / (1 + 0.01 * step) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    weights[used] = theta[:-1]
-    return Linear(weights, float(theta[-1]))
+    return Linear(dict(zip(used.tolist(), theta[:-1].tolist())), float(theta[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Linear:
@@ -110,17 +127,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_positiv
     rows = docs.filter("doc_id is not null").select("doc_id", "text")
     share = part(most_unlabelled, rows.count())
 
-    @F.pandas_udf("array<int>")
-    def buckets(texts: pd.Series) -> pd.Series:
-        return pd.Series([word_buckets(t) for t in texts.tolist()])
-
     # What is not in the bounded list of confirmed ids is unlabelled, whatever its label says.
     read = rows.join(F.broadcast(confirmed), "doc_id", "left").filter(F.col("confirmed") | share)
-    got = read.select("doc_id", F.coalesce("confirmed", F.lit(False)).alias("confirmed"), buckets("text").alias("b")).toPandas().sort_values("doc_id", kind="stable")
+    sample = written(read.select("doc_id", F.coalesce("confirmed", F.lit(False)).alias("confirmed"), "text"), "toxicity-sample")
+    every = F.pandas_udf(lambda texts: pd.Series([sorted(set(text_features(t))) for t in texts.tolist()]), "array<int>")
+    sure = F.col("confirmed").cast("long")
+    n_sure, n_rest = sample.agg(F.sum(sure), F.count(F.lit(1))).first()
+    if not n_sure:
+        return fit_nnpu([], [], toxic / n if n else 0.01)
+    # Confirmed texts belong to the mixture that unlabelled text is drawn from, so they count on that side too.
+    a, b = F.col("p") / n_sure, F.col("u") / n_rest
+    z = (a - b) / F.sqrt(F.greatest(b * (1 - b), F.lit(1.0 / n_rest)) * (1.0 / n_sure + 1.0 / n_rest))
+    counted = sample.select("confirmed", F.explode(every("text")).alias("bucket")).groupBy("bucket").agg(F.sum(sure).alias("p"), F.count(F.lit(1)).alias("u"))
+    best = counted.filter("u > 2").withColumn("z", z).filter(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "bucket").limit(MOST_FEATURES)
+    chosen = frozenset(r["bucket"] for r in best.select("bucket").collect())
+    kept = F.pandas_udf(lambda texts: pd.Series([[b for b in text_features(t) if b in chosen] for t in texts.tolist()]), "array<int>")
+    got = sample.select("doc_id", "confirmed", kept("text").alias("b")).toPandas().sort_values("doc_id", kind="stable")
     lists = [np.asarray(b, np.int64) for b in got["b"]]
-    sure = got["confirmed"].tolist()
-    # Confirmed texts belong to the mixture that unlabelled text is drawn from.
-    return fit_nnpu([b for b, s in zip(lists, sure) if s], lists if not all(sure) else [], toxic / n if n else 0.01)
+    return fit_nnpu([b for b, s in zip(lists, got["confirmed"].tolist()) if s], lists, toxic / n)
 
 
 def score_toxicity(docs: DataFrame, model: Linear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
