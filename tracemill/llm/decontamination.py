@@ -13,6 +13,7 @@ the rarest term to both sides.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,12 +31,17 @@ BLOCK_WINDOWS = 100_000
 ANCHORS = 2
 
 _upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_to_lower = str.maketrans(_upper, _upper.lower())
-_word = re.compile(WORD)
+#: The same words in UTF-8, where the bytes of other characters are all above 0x7F.
+_word = re.compile(rb"[0-9a-z\x80-\xff]+")
+
+
+def word_bytes(text: str | None) -> list[bytes]:
+    """The words of a text, in UTF-8."""
+    return _word.findall(text.encode().lower()) if text else []
 
 
 def words_of(text: str | None) -> list[str]:
-    return _word.findall(text.translate(_to_lower)) if text else []
+    return [w.decode() for w in word_bytes(text)]
 
 
 def words_column(text: Column) -> Column:
@@ -46,14 +52,17 @@ def words_column(text: Column) -> Column:
 
 def term_counts(docs: DataFrame, text_col: str, terms: set[str]) -> dict[str, int]:
     """Occurrences over all documents of the given terms (at most one block's vocabulary)."""
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in sorted(terms)], "term string")
-    counted = (
-        docs.select(F.explode(words_column(F.col(text_col))).alias("term"))
-        .join(F.broadcast(wanted), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(t.encode() for t in terms))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter[bytes] = Counter()
+        wanted = shared.value.__contains__
+        for batch in batches:
+            for text in batch["text"].tolist():
+                found.update(filter(wanted, word_bytes(text)))
+        yield pd.DataFrame({"term": [t.decode() for t in found], "n": [*found.values()]})
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return {r["term"]: r["n"] for r in counted.collect()}
 
 
@@ -79,18 +88,18 @@ def build_index(docs: DataFrame, rarest: set[str], others: set[str], radius: int
     (words up to ``radius`` before and after) is kept for the ``rarest`` terms, so a
     match needs no second look at the document.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((frozenset(rarest), frozenset(rarest | others)))
+    shared = docs.sparkSession.sparkContext.broadcast(({t.encode() for t in rarest}, {t.encode() for t in rarest | others}))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with_context, wanted = shared.value
         for batch in batches:
             sizes, lists = [], []
             for text in batch["text"].tolist():
-                words = words_of(text)
+                words = word_bytes(text)
                 sizes.append(len(words))
                 lists.append(
                     [
-                        (w, i, words[max(0, i - radius) : i + radius + 1] if w in with_context else None, min(i, radius))
+                        (w.decode(), i, [x.decode() for x in words[max(0, i - radius) : i + radius + 1]] if w in with_context else None, min(i, radius))
                         for i, w in enumerate(words)
                         if w in wanted
                     ]
