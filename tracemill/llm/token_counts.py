@@ -214,7 +214,7 @@ class TokenCounter:
         if len(self.lexicon) > LEXICON_ENTRIES:
             self.lexicon.clear()
         self.lexicon[""] = 0
-        missing = list(set(words) - self.lexicon.keys())
+        missing = [w for w in set(words) if w not in self.lexicon]
         for at in range(0, len(missing), 20_000):
             block = missing[at : at + 20_000]
             for w, e in zip(block, self.tokenizer.encode_batch(block, add_special_tokens=False)):
