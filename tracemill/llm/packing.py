@@ -69,20 +69,22 @@ class WordEncoder:
             self.again = set()
         self.lexicon[b""] = b""
         if self.batches % 8 == 0:
-            self.again |= every & self.lexicon.keys()
+            self.again.update(w for w in every if w in self.lexicon)
         self.batches += 1
         self._learn(every)
         get = self.lexicon.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
     def _learn(self, parts: set[bytes]) -> None:
-        missing = parts - self.lexicon.keys()
+        missing = {w for w in parts if w not in self.lexicon}
         if not missing:
             return
         ended = {w for w in missing if w[-1:] in b".," and w[-2:-1].isalpha()}
         bases = (missing - ended) | {w[:-1] for w in ended} | {b".", b","}
         odd = []
-        for raw in bases - self.lexicon.keys():
+        for raw in bases:
+            if raw in self.lexicon:
+                continue
             w = raw.decode()
             # A lower-case Latin word is one pre-token that the normaliser leaves alone: straight to the model.
             if len(w) < 100 and w.isalpha() and max(w) < "\u0250" and w.islower() and w == w.lower():
