@@ -57,8 +57,12 @@ class Block:
         rest = np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1)))
         self.axes = np.random.default_rng(7).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
         values = np.hstack([scaled, rest[:, None]]) @ self.axes
-        self.order = np.argsort(values, axis=0, kind="stable").T.copy()
+        order = np.argsort(values, axis=0, kind="stable").T
         self.sorted = np.sort(values, axis=0).T.copy()
+        # A vector's place in each sorted array: it lies in a window if its place does.
+        self.places = np.empty(order.shape, np.uint16)
+        np.put_along_axis(self.places, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
+        self.shifted, self.inside = np.empty_like(self.places), np.empty(self.places.shape, bool)
         self.largest = largest
 
     def spans(self, at: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,34 +70,33 @@ class Block:
         hi = np.stack([np.searchsorted(s, at[:, j] + width, "right") for j, s in enumerate(self.sorted)], axis=1)
         return lo, hi
 
+    def collisions(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """In how many windows [lo, hi) of the sorted arrays each vector lies."""
+        np.subtract(self.places, lo.astype(np.uint16)[:, None], out=self.shifted)
+        np.less(self.shifted, (hi - lo).astype(np.uint16)[:, None], out=self.inside)
+        return np.add.reduce(self.inside.view(np.uint8), axis=0, dtype=np.uint8)
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         n = len(self.ids)
         norms = np.linalg.norm(queries, axis=1)
         at = (queries / norms[:, None]) @ self.axes[:-1]
         lo, hi = self.spans(at, np.full(len(queries), FIRST_WIDTH))
-        bounds, counts = np.full(len(queries), 2.0), []
         some = min(n, FIRST_VERIFIED)
+        bounds, first = np.full(len(queries), 2.0), []
         for i in range(len(queries)):
-            count = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, lo[i], hi[i])]), minlength=n).astype(np.uint8)
-            counts.append(count)
+            count = self.collisions(lo[i], hi[i])
             best = np.argpartition(count, n - some)[n - some :] if some < n else np.arange(n)
             best = best[self.ids[best] != query_ids[i]]
+            first.append(best)
             scores = np.sort(self.vectors[best] @ queries[i])
             if len(scores) >= k:
                 bounds[i] = math.sqrt(max(0.0, 2 - 2 * scores[-k] / (norms[i] * self.largest)))
-        wide = np.maximum(width_at(bounds), FIRST_WIDTH)
-        lo2, hi2 = self.spans(at, wide)
+        lo, hi = self.spans(at, np.maximum(width_at(bounds), FIRST_WIDTH))
         need = math.ceil(THRESHOLD * PROJECTIONS)
         for i in range(len(queries)):
-            if n <= FIRST_VERIFIED:
-                found = np.arange(n)
-            else:
-                rings = [o[a:b] for o, a, b in zip(self.order, lo2[i], lo[i])] + [o[a:b] for o, a, b in zip(self.order, hi[i], hi2[i])]
-                count = counts[i] + np.bincount(np.concatenate(rings), minlength=n).astype(np.uint8)
-                # The first round's best stay in, so there are never fewer than k.
-                first = np.argpartition(counts[i], n - some)[n - some :]
-                found = np.union1d(np.flatnonzero(count >= need), first)
-            found = found[self.ids[found] != query_ids[i]]
+            found = np.flatnonzero(self.collisions(lo[i], hi[i]) >= need)
+            # The first round's best stay in, so there are never fewer than k.
+            found = np.union1d(found[self.ids[found] != query_ids[i]], first[i])
             scores = self.vectors[found] @ queries[i]
             best = np.lexsort((self.ids[found], -scores))[:k]
             yield int(query_ids[i]), self.ids[found][best], scores[best]
