@@ -4,8 +4,9 @@ Documents with one and the same shingle set form a class, which one of them
 stands for.  Bands of the classes' signatures give candidate buckets.  In each
 bucket the most central member (the one with the fullest buckets) is paired
 with the others first; once those links have joined classes into components,
-only pairs across components are left to look at, so a group of thousands of
-near copies costs one star and not all its pairs.  Candidate pairs are compared
+only pairs across components are left to look at, and of those only pairs with
+a rare shingle in common, so a group of thousands of near copies costs one star
+and not all its pairs.  Candidate pairs are compared
 one batch of signature rows at a time and dropped as soon as the posterior
 probability of enough similarity falls under the chosen miss probability.
 Survivors are verified on their full shingle sets.
@@ -45,8 +46,9 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     split = [t.encode().lower().split() if t else [] for t in texts]
     if len(_words) > LEXICON_ENTRIES:
         _words.clear()
-    for w in set().union(*split) - _words.keys():
-        _words[w] = xxhash.xxh64_intdigest(w)
+    for w in set().union(*split):
+        if w not in _words:
+            _words[w] = xxhash.xxh64_intdigest(w)
     flat = np.fromiter((x for ws in split for x in map(_words.__getitem__, ws)), np.uint64)
     found, at = [], 0
     for ws in split:
@@ -161,6 +163,26 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent
     return both.withColumn("shared", shared).filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
+def crossing_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes with different labels that may be similar enough, by prefix filtering.
+
+    Of two sets that similar, the rarest shingles (as many as may be missing,
+    and one) have one in common.  A near copy with more changes than the
+    threshold allows has none that another set knows, and so no pair at all,
+    though it shares buckets with its whole group.
+    """
+    listed = nodes.join(sets, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    known = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    ranked = listed.join(known, "shingle").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    may_miss = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    prefixes = ranked.select("node", "label", "n", F.explode(F.slice("s", F.lit(1), may_miss.cast("int"))).alias("p")).filter("p.df > 1")
+    prefixes = written(prefixes.select("node", "label", "n", "p.shingle"), "prefixes")
+    x = prefixes.select("shingle", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("size_a"))
+    y = prefixes.select("shingle", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("size_b"))
+    fits = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    return x.join(y, "shingle").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & fits).select("a", "b").distinct()
+
+
 def near_groups(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by the Jaccard similarity of their word shingles.
 
@@ -195,10 +217,8 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str =
     parts = connected_components(first)
     labelled = members.join(parts, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
     split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = written(labelled.join(split, "bucket"), "open-members")
-    x = open_.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    y = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    across = x.join(y, "bucket").filter("a < b and label_a <> label_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    open_ = labelled.join(split, "bucket").select("node", "label").distinct()
+    across = crossing_pairs(written(open_, "open-nodes"), sets, percent).join(stars, ["a", "b"], "left_anti")
     second = written(similar_pairs(across, classes, sets, percent), "cross-links")
     roots = connected_components(first.unionByName(second))
     return (
