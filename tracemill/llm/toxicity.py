@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import crc_mod, written
-from tracemill.llm.decontamination import words_of
+from tracemill.llm.decontamination import word_bytes
 
 BUCKETS = 1 << 18
 #: Confirmed toxic and unlabelled documents that training reads at most, chosen by hash of the id.
@@ -25,22 +25,23 @@ STEPS, RATE, L2 = 400, 0.05, 1e-5
 #: A worker's word buckets are emptied at this many (bounded memory; results do not depend on it).
 LEXICON_ENTRIES = 500_000
 
-_buckets: dict[str, tuple[int, ...]] = {}
+_buckets: dict[bytes, tuple[int, ...]] = {}
 
 
-def word_features(word: str) -> tuple[int, ...]:
+def word_features(word: bytes) -> tuple[int, ...]:
     """Buckets of a word and of its beginnings."""
-    parts = {word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) >= n)}
+    parts = {word, *(word[:n] + b"-" for n in BEGINNINGS if len(word) >= n)}
     return tuple({xxhash.xxh64_intdigest(x) % BUCKETS for x in parts})
 
 
 def text_features(text: str | None) -> list[int]:
     """Buckets of a text's distinct lower-cased words, once for each word that has them."""
-    words = set(words_of(text))
+    words = set(word_bytes(text))
     if len(_buckets) > LEXICON_ENTRIES:
         _buckets.clear()
-    for w in words - _buckets.keys():
-        _buckets[w] = word_features(w)
+    for w in words:
+        if w not in _buckets:
+            _buckets[w] = word_features(w)
     return [b for w in words for b in _buckets[w]]
 
 
@@ -49,15 +50,16 @@ class Linear:
 
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.words: dict[str, float] = {}
+        self.words: dict[bytes, float] = {}
 
     def raw(self, text: str | None) -> float:
-        words = set(words_of(text))
+        words = set(word_bytes(text))
         if len(self.words) > LEXICON_ENTRIES:
             self.words.clear()
         get = self.weights.get
-        for w in words - self.words.keys():
-            self.words[w] = math.fsum(get(b, 0.0) for b in word_features(w))
+        for w in words:
+            if w not in self.words:
+                self.words[w] = math.fsum(get(b, 0.0) for b in word_features(w))
         return math.fsum(map(self.words.__getitem__, words))  # exact, so a set's order does not matter
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -129,22 +131,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_positiv
 
     # What is not in the bounded list of confirmed ids is unlabelled, whatever its label says.
     read = rows.join(F.broadcast(confirmed), "doc_id", "left").filter(F.col("confirmed") | share)
-    sample = written(read.select("doc_id", F.coalesce("confirmed", F.lit(False)).alias("confirmed"), "text"), "toxicity-sample")
+    sample = written(read.select("doc_id", F.coalesce("confirmed", F.lit(False)).alias("confirmed"), share.alias("mixture"), "text"), "toxicity-sample")
     every = F.pandas_udf(lambda texts: pd.Series([sorted(set(text_features(t))) for t in texts.tolist()]), "array<int>")
     sure = F.col("confirmed").cast("long")
-    n_sure, n_rest = sample.agg(F.sum(sure), F.count(F.lit(1))).first()
-    if not n_sure:
+    drawn = F.col("mixture").cast("long")
+    n_sure, n_rest = sample.agg(F.sum(sure), F.sum(drawn)).first()
+    if not n_sure or not n_rest:
         return fit_nnpu([], [], toxic / n if n else 0.01)
-    # Confirmed texts belong to the mixture that unlabelled text is drawn from, so they count on that side too.
+    # The unlabelled side is a random share of all texts, confirmed ones among them: the mixture that the risk estimate assumes.
     a, b = F.col("p") / n_sure, F.col("u") / n_rest
     z = (a - b) / F.sqrt(F.greatest(b * (1 - b), F.lit(1.0 / n_rest)) * (1.0 / n_sure + 1.0 / n_rest))
-    counted = sample.select("confirmed", F.explode(every("text")).alias("bucket")).groupBy("bucket").agg(F.sum(sure).alias("p"), F.count(F.lit(1)).alias("u"))
-    best = counted.filter("u > 2").withColumn("z", z).filter(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "bucket").limit(MOST_FEATURES)
+    counted = sample.select("confirmed", "mixture", F.explode(every("text")).alias("bucket")).groupBy("bucket").agg(F.sum(sure).alias("p"), F.sum(drawn).alias("u"))
+    best = counted.filter("p + u > 2").withColumn("z", z).filter(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "bucket").limit(MOST_FEATURES)
     chosen = frozenset(r["bucket"] for r in best.select("bucket").collect())
     kept = F.pandas_udf(lambda texts: pd.Series([[b for b in text_features(t) if b in chosen] for t in texts.tolist()]), "array<int>")
-    got = sample.select("doc_id", "confirmed", kept("text").alias("b")).toPandas().sort_values("doc_id", kind="stable")
+    got = sample.select("doc_id", "confirmed", "mixture", kept("text").alias("b")).toPandas().sort_values("doc_id", kind="stable")
     lists = [np.asarray(b, np.int64) for b in got["b"]]
-    return fit_nnpu([b for b, s in zip(lists, got["confirmed"].tolist()) if s], lists, toxic / n)
+    return fit_nnpu([b for b, s in zip(lists, got["confirmed"]) if s], [b for b, s in zip(lists, got["mixture"]) if s], toxic / n)
 
 
 def score_toxicity(docs: DataFrame, model: Linear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
