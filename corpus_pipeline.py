@@ -5,27 +5,64 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracemill.llm import packing
-from tracemill.llm.common import table, written
+from tracemill.llm import decontamination, near_dedup, packing, quality, repeats
+from tracemill.llm.common import crc_mod, table, written
 from tracemill.llm.registry import tokenizer_file
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores 0.5 or more; its labels are those of the op7 query."""
+    model = quality.train(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1))
+    return quality.score_quality(docs, model, keep=True).filter("score >= 0.5").select(*COLUMNS)
+
+
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each near-duplicate group, and every document that is in none.
+
+    Shingles of five words and a similarity of 0.8, the pipeline's own setting.
+    """
+    groups = near_dedup.near_groups(docs, size=5, percent=80)
+    gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
+    # Of rows that share an id one stays as well.
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings of 400 or more that occur elsewhere too."""
+    return repeats.without_repeats(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, placed in sequences of at most 2048 tokens."""
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("near_dedup", keep_one_of_group),
+    ("repeats", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each stored before the next reads it."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Tokenizer ids and trained models have no SQL form.
+#: Trained models and a vocabulary's merges have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL: str | None = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontamination, language_id, near_dedup, nearest, packing, quality, repeats, token_counts, toxicity
+from tracemill.llm import decontamination, language_id, licenses, near_dedup, nearest, packing, quality, repeats, token_counts, toxicity
 from tracemill.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": op5_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
+    "op8_licenses": op8_licenses,
     "op9_toxicity": op9_toxicity,
     "op10_repeats": op10_repeats,
 }
