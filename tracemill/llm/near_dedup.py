@@ -167,19 +167,21 @@ def crossing_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """Pairs of nodes with different labels that may be similar enough, by prefix filtering.
 
     Of two sets that similar, the rarest shingles (as many as may be missing,
-    and one) have one in common.  A near copy with more changes than the
-    threshold allows has none that another set knows, and so no pair at all,
-    though it shares buckets with its whole group.
+    and one) have one in common, and from the first of these on enough of both
+    is left.  A near copy with more changes than the threshold allows has no such
+    shingle with another, and so no pair, though it shares buckets with its
+    whole group.
     """
     listed = nodes.join(sets, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     known = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     ranked = listed.join(known, "shingle").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     may_miss = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    prefixes = ranked.select("node", "label", "n", F.explode(F.slice("s", F.lit(1), may_miss.cast("int"))).alias("p")).filter("p.df > 1")
-    prefixes = written(prefixes.select("node", "label", "n", "p.shingle"), "prefixes")
-    x = prefixes.select("shingle", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("size_a"))
-    y = prefixes.select("shingle", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("size_b"))
-    fits = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    prefixes = ranked.select("node", "label", "n", F.posexplode(F.slice("s", F.lit(1), may_miss.cast("int"))).alias("at", "p")).filter("p.df > 1")
+    prefixes = written(prefixes.select("node", "label", "n", (F.col("n") - F.col("at")).alias("rest"), "p.shingle"), "prefixes")
+    x = prefixes.select("shingle", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("size_a"), F.col("rest").alias("rest_a"))
+    y = prefixes.select("shingle", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("size_b"), F.col("rest").alias("rest_b"))
+    # From the first common shingle on, no more can be common than either has left.
+    fits = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("size_a") + F.col("size_b"))
     return x.join(y, "shingle").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & fits).select("a", "b").distinct()
 
 
