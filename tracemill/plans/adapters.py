@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def millis(ts: str) -> F.Column:
     """Milliseconds since 1970 of a timestamp without zone, whatever the session's zone is."""
-    return F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
+    return F.floor(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))") / 1000).cast("long")
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_CALLS = """calls AS (SELECT user_id, event_id, event_type AS model, ts, CAST(epoch_ms(ts) AS BIGINT) AS ts_ms,
+_CALLS = """calls AS (SELECT user_id, event_id, event_type AS model, ts, epoch_us(ts) // 1000 AS ts_ms,
  CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS call_index, CAST(floor(value * 10) AS BIGINT) AS cache_read,
  event_id % 97 AS cache_creation, event_id % 13 AS input, event_id % 251 AS output,
  20 * (event_id % 13) + 25 * (event_id % 97) + 2 * CAST(floor(value * 10) AS BIGINT) + 20 * (event_id % 251) AS spend20 FROM events)"""
