@@ -20,7 +20,7 @@ _TURNS = _SEEN + """, totals AS (SELECT conv_id, count(*) FILTER (WHERE role = '
  CAST(coalesce(lead(s.next_call) OVER w - 1, greatest(0, t.n - 1)) AS BIGINT) AS last_call FROM seen s JOIN totals t ON t.conv_id = s.conv_id WHERE s.role = 'user' WINDOW w AS (PARTITION BY s.conv_id ORDER BY s.turn))"""
 _CHANGE = 1_704_067_200_000 + 15 * 86_400_000
 _RATED = _CALLS + f""", rated AS (SELECT *, CASE model WHEN 'view' THEN CASE WHEN ts_ms < {_CHANGE} THEN 3.0::DOUBLE ELSE 4.0::DOUBLE END WHEN 'click' THEN 1.0::DOUBLE WHEN 'purchase' THEN 5.0::DOUBLE WHEN 'signup' THEN 2.0::DOUBLE END AS rate FROM calls),
- priced AS (SELECT *, ((20 * input + 25 * cache_creation + 2 * cache_read) * rate + 20 * output * rate * 5) / 20000000.0::DOUBLE AS usd FROM rated)"""
+ priced AS (SELECT *, ((20 * input + 25 * cache_creation + 2 * cache_read) * rate + 20 * output * rate * 5) AS usd FROM rated)"""
 _PARTS = """nodes AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey // 4 END AS parent, p_brand AS brand, CAST(p_size AS BIGINT) AS own FROM part WHERE p_partkey = 0 OR p_partkey % 50 <> 7),
  up AS (SELECT id, id AS ancestor, CAST(0 AS BIGINT) AS distance FROM nodes UNION ALL SELECT u.id, n.parent, u.distance + 1 FROM up u JOIN nodes n ON n.id = u.ancestor JOIN nodes p ON p.id = n.parent)"""
 _POINTS = """points AS (SELECT doc_id, lang AS model, source AS transcript, n_chars AS chars, CAST(len(string_split(text, ' ')) AS BIGINT) AS blocks, n_chars // 3 + 5 * CAST(len(string_split(text, ' ')) AS BIGINT) + doc_id % 11 AS output
@@ -58,7 +58,7 @@ SQL: dict[str, str] = {
     "true_cost": f"""WITH {_EPOCHS}, a AS (SELECT user_id, event_id, call_index AS born, event_id % 1000 AS tokens FROM calls WHERE model = 'purchase'),
  l AS (SELECT a.user_id, a.event_id, a.born, a.tokens, count(*) AS writes, sum(e.end_call - greatest(e.start_call, a.born)) AS reads FROM a JOIN epochs e ON e.user_id = a.user_id AND e.end_call >= a.born GROUP BY ALL)
  SELECT user_id, event_id, born, writes, CAST(reads AS BIGINT) AS reads, CAST(tokens * (25 * writes + 2 * reads) AS BIGINT) AS total20, round(CASE WHEN tokens = 0 THEN 0.0::DOUBLE ELSE (25 * writes + 2 * reads) / 20.0::DOUBLE END, 6) AS multiple FROM l""",
-    "price_calls": f"""WITH {_RATED} SELECT user_id, round(coalesce(sum(usd), 0.0::DOUBLE), 6) AS usd, CAST(sum(CASE WHEN rate IS NOT NULL THEN spend20 ELSE 0 END) AS BIGINT) AS priced, CAST(sum(CASE WHEN rate IS NULL THEN spend20 ELSE 0 END) AS BIGINT) AS unpriced,
+    "price_calls": f"""WITH {_RATED} SELECT user_id, round(coalesce(sum(usd), 0.0::DOUBLE) / 20000000.0::DOUBLE, 6) AS usd, CAST(sum(CASE WHEN rate IS NOT NULL THEN spend20 ELSE 0 END) AS BIGINT) AS priced, CAST(sum(CASE WHEN rate IS NULL THEN spend20 ELSE 0 END) AS BIGINT) AS unpriced,
  count(*) FILTER (WHERE rate IS NULL) AS unpriced_calls, count(*) AS calls, coalesce(string_agg(DISTINCT CASE WHEN rate IS NULL THEN model END, ','), '') AS unpriced_models FROM priced GROUP BY user_id""",
     "sidecar_pairing": "SELECT coalesce(p.id, s.s_suppkey) AS id, CASE WHEN p.id IS NULL THEN 'meta present, transcript missing' WHEN s.s_suppkey IS NULL THEN 'transcript present, meta missing' ELSE 'paired' END AS pairing FROM (SELECT p_partkey AS id FROM part WHERE p_partkey % 3 <> 0) p FULL OUTER JOIN supplier s ON s.s_suppkey = p.id",
     "cause_attribution": f"""WITH {_CALLS}, a AS (SELECT user_id, call_index + ((event_id % 4000 + 2) // 4) % 2 AS call_index, (event_id % 4000 + 2) // 4 AS tokens FROM calls WHERE event_id % 3 <> 0),
@@ -106,7 +106,7 @@ SQL: dict[str, str] = {
  SELECT l.id, CAST(l.e - sub.width AS BIGINT) AS start, CAST(l.e AS BIGINT) AS "end", CAST(sub.width AS BIGINT) AS width FROM laid l JOIN sub ON sub.id = l.id""",
     "session_list": f"""WITH {_RATED}, d AS (SELECT *, CAST(floor(log10(greatest(event_id, 1)::DOUBLE + 0.5::DOUBLE)) AS BIGINT) % 3 AS depth FROM priced)
  SELECT user_id, min(ts_ms) AS started_ms, (max(ts_ms) - min(ts_ms)) // 60000 AS wall_min, count(*) AS calls, count(*) FILTER (WHERE depth > 0) AS spawned_calls, max(depth) AS max_depth, CAST(sum(spend20) AS BIGINT) AS spend20, CAST(sum(CASE WHEN depth > 0 THEN spend20 ELSE 0 END) AS BIGINT) AS spawned20,
- round(coalesce(sum(usd), 0.0::DOUBLE), 6) AS usd, CAST(sum(CASE WHEN rate IS NULL THEN spend20 ELSE 0 END) AS BIGINT) AS unpriced20 FROM d GROUP BY user_id""",
+ round(coalesce(sum(usd), 0.0::DOUBLE) / 20000000.0::DOUBLE, 6) AS usd, CAST(sum(CASE WHEN rate IS NULL THEN spend20 ELSE 0 END) AS BIGINT) AS unpriced20 FROM d GROUP BY user_id""",
     "identity_audit": f"""WITH {_PREDICTED}, c AS (SELECT 'cache-read-recurrence' AS identity, cache_read <> p_read + p_creation AS v FROM predicted WHERE cache_read >= p_read UNION ALL SELECT 'residency-predicts-cache-read', cache_read <> expected FROM predicted WHERE predictable
  UNION ALL SELECT 'tree-holds-every-token', FALSE FROM predicted UNION ALL SELECT 'cache-creation-accounted', cache_creation > 95 FROM predicted WHERE event_id % 2 = 0),
  r AS (SELECT * FROM (VALUES ('tree-holds-every-token', 0.0::DOUBLE), ('cache-creation-accounted', 0.0::DOUBLE), ('cache-read-recurrence', 0.05::DOUBLE), ('output-snapshot-agrees', 0.001::DOUBLE), ('residency-predicts-cache-read', 0.3::DOUBLE)) AS t(identity, rate)),
