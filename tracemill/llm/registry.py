@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import decontamination, language_id, licenses, near_dedup, nearest, packing, quality, repeats, token_counts, toxicity
 from tracemill.llm.common import table
+from tracemill.llm.sql import SQL as _SQL
 
 
 def tokenizer_file(name: str) -> str:
@@ -72,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: A vocabulary's merges, models and alignments have no SQL form; those queries are tested against brute force.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = _SQL

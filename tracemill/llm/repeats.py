@@ -289,11 +289,13 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, id_col: str =
 
 def without_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated bytes taken out of the text; a character that is cut in two goes too."""
-    rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows.select("row_id", F.col(text_col).alias("text")), length, gram)
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    spans = repeated_spans(docs.select(key.alias("row_id"), F.col(text_col).alias("text")), length, gram)
+    spans = spans.select(F.col("row_id").alias("_repeats_row"), F.col("spans").alias("_repeats_spans"))
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, lists: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else cut(t, s).decode("utf-8", "ignore") for t, s in zip(texts.tolist(), lists.tolist())])
 
-    return rows.join(spans, "row_id", "left").withColumn(text_col, rest(text_col, "spans")).select(*docs.columns)
+    rows = docs.withColumn("_repeats_row", key).join(spans, "_repeats_row", "left")
+    return rows.withColumn(text_col, rest(text_col, "_repeats_spans")).select(*docs.columns)
