@@ -60,7 +60,8 @@ def term_counts(docs: DataFrame, text_col: str, terms: set[str]) -> dict[str, in
         for batch in batches:
             for text in batch["text"].tolist():
                 found.update(filter(wanted, word_bytes(text)))
-        yield pd.DataFrame({"term": [t.decode() for t in found], "n": [*found.values()]})
+        if found:
+            yield pd.DataFrame({"term": [t.decode() for t in found], "n": [*found.values()]})
 
     counted = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return {r["term"]: r["n"] for r in counted.collect()}

@@ -96,7 +96,8 @@ def train(labelled: DataFrame, most: int = TRAIN_DOCUMENTS) -> tuple[list[str],
                         mine += np.bincount(bucket, minlength=BUCKETS)
         for lang, mine in sums.items():
             at = np.flatnonzero(mine)
-            yield pd.DataFrame({"lang": lang, "bucket": at, "n": mine[at]})
+            if len(at):
+                yield pd.DataFrame({"lang": lang, "bucket": at, "n": mine[at]})
             yield pd.DataFrame({"lang": [lang], "bucket": [-1], "n": [docs[lang]]})
 
     summed = rows.select("lang", "text").mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
