@@ -123,3 +123,26 @@ def test_json_length(value, length):
 def test_every_text_parses_to_a_record():
     for raw in ('{"type":"assistant"}', "[]", "3", "{", '{"type":"user","message":{"content":[7,{"type":"image"}]}}', '{"type":"zzz"}'):
         assert transcripts.parse_line(raw)["kind"] in {"assistant", "user", "unknown", "unparseable", "meta"}
+
+
+def test_report(spark, analysis):
+    from tracemill.plans import report
+
+    rates = spark.createDataFrame([("model-a", None, None, 2.0, 10.0)], "model string, valid_from long, valid_to long, in_rate double, out_rate double")
+    row = report.session_list(analysis, rates).first()
+    # 8 placed calls of 5 input tokens, 141 written, 274 read, 1610 output
+    spend = 40 + 1.25 * 141 + 0.1 * 274 + 1610
+    assert (row["calls"], row["spawned_calls"], row["max_depth"], row["project"], row["models"]) == (8, 4, 2, "project", "model-a")
+    assert row["tok_eq"] == pytest.approx(spend) and row["usd"] == pytest.approx(((spend - 1610) * 2 + 16100) / 1e6, abs=1e-4)
+    rows = report.call_rows(analysis)
+    for r in report.ledgers(rows).filter("ledger <> 'tool'").groupBy("ledger").agg({"share": "sum"}).collect():
+        assert r["sum(share)"] == pytest.approx(1.0)
+    assert {r["finding"] for r in report.findings(analysis).collect()} == {"prefix changed", "largest tool result", "spawn cold start", "startup payload"}
+    held = {r["identity"]: (r["sites"], r["held"]) for r in report.audits(analysis, session.rolled_up(analysis.spans)).collect()}
+    assert held["tree-holds-every-token"] == (4, True) and held["cache-creation-accounted"] == (1, True) and held["output-snapshot-agrees"] == (1, True)
+    assert held["cache-read-recurrence"] == (3, True) and held["residency-predicts-cache-read"] == (2, True)
+    totals = report.output_totals(analysis).first()
+    assert totals["total"] == totals["uncalibrated"] and totals["uncalibrated_models"] == "model-a"
+    assert report.attribution(analysis).filter("conv_id = '' and call_index = 0").first()["unattributed"] == pytest.approx(5 + 125 - 12.5)
+    assert report.strata(analysis).filter("call_index = 0").first()["source"] == "startup"
+    assert report.coverage(rows).first()["unclassified"] == 0.0
