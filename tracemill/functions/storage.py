@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_folder() -> str:
+    """A temporary folder of this process, for a single machine; it goes when the process ends."""
+    path = tempfile.mkdtemp(prefix="tracemill-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where the session leaves it unset (a single machine)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tracemill-scratch")).rstrip("/")
+    """``spark.checkpoint.dir``; only where the session leaves it unset, a temporary folder."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write and read back: cuts the lineage and survives lost executors."""
+    """Write and read back.
+
+    Cuts the lineage: what follows depends on stored files, not on executors,
+    and row ids drawn before the write stay what they are.
+    """
     path = f"{shared_folder(df.sparkSession)}/tracemill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
