@@ -288,6 +288,25 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(docs).count() == 0 and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_at_the_top_close_by_and_with_a_word_lost():
+    scanner, templates = licenses.Scanner([*licenses.TEMPLATES, ("short", "All Rights Reserved")]), dict(licenses.TEMPLATES)
+    spans = lambda text, name: [s for n, _, found in scanner.scan(text) if n == name for s in found]
+    grant = templates["MIT-grant"].replace("is hereby", "hereby")
+    assert spans(grant, "MIT-grant")[0]["start"] == 0 and 0.9 < spans(grant, "MIT-grant")[0]["coverage"] < 1
+    header = templates["Apache-2.0-notice"].split(" ", 3)[3]
+    assert len(spans(header + " " + prose(20), "Apache-2.0-notice")) == 1
+    lines = "\n".join(f"{w}: Released under the MIT License." for w in ["foo", "bar", "baz", "qux"])
+    found = spans(lines, "MIT-line")
+    assert [lines[s["start"] : s["end"]] for s in found] == ["Released under the MIT License"] * 4
+    back_to_back = "Released under the MIT License. " * 5
+    assert len(spans(back_to_back, "MIT-line")) == 5
+    for text in ("Released under MIT License", "Released under the new MIT License", "Released, under: a the b MIT c License"):
+        assert len(spans(prose(30) + " " + text + " " + prose(30), "MIT-line")) == 1
+    assert len(spans("x all y rights z reserved", "short")) == 1 and not spans("all reserved", "short")
+    better = " ".join(templates["MIT-grant"].split()[:36]) + " " + templates["MIT-grant"]
+    assert max(s["coverage"] for s in spans(better, "MIT-grant")) == 1
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 

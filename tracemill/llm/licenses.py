@@ -1,8 +1,10 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment reports matches."""
+"""License scans: winnowed fingerprints and rare words pick candidates, banded alignment reports matches."""
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from tracemill.llm.decontamination import _word
 
 #: Words in a fingerprinted gram, and grams of which winnowing keeps the least: runs of GRAM + WINDOW - 1 shared words are always seen.
+#: Finds without such a run are seen by single words (``Scanner.rare``).
 GRAM, WINDOW = 3, 2
 #: Words that an alignment may drift from its diagonal, and the share of a template's words that make a match.
 BAND, LEAST_COVERAGE = 6, 0.7
@@ -111,12 +114,79 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str]]):
         self.names = [n for n, _ in templates]
         self.words = [word_hashes(_word.findall(t.encode().lower())) for _, t in templates]
+        self.counts = [Counter(words.tolist()) for words in self.words]
+        self.least = [math.ceil(LEAST_COVERAGE * len(words)) for words in self.words]
         index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, words in enumerate(self.words):
             for place, h in zip(*fingerprints(words)):
                 index[int(h)].append((k, int(place)))
         self.index = index
         self.keys = np.sort(np.array([*index], np.uint64))
+        # A find misses len - least of its template's words at most, so it has one of any len - least + 1 of them.
+        used = Counter(w for counts in self.counts for w in counts)
+        size = {int(h): len(w) for _, t in templates for w in _word.findall(t.encode().lower()) for h in word_hashes([w])}
+        rare: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, words in enumerate(self.words):
+            order = sorted(range(len(words)), key=lambda i: (used[int(words[i])], -size[int(words[i])], i))
+            for place in order[: len(words) - self.least[k] + 1]:
+                rare[int(words[place])].append((k, place))
+        self.rare = rare
+        self.rare_keys = np.sort(np.array([*rare], np.uint64))
+
+    def hits(self, words: np.ndarray) -> dict[int, set[tuple[int, int]]]:
+        """(diagonal, word of the text) of each template's fingerprints and rare words."""
+        found: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        place, h = fingerprints(words)
+        for keys, index, places, hashes in ((self.keys, self.index, place, h), (self.rare_keys, self.rare, np.arange(len(words)), words)):
+            if not len(keys) or not len(hashes):
+                continue
+            at = np.searchsorted(keys, hashes)
+            for i in np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == hashes).tolist():
+                for k, where in index[int(hashes[i])]:
+                    found[k].add((int(places[i]) - where, int(places[i])))
+        return found
+
+    def spans(self, k: int, words: np.ndarray, hits: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(start, end, matched words) of one template's finds, which do not overlap; better ones go first.
+
+        Hits outside them are aligned again over the words between, until no find is left.
+        """
+        template, least, done = self.words[k], self.least[k], {}
+        ours = np.concatenate([[0], np.isin(words, template).cumsum()])
+
+        def aligned(shift: int, lo: int, hi: int) -> tuple[int, int, int]:
+            if (shift, lo, hi) not in done:
+                done[shift, lo, hi] = (0, 0, 0)
+                # Words in common, in any order, are no fewer than those in order.
+                if ours[hi] - ours[lo] >= least and (Counter(words[lo:hi].tolist()) & self.counts[k]).total() >= least:
+                    matched, start, end = align(template, words[lo:hi], shift - lo)
+                    done[shift, lo, hi] = (matched, lo + start, lo + end)
+            return done[shift, lo, hi]
+
+        # Far from enough words of the template there is nothing to align.
+        wide = [(s, p, max(0, s - BAND), min(len(words), s + len(template) + BAND)) for s, p in sorted(hits)]
+        left = [(s, p, lo, hi) for s, p, lo, hi in wide if ours[hi] - ours[lo] >= least]
+        taken: list[tuple[int, int, int]] = []
+        while left:
+            starts, ends = [a for a, _, _ in taken], [b for _, b, _ in taken]
+            finds, rest = set(), []
+            for s, p, lo, hi in left:
+                nth = bisect_right(starts, p)
+                if nth and p < ends[nth - 1]:
+                    continue
+                lo, hi = max(lo, ends[nth - 1] if nth else 0), min(hi, starts[nth] if nth < len(starts) else hi)
+                matched, start, end = aligned(s, lo, hi)
+                if matched >= least:
+                    finds.add((-matched, start, end))
+                rest.append((s, p, lo, hi))
+            if not finds:
+                break
+            for matched, start, end in sorted(finds):
+                nth = bisect_right(taken, (start, math.inf))
+                if (not nth or taken[nth - 1][1] <= start) and (nth == len(taken) or end <= taken[nth][0]):
+                    taken.insert(nth, (start, end, -matched))
+            left = rest
+        return taken
 
     def scan(self, text: str | None) -> list[tuple[str, float, list[dict]]]:
         """(license, best coverage, spans in bytes) of the templates found."""
@@ -124,35 +194,13 @@ class Scanner:
             return []
         data = text.encode().lower()
         words = word_hashes(_word.findall(data))
-        place, h = fingerprints(words)
-        if not len(h) or not len(self.keys):
-            return []
-        at = np.searchsorted(self.keys, h)
-        hits = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == h)
-        if not len(hits):
-            return []
-        shifts: dict[int, list[int]] = defaultdict(list)
-        for i in hits.tolist():
-            for k, where in self.index[int(h[i])]:
-                shifts[k].append(int(place[i]) - where)
         bounds, found = None, []
-        for k, diagonals in sorted(shifts.items()):
-            template, spans, done = self.words[k], [], -1
-            for shift in sorted(set(diagonals)):
-                if shift <= done:
-                    continue  # within the band of one that was aligned
-                matched, start, end = align(template, words[max(0, shift - BAND) : shift + len(template) + BAND], min(shift, BAND))
-                done = shift + BAND
-                if matched >= LEAST_COVERAGE * len(template):
-                    bounds = bounds or [m.span() for m in _word.finditer(data)]
-                    first = max(0, shift - BAND)
-                    span = (bounds[first + start][0], bounds[first + end - 1][1], matched / len(template))
-                    if not spans or span[0] >= spans[-1][1]:
-                        spans.append(span)
-                    elif span[2] > spans[-1][2]:
-                        spans[-1] = span
-            if spans:
-                found.append((self.names[k], max(s[2] for s in spans), [{"start": a, "end": b, "coverage": c} for a, b, c in spans]))
+        for k, hits in sorted(self.hits(words).items()):
+            if spans := self.spans(k, words, hits):
+                bounds = bounds or [m.span() for m in _word.finditer(data)]
+                size = len(self.words[k])
+                listed = [{"start": bounds[a][0], "end": bounds[b - 1][1], "coverage": n / size} for a, b, n in spans]
+                found.append((self.names[k], max(s["coverage"] for s in listed), listed))
         return found
 
 
