@@ -152,6 +152,22 @@ def test_proximity_matches(spark):
     assert (2, True) in found and (1, False) in found and not any(d == 3 for d, _ in found)
 
 
+def test_proximity_of_every_window(spark):
+    """An item of 30 words: texts with one window's words backwards, for each window, and one with a word missing."""
+    item = [f"w{i:02d}" for i in range(30)]
+    texts = [(s, " ".join(["x"] * 5 + item[s : s + 10][::-1] + ["y"] * 5)) for s in range(21)]
+    texts += [(100, " ".join(item)), (101, " ".join(item[4:13][::-1])), (102, None)]
+    rows, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([("i", " ".join(item))], "item_id string, text string")
+    got = {r["doc_id"]: r for r in decontamination.contamination(rows, bench, slop=3).collect()}
+    assert all(got[s]["n_near"] > 0 and got[s]["n_near_items"] == 1 and not got[s]["contaminated"] for s in range(21))
+    assert got[100]["contaminated"] and got[100]["n_near"] > 0 and got[101]["n_near"] == got[102]["n_near"] == 0
+    assert "n_near" not in decontamination.contamination(rows, bench).columns
+    lists = decontamination.anchored([("i", item)], decontamination.term_counts(rows, "text", {*item}), 10)
+    short = decontamination.build_index(rows, {r[2] for r in lists if r[4] == 0}, {r[2] for r in lists if r[4]}, 9)
+    with pytest.raises(Exception, match="context_radius"):
+        decontamination.item_matches(short, lists, 10, slop=3).collect()
+
+
 def test_repeats(docs, empty):
     length = 400
     data = [(i, (t or "").encode()) for i, t in ROWS]

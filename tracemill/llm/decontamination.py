@@ -68,7 +68,7 @@ def term_counts(docs: DataFrame, text_col: str, terms: set[str]) -> dict[str, in
 
 
 def anchored(items: list[tuple[str, list[str]]], counts: dict[str, int], n: int) -> list[tuple]:
-    """(item, its words, term, offset, rank of the list, only list, a window's start) for the rarest terms of each window."""
+    """(item, its words, term, offset, rank of the list, only list, its windows' starts) for the rarest terms of each window."""
     rows: dict[tuple, tuple] = {}
     for item, words in items:
         for at in range(max(1, len(words) - n + 1)):
@@ -78,12 +78,17 @@ def anchored(items: list[tuple[str, list[str]]], counts: dict[str, int], n: int)
             first = {w: i for i, w in reversed([*enumerate(window)])}
             rarest = sorted(first, key=lambda w: (counts[w], w))[:ANCHORS]
             for nth, w in enumerate(rarest):
-                rows.setdefault((item, at + first[w], nth, len(rarest)), (item, words, w, at + first[w], nth, len(rarest) == 1, at))
+                rows.setdefault((item, at + first[w], nth, len(rarest)), (item, words, w, at + first[w], nth, len(rarest) == 1, []))[-1].append(at)
     return [*rows.values()]
 
 
+def context_radius(n: int, slop: int = 0) -> int:
+    """Words to either side that a posting's context needs."""
+    return n - 1 + slop
+
+
 def build_index(docs: DataFrame, rarest: set[str], others: set[str], radius: int, text_col: str = "text") -> DataFrame:
-    """Store the postings of some terms: ``row_id``, ``doc_id``, ``n_words`` and ``postings`` of each document.
+    """Store the postings of some terms: ``row_id``, ``doc_id``, ``n_words``, ``radius`` and ``postings`` of each document.
 
     A posting is (term, position, context, place in the context).  The context
     (words up to ``radius`` before and after) is kept for the ``rarest`` terms, so a
@@ -105,9 +110,9 @@ def build_index(docs: DataFrame, rarest: set[str], others: set[str], radius: int
                         if w in wanted
                     ]
                 )
-            yield pd.DataFrame({"row_id": batch["row_id"], "doc_id": batch["doc_id"], "n_words": sizes, "postings": lists})
+            yield pd.DataFrame({"row_id": batch["row_id"], "doc_id": batch["doc_id"], "n_words": sizes, "radius": radius, "postings": lists})
 
-    schema = "row_id long, doc_id long, n_words long, postings array<struct<term:string,pos:int,context:array<string>,place:int>>"
+    schema = "row_id long, doc_id long, n_words long, radius int, postings array<struct<term:string,pos:int,context:array<string>,place:int>>"
     if "row_id" not in docs.columns:
         docs = docs.withColumn("row_id", F.monotonically_increasing_id())
     return written(docs.select("row_id", "doc_id", F.col(text_col).alias("text")).mapInPandas(post, schema), "positional-index")
@@ -125,14 +130,15 @@ def item_matches(index: DataFrame, lists: list[tuple], n: int, slop: int = 0) ->
     Exact matches are runs of at least ``n`` item words in order (all of a
     shorter item).  With ``slop`` > 0, places where a rarest term has its
     window's words in any order, within the window's length plus ``slop`` to
-    either side, are returned too, with ``exact`` false.
+    either side, are returned too, with ``exact`` false.  An index whose contexts
+    are shorter than that raises an error.
     """
-    kind = "item_id string, words array<string>, term string, offset int, nth int, alone boolean, at int"
+    kind = "item_id string, words array<string>, term string, offset int, nth int, alone boolean, starts array<int>"
     # One block of items: at most BLOCK_WINDOWS windows.
     wanted = index.sparkSession.createDataFrame(lists, kind)
-    terms = wanted.select("item_id", "term", "offset", "nth", "alone", "at")
+    terms = wanted.select("item_id", "term", "offset", "nth", "alone", "starts")
     words = wanted.groupBy("item_id").agg(F.first("words").alias("words"))
-    postings = index.select("row_id", F.explode("postings").alias("p")).select("row_id", "p.*")
+    postings = index.select("row_id", "radius", F.explode("postings").alias("p")).select("row_id", "radius", "p.*")
     shifted = postings.join(F.broadcast(terms), "term").withColumn("shift", F.col("pos") - F.col("offset"))
     rarest = shifted.filter("nth = 0")
     key = ["row_id", "item_id", "shift"]
@@ -153,19 +159,27 @@ def item_matches(index: DataFrame, lists: list[tuple], n: int, slop: int = 0) ->
     )
     if not slop:
         return matched
-    window = F.slice("words", F.col("at") + 1, n)
-    reach = F.size(window) - 1 + slop
+    reach = F.least(F.size("words"), F.lit(n)) - 1 + slop
     around = F.slice("context", F.greatest(F.col("place") - reach, F.lit(0)) + 1, F.least("place", reach) + reach + 1)
+    # An item's windows that share the term are tested one by one.
+    there = F.exists("starts", lambda at: F.size(F.array_except(F.slice("words", at + 1, n), around)) == 0)
     near = (
         rarest.join(F.broadcast(words), "item_id")
-        .filter(F.size(F.array_except(window, around)) == 0)
+        .filter(F.when(F.col("radius") < reach, F.raise_error(F.lit("the index's contexts are shorter than context_radius(n, slop)")).cast("boolean")).otherwise(there))
         .select("row_id", "item_id", F.col("pos").alias("start"), F.lit(1).alias("length"), F.lit(False).alias("exact"))
     )
     return matched.unionByName(near)
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame,
+    benchmark: DataFrame,
+    n: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    slop: int = 0,
 ) -> DataFrame:
     """Benchmark windows found in whole documents.
 
@@ -176,6 +190,10 @@ def contamination(
     have no words and are clean; a null item id counts as ''; items without
     words match nothing; repeated rows get a row each; an empty benchmark leaves
     all documents clean.  Only the named columns are read.
+
+    With ``slop`` > 0 there are also ``n_near`` (places of a window's rarest term that
+    have the window's words in any order, see ``item_matches``; exact matches are such
+    places too), ``n_near_items`` and ``near_items_sha256``; the other columns stay exact.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item_id"), F.col(item_text_col).alias("text"))
@@ -190,26 +208,38 @@ def contamination(
         known = [(f"{i}:{r['item_id']}", words) for i, r in enumerate(part) if (words := words_of(r["text"]))]
         counts = term_counts(docs, "text", {t for _, words in known for t in words}) if known else {}
         lists = anchored(known, counts, n)
-        index = build_index(docs, {r[2] for r in lists if r[4] == 0}, {r[2] for r in lists if r[4]}, n - 1)
-        found = item_matches(index, lists, n).withColumn("item_id", F.regexp_replace("item_id", r"^\d+:", ""))
+        index = build_index(docs, {r[2] for r in lists if r[4] == 0}, {r[2] for r in lists if r[4]}, context_radius(n, slop))
+        found = item_matches(index, lists, n, slop).withColumn("item_id", F.regexp_replace("item_id", r"^\d+:", ""))
         sizes = index.select("row_id", "doc_id", "n_words") if sizes is None else sizes
         matches = found if matches is None else matches.unionByName(found)
-    places = matches.select("row_id", "start", "length").distinct()
+    exact = matches.filter("exact")
+    places = exact.select("row_id", "start", "length").distinct()
     hit = places.groupBy("row_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("length") - 1))))).cast("long").alias("n_hit")
     )
-    ids = matches.select("row_id", "item_id").distinct().groupBy("row_id").agg(
-        F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("items")
-    )
-    return (
-        sizes.join(hit, "row_id", "left")
-        .join(ids, "row_id", "left")
-        .select(
-            "doc_id",
-            "n_words",
-            F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
-            F.coalesce("n_items", F.lit(0)).alias("n_items"),
-            F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
-            (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-        )
+    out = sizes.join(hit, "row_id", "left").join(_items(exact, "n_items", "items"), "row_id", "left")
+    columns = [
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+        F.coalesce("n_items", F.lit(0)).alias("n_items"),
+        F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    ]
+    if slop:
+        near = matches.filter("not exact")
+        n_near = near.select("row_id", "start").distinct().groupBy("row_id").agg(F.count(F.lit(1)).alias("n_near"))
+        out = out.join(n_near, "row_id", "left").join(_items(near, "n_near_items", "near_items"), "row_id", "left")
+        columns += [
+            F.coalesce("n_near", F.lit(0)).alias("n_near"),
+            F.coalesce("n_near_items", F.lit(0)).alias("n_near_items"),
+            F.sha2(F.coalesce("near_items", F.lit("")), 256).alias("near_items_sha256"),
+        ]
+    return out.select(*columns)
+
+
+def _items(matches: DataFrame, count: str, ids: str) -> DataFrame:
+    """Each row's items: how many, and their sorted ids."""
+    return matches.select("row_id", "item_id").distinct().groupBy("row_id").agg(
+        F.count(F.lit(1)).alias(count), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias(ids)
     )
