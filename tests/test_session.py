@@ -146,3 +146,15 @@ def test_report(spark, analysis):
     assert report.attribution(analysis).filter("conv_id = '' and call_index = 0").first()["unattributed"] == pytest.approx(5 + 125 - 12.5)
     assert report.strata(analysis).filter("call_index = 0").first()["source"] == "startup"
     assert report.coverage(rows).first()["unclassified"] == 0.0
+
+
+def test_findings_of_every_session(spark, analysis):
+    from tracemill.plans import report
+
+    schema = "model string, valid_from long, valid_to long, in_rate double, out_rate double"
+    for model, cost in (("model-a", 0.0), ("other", 40 + 1.25 * 141 + 0.1 * 274 + 1610)):
+        found = {r["finding"]: r for r in report.findings(analysis, spark.createDataFrame([(model, None, None, 2.0, 10.0)], schema)).collect()}
+        assert len(found) == 6 and found["reasoning share of output"]["cost"] == 0 and found["reasoning share of output"]["severity"] == "note"
+        gap = found["pricing/calibration gap"]
+        # Its model has no fit, so the gap is high though all is priced.
+        assert gap["cost"] == pytest.approx(cost) and gap["share"] == pytest.approx(float(cost > 0)) and gap["severity"] == "high"

@@ -109,8 +109,11 @@ def strata(a: Analysis) -> DataFrame:
     return sequence.stacked(layers, ["session_id", "epoch"], "call_index", "cache_creation").select("session_id", "call_index", "epoch", "source", "share", "y0", "y1")
 
 
-def findings(a: Analysis) -> DataFrame:
-    """What cost most: lost caches, the largest tool result, spawns' cold starts, the startup payload; with the share of the session."""
+def findings(a: Analysis, rates: DataFrame | None = None) -> DataFrame:
+    """What cost most: lost caches, the largest tool result, spawns' cold starts, the startup payload; with the share of the session.
+
+    With ``rates`` every session also has its reasoning and what no rate or fit covers, at zero too.
+    """
     rows = call_rows(a)
     whole = rows.groupBy("session_id").agg(F.sum("spend20").alias("whole"), F.sum(F.when(F.col("depth") > 0, F.col("input")).otherwise(0)).alias("cold"), F.max(F.when(F.col("depth") > 0, 1).otherwise(0)).alias("spawned"))
     calls, epochs, costs = residency(a)
@@ -126,7 +129,23 @@ def findings(a: Analysis) -> DataFrame:
         out = out.unionByName(part.select(*cols))
     out = out.join(whole.select("session_id", "whole"), "session_id").withColumn("share", ledger.share_of(20 * F.col("cost"), F.col("whole"))).drop("whole")
     note = F.col("finding").isin("spawn cold start", "startup payload")
-    return out.withColumn("severity", F.when(note, "note").when(F.col("share") > 0.05, "high").otherwise("medium"))
+    out = out.withColumn("severity", F.when(note, "note").when(F.col("share") > 0.05, "high").otherwise("medium"))
+    return out if rates is None else out.unionByName(unaccounted(a, rows, rates))
+
+
+def unaccounted(a: Analysis, rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """Two findings of every session, at zero too: reasoning, and spend without a rate or output without a fit."""
+    rated = joins.at_rates(rows, rates, F.col("model_id"), "ts_ms").withColumn("rated_model", F.col("model_id"))
+    priced = ledger.price_totals(rated, SESSION, F.lit(0.0), F.col("spend20")).select("session_id", "unpriced", (F.col("priced") + F.col("unpriced")).alias("whole"))
+    both = priced.join(output_totals(a).select("session_id", "total", "reasoning", "uncalibrated"), "session_id", "left").fillna(0)
+    unfit = ledger.share_of(F.col("uncalibrated"), F.col("total"))
+    out = None
+    for name, cost, gap in (("reasoning share of output", F.col("reasoning"), F.lit(0.0)), ("pricing/calibration gap", F.col("unpriced") / 20, unfit)):
+        share = ledger.share_of(20 * cost, F.col("whole"))
+        high = (share > 0.05) | (gap > 0.05)
+        part = both.select("session_id", F.lit(name).alias("finding"), F.lit(None).cast("long").alias("at_call"), cost.cast("double").alias("cost"), share.alias("share"), F.when(high, "high").otherwise("note").alias("severity"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def claims(a: Analysis, rolled: DataFrame) -> DataFrame:
