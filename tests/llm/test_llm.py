@@ -187,6 +187,54 @@ def test_repeats(docs, empty):
     assert left[6]["text"] == "" and left[6]["spans"] == "x" and left[25]["text"] == dict(ROWS)[25]
 
 
+def brute_windows(contexts, counts, groups, length):
+    seen = Counter((g, c[i : i + length]) for c, n, g in zip(contexts, counts, groups) for i in range(n))
+    return [[seen[g, c[i : i + length]] > 1 for i in range(n)] for c, n, g in zip(contexts, counts, groups)]
+
+
+@pytest.mark.parametrize("hashes", ["good", "all alike", "few"])
+def test_suffix_sort_finds_equal_windows_whatever_the_hashes(hashes, monkeypatch):
+    """With hashes that collide always or often the bytes decide."""
+    if hashes != "good":
+        monkeypatch.setattr(repeats, "_code", np.full(256, 0 if hashes == "all alike" else 1, np.uint64))
+    r = random.Random(5)
+    for length in (3, 9, 20):
+        for _ in range(20):
+            base = "".join(r.choice("ab c") for _ in range(60)).encode()
+            contexts = []
+            for _ in range(r.randint(1, 8)):
+                c = bytearray(base[r.randint(0, 20) :])
+                for _ in range(r.randint(0, 3)):
+                    c[r.randrange(len(c))] = r.choice(b"abz")
+                contexts.append(bytes(c))
+            counts = np.array([len(c) - length + 1 for c in contexts])
+            groups = np.array([r.randint(0, 1) for _ in contexts])
+            found = repeats.recurring_windows(contexts, counts, groups, length)
+            assert [f.tolist() for f in found] == brute_windows(contexts, counts, groups, length)
+
+
+def test_common_extensions():
+    s = repeats.Suffixes(np.frombuffer(b"abcabcabdabcabc", np.uint8), 6)
+    assert s.common(np.array([0, 0, 3, 1]), np.array([3, 9, 6, 4])).tolist() == [5, 6, 2, 4]
+    assert s.less(np.array([0, 3, 0]), np.array([3, 0, 9])).tolist() == [True, False, False]
+
+
+def test_repeats_of_crowded_grams(docs, monkeypatch):
+    """A gram with more windows than are sorted together is counted window by window, with one result."""
+    cols = ("doc_id", "n_removed", "n_spans", "kept_sha256")
+    whole = as_rows(repeats.repeats(docs), *cols)
+    monkeypatch.setattr(repeats, "SORTED_TOGETHER", 40)
+    assert as_rows(repeats.repeats(docs), *cols) == whole
+
+
+def test_short_repeated_spans_stay_where_words_are_asked_for(spark):
+    shared = prose(30)
+    docs = spark.createDataFrame([(1, prose(20) + " " + shared), (2, shared + prose(20)), (3, PASSAGE), (4, PASSAGE + " end")], "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in repeats.without_repeats(docs, 100, least_words=51).collect()}
+    assert shared in left[1] and shared in left[2]
+    assert left[3] == "" and left[4] == " end"
+
+
 def test_repeats_do_not_depend_on_slices(docs, monkeypatch):
     cols = ("doc_id", "n_removed", "kept_sha256")
     whole = as_rows(repeats.repeats(docs), *cols)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.storage import stored as written
 
-__all__ = ["crc_mod", "table", "written"]
+__all__ = ["crc_mod", "hot_join", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,3 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(col: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (null ids count as '')."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+#: A key that holds more than this share of all rows is joined by broadcast; there are fewer such keys than its inverse.
+HOT_SHARE = 1 / 1000
+#: Keys of fewer rows are never hot.
+HOT_ROWS = 100
+
+
+def hot_join(rows: DataFrame, keys: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keys``, which has one row for each key and its number of ``rows`` in ``weight``.
+
+    Rows of a hot key stay where they are: of keys with over a thousandth of all
+    the rows there are fewer than a thousand, so these are broadcast, and only the
+    other keys' rows are shuffled.  ``keys`` should be stored, as it is read three times.
+    """
+    total = keys.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > max(HOT_ROWS, int(total * HOT_SHARE))
+    few = F.broadcast(keys.filter(hot))
+    rest = rows.join(F.broadcast(keys.filter(hot).select(*on)), on, "left_anti")
+    return rows.join(few, on).unionByName(rest.join(keys.filter(~hot), on))

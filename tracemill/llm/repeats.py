@@ -1,14 +1,15 @@
-"""Byte strings that occur more than once: a sampled, hash-compared suffix sort.
+"""Byte strings that occur more than once: a sparse suffix sort with hash-compared suffixes.
 
 Prefix polynomial hashes give the hash of any byte range in constant time.
-Sorting every suffix is needless for repeats of a known length: of all
-``length``-byte windows only runs that share their least ``gram``-byte hash are
-taken, and equal windows always fall into runs with equal least hashes.  Runs
-are ordered and compared by that hash, then by the hash of the run's whole
-context (equal contexts: every window repeats), and only where contexts of one
-gram differ are single windows hashed and compared.  Each comparison key holds
-hashes of two different ranges (128 bits together), the second one verifying
-the first.
+Every ``length``-byte window is dealt by its least ``gram``-byte hash, so equal
+windows meet; neighbouring windows of one least gram form a run, and only runs
+whose gram recurs are looked at further.  Runs alike as a whole repeat as a
+whole.  Where runs of one gram differ, the suffixes that begin in them are
+sorted: by their leading bytes, and where these are equal by a merge sort whose
+comparisons find the common extension of two suffixes by binary search over
+the prefix hashes.  In that order equal windows are neighbours.  Every pair of
+neighbours is compared byte for byte; where a hash has misled, the suffixes
+in question are sorted by their bytes.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import written
+from tracemill.llm.common import hot_join, written
 
-#: Length of the hashed grams, by which windows are assigned to runs.
-GRAM = 200
+#: Windows that one task sorts together, about; a gram with more of them is counted window by window instead.
+SORTED_TOGETHER = 200_000
 #: Bytes hashed at once; windows of a longer text are taken in slices of this many.
 SLICE = 1 << 19
 
@@ -88,12 +90,10 @@ def slices(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, byt
 def runs_of(parts: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[dict, list[tuple[int, int, int]]]:
     """Runs and ranges of windows that repeat within a run.
 
-    A run has its text, start, number of windows, least gram hash, context hash,
-    the gram's place, and the hashes of the gram with half of what a window has
-    besides it, before (``left``) and after (``right``); a window holds one of these halves.
-    A run that does not hold a half has 0 for it, and 0 for both if its gram recurs.
+    A run has its text, start, number of windows, least gram hash, and two hashes of all its bytes (``context``, ``check``).
     """
-    data = np.frombuffer(b"".join(x for _, _, x in parts), np.uint8)
+    whole = b"".join(x for _, _, x in parts)
+    data = np.frombuffer(whole, np.uint8)
     sizes = np.array([len(x) for _, _, x in parts])
     begins = np.cumsum(sizes) - sizes
     w = length - gram + 1
@@ -113,6 +113,8 @@ def runs_of(parts: list[tuple[int, int, bytes]], length: int, gram: int) -> tupl
     after = breaks[np.searchsorted(breaks, first, "right")]
     inverse = powers(len(p))[1]
     context = mixed((p[after - 1 + length] - p[first]) * inverse[first])
+    digest = xxhash.xxh3_64_intdigest
+    check = np.array([digest(whole[x:y]) for x, y in zip(first.tolist(), (after - 1 + length).tolist())], np.uint64)
     which = np.searchsorted(begins, first, "right") - 1
     texts = np.array([i for i, _, _ in parts])[which]
     shift = np.array([at for _, at, _ in parts])[which] - begins[which]
@@ -126,41 +128,147 @@ def runs_of(parts: list[tuple[int, int, bytes]], length: int, gram: int) -> tupl
     within = []
     for k in np.flatnonzero(recurs).tolist():
         a, b = int(first[k]), int(after[k])
-        h = (p[a + length : b + length] - p[a:b]) * inverse[a:b]
-        _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-        again = np.flatnonzero(np.diff(np.concatenate([[False], count[back] > 1, [False]])))
-        within += [(int(texts[k]), a + int(s) + int(shift[k]), int(e - s)) for s, e in zip(again[::2], again[1::2])]
-    nth = np.searchsorted(chosen, first)
-    while (wrong := g[chosen[nth]] != least[first]).any():
-        nth[wrong] += 1
-    place = chosen[nth]
-    half = (length - gram) // 2
-
-    def part(lo: np.ndarray, hi: np.ndarray, held: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(first), np.uint64)
-        out[held] = mixed((p[hi[held]] - p[lo[held]]) * inverse[lo[held]]) | np.uint64(1)
-        return out.view(np.int64)
-
-    return {
-        "text": texts, "start": first + shift, "n": after - first, "least": least[first].view(np.int64), "context": context.view(np.int64),
-        "place": place - first,
-        "left": part(place - half, place + gram, ~recurs & (place - half >= first)),
-        "right": part(place, place + gram + half, ~recurs & (place + gram + half <= after - 1 + length)),
-    }, within
+        again = recurring_windows([whole[a : b - 1 + length]], np.array([b - a]), np.zeros(1, np.int64), length)[0]
+        for s, e in stretches(again):
+            within.append((int(texts[k]), a + s + int(shift[k]), e - s))
+    found = {"text": texts, "start": first + shift, "n": after - first}
+    return found | {"least": least[first].view(np.int64), "context": context.view(np.int64), "check": check.view(np.int64)}, within
+
+
+def stretches(mask: np.ndarray) -> list[tuple[int, int]]:
+    """Half-open ranges of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
+# --- suffix sort ----------------------------------------------------------
+
+
+class Suffixes:
+    """Suffixes of joined texts, compared on their first ``length`` bytes."""
+
+    def __init__(self, data: np.ndarray, length: int):
+        self.data, self.length = data, length
+        self.p = prefix_hashes(data)
+        self.inverse = powers(len(self.p))[1]
+
+    def hashes(self, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return (self.p[at + size] - self.p[at]) * self.inverse[at]
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bytes that suffixes ``x`` and ``y`` share at their beginning (``length`` at most), by binary search over the hashes."""
+        low = np.where(self.hashes(x, self.length) == self.hashes(y, self.length), self.length, 0)
+        open_ = np.flatnonzero(low == 0)
+        x, y = x[open_], y[open_]
+        lo, hi = np.zeros(len(x), np.int64), np.full(len(x), self.length, np.int64)
+        while (hi - lo > 1).any():  # lo bytes are alike, hi bytes are not
+            mid = (lo + hi) >> 1
+            alike = self.hashes(x, mid) == self.hashes(y, mid)
+            lo, hi = np.where(alike, mid, lo), np.where(alike, hi, mid)
+        low[open_] = lo
+        return low
+
+    def less(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        m = self.common(x, y)
+        end = np.minimum(m, self.length - 1)
+        return (m < self.length) & (self.data[x + end] < self.data[y + end])
+
+    def merge_sort(self, at: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        """``at`` with each group (equal neighbouring numbers) sorted; all merges of a round are made together."""
+        begins = np.flatnonzero(np.diff(groups, prepend=groups[:1] - 1))
+        sizes = np.diff(np.append(begins, len(at)))
+        begin, size = np.repeat(begins, sizes), np.repeat(sizes, sizes)
+        place = np.arange(len(at)) - begin
+        at, width = at.copy(), 1
+        while width < sizes.max(initial=1):
+            left = place // width % 2 == 0
+            block = place // (2 * width) * (2 * width)
+            middle = np.minimum(block + width, size)
+            # Where each suffix goes in the other half: before its equals if it comes from the left.
+            lo = begin + np.where(left, middle, block)
+            hi = begin + np.where(left, np.minimum(block + 2 * width, size), middle)
+            first = lo.copy()
+            while True:
+                todo = np.flatnonzero(lo < hi)
+                if not len(todo):
+                    break
+                mid = (lo[todo] + hi[todo]) >> 1
+                here = left[todo]
+                x = np.where(here, at[mid], at[todo])
+                y = np.where(here, at[todo], at[mid])
+                smaller = self.less(x, y)
+                right = np.where(here, smaller, ~smaller)  # the other one stands before this one
+                lo[todo] = np.where(right, mid + 1, lo[todo])
+                hi[todo] = np.where(right, hi[todo], mid)
+            own = place - np.where(left, block, middle)
+            moved = np.empty_like(at)
+            moved[begin + block + own + (lo - first)] = at
+            at, width = moved, 2 * width
+        return at
+
+    def equal_to_next(self, at: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order and which suffix equals the next one, by bytes; groups that are out of order are sorted by bytes."""
+        windows = np.lib.stride_tricks.sliding_window_view(self.data, self.length)
+        equal = np.zeros(len(at), bool)
+        pairs = np.flatnonzero(groups[1:] == groups[:-1])
+        bad = []
+        for k in range(0, len(pairs), 8192):
+            i = pairs[k : k + 8192]
+            x, y = windows[at[i]], windows[at[i + 1]]
+            differs = x != y
+            any_, where = differs.any(axis=1), differs.argmax(axis=1)
+            row = np.arange(len(i))
+            equal[i] = ~any_
+            bad.append(groups[i[any_ & (x[row, where] > y[row, where])]])
+        for g in np.unique(np.concatenate(bad)) if bad else []:
+            lo, hi = np.searchsorted(groups, [g, g + 1])
+            at[lo:hi] = sorted(at[lo:hi].tolist(), key=lambda s: windows[s].tobytes())
+            equal[lo : hi - 1] = [windows[s].tobytes() == windows[t].tobytes() for s, t in zip(at[lo : hi - 1], at[lo + 1 : hi])]
+        return at, equal
+
+
+def recurring_windows(contexts: list[bytes], counts: np.ndarray, groups: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each context which of its windows (as many as ``counts`` says) equal another one of the same group."""
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    sizes = np.array([len(c) for c in contexts])
+    begins = np.cumsum(sizes) - sizes
+    ends = np.cumsum(counts)
+    which = np.repeat(np.arange(len(contexts)), counts)
+    start = begins[which] + np.arange(ends[-1]) - (ends - counts)[which]
+    lead = np.zeros(len(start), np.uint64)
+    for i in range(min(8, length)):
+        lead = (lead << np.uint64(8)) | data[start + i]
+    group = groups[which]
+    order = np.lexsort((lead, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (group[order[1:]] != group[order[:-1]]) | (lead[order[1:]] != lead[order[:-1]])
+    tied = np.cumsum(new)
+    many = np.bincount(tied)[tied] > 1  # a suffix with leading bytes of its own has no equal
+    order, tied = order[many], tied[many]
+    recurs = np.zeros(len(start), bool)
+    if len(order):
+        index = np.full(len(data), -1, np.int64)
+        index[start] = np.arange(len(start))
+        s = Suffixes(data, length)
+        at, equal = s.equal_to_next(s.merge_sort(start[order], tied), tied)
+        recurs[index[at[equal]]] = True
+        recurs[index[at[1:][equal[:-1]]]] = True
+    return np.split(recurs, ends[:-1])
 
 
 def _utf8(text: str | None) -> bytes:
     return text.encode() if text else b""
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int | None = None) -> DataFrame:
     """``row_id`` and ``spans`` (sorted, disjoint [start, end) byte ranges) of rows with repeated bytes.
 
-    ``docs`` has ``row_id`` and ``text``; rows with equal ids are copies of each other.
+    ``docs`` has ``row_id`` (binary) and ``text``; rows with equal ids are copies of each other.
     A byte is in a span if a ``length``-byte string over it also starts anywhere else.
-    Runs of exact copies meet in aggregates that combine before the shuffle;
-    where runs of one gram differ, one run stands for all copies of a context.
+    Runs of exact copies meet in aggregates that combine before the shuffle, told
+    apart by 128 bits; where runs of one gram differ, one run stands for all copies of a context.
     """
+    gram = gram or length // 2
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -171,62 +279,80 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
                 if within:
                     t, s, n = map(np.array, zip(*within))
                     empty = pd.array([None] * len(t), "Int64")
-                    yield pd.DataFrame({"row_id": ids[t], "start": s, "n": n, "least": empty, "context": empty, "place": 0, "left": 0, "right": 0})
+                    yield pd.DataFrame({"row_id": ids[t], "start": s, "n": n, "least": empty, "context": empty, "check": empty})
 
-    found = written(docs.mapInPandas(runs, "row_id long, start int, n int, least long, context long, place int, left long, right long"), "runs")
+    found = written(docs.mapInPandas(runs, "row_id binary, start int, n int, least long, context long, check long"), "runs")
     own = found.filter(F.col("least").isNull()).select("row_id", "start", "n")
     runs_only = found.filter(F.col("least").isNotNull())
+    whole = F.struct("context", "check")
     grams = (
         runs_only.groupBy("least")
-        .agg(F.count(F.lit(1)).alias("met"), F.min("context").alias("lo"), F.max("context").alias("hi"), F.max((F.col("left") == 0) & (F.col("right") == 0)).alias("recurs"))
+        .agg(F.count(F.lit(1)).alias("met"), F.min(whole).alias("lo"), F.max(whole).alias("hi"))
         .filter("met > 1")
-        .select("least", (F.col("lo") == F.col("hi")).alias("alike"), "recurs")
+        .select("least", "met", (F.col("lo") == F.col("hi")).alias("alike"))
     )
-    met = written(runs_only.join(grams, "least"), "met-runs")
+    met = written(hot_join(runs_only, written(grams, "grams"), ["least"], "met").drop("met"), "met-runs")
     alike = met.filter("alike").select("row_id", "start", "n")
     differ = met.filter(~F.col("alike"))
-    contexts = differ.groupBy("least", "context").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("row_id", "start", "n", "place", "left", "right", "recurs")).alias("one")
-    )
-    contexts = written(contexts.select("least", "context", "copies", "one.*"), "contexts")
-    copied = differ.join(contexts.filter("copies > 1").select("least", "context"), ["least", "context"]).select("row_id", "start", "n")
-
-    # A window can repeat in another context only if one of its halves does.
-    def shared(side: str) -> DataFrame:
-        halves = contexts.filter(F.col(side) != 0).groupBy("least", side).agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
-        return halves.select("least", side, F.lit(True).alias(f"{side}_met"))
-
-    half = (length - gram) // 2
-    met_left, met_right = F.coalesce("left_met", F.lit(False)), F.coalesce("right_met", F.lit(False))
-    turn = F.least(F.greatest(F.col("place") - half + 1, F.lit(0)), F.col("n"))  # windows before this one hold the left half
-    lo = F.when(F.col("recurs") | met_left, 0).otherwise(turn)
-    hi = F.when(F.col("recurs") | met_right, F.col("n")).otherwise(turn)
+    key = ["least", "context", "check"]
+    contexts = differ.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row_id", "start", "n")).alias("one"))
+    contexts = written(contexts.select(*key, "copies", "one.*"), "contexts")
+    copied = hot_join(differ, contexts.filter("copies > 1").select(*key, "copies"), key, "copies").select("row_id", "start", "n")
+
+    # Contexts of one gram are sorted together, however few; of a gram with very many windows each window is a row of its own.
+    sizes = contexts.groupBy("least").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("windows"))
+    sizes = written(sizes, "gram-sizes")
     lists = (
-        contexts.join(shared("left"), ["least", "left"], "left")
-        .join(shared("right"), ["least", "right"], "left")
-        .select("row_id", "least", (F.col("copies") == 1).alias("single"), (F.col("start") + lo).alias("start"), (hi - lo).alias("n"))
-        .filter("n > 0")
+        hot_join(contexts, sizes, ["least"], "met")
         .groupBy("row_id")
-        .agg(F.collect_list(F.struct("start", "n", "least", "single")).alias("runs"))
+        .agg(F.collect_list(F.struct("start", "n", "least", (F.col("copies") == 1).alias("single"), (F.col("windows") > SORTED_TOGETHER).alias("many"))).alias("runs"))
     )
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row_id, text, listed in zip(batch["row_id"].tolist(), batch["text"].tolist(), batch["runs"].tolist()):
-                data = np.frombuffer(_utf8(text), np.uint8)
-                out = []
-                for r in listed:
-                    s, n = r["start"], r["n"]
-                    h, at = np.unique(window_hashes(prefix_hashes(data[s : s + n - 1 + length]), length), return_index=True)
-                    out.append((np.full(len(h), r["least"]), mixed(h).view(np.int64), at + s, np.full(len(h), r["single"])))
-                least, h, at, single = map(np.concatenate, zip(*out))
-                yield pd.DataFrame({"row_id": row_id, "least": least, "hash": h, "start": at, "single": single})
-
-    hashed = docs.join(lists, "row_id").mapInPandas(windows, "row_id long, least long, hash long, start int, single boolean")
-    hashed = written(hashed, "windows")
-    again = hashed.groupBy("least", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("least", "hash")
-    singles = hashed.filter("single").join(again, ["least", "hash"]).select("row_id", "start", F.lit(1).alias("n"))
-    covered = own.unionByName(alike).unionByName(copied).unionByName(singles)
+                data = _utf8(text)
+                for many in (False, True):
+                    of = [r for r in listed if r["many"] == many]
+                    for at in range(0, len(of), 64):
+                        out = [(r["least"], r["start"], r["n"], r["single"], data[r["start"] : r["start"] + r["n"] - 1 + length]) for r in of[at : at + 64]]
+                        rows = pd.DataFrame(out, columns=["least", "start", "n", "single", "bytes"])
+                        if many:
+                            rows = pd.concat([each_window(r) for r in rows.itertuples(index=False)])
+                        else:
+                            rows["h1"] = rows["h2"] = pd.array([None] * len(rows), "Int64")
+                        rows["row_id"] = row_id
+                        yield rows[["row_id", "least", "start", "n", "single", "bytes", "h1", "h2"]]
+
+    def each_window(r: tuple) -> pd.DataFrame:
+        data = np.frombuffer(r.bytes, np.uint8)
+        h = mixed(window_hashes(prefix_hashes(data), length))
+        h, at = np.unique(h, return_index=True)
+        second = [xxhash.xxh3_64_intdigest(r.bytes[a : a + length]) for a in at.tolist()]
+        return pd.DataFrame({"least": r.least, "start": at + r.start, "n": 1, "single": r.single, "bytes": None, "h1": h.view(np.int64), "h2": np.array(second, np.uint64).view(np.int64)})
+
+    fetched = docs.join(lists, "row_id").mapInPandas(fetch, "row_id binary, least long, start int, n int, single boolean, bytes binary, h1 long, h2 long")
+    fetched = written(fetched, "suffixes")
+
+    # Few large grams aside, a bucket holds about SORTED_TOGETHER windows, and at most that many of one gram.
+    load = fetched.filter("h1 is null").agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-load // SORTED_TOGETHER))
+
+    def sort(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        groups = np.unique(pdf["least"].to_numpy(), return_inverse=True)[1]
+        masks = recurring_windows(pdf["bytes"].tolist(), pdf["n"].to_numpy(), groups, length)
+        out = []
+        for row_id, start, single, mask in zip(pdf["row_id"].tolist(), pdf["start"].tolist(), pdf["single"].tolist(), masks):
+            if single:
+                out += [(row_id, start + a, b - a) for a, b in stretches(mask)]
+        return pd.DataFrame(out, columns=["row_id", "start", "n"])
+
+    dealt = fetched.filter("h1 is null").select("row_id", "least", "start", "n", "single", "bytes", F.pmod(F.xxhash64("least"), F.lit(buckets)).alias("bucket"))
+    in_order = dealt.groupBy("bucket").applyInPandas(sort, "row_id binary, start int, n int")
+    each = fetched.filter("h1 is not null").select("row_id", "least", "start", "single", "h1", "h2")
+    again = written(each.groupBy("least", "h1", "h2").agg(F.count(F.lit(1)).alias("met")).filter("met > 1"), "again")
+    singles = hot_join(each.filter("single"), again, ["least", "h1", "h2"], "met").select("row_id", "start", F.lit(1).alias("n"))
+    covered = own.unionByName(alike).unionByName(copied).unionByName(in_order).unionByName(singles)
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def joined(starts: pd.Series, counts: pd.Series) -> pd.Series:
@@ -243,9 +369,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
     return covered.groupBy("row_id").agg(F.collect_list("start").alias("s"), F.collect_list("n").alias("c")).select("row_id", joined("s", "c").alias("spans"))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row id that a second reading finds again; rows alike in id and text share it."""
-    return docs.withColumn("row_id", F.xxhash64(F.col(id_col), F.col(text_col)))
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 128-bit row id that a second reading finds again; rows alike in id and text share it."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(text(id_col), F.lit("\0"), text(text_col)).cast("binary")))
 
 
 def cut(text: str | None, spans: list | None) -> bytes:
@@ -260,7 +387,7 @@ def cut(text: str | None, spans: list | None) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, length: int = 400, gram: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What removing all repeated ``length``-byte strings does to each whole text (UTF-8).
 
     Returns a row for each input row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``
@@ -269,7 +396,7 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, id_col: str =
     occurrences in one text count; an empty table gives no rows.  Only the two
     named columns are read.
     """
-    rows = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    rows = docs.select(row_key(id_col, text_col).alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     spans = repeated_spans(rows.select("row_id", "text"), length, gram)
 
     @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string")
@@ -287,15 +414,26 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, id_col: str =
     )
 
 
-def without_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated bytes taken out of the text; a character that is cut in two goes too."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    spans = repeated_spans(docs.select(key.alias("row_id"), F.col(text_col).alias("text")), length, gram)
+def without_repeats(
+    docs: DataFrame, length: int = 400, gram: int | None = None, least_words: int = 0, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with repeated bytes taken out of the text; a character that is cut in two goes too.
+
+    A repeated span of fewer than ``least_words`` words stays.  Null texts stay
+    null, an emptied text becomes empty, rows keep all their columns.
+    """
+    spans = repeated_spans(docs.select(row_key(id_col, text_col).alias("row_id"), F.col(text_col).alias("text")), length, gram)
     spans = spans.select(F.col("row_id").alias("_repeats_row"), F.col("spans").alias("_repeats_spans"))
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else cut(t, s).decode("utf-8", "ignore") for t, s in zip(texts.tolist(), lists.tolist())])
+        out = []
+        for t, found in zip(texts.tolist(), lists.tolist()):
+            if found is not None and least_words:
+                data = _utf8(t)
+                found = [s for s in found if len(data[s["start"] : s["end"]].split()) >= least_words]
+            out.append(t if found is None or not len(found) else cut(t, found).decode("utf-8", "ignore"))
+        return pd.Series(out)
 
-    rows = docs.withColumn("_repeats_row", key).join(spans, "_repeats_row", "left")
+    rows = docs.withColumn("_repeats_row", row_key(id_col, text_col)).join(spans, "_repeats_row", "left")
     return rows.withColumn(text_col, rest(text_col, "_repeats_spans")).select(*docs.columns)
