@@ -97,6 +97,22 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_ids_are_the_librarys_with_special_strings(spark):
+    """Every piece's checksum: special strings as written, in upper case, adjacent and cut short."""
+    from tokenizers import Tokenizer
+
+    path, capacity = tokenizer_file("word_bpe_49k.json"), 8
+    lib, r = Tokenizer.from_file(path), random.Random(3)
+    signs = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|endoftext", "|>", "<|", " ", "  ", "\n", ".", ",", "'re", "'S", "É", "ß", "word", "Word,", "a.b", "12", "e\u0301", "😀", "\u212a"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(1, 14))) for _ in range(3000)] + ["<|ENDOFTEXT|>", "<|endoftext|><|endoftext|>"]
+    expected = []
+    for i, t in enumerate(texts):
+        ids = np.array([*lib.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()
+        expected += [(i, s, zlib.crc32(ids[4 * s : 4 * (s + capacity)])) for s in range(0, len(ids) // 4, capacity)]
+    rows = packing.token_pieces(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), path, 1, capacity)
+    assert as_rows(rows, "doc_id", "start", "ids_crc32") == sorted(expected, key=repr)
+
+
 def test_patterns_hold_every_piece_with_little_padding():
     histogram = {n: random.randint(0, 50) for n in range(1, 513)}
     patterns = packing.packing_patterns({n: c for n, c in histogram.items() if c}, 512)

@@ -11,6 +11,7 @@ which ranks of each length go where; they join back to the pieces by rank.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -57,17 +58,22 @@ class WordEncoder:
         self.lexicon: dict[bytes, bytes] = {}
         self.again: set[bytes] = set()
         self.batches = 0
+        # Special strings are met as written, before anything is lower-cased. A key with a blank in front is no part of a text.
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = re.compile(b"(" + b"|".join(re.escape(s.encode()) for s in special) + b")") if special else None
+        self.special_ids = {b" " + s.encode(): np.array([i], "<u4").tobytes() for s, i in special.items()}
+        self.lookalikes = [(s, s.title() if s.title() != s else s.upper()) for s in special]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        # Lower-casing ASCII first only makes more parts alike; the vocabulary's normaliser does the rest.
-        parts = [(t or "").encode().lower().replace(b"\n", b" ").replace(b"\t", b" ").split(b" ") for t in texts]
+        parts = [self.parts((t or "").encode()) for t in texts]
         every = set().union(*parts)
         if len(self.lexicon) > LEXICON_ENTRIES:
             # Words met again since they were learnt stay; a sample of the batches tells which.
             self.lexicon = {w: self.lexicon[w] for w in self.again} if len(self.again) < LEXICON_ENTRIES // 2 else {}
             self.again = set()
         self.lexicon[b""] = b""
+        self.lexicon.update(self.special_ids)
         if self.batches % 8 == 0:
             self.again.update(w for w in every if w in self.lexicon)
         self.batches += 1
@@ -75,6 +81,24 @@ class WordEncoder:
         get = self.lexicon.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
+    def parts(self, text: bytes) -> list[bytes]:
+        """Blank-separated parts, and special strings with a blank in front."""
+        if self.special is not None and self.special.search(text):
+            split = self.special.split(text)
+            return [p for i, s in enumerate(split) for p in ([b" " + s] if i % 2 else self.plain_parts(s))]
+        return self.plain_parts(text)
+
+    @staticmethod
+    def plain_parts(text: bytes) -> list[bytes]:
+        # Lower-casing ASCII first only makes more parts alike; the vocabulary's normaliser does the rest.
+        return text.lower().replace(b"\n", b" ").replace(b"\t", b" ").split(b" ")
+
+    def unspecial(self, w: str) -> str:
+        """What lower-casing made look like a special string is written so that the library takes it as text."""
+        for s, other in self.lookalikes:
+            w = w.replace(s, other)
+        return w
+
     def _learn(self, parts: set[bytes]) -> None:
         missing = {w for w in parts if w not in self.lexicon}
         if not missing:
@@ -94,7 +118,7 @@ class WordEncoder:
                 odd.append(w)
         for at in range(0, len(odd), 5_000):
             block = odd[at : at + 5_000]
-            for w, e in zip(block, self.tokenizer.encode_batch(block, add_special_tokens=False)):
+            for w, e in zip(block, self.tokenizer.encode_batch([*map(self.unspecial, block)], add_special_tokens=False)):
                 self.lexicon[w.encode()] = np.array(e.ids, "<u4").tobytes()
         for w in ended:
             self.lexicon[w] = self.lexicon[w[:-1]] + self.lexicon[w[-1:]]
