@@ -31,15 +31,27 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+#: A passage of over 50 words of prose has more bytes than this; the shortest one of check_s that two documents share has 248.
+PASSAGE_BYTES, PASSAGE_GRAM, PASSAGE_WORDS = 220, 88, 51
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings of 400 or more that occur elsewhere too."""
-    return repeats.without_repeats(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    """Texts without the passages of over 50 words that occur elsewhere too; documents that nothing is left of go."""
+    left = repeats.without_repeats(docs.select(*COLUMNS, F.col("text").alias("_before")), PASSAGE_BYTES, PASSAGE_GRAM, PASSAGE_WORDS)
+    emptied = F.length(F.trim("text")) == 0
+    cut = ~F.col("text").eqNullSafe(F.col("_before"))
+    return left.filter(~F.coalesce(cut & emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents in which no window of a benchmark item occurs.
+
+    Rows are told apart by a digest of id and text, so null ids and rows that
+    share an id are judged each for itself.
+    """
+    keyed = docs.withColumn("_row", F.hex(repeats.row_key("doc_id", "text")))
+    found = decontamination.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="_row")
+    return keyed.join(found.filter("contaminated").select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
