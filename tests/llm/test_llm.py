@@ -229,6 +229,21 @@ def test_suffix_sort_finds_equal_windows_whatever_the_hashes(hashes, monkeypatch
             assert [f.tolist() for f in found] == brute_windows(contexts, counts, groups, length)
 
 
+def test_pipeline_stages_judge_rows_by_id_and_text(spark, tmp_path):
+    """Null ids, rows that share an id, repeated rows and an empty table in the cutting and the dropping stage."""
+    import corpus_pipeline as p
+
+    item = prose(14)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, prose(20) + " " + item), (5, prose(25)), (5, item + prose(5)), (6, PASSAGE), (7, PASSAGE), (None, None), (8, ""), (9, prose(9)), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = p.drop_contaminated(spark, docs, str(tmp_path))
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, 5, 6, 7, 8, 9, 9]) and kept.columns == list(p.COLUMNS)
+    left = p.cut_repeats(spark, docs, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in left) == Counter([None, None, 5, 5, 8, 9, 9])
+    assert p.drop_contaminated(spark, docs.limit(0), str(tmp_path)).count() == p.cut_repeats(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_common_extensions():
     s = repeats.Suffixes(np.frombuffer(b"abcabcabdabcabc", np.uint8), 6)
     assert s.common(np.array([0, 0, 3, 1]), np.array([3, 9, 6, 4])).tolist() == [5, 6, 2, 4]

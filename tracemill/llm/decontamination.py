@@ -112,7 +112,7 @@ def build_index(docs: DataFrame, rarest: set[str], others: set[str], radius: int
                 )
             yield pd.DataFrame({"row_id": batch["row_id"], "doc_id": batch["doc_id"], "n_words": sizes, "radius": radius, "postings": lists})
 
-    schema = "row_id long, doc_id long, n_words long, radius int, postings array<struct<term:string,pos:int,context:array<string>,place:int>>"
+    schema = f"row_id long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, radius int, postings array<struct<term:string,pos:int,context:array<string>,place:int>>"
     if "row_id" not in docs.columns:
         docs = docs.withColumn("row_id", F.monotonically_increasing_id())
     return written(docs.select("row_id", "doc_id", F.col(text_col).alias("text")).mapInPandas(post, schema), "positional-index")
