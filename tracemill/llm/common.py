@@ -25,15 +25,21 @@ HOT_SHARE = 1 / 1000
 HOT_ROWS = 100
 
 
-def hot_join(rows: DataFrame, keys: DataFrame, on: list[str], weight: str) -> DataFrame:
+def hot_join(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, spread: int = 0) -> DataFrame:
     """Inner join of ``rows`` with ``keys``, which has one row for each key and its number of ``rows`` in ``weight``.
 
-    Rows of a hot key stay where they are: of keys with over a thousandth of all
-    the rows there are fewer than a thousand, so these are broadcast, and only the
-    other keys' rows are shuffled.  ``keys`` should be stored, as it is read three times.
+    Of keys with over a thousandth of all the rows there are fewer than a
+    thousand, so these are broadcast and their rows stay where they are; only
+    the other keys' rows are shuffled.  Where a row of ``keys`` has no bounded size,
+    ``spread`` > 0 sends that many copies of a hot key's row to as many shares of its ``rows`` instead.
+    ``keys`` should be stored, as it is read three times.
     """
     total = keys.agg(F.sum(weight)).first()[0] or 0
     hot = F.col(weight) > max(HOT_ROWS, int(total * HOT_SHARE))
-    few = F.broadcast(keys.filter(hot))
-    rest = rows.join(F.broadcast(keys.filter(hot).select(*on)), on, "left_anti")
-    return rows.join(few, on).unionByName(rest.join(keys.filter(~hot), on))
+    few = F.broadcast(keys.filter(hot).select(*on))
+    rest = rows.join(few, on, "left_anti").join(keys.filter(~hot), on)
+    if not spread:
+        return rows.join(F.broadcast(keys.filter(hot)), on).unionByName(rest)
+    dealt = rows.join(few, on, "left_semi").withColumn("_share", F.pmod(F.xxhash64(*rows.columns), F.lit(spread)))
+    copies = keys.filter(hot).withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    return dealt.join(copies, [*on, "_share"]).drop("_share").unionByName(rest)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import written
+from tracemill.llm.common import hot_join, written
 from tracemill.llm.components import connected_components
 
 #: A pair at the threshold shares no band with probability (1 - 0.85 ** 5) ** 25 < 5e-7.
@@ -33,7 +33,9 @@ HASHES = 128
 #: Signature rows compared at a time, and the probability of dropping a true pair that is put up with.
 BATCH, MISS = 16, 1e-6
 #: A worker's word hashes are emptied at this many (bounded memory; results do not depend on it).
-LEXICON_ENTRIES = 500_000
+LEXICON_ENTRIES = 300_000
+#: Parts into which the pairs of a hub are dealt, and rows of a shingle that one task pairs.
+HUB_PARTS, SHINGLE_ROWS = 16, 1000
 
 _rng = np.random.default_rng(20240301)
 _multipliers = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,6 +109,7 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
                     sigs.append(signature(s).tobytes() if len(s) else None)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n": ns, "set_key": keys, "sig": sigs})
+        _words.clear()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(sign, "doc_id long, n long, set_key string, sig binary")
@@ -151,14 +154,16 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent
         kept[alive] = True
         return pd.Series(kept)
 
+    def with_side(rows: DataFrame, side: str, columns: DataFrame) -> DataFrame:
+        """Add the columns of one side's node; a node with very many pairs does not gather them in one task."""
+        met = rows.groupBy(side).agg(F.count(F.lit(1)).alias("_met"))
+        keys = columns.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns.columns if c != "node"]).join(met, side)
+        return hot_join(rows, keys, [side], "_met", HUB_PARTS).drop("_met")
+
     sig = classes.select("node", "sig", "n")
-    left = sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
-    right = sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
-    sized = pairs.join(left, "a").join(right, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    survivors = sized.filter(likely("sig_a", "sig_b")).select("a", "b", "n_a", "n_b")
-    both = survivors.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b"
-    )
+    sized = with_side(with_side(pairs, "a", sig), "b", sig).filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    survivors = written(sized.filter(likely("sig_a", "sig_b")).select("a", "b", "n_a", "n_b"), "survivors")
+    both = with_side(with_side(survivors, "a", sets), "b", sets).withColumnsRenamed({"shingles_a": "s_a", "shingles_b": "s_b"})
     shared = F.size(F.array_intersect("s_a", "s_b"))
     return both.withColumn("shared", shared).filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
@@ -177,12 +182,15 @@ def crossing_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     ranked = listed.join(known, "shingle").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     may_miss = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     prefixes = ranked.select("node", "label", "n", F.posexplode(F.slice("s", F.lit(1), may_miss.cast("int"))).alias("at", "p")).filter("p.df > 1")
-    prefixes = written(prefixes.select("node", "label", "n", (F.col("n") - F.col("at")).alias("rest"), "p.shingle"), "prefixes")
-    x = prefixes.select("shingle", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("size_a"), F.col("rest").alias("rest_a"))
-    y = prefixes.select("shingle", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("size_b"), F.col("rest").alias("rest_b"))
+    # A shingle of many rows is paired block by block.
+    blocks = F.ceil(F.col("p.df") / SHINGLE_ROWS)
+    prefixes = prefixes.select("node", "label", "n", (F.col("n") - F.col("at")).alias("rest"), "p.shingle", F.pmod(F.xxhash64("node"), blocks).alias("own"), F.sequence(F.lit(0).cast("long"), blocks - 1).alias("every"))
+    prefixes = written(prefixes, "prefixes")
+    x = prefixes.select("shingle", F.col("own").alias("block_a"), F.explode("every").alias("block_b"), F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("size_a"), F.col("rest").alias("rest_a"))
+    y = prefixes.select("shingle", F.explode("every").alias("block_a"), F.col("own").alias("block_b"), F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("size_b"), F.col("rest").alias("rest_b"))
     # From the first common shingle on, no more can be common than either has left.
     fits = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("size_a") + F.col("size_b"))
-    return x.join(y, "shingle").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & fits).select("a", "b").distinct()
+    return x.join(y, ["shingle", "block_a", "block_b"]).filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & fits).select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +206,7 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str =
     signed = written(signatures(docs, size, id_col, text_col), "signatures")
     linked = signed.filter("n > 0 and doc_id is not null")
     classes = written(
-        linked.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("sig").alias("sig")), "classes"
+        linked.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("met")), "classes"
     )
     members = written(band_members(classes), "scored-members")
     nodes = members.select("node").distinct()
@@ -208,7 +216,7 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str =
         return pd.Series([s.view(np.int64) for s in shingle_sets(texts.tolist(), size)])
 
     wanted = classes.select("node", "set_key").join(nodes, "node")
-    one = linked.select("doc_id", "set_key").join(wanted, "set_key").filter(F.col("doc_id") == F.col("node")).select("node").distinct()
+    one = linked.select(F.col("doc_id").alias("node"), "set_key").join(wanted, ["node", "set_key"]).select("node").distinct()
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(one, "node")
     sets = written(texts.groupBy("node").agg(F.max("text").alias("text")).select("node", shingles("text").alias("shingles")), "shingle-sets")
 
@@ -223,14 +231,8 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str =
     across = crossing_pairs(written(open_, "open-nodes"), sets, percent).join(stars, ["a", "b"], "left_anti")
     second = written(similar_pairs(across, classes, sets, percent), "cross-links")
     roots = connected_components(first.unionByName(second))
-    return (
-        signed.join(classes.select("set_key", "node"), "set_key", "left")
-        .join(roots, "node", "left")
-        .withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("root", "node", "doc_id")).otherwise(F.col("doc_id")))
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
-            F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
-        )
-    )
+    # Every class finds its component once, and its rows find their class.
+    found = written(classes.join(roots, "node", "left").select("set_key", "met", F.coalesce("root", "node").alias("component_id")), "class-components")
+    out = hot_join(linked, found, ["set_key"], "met").select("doc_id", "n", "component_id")
+    alone = signed.filter(~F.coalesce((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.lit(False))).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
