@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.llm import components, decontamination, language_id, licenses, near_dedup, nearest, packing, quality, repeats, token_counts, toxicity
+from tracemill.llm import common, components, decontamination, language_id, licenses, near_dedup, nearest, packing, quality, repeats, token_counts, toxicity
 from tracemill.llm.common import hot_join
 from tracemill.llm.registry import SQL, tokenizer_file
 
@@ -265,7 +265,8 @@ def test_pipeline_stages_judge_rows_by_id_and_text(spark, tmp_path):
 
 
 @pytest.mark.parametrize("spread", [0, 3])
-def test_hot_join_is_an_inner_join(spark, spread):
+def test_hot_join_is_an_inner_join(spark, spread, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
     rows = spark.createDataFrame([(1, i) for i in range(400)] + [(k, k) for k in range(2, 40)] + [(None, 0)], "k long, v long")
     keys = rows.groupBy("k").agg(F.count(F.lit(1)).alias("met")).filter("k is null or k < 30").withColumn("name", F.col("k") * 2)
     got = hot_join(rows, keys, ["k"], "met", spread).select("k", "v", "name", "met").collect()

@@ -22,7 +22,7 @@ def crc_mod(col: str, modulus: int) -> Column:
 #: A key that holds more than this share of all rows is joined by broadcast; there are fewer such keys than its inverse.
 HOT_SHARE = 1 / 1000
 #: Keys of fewer rows are never hot.
-HOT_ROWS = 100
+HOT_ROWS = 1000
 
 
 def hot_join(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, spread: int = 0) -> DataFrame:
@@ -34,8 +34,11 @@ def hot_join(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, sprea
     ``spread`` > 0 sends that many copies of a hot key's row to as many shares of its ``rows`` instead.
     ``keys`` should be stored, as it is read three times.
     """
-    total = keys.agg(F.sum(weight)).first()[0] or 0
-    hot = F.col(weight) > max(HOT_ROWS, int(total * HOT_SHARE))
+    total, most = keys.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).first()
+    bound = max(HOT_ROWS, int(total * HOT_SHARE))
+    if most <= bound:
+        return rows.join(keys, on)
+    hot = F.col(weight) > bound
     few = F.broadcast(keys.filter(hot).select(*on))
     rest = rows.join(few, on, "left_anti").join(keys.filter(~hot), on)
     if not spread:
