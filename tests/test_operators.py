@@ -89,12 +89,20 @@ def test_token_layout_matches_the_recursion(spark):
     assert {r["id"]: (r["start"], r["end"]) for r in tree.token_layout(n, up, "id", "own", keys).collect()} == expected
 
 
+def test_deep_chains_and_cycles(spark):
+    n = spark.createDataFrame([(i, i - 1 if i else None) for i in range(200)], "id long, parent long")
+    up = tree.ancestors(n, "id", "parent")
+    assert sorted((r["id"], r["ancestor"], r["distance"]) for r in up.collect()) == [(i, j, i - j) for i in range(200) for j in range(i + 1)]
+    with pytest.raises(ValueError, match="circle"):
+        tree.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "id long, parent long"), "id", "parent")
+
+
 def test_ambiguous_fork_is_an_orphan(spark):
     c = spark.createDataFrame([("s", a, "t", "", d, 5) for a, d in (("x", 1), ("y", 1), ("z", 2))], "session_id string, agent_id string, agent_type string, tool_use_id string, declared_depth int, first_ts long")
     uses = spark.createDataFrame([], "session_id string, conv_id string, tool_use_id string, call_index int")
     times = spark.createDataFrame([("s", "", 0, 1), ("s", "", 1, 9)], "session_id string, conv_id string, call_index long, ts long")
     rows = {r["agent_id"]: r for r in tree.resolve_spawns(c, uses, times).collect()}
-    assert rows["x"]["parent_agent"] == rows["y"]["parent_agent"] == "" and rows["z"]["parent_agent"] is None and "2 resolved" in rows["z"]["why"]
+    assert rows["x"]["parent_agent"] == rows["y"]["parent_agent"] == "" and rows["z"]["parent_agent"] is None and "found 2" in rows["z"]["why"]
 
 
 def test_audit_keeps_identities_without_sites_and_breaks(spark):

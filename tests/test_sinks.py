@@ -39,7 +39,7 @@ def test_export(spans):
 
 @pytest.mark.parametrize(
     "body,status",
-    [("", "stored"), ("{}", "stored"), ('{"partialSuccess":{"rejectedSpans":"9007199254740993","errorMessage":"no"}}', "rejected"), ('{"partial_success":{"error_message":"slow"}}', "warned"), ("<html>", "rejected")],
+    [("", "stored"), ("{}", "stored"), ('{"partialSuccess":{"rejectedSpans":"9007199254740993","errorMessage":"no"}}', "rejected"), ('{"partial_success":{"error_message":"slow"}}', "warned"), ("<html>", "stored"), ("[]", "stored"), ('{"partialSuccess":7}', "stored"), ('{"partialSuccess":{"rejectedSpans":null}}', "stored"), ('{"partialSuccess":{"rejectedSpans":"many"}}', "rejected"), ('{"partialSuccess":{"rejectedSpans":0,"errorMessage":"slow"}}', "warned")],
 )
 def test_collector(body, status):
     said, why = sinks.collector_said(body)

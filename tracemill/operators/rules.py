@@ -64,21 +64,21 @@ def is_session_control(origin: Column) -> Column:
 SCRATCH = r"/tmp/|/private/tmp/|scratchpad|/var/folders/"
 #: The classification cascade in order: activity, tier, what is looked at, pattern, reason.
 ACTIVITY_RULES = (
-    ("review", "marker", "skill", r"code-?review|address-pr|security-review", "invoked a code-review skill"),
-    ("process", "marker", "skill", r"groom-backlog|ticket|next\b|schedule|loop", "invoked a backlog/ticket skill"),
-    ("scm", "marker", "skill", r"organize-commits|commit", "invoked a commit skill"),
-    ("exploration", "marker", "agent", r"(?i)^explore$", "spawned an exploring subagent"),
-    ("design", "marker", "agent", r"(?i)^plan$", "spawned a planning subagent"),
-    ("orientation", "marker", "skill", r"", "loaded a skill"),
-    ("implementation", "rule", "edit", r"^(Edit|Write|NotebookEdit)$", "edited or wrote files of the project"),
-    ("exploration", "rule", "text", SCRATCH, "ran a throwaway script from a scratch path"),
-    ("verification", "rule", "text", r"\b(pytest|jest|vitest|go test|cargo test|npm test|bun test|tsc|ruff|eslint|mypy)\b", "ran tests or a linter"),
-    ("scm", "rule", "text", r"(^|[;&|\s])(git|gh)\s", "ran version control"),
-    ("process", "rule", "text", r"(^|[;&|\s])lit\s", "ran the issue tracker"),
-    ("design", "rule", "tool", r"^AskUserQuestion$", "put a decision to the user"),
-    ("exploration", "rule", "tool", r"^(Read|Grep|Glob|WebFetch|WebSearch|Agent)$", "read or searched"),
-    ("exploration", "rule", "text", r"(^|[;&|\s])(grep|rg|find|cat|sed|awk|ls)\s", "read or searched"),
-    ("unclassified", "rule", "tool", r"", "ran tools that no rule knows"),
+    ("review", "marker", "skill", r"code-?review|address-pr|security-review", "a skill that reviews was loaded"),
+    ("process", "marker", "skill", r"groom-backlog|ticket|next\b|schedule|loop", "a skill for planning work was loaded"),
+    ("scm", "marker", "skill", r"organize-commits|commit", "a skill that commits was loaded"),
+    ("exploration", "marker", "agent", r"(?i)^explore$", "an explorer was sent out"),
+    ("design", "marker", "agent", r"(?i)^plan$", "a planner was sent out"),
+    ("orientation", "marker", "skill", r"", "some other skill was loaded"),
+    ("implementation", "rule", "edit", r"^(Edit|Write|NotebookEdit)$", "project files were changed"),
+    ("exploration", "rule", "text", SCRATCH, "a script outside the project was run"),
+    ("verification", "rule", "text", r"\b(pytest|jest|vitest|go test|cargo test|npm test|bun test|tsc|ruff|eslint|mypy)\b", "the work was tested or linted"),
+    ("scm", "rule", "text", r"(^|[;&|\s])(git|gh)\s", "version control was used"),
+    ("process", "rule", "text", r"(^|[;&|\s])lit\s", "the issue tracker was used"),
+    ("design", "rule", "tool", r"^AskUserQuestion$", "the user was asked to decide"),
+    ("exploration", "rule", "tool", r"^(Read|Grep|Glob|WebFetch|WebSearch|Agent)$", "something was looked up"),
+    ("exploration", "rule", "text", r"(^|[;&|\s])(grep|rg|find|cat|sed|awk|ls)\s", "something was looked up"),
+    ("unclassified", "rule", "tool", r"", "only tools without a rule were used"),
 )
 
 

@@ -3,35 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.storage import stored
 
-#: Levels after which a parent chain counts as a cycle.
-MAX_LEVELS = 64
-
-
 def ancestors(nodes: DataFrame, node: str, parent: str, scope: Sequence[str] = ()) -> DataFrame:
     """``node``, ``ancestor`` and ``distance`` for every node and each node above it, itself included.
 
-    One join for each level of the forest (levels are few), each level's pairs
-    stored in the shared folder.  A parent that is no node ends the chain.
+    Pointer doubling: round k knows all ancestors nearer than 2**k and the one
+    at 2**k, so a forest of any depth takes the logarithm of its depth in rounds,
+    each stored in the shared folder.  A parent that is no node ends the chain; a cycle raises ValueError.
     """
-    ids = nodes.select(*scope, F.col(node).alias("_up"), F.col(parent).alias("_next"))
-    level = nodes.select(*scope, node, F.col(node).alias("ancestor"), F.col(parent).alias("_at"), F.lit(0).alias("distance"))
-    found = []
-    for k in range(MAX_LEVELS):
-        level = stored(level, f"ancestors-{k}")
-        if level.isEmpty():
-            break
-        found.append(level.drop("_at"))
-        up = level.filter(F.col("_at").isNotNull()).withColumnRenamed("_at", "_up")
-        level = up.join(ids, [*scope, "_up"]).select(*scope, node, F.col("_up").alias("ancestor"), F.col("_next").alias("_at"), (F.col("distance") + 1).alias("distance"))
-    return reduce(DataFrame.unionByName, found) if found else level.drop("_at")
+    on = [*scope, "_up"]
+    ids = nodes.select(*scope, F.col(node).alias("_up"))
+    jumps = stored(nodes.select(*scope, node, F.col(parent).alias("_up")).filter(F.col("_up").isNotNull()).join(ids, on, "left_semi"), "jumps")
+    found = stored(nodes.select(*scope, node, F.col(node).alias("ancestor"), F.lit(0).alias("distance")), "ancestors")
+    span, most = 1, nodes.count()
+    while not jumps.isEmpty():
+        if span > most:
+            raise ValueError(f"chains of {parent} above {node} go round in a circle")
+        above = found.select(*scope, F.col(node).alias("_up"), "ancestor", (F.col("distance") + span).alias("distance"))
+        further = jumps.join(above, on).select(*scope, node, "ancestor", "distance")
+        next_jumps = jumps.select(*scope, F.col(node).alias("_up"), F.col("_up").alias("_top"))
+        next_jumps = jumps.join(next_jumps, on).select(*scope, node, F.col("_top").alias("_up"))
+        found, jumps = stored(found.unionByName(further), "ancestors"), stored(next_jumps, "jumps")
+        span *= 2
+    return found
 
 
 def rollup(nodes: DataFrame, closure: DataFrame, node: str, sums: Sequence[Column], scope: Sequence[str] = ()) -> DataFrame:
@@ -48,7 +47,7 @@ def orphans(nodes: DataFrame, node: str, parent: str, scope: Sequence[str] = ())
 
 def post_order(closure: DataFrame, node: str, rank: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """``node`` and a sort key that puts every subtree before its root and siblings in the order of ``rank`` (``node``, ``sibling``)."""
-    ranked = rank.select(*scope, F.col(node).alias("ancestor"), F.lpad(F.col("sibling").cast("string"), 12, "0").alias("_s"))
+    ranked = rank.select(*scope, F.col(node).alias("ancestor"), F.lpad(F.col("sibling").cast("string"), 20, "0").alias("_s"))
     steps = closure.join(ranked, [*scope, "ancestor"])
     path = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "_s")))
     return steps.groupBy(*scope, node).agg(F.concat(F.array_join(F.transform(path, lambda x: x["_s"]), "/"), F.lit("~")).alias("post_key"))
@@ -69,6 +68,9 @@ def token_layout(nodes: DataFrame, closure: DataFrame, node: str, own: str, keys
     return laid.withColumn("start", F.col("end") - F.col("width")).drop("_inner", "_w", "post_key")
 
 
+HOP = "array<struct<agent_id:string,agent_type:string,spawned_at_call:int,via:string>>"
+
+
 def resolve_spawns(candidates: DataFrame, tool_uses: DataFrame, calls: DataFrame) -> DataFrame:
     """Place each session's spawned conversations in a forest.
 
@@ -77,70 +79,52 @@ def resolve_spawns(candidates: DataFrame, tool_uses: DataFrame, calls: DataFrame
     ``call_index``), ``calls`` (``session_id``, ``conv_id``, ``call_index``, ``ts``); the root's ``conv_id`` is ''.
     Returns ``session_id``, ``agent_id``, ``parent_agent`` (null: an orphan), ``spawned_at_call``, ``via``, ``why`` and ``lineage``.
 
-    A spawn whose tool use is known goes under its owner; only when no more
-    of these can be placed does a command fork go to the one conversation of
-    the depth above its own, at the last call begun by then.  Which goes first
-    matters, so a session's spawns (a handful) are placed together; sessions
-    are independent.
+    Rounds over all sessions at once.  A round joins the spawns still waiting with
+    the tool uses of conversations placed before; where that places none, command
+    forks go to the only conversation placed one level above what they claim, at
+    its last call begun by then.  Forks of one round do not see each other.  There
+    are as many rounds as spawns are nested, and what is left after the last one are orphans.
     """
-    hop = "array<struct<agent_id:string,agent_type:string,spawned_at_call:int,via:string>>"
-    schema = f"session_id string, agent_id string, parent_agent string, spawned_at_call int, via string, why string, lineage {hop}"
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        spawns, owners, clocks = pdf["spawns"].iloc[0], pdf["owners"].iloc[0], pdf["clocks"].iloc[0]
-        uses: dict[str, list] = {}
-        for o in sorted([] if owners is None else owners, key=lambda o: o["call_index"]):
-            uses.setdefault(o["conv_id"], []).append(o)
-        times: dict[str, list] = {}
-        for c in sorted([] if clocks is None else clocks, key=lambda c: c["call_index"]):
-            times.setdefault(c["conv_id"], []).append((c["call_index"], c["ts"]))
-        chains: dict[str, list] = {"": []}
-        owner = {o["tool_use_id"]: o for o in uses.get("", [])}
-        waiting = sorted(spawns, key=lambda s: s["agent_id"])
-        rows = []
-
-        def attach(s, parent: str, at: int, via: str) -> None:
-            chains[s["agent_id"]] = [*chains[parent], {"agent_id": s["agent_id"], "agent_type": s["agent_type"], "spawned_at_call": at, "via": via}]
-            owner.update({o["tool_use_id"]: o for o in uses.get(s["agent_id"], [])})
-            waiting.remove(s)
-            rows.append((s["agent_id"], parent, at, via, None, chains[s["agent_id"]]))
-
-        def at_depth(n: int) -> list[str]:
-            return [a for a, chain in chains.items() if len(chain) == n]
-
-        moved = True
-        while moved and waiting:
-            moved = False
-            for s in reversed([*waiting]):
-                o = owner.get(s["tool_use_id"]) if s["tool_use_id"] else None
-                if o is not None and o["conv_id"] in chains:
-                    attach(s, o["conv_id"], o["call_index"], "tool_use")
-                    moved = True
-            if moved:
-                continue
-            for s in reversed([*waiting]):
-                homes = at_depth(s["declared_depth"] - 1) if not s["tool_use_id"] else []
-                if len(homes) == 1:
-                    begun = [i for i, ts in times.get(homes[0], []) if ts <= s["first_ts"]]
-                    attach(s, homes[0], begun[-1] if begun else 0, "command")
-                    moved = True
-        for s in [*waiting]:
-            n = s["declared_depth"] - 1
-            why = (
-                f"spawning tool_use {s['tool_use_id']} not found in any transcript"
-                if s["tool_use_id"]
-                else f"no tool_use, and {len(at_depth(n))} resolved conversations sit at depth {n} (need exactly 1)"
-            )
-            rows.append((s["agent_id"], None, None, None, why, []))
-        out = pd.DataFrame(rows, columns=["agent_id", "parent_agent", "spawned_at_call", "via", "why", "lineage"])
-        return out.assign(session_id=pdf["session_id"].iloc[0], spawned_at_call=out["spawned_at_call"].astype("Int32"))[
-            ["session_id", "agent_id", "parent_agent", "spawned_at_call", "via", "why", "lineage"]
-        ]
-
-    spawns = candidates.groupBy("session_id").agg(F.collect_list(F.struct("agent_id", "agent_type", "tool_use_id", "declared_depth", "first_ts")).alias("spawns"))
+    columns = ["session_id", "agent_id", "parent_agent", "spawned_at_call", "via", "lineage"]
+    hop = F.struct("agent_id", "agent_type", F.col("spawned_at_call").cast("int").alias("spawned_at_call"), "via")
+    root = candidates.select("session_id").distinct().select(
+        "session_id", F.lit("").alias("agent_id"), F.lit(None).cast("string").alias("parent_agent"), F.lit(None).cast("int").alias("spawned_at_call"), F.lit(None).cast("string").alias("via"), F.expr(f"cast(array() as {HOP})").alias("lineage")
+    )
+    placed = stored(root.select(*columns), "placed")
     known = candidates.filter("tool_use_id <> ''").select("session_id", "tool_use_id").distinct()
-    owners = tool_uses.join(known, ["session_id", "tool_use_id"], "left_semi").groupBy("session_id").agg(F.collect_list(F.struct("conv_id", "tool_use_id", "call_index")).alias("owners"))
-    forked = candidates.filter("tool_use_id = ''").select("session_id").distinct()
-    clocks = calls.join(forked, "session_id", "left_semi").groupBy("session_id").agg(F.collect_list(F.struct("conv_id", "call_index", "ts")).alias("clocks"))
-    grouped = spawns.join(owners, "session_id", "left").join(clocks, "session_id", "left")
-    return grouped.groupBy("session_id").applyInPandas(place, schema)
+    owners = stored(tool_uses.join(known, ["session_id", "tool_use_id"], "left_semi").select("session_id", "tool_use_id", F.col("conv_id").alias("parent_agent"), F.col("call_index").alias("at")), "owners")
+
+    def under(spawns: DataFrame, via: str) -> DataFrame:
+        """Spawns with ``parent_agent`` and ``at``, hung under their parent's lineage."""
+        parents = placed.select("session_id", F.col("agent_id").alias("parent_agent"), F.col("lineage").alias("_above"))
+        hung = spawns.join(parents, ["session_id", "parent_agent"]).withColumn("spawned_at_call", F.col("at").cast("int")).withColumn("via", F.lit(via))
+        return hung.withColumn("lineage", F.concat("_above", F.array(hop)).cast(HOP)).select(*columns)
+
+    def by_tool_use(waiting: DataFrame) -> DataFrame:
+        homes = owners.join(placed.select("session_id", F.col("agent_id").alias("parent_agent")), ["session_id", "parent_agent"])
+        last = homes.groupBy("session_id", "tool_use_id").agg(F.max_by(F.struct("parent_agent", "at"), F.struct("at", "parent_agent")).alias("home"))
+        return under(waiting.join(last, ["session_id", "tool_use_id"]).select("session_id", "agent_id", "agent_type", "home.*"), "tool_use")
+
+    def by_depth(waiting: DataFrame) -> DataFrame:
+        only = placed.groupBy("session_id", F.size("lineage").alias("_depth")).agg(F.count(F.lit(1)).alias("_n"), F.min("agent_id").alias("parent_agent")).filter("_n = 1")
+        forks = waiting.filter("tool_use_id = ''").withColumn("_depth", F.col("declared_depth") - 1).join(only, ["session_id", "_depth"])
+        clock = calls.select("session_id", F.col("conv_id").alias("parent_agent"), "call_index", "ts")
+        begun = F.max(F.when(F.col("ts") <= F.col("first_ts"), F.col("call_index")))
+        timed = forks.join(clock, ["session_id", "parent_agent"], "left").groupBy("session_id", "agent_id", "agent_type", "parent_agent").agg(F.coalesce(begun, F.lit(0)).alias("at"))
+        return under(timed, "command")
+
+    while True:
+        waiting = candidates.join(placed.select("session_id", "agent_id"), ["session_id", "agent_id"], "left_anti")
+        found = stored(by_tool_use(waiting), "placed-by-tool")
+        if found.isEmpty():
+            found = stored(by_depth(waiting), "placed-by-depth")
+            if found.isEmpty():
+                break
+        placed = stored(placed.unionByName(found), "placed")
+    depths = placed.groupBy("session_id", (F.size("lineage") + 1).alias("declared_depth")).agg(F.count(F.lit(1)).alias("_n"))
+    lost = waiting.join(depths, ["session_id", "declared_depth"], "left")
+    at_depth = F.concat(F.lit("a command fork needs one conversation at depth "), (F.col("declared_depth") - 1).cast("string"), F.lit(", found "), F.coalesce("_n", F.lit(0)).cast("string"))
+    why = F.when(F.col("tool_use_id") == "", at_depth).otherwise(F.concat(F.lit("no placed conversation holds its tool use "), F.col("tool_use_id")))
+    orphaned = lost.select("session_id", "agent_id", F.lit(None).cast("string").alias("parent_agent"), F.lit(None).cast("int").alias("spawned_at_call"), F.lit(None).cast("string").alias("via"), F.expr(f"cast(array() as {HOP})").alias("lineage"), why.alias("why"))
+    out = placed.filter("agent_id <> ''").withColumn("why", F.lit(None).cast("string")).unionByName(orphaned)
+    return out.select("session_id", "agent_id", "parent_agent", "spawned_at_call", "via", "why", "lineage")

@@ -43,7 +43,7 @@ def calls_of(records: DataFrame) -> DataFrame:
 
 def tool_tables(records: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(requests, results): every tool_use and tool_result block in order; ``pos`` orders both."""
-    pos = (F.col("line_no") * 10_000 + F.col("at")).alias("pos")
+    pos = (F.shiftleft(F.col("line_no").cast("long"), 32) + F.col("at")).alias("pos")
     lines = records.join(calls.select(*CONV, "request_id", "call_index"), [*CONV, "request_id"], "left")
     exploded = lines.select(*CONV, "line_no", "kind", "ts_ms", "call_index", F.posexplode("blocks").alias("at", "b"))
     uses = exploded.filter("kind = 'assistant' and b.kind = 'tool_use'").select(

@@ -88,19 +88,24 @@ def export_requests(spans: DataFrame, domain: str, start: str, end: str) -> Data
 
 
 def collector_said(body: str) -> tuple[str, str]:
-    """(stored, warned or rejected; reason) from a collector's answer of success: a rejection can hide in one."""
-    if not body.strip():
-        return "stored", ""
+    """(stored, warned or rejected; reason) from a collector's answer of success: a rejection can hide in one.
+
+    Only an object with a partial-success object speaks of rejected spans; any
+    other answer, not JSON too, means that all is stored.  No count is none
+    rejected; a count that cannot be read is a rejection.
+    """
     try:
         said = json.loads(body)
-    except ValueError:
-        return "rejected", f"not JSON: {body[:200]}"
-    part = (said.get("partialSuccess") or said.get("partial_success") or {}) if isinstance(said, dict) else {}
-    count, why = part.get("rejectedSpans", part.get("rejected_spans", 0)), part.get("errorMessage", part.get("error_message", ""))
-    if not re.fullmatch(r"\d+", str(count)):
-        return "rejected", f"unreadable count of rejected spans: {count}"
-    if int(count):  # a Python integer, so exact at any size
-        return "rejected", f"{int(count)} spans: {why}"
+    except (ValueError, RecursionError):
+        return "stored", ""
+    part = next((said[k] for k in ("partialSuccess", "partial_success") if isinstance(said.get(k), dict)), {}) if isinstance(said, dict) else {}
+    count, why = (next((part[k] for k in names if part.get(k) is not None), None) for names in (("rejectedSpans", "rejected_spans"), ("errorMessage", "error_message")))
+    why = why if isinstance(why, str) else ""
+    digits = "0" if count is None else str(int(count)) if isinstance(count, float) and count.is_integer() else str(count)
+    if not re.fullmatch(r"\d+", digits):
+        return "rejected", f"cannot read how many spans were rejected: {count}"
+    if digits.strip("0"):  # compared as text, so exact at any size
+        return "rejected", f"{digits} spans: {why}"
     return ("warned", why) if why else ("stored", "")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -28,6 +28,7 @@ RECORD = (
     f" input long, cache_creation long, cache_read long, output long, cc_flat long, blocks array<{BLOCK}>, agent_id string, is_tool_result boolean,"
     " snippet string, attachment_type string, chars long, subtype string, duration_ms long, cwd string"
 )
+_NUMBERS = ("line_no", "ts_ms", "input", "cache_creation", "cache_read", "output", "cc_flat", "chars", "duration_ms")
 _COLUMNS = [c.strip().split(" ")[0] for c in re.sub(r"<.*>", "", RECORD).split(",")]
 
 
@@ -49,6 +50,8 @@ def utf16(s: str) -> int:
 
 
 def _number(x: float) -> str:
+    if x in (float("inf"), float("-inf")):
+        return "null"
     return str(int(x)) if x == int(x) and abs(x) < 1e21 else repr(x)
 
 
@@ -71,100 +74,148 @@ def json_length(value: object) -> int:
     return utf16(text(value))
 
 
-def _str(v: object, default: str = "") -> str:
-    return v if isinstance(v, str) else default
+def member(value: object, path: str) -> object:
+    """What stands at a dotted path of nested objects; None where a step is no object."""
+    for name in path.split("."):
+        value = value.get(name) if isinstance(value, dict) else None
+    return value
 
 
-def _num(v: object) -> int:
-    return int(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else 0
+def text(default: str | None = "", limit: int | None = None) -> Callable[[object], str | None]:
+    """Reader of a string; lone surrogates, which no column can hold, are replaced."""
 
+    def read(v: object) -> str | None:
+        if not isinstance(v, str):
+            return default
+        v = v[:limit]
+        return v if v.isascii() else v.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
-def _obj(v: object) -> dict:
-    return v if isinstance(v, dict) else {}
+    return read
 
 
-def _millis(v: object) -> int:
+def filled(v: object) -> str | None:
+    """A string that is not empty."""
+    return text(None)(v) or None
+
+
+def optional_whole(v: object) -> int | None:
+    """A number as a 64-bit integer, at its bounds if it lies beyond; None for anything else."""
+    if isinstance(v, bool) or not isinstance(v, (int, float)):
+        return None
+    return int(max(-(2**63), min(2**63 - 1, v))) if abs(v) < 2**63 else (2**63 - 1 if v > 0 else -(2**63))
+
+
+def whole(v: object) -> int:
+    return optional_whole(v) or 0
+
+
+def instant(v: object) -> int:
+    """Milliseconds since 1970, 0 for what is no time; without a zone it is UTC."""
     try:
-        t = datetime.fromisoformat(_str(v))
-        return int((t if t.tzinfo else t.replace(tzinfo=timezone.utc)).timestamp() * 1000)
-    except ValueError:
+        t = datetime.fromisoformat(v) if isinstance(v, str) else None
+        return int((t if t.tzinfo else t.replace(tzinfo=timezone.utc)).timestamp() * 1000) if t else 0
+    except (ValueError, OverflowError):
         return 0
 
 
-def _block(raw: object) -> dict:
-    empty = dict.fromkeys(("snippet", "id", "name", "input_chars", "input", "tool_use_id", "type"))
-    if not isinstance(raw, (dict, list)):
-        return empty | {"kind": "other", "type": "malformed", "chars": json_length(raw)}
-    b = _obj(raw)
-    kind = b.get("type")
-    if kind == "thinking":
-        return empty | {"kind": kind, "chars": json_length(b.get("thinking"))}
-    if kind == "text":
-        return empty | {"kind": kind, "chars": utf16(_str(b.get("text"))), "snippet": _str(b.get("text"))[:SNIPPET_LENGTH]}
-    if kind == "tool_use":
-        given, chars = _obj(b.get("input")), json_length(b.get("input"))
-        said = next((given[m] for m in INPUT_MEMBERS if _str(given.get(m))), "") or f"{json_length(given)} chars"
-        return empty | {"kind": kind, "chars": chars, "id": _str(b.get("id")), "name": _str(b.get("name"), "(unnamed)"), "input_chars": chars, "input": said[:INPUT_CAP]}
-    if kind == "tool_result":
-        return empty | {"kind": kind, "chars": json_length(b.get("content")), "tool_use_id": _str(b.get("tool_use_id"))}
-    return empty | {"kind": "other", "type": _str(kind, "?"), "chars": json_length(raw)}
+def tool_input(v: object) -> str:
+    """The first telling member of a tool's input, else how large the input is."""
+    given = v if isinstance(v, dict) else {}
+    said = (given[m] for m in INPUT_MEMBERS if isinstance(given.get(m), str) and given[m])
+    return text(limit=INPUT_CAP)(next(said, f"{json_length(given)} chars"))
 
 
-def parse_line(raw: str) -> dict:
-    """The record of a line.  Every text maps to one; what is not JSON is ``unparseable``."""
-    out: dict = dict.fromkeys(_COLUMNS)
+def string_length(v: object) -> int:
+    return utf16(v) if isinstance(v, str) else 0
+
+
+#: What is read of a block of each kind: column, path, reader.
+BLOCK_FIELDS: dict[str, tuple] = {
+    "thinking": (("chars", "thinking", json_length),),
+    "text": (("chars", "text", string_length), ("snippet", "text", text(limit=SNIPPET_LENGTH))),
+    "tool_use": (("chars", "input", json_length), ("input_chars", "input", json_length), ("input", "input", tool_input), ("id", "id", text()), ("name", "name", text("(unnamed)"))),
+    "tool_result": (("chars", "content", json_length), ("tool_use_id", "tool_use_id", text())),
+}
+_BLOCK_COLUMNS = ("kind", "chars", "snippet", "id", "name", "input_chars", "input", "tool_use_id", "type")
+
+
+def block_of(raw: object) -> dict:
+    """A content block; a kind that is not in the table is ``other`` with its name and size."""
+    kind = member(raw, "type")
+    if isinstance(kind, str) and kind in BLOCK_FIELDS:
+        found = {c: read(member(raw, path)) for c, path, read in BLOCK_FIELDS[kind]} | {"kind": kind}
+    else:
+        found = {"kind": "other", "chars": json_length(raw), "type": text("?")(kind) if isinstance(raw, (dict, list)) else "malformed"}
+    return dict.fromkeys(_BLOCK_COLUMNS) | found
+
+
+def blocks_of(content: object) -> list[dict]:
+    return [block_of(b) for b in content] if isinstance(content, list) else []
+
+
+def said_blocks(content: object) -> list[dict]:
+    """As ``blocks_of``; plain text is one block."""
+    return blocks_of([{"type": "text", "text": content}] if isinstance(content, str) else content)
+
+
+def tier_sum(tiers: object) -> int | None:
+    """The written tokens of all tiers, whatever their names; None without a breakdown."""
+    return whole(sum(map(whole, tiers.values()))) if isinstance(tiers, dict) else None
+
+
+#: What is read of a line of each type, and of every line: column, path, reader.
+LINE_FIELDS: dict[str, tuple] = {
+    "": (("uuid", "uuid", text()), ("ts_ms", "timestamp", instant), ("cwd", "cwd", filled)),
+    "assistant": (
+        ("model", "message.model", text("(unknown-model)")), ("request_id", "requestId", filled), ("message_id", "message.id", filled), ("input", "message.usage.input_tokens", whole),
+        ("cache_creation", "message.usage.cache_creation", tier_sum), ("cc_flat", "message.usage.cache_creation_input_tokens", whole), ("cache_read", "message.usage.cache_read_input_tokens", whole),
+        ("output", "message.usage.output_tokens", whole), ("blocks", "message.content", blocks_of),
+    ),
+    "user": (("blocks", "message.content", said_blocks), ("agent_id", "toolUseResult.agentId", filled)),
+    "attachment": (("attachment_type", "attachment.type", text("?")), ("chars", "attachment", lambda v: json_length(v if isinstance(v, dict) else {}))),
+    "system": (("subtype", "subtype", text("?")), ("duration_ms", "durationMs", optional_whole)),
+}
+
+
+def decoded(raw: str) -> object:
+    """The JSON value of a line; ValueError or RecursionError if there is none."""
 
     def constant(name: str) -> None:
         raise ValueError(name)
 
     try:
-        decoded = json.loads(raw, parse_constant=constant)
-    except ValueError:
-        return out | {"kind": "unparseable"}
-    o = _obj(decoded)
-    if not isinstance(decoded, (dict, list)):
+        return json.loads(raw, parse_constant=constant)
+    except json.JSONDecodeError:
+        raise
+    except ValueError:  # a whole number of thousands of digits
+        return json.loads(raw, parse_constant=constant, parse_int=float)
+
+
+def parse_line(raw: str) -> dict:
+    """The record of a line.  Every text maps to one; what is not JSON, or nested too deeply to read, is ``unparseable``."""
+    try:
+        return record_of(decoded(raw))
+    except (ValueError, RecursionError):
+        return dict.fromkeys(_COLUMNS) | {"kind": "unparseable"}
+
+
+def record_of(value: object) -> dict:
+    out: dict = dict.fromkeys(_COLUMNS)
+    if not isinstance(value, (dict, list)):
         return out | {"kind": "unknown", "type": "(not an object)"}
-    kind = _str(o.get("type"), "(untyped)")
-    out |= {"type": kind, "uuid": _str(o.get("uuid")), "ts_ms": _millis(o.get("timestamp")), "cwd": _str(o.get("cwd")) or None}
-    message = _obj(o.get("message"))
-    content = message.get("content")
+    kind = text("(untyped)")(member(value, "type"))
+    fields = LINE_FIELDS[""] + (LINE_FIELDS[kind] if kind else ()) if kind in LINE_FIELDS else LINE_FIELDS[""]
+    out |= {"type": kind, "kind": kind if kind and kind in LINE_FIELDS else "meta" if kind in META_TYPES else "unknown"}
+    out |= {c: read(member(value, path)) for c, path, read in fields}
     if kind == "assistant":
-        u = _obj(message.get("usage"))
-        tiers = u.get("cache_creation")
-        flat = _num(u.get("cache_creation_input_tokens"))
-        tiered = isinstance(tiers, dict)
-        return out | {
-            "kind": kind,
-            "request_id": _str(o.get("requestId")) or _str(message.get("id")) or out["uuid"],
-            "model": _str(message.get("model"), "(unknown-model)"),
-            "input": _num(u.get("input_tokens")),
-            # The tiers are what is costed; the flat figure is kept beside them.
-            "cache_creation": sum(map(_num, tiers.values())) if tiered else flat,
-            "cc_flat": flat if tiered else None,
-            "cache_read": _num(u.get("cache_read_input_tokens")),
-            "output": _num(u.get("output_tokens")),
-            "blocks": [*map(_block, content)] if isinstance(content, list) else [],
-        }
-    if kind == "user":
-        if isinstance(content, str):
-            blocks = [_block({"type": "text", "text": content})]
-        else:
-            blocks = [*map(_block, content)] if isinstance(content, list) else []
-        texts = [b["snippet"] for b in blocks if b["kind"] == "text"]
-        return out | {
-            "kind": kind,
-            "blocks": blocks,
-            "agent_id": _str(_obj(o.get("toolUseResult")).get("agentId")) or None,
-            "is_tool_result": any(b["kind"] == "tool_result" for b in blocks),
-            "snippet": texts[0] if texts else "",
-        }
-    if kind == "attachment":
-        a = _obj(o.get("attachment"))
-        return out | {"kind": kind, "attachment_type": _str(a.get("type"), "?"), "chars": json_length(a)}
-    if kind == "system":
-        d = o.get("durationMs")
-        return out | {"kind": kind, "subtype": _str(o.get("subtype"), "?"), "duration_ms": _num(d) if isinstance(d, (int, float)) else None}
-    return out | {"kind": "meta" if kind in META_TYPES else "unknown"}
+        out["request_id"] = out["request_id"] or out.pop("message_id") or out["uuid"]
+        out.pop("message_id", None)
+        if out["cache_creation"] is None:  # tiers are what is costed; without them the flat figure is
+            out["cache_creation"], out["cc_flat"] = out["cc_flat"], None
+    elif kind == "user":
+        out["is_tool_result"] = any(b["kind"] == "tool_result" for b in out["blocks"])
+        out["snippet"] = next((b["snippet"] for b in out["blocks"] if b["kind"] == "text"), "")
+    return out
 
 
 # --- files ----------------------------------------------------------------
@@ -238,9 +289,9 @@ def parse_records(files: DataFrame) -> DataFrame:
                     if line.strip()
                 ]
                 if rows:
-                    out = pd.DataFrame(rows, columns=_COLUMNS)
-                    for c in ("ts_ms", "input", "cache_creation", "cache_read", "output", "cc_flat", "chars", "duration_ms"):
-                        out[c] = out[c].astype("Int64")
+                    # Column by column: a mixed column of numbers and nulls would pass through floating point.
+                    kinds = dict.fromkeys(_NUMBERS, "Int64")
+                    out = pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=kinds.get(c, "object")) for c in _COLUMNS})
                     yield out
 
     return files.select("session_id", "conv_id", "project", "value").mapInPandas(parse, RECORD)
