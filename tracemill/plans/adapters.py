@@ -40,25 +40,21 @@ def turns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as a forest: the parent of part n is part n div 4; every 50th part is missing, so its children are orphans."""
-    return (
-        table(spark, sf_dir, "part")
-        .filter("p_partkey = 0 or p_partkey % 50 <> 7")
-        .select(
-            F.col("p_partkey").alias("id"),
-            F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 4)).cast("long").alias("parent"),
-            F.col("p_brand").alias("brand"),
-            F.col("p_size").cast("long").alias("own"),
-        )
+    """Parts as a forest: the parent of part n is part n div 4; where that is 7, 57, 107 and so on the part names a parent that is none and is an orphan."""
+    up = F.floor(F.col("p_partkey") / 4).cast("long")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.when(F.col("p_partkey") > 0, F.when(up % 50 == 7, -up).otherwise(up)).alias("parent"),
+        F.col("p_brand").alias("brand"),
+        F.col("p_size").cast("long").alias("own"),
     )
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as calibration points; one language is thinned so that it has too few."""
+    """Documents as calibration points; twenty documents have a model of their own, which has too few at every size."""
     words = F.size(F.split("text", " ")).cast("long")
     y = F.floor(F.col("n_chars") / 3).cast("long") + 5 * words + F.col("doc_id") % 11
     return (
         table(spark, sf_dir, "documents")
-        .filter("lang <> 'es' or doc_id % 64 = 0")
-        .select("doc_id", F.col("lang").alias("model"), F.col("source").alias("transcript"), F.col("n_chars").alias("chars"), words.alias("blocks"), y.alias("output"))
+        .select("doc_id", F.when(F.col("doc_id") < 20, "rare").otherwise(F.col("lang")).alias("model"), F.col("source").alias("transcript"), F.col("n_chars").alias("chars"), words.alias("blocks"), y.alias("output"))
     )

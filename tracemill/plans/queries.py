@@ -126,7 +126,8 @@ def report_select(spark, d):
 
 
 def _requests(spark, d) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, d, "orders").filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("key"), "o_orderpriority")
+    # Every seventh order has a key that no line names, so its lines are answers to nothing.
+    o = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 7 == 0, -1 - F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("key"), "o_orderpriority")
     a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), "l_partkey", "l_suppkey", (F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("pos"))
     return o, a
 
@@ -180,7 +181,7 @@ def price_calls(spark, d):
 
 @query
 def sidecar_pairing(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit(True).alias("transcript")).filter("id % 3 <> 0")
+    p = table(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, -1 - F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("id"), F.lit(True).alias("transcript"))
     m = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(True).alias("meta"))
     both = p.join(m, "id", "full_outer")
     why = F.when(F.col("transcript").isNull(), "meta present, transcript missing").when(F.col("meta").isNull(), "transcript present, meta missing").otherwise("paired")
@@ -192,7 +193,9 @@ def sidecar_pairing(spark, d):
 
 def _caused(spark, d) -> tuple[DataFrame, DataFrame]:
     c = calls(spark, d)
-    a = c.filter("event_id % 3 <> 0").select("user_id", "call_index", F.col("model").alias("label"), T.estimate_tokens(F.col("event_id") % 4000).alias("tokens"))
+    # Every third arrival comes before a call that never was, so some calls have no cause.
+    at = F.when(F.col("event_id") % 3 == 0, -2).otherwise(F.col("call_index")).alias("call_index")
+    a = c.select("user_id", at, F.col("model").alias("label"), T.estimate_tokens(F.col("event_id") % 4000).alias("tokens"))
     return c, a
 
 
@@ -304,13 +307,17 @@ def scope_exclusions(spark, d):
 @query
 def findings(spark, d):
     c, e = _epochs(spark, d)
-    whole = c.groupBy("user_id").agg(F.sum(T.spend20()).alias("whole"), F.max(F.when(F.col("call_index") == 0, 20 * F.col("input") + 25 * F.col("cache_creation"))).alias("startup"))
+    whole = c.groupBy("user_id").agg(F.sum(T.spend20()).alias("whole"), F.max(F.when(F.col("call_index") == 0, 20 * F.col("input") + 25 * F.col("cache_creation"))).alias("startup"),
+                                    F.sum(F.when(F.col("event_id") % 3 == 0, 20 * F.col("output")).otherwise(0)).alias("reasoning"), F.sum(F.when(F.col("model").isin(*{r[0] for r in RATES}), 0).otherwise(T.spend20())).alias("unpriced"))
     start = whole.select("user_id", F.lit("startup").alias("finding"), F.lit(0).cast("long").alias("at_call"), F.col("startup").alias("cost20"), "whole")
     lost = e.filter("epoch > 0").join(whole, "user_id").select(
         "user_id", F.when(F.col("gap") >= 300_000, "cache expired").otherwise("prefix changed").alias("finding"), _l("start_call").alias("at_call"), (23 * F.col("rewritten")).alias("cost20"), "whole"
     )
     both = start.unionByName(lost)
-    high = F.when(F.col("finding") == "startup", "note").when(20 * F.col("cost20") > F.col("whole"), "high").otherwise("medium")
+    for name, cost in (("reasoning share of output", "reasoning"), ("pricing gap", "unpriced")):  # of every session, at zero too
+        both = both.unionByName(whole.select("user_id", F.lit(name).alias("finding"), F.lit(None).cast("long").alias("at_call"), F.col(cost).alias("cost20"), "whole"))
+    small = F.col("at_call").isNull() & (20 * F.col("cost20") <= F.col("whole"))
+    high = F.when((F.col("finding") == "startup") | small, "note").when(20 * F.col("cost20") > F.col("whole"), "high").otherwise("medium")
     return both.select("user_id", "finding", "at_call", "cost20", high.alias("severity"), F.round(ledger.share_of(F.col("cost20"), F.col("whole")), 6).alias("share"))
 
 
@@ -370,13 +377,12 @@ def tree_rollup(spark, d):
 
 @query
 def token_layout(spark, d):
-    # One tree: the parts under part 0.
     n = part_forest(spark, d)
     up = tree.ancestors(n, "id", "parent")
-    rooted = up.filter("ancestor = 0").select("id")
-    n, up = n.join(rooted, "id"), up.join(rooted, "id")
-    keys = tree.post_order(up, "id", n.select("id", F.col("id").alias("sibling")))
-    return tree.token_layout(n, up, "id", "own", keys).select("id", _l("start").alias("start"), _l("end").alias("end"), _l("width").alias("width"))
+    top = up.groupBy("id").agg(F.max_by("ancestor", "distance").alias("tree"))
+    n, up = n.join(top, "id"), up.join(top, "id")
+    keys = tree.post_order(up, "id", n.select("tree", "id", F.col("id").alias("sibling")), ["tree"])
+    return tree.token_layout(n, up, "id", "own", keys, ["tree"]).select("id", _l("start").alias("start"), _l("end").alias("end"), _l("width").alias("width"))
 
 
 @query
@@ -485,3 +491,39 @@ def lineage_cohorts(spark, d):
 def fan_out(spark, d):
     c = calls(spark, d)
     return c.groupBy("user_id").agg(F.round(ledger.share_of(F.count(F.lit(1)), F.count_distinct("model")), 6).alias("fan_out"))
+
+
+@query
+def distinct_projects(spark, d):
+    """How many sessions and projects each workspace key has; two projects of one leaf name stay two."""
+    path = F.regexp_replace("url", r"[?#].*$", "")
+    p = table(spark, d, "pages").select(path.alias("path"), T.leaf_name(path).alias("leaf"))
+    return p.groupBy("leaf").agg(F.count_distinct("path").alias("projects"), F.count(F.lit(1)).alias("sessions"))
+
+
+@query
+def corpus_report(spark, d):
+    """Sessions by dollars with their place and running totals of the list."""
+    s = session_list(spark, d).select("user_id", "calls", "spend20", F.floor(F.col("usd") * 1_000_000 + 0.5).cast("long").alias("micro_usd"))
+    totals = s.agg(F.sum("micro_usd").alias("list_micro_usd"), F.sum("calls").alias("list_calls"))
+    # Places from the counts of a thousand ranges of dollars, then within each range.
+    return ledger.placed_by(s, "micro_usd", "user_id").crossJoin(F.broadcast(totals)).select("user_id", "calls", "spend20", "micro_usd", _l("place").alias("place"), "list_micro_usd", "list_calls")
+
+
+@query
+def depth_disagreements(spark, d):
+    """Nodes whose declared depth (the digits of their id in base 4) is not the one they resolve to."""
+    n = part_forest(spark, d)
+    depth = tree.ancestors(n, "id", "parent").groupBy("id").agg(F.max("distance").cast("long").alias("depth"))
+    declared = F.length(F.conv(F.col("id").cast("string"), 10, 4)).cast("long") - F.when(F.col("id") == 0, 1).otherwise(0)
+    both = depth.withColumn("declared", declared)
+    return both.filter("declared <> depth").select("id", "declared", "depth")
+
+
+@query
+def output_ledger(spark, d):
+    """Each model's output by part with its share; the parts close on the total."""
+    t = fit.output_totals(_split(spark, d), ["model"])
+    parts = [(k, F.col(k)) for k in ("visible", "reasoning", "estimator_error", "uncalibrated")]
+    out = ledger.unpivot(t, ["model"], parts).groupBy("model").agg(F.count(F.lit(1)).alias("parts"), F.sum("amount").alias("amount"))
+    return out.join(t.select("model", "total"), "model").select("model", "parts", _l(F.round("amount")).alias("amount"), _l("total").alias("total"))

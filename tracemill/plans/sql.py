@@ -21,10 +21,10 @@ _TURNS = _SEEN + """, totals AS (SELECT conv_id, count(*) FILTER (WHERE role = '
 _CHANGE = 1_704_067_200_000 + 15 * 86_400_000
 _RATED = _CALLS + f""", rated AS (SELECT *, CASE model WHEN 'view' THEN CASE WHEN ts_ms < {_CHANGE} THEN 3.0::DOUBLE ELSE 4.0::DOUBLE END WHEN 'click' THEN 1.0::DOUBLE WHEN 'purchase' THEN 5.0::DOUBLE WHEN 'signup' THEN 2.0::DOUBLE END AS rate FROM calls),
  priced AS (SELECT *, ((20 * input + 25 * cache_creation + 2 * cache_read) * rate + 20 * output * rate * 5) AS usd FROM rated)"""
-_PARTS = """nodes AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey // 4 END AS parent, p_brand AS brand, CAST(p_size AS BIGINT) AS own FROM part WHERE p_partkey = 0 OR p_partkey % 50 <> 7),
+_PARTS = """nodes AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN CASE WHEN (p_partkey // 4) % 50 = 7 THEN -(p_partkey // 4) ELSE p_partkey // 4 END END AS parent, p_brand AS brand, CAST(p_size AS BIGINT) AS own FROM part),
  up AS (SELECT id, id AS ancestor, CAST(0 AS BIGINT) AS distance FROM nodes UNION ALL SELECT u.id, n.parent, u.distance + 1 FROM up u JOIN nodes n ON n.id = u.ancestor JOIN nodes p ON p.id = n.parent)"""
-_POINTS = """points AS (SELECT doc_id, lang AS model, source AS transcript, n_chars AS chars, CAST(len(string_split(text, ' ')) AS BIGINT) AS blocks, n_chars // 3 + 5 * CAST(len(string_split(text, ' ')) AS BIGINT) + doc_id % 11 AS output
- FROM documents WHERE lang <> 'es' OR doc_id % 64 = 0)"""
+_POINTS = """points AS (SELECT doc_id, CASE WHEN doc_id < 20 THEN 'rare' ELSE lang END AS model, source AS transcript, n_chars AS chars, CAST(len(string_split(text, ' ')) AS BIGINT) AS blocks, n_chars // 3 + 5 * CAST(len(string_split(text, ' ')) AS BIGINT) + doc_id % 11 AS output
+ FROM documents)"""
 _FIT = _POINTS + """, parity AS (SELECT model, transcript, row_number() OVER (PARTITION BY model ORDER BY transcript) % 2 = 1 AS train FROM (SELECT DISTINCT model, transcript FROM points)),
  both_ AS (SELECT p.*, q.train FROM points p JOIN parity q ON q.model = p.model AND q.transcript = p.transcript),
  m AS (SELECT model, count(*) AS n, count(DISTINCT transcript) AS transcripts, count(*) FILTER (WHERE NOT train) AS test_n,
@@ -50,7 +50,7 @@ SQL: dict[str, str] = {
  SELECT user_id, call_index, coalesce(max(own) OVER (PARTITION BY user_id, run), 'none') AS activity, own IS NULL AND run > 0 AS carried FROM runs""",
     "strata_stack": f"WITH {_MARKED}, s AS (SELECT user_id, call_index, epoch, cache_creation, sum(cache_creation) OVER (PARTITION BY user_id, epoch ORDER BY call_index ROWS UNBOUNDED PRECEDING) AS y1 FROM marked WHERE cache_creation > 0) SELECT user_id, call_index, epoch, CAST(y1 - cache_creation AS BIGINT) AS y0, CAST(y1 AS BIGINT) AS y1 FROM s",
     "report_select": "WITH r AS (SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_custkey % 3 = 0 AS spawned, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_custkey % 3 = 0) DESC, c_custkey DESC) AS n FROM customer) SELECT c_custkey, c_nationkey, spawned FROM r WHERE n <= 2 ORDER BY spawned DESC, c_custkey DESC LIMIT 24",
-    "tool_answers": """WITH o AS (SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 7 <> 0), a AS (SELECT l_orderkey AS key, max(l_partkey * 100000 + l_suppkey) AS last, min(l_partkey * 100000 + l_suppkey) AS slot, count(*) - 1 AS repeats FROM lineitem GROUP BY l_orderkey)
+    "tool_answers": """WITH o AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS key FROM orders), a AS (SELECT l_orderkey AS key, max(l_partkey * 100000 + l_suppkey) AS last, min(l_partkey * 100000 + l_suppkey) AS slot, count(*) - 1 AS repeats FROM lineitem GROUP BY l_orderkey)
  SELECT o.key, a.last // 100000 AS l_partkey, a.last % 100000 AS l_suppkey, a.slot, a.repeats FROM o LEFT JOIN a ON a.key = o.key""",
     "unmatched_answers": "SELECT l_orderkey AS key, count(*) AS n FROM lineitem WHERE l_orderkey % 7 = 0 OR l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey",
     "duplicate_answers": "SELECT l_orderkey AS key, count(*) - 1 AS duplicates FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0) GROUP BY l_orderkey HAVING count(*) > 1",
@@ -60,12 +60,12 @@ SQL: dict[str, str] = {
  SELECT user_id, event_id, born, writes, CAST(reads AS BIGINT) AS reads, CAST(tokens * (25 * writes + 2 * reads) AS BIGINT) AS total20, round(CASE WHEN tokens = 0 THEN 0.0::DOUBLE ELSE (25 * writes + 2 * reads) / 20.0::DOUBLE END, 6) AS multiple FROM l""",
     "price_calls": f"""WITH {_RATED} SELECT user_id, round(coalesce(sum(usd), 0.0::DOUBLE) / 20000000.0::DOUBLE, 6) AS usd, CAST(sum(CASE WHEN rate IS NOT NULL THEN spend20 ELSE 0 END) AS BIGINT) AS priced, CAST(sum(CASE WHEN rate IS NULL THEN spend20 ELSE 0 END) AS BIGINT) AS unpriced,
  count(*) FILTER (WHERE rate IS NULL) AS unpriced_calls, count(*) AS calls, coalesce(string_agg(DISTINCT CASE WHEN rate IS NULL THEN model END, ','), '') AS unpriced_models FROM priced GROUP BY user_id""",
-    "sidecar_pairing": "SELECT coalesce(p.id, s.s_suppkey) AS id, CASE WHEN p.id IS NULL THEN 'meta present, transcript missing' WHEN s.s_suppkey IS NULL THEN 'transcript present, meta missing' ELSE 'paired' END AS pairing FROM (SELECT p_partkey AS id FROM part WHERE p_partkey % 3 <> 0) p FULL OUTER JOIN supplier s ON s.s_suppkey = p.id",
-    "cause_attribution": f"""WITH {_CALLS}, a AS (SELECT user_id, call_index + ((event_id % 4000 + 2) // 4) % 2 AS call_index, (event_id % 4000 + 2) // 4 AS tokens FROM calls WHERE event_id % 3 <> 0),
+    "sidecar_pairing": "SELECT coalesce(p.id, s.s_suppkey) AS id, CASE WHEN p.id IS NULL THEN 'meta present, transcript missing' WHEN s.s_suppkey IS NULL THEN 'transcript present, meta missing' ELSE 'paired' END AS pairing FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN -1 - p_partkey ELSE p_partkey END AS id FROM part) p FULL OUTER JOIN supplier s ON s.s_suppkey = p.id",
+    "cause_attribution": f"""WITH {_CALLS}, a AS (SELECT user_id, CASE WHEN event_id % 3 = 0 THEN -2 ELSE call_index END + ((event_id % 4000 + 2) // 4) % 2 AS call_index, (event_id % 4000 + 2) // 4 AS tokens FROM calls),
  s AS (SELECT user_id, call_index, sum(tokens) AS t, count(*) AS n FROM a GROUP BY user_id, call_index)
  SELECT c.user_id, c.call_index, 20 * c.input + 25 * c.cache_creation AS exact20, CAST(25 * coalesce(s.t, 0) AS BIGINT) AS caused20, CAST(20 * c.input + 25 * c.cache_creation - 25 * coalesce(s.t, 0) AS BIGINT) AS unattributed20, coalesce(s.n, 0) AS causes
  FROM calls c LEFT JOIN s ON s.user_id = c.user_id AND s.call_index = c.call_index""",
-    "causes_by_label": "SELECT user_id, event_type AS label, count(*) AS n, CAST(sum((event_id % 4000 + 2) // 4) AS BIGINT) AS tokens, CAST(25 * sum((event_id % 4000 + 2) // 4) AS BIGINT) AS cost20 FROM events WHERE event_id % 3 <> 0 GROUP BY user_id, event_type",
+    "causes_by_label": "SELECT user_id, event_type AS label, count(*) AS n, CAST(sum((event_id % 4000 + 2) // 4) AS BIGINT) AS tokens, CAST(25 * sum((event_id % 4000 + 2) // 4) AS BIGINT) AS cost20 FROM events GROUP BY user_id, event_type",
     "arrivals_union": f"""WITH {_SEEN}, a AS (SELECT conv_id, CASE WHEN role = 'assistant' THEN next_call + 1 ELSE next_call END AS born, CASE role WHEN 'user' THEN 'userText' WHEN 'system' THEN 'attachment' ELSE 'assistantOutput' END AS source,
  CASE WHEN role = 'assistant' THEN 'exact' ELSE 'estimated' END AS basis, CASE WHEN role = 'assistant' THEN length(text) ELSE (length(text) + 2) // 4 END AS tokens FROM seen)
  SELECT conv_id, born, source, basis, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS n FROM a GROUP BY ALL""",
@@ -86,10 +86,11 @@ SQL: dict[str, str] = {
  SELECT l_orderkey, CASE WHEN w > 0 THEN l_returnflag ELSE 'unattributed' END AS source, round(CASE WHEN w > 0 THEN q::DOUBLE / w::DOUBLE ELSE 0.0::DOUBLE END, 6) AS share FROM r WHERE n = 1""",
     "scope_exclusions": """WITH f AS (SELECT c_mktsegment LIKE 'BUILDING%' OR c_mktsegment LIKE 'MACHINERY%' AS a, c_acctbal >= 0 AS b, CAST(c_custkey AS VARCHAR) LIKE '1%' AS c FROM customer)
  SELECT count(*) FILTER (WHERE NOT a) AS segment, count(*) FILTER (WHERE a AND NOT b) AS balance, count(*) FILTER (WHERE a AND b AND NOT c) AS prefix, count(*) FILTER (WHERE a AND b AND c) AS kept FROM f""",
-    "findings": f"""WITH {_EPOCHS}, w AS (SELECT user_id, CAST(sum(spend20) AS BIGINT) AS whole FROM calls GROUP BY user_id),
+    "findings": f"""WITH {_EPOCHS}, w AS (SELECT user_id, CAST(sum(spend20) AS BIGINT) AS whole, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 20 * output ELSE 0 END) AS BIGINT) AS reasoning, CAST(sum(CASE WHEN model IN ('view', 'click', 'purchase', 'signup') THEN 0 ELSE spend20 END) AS BIGINT) AS unpriced FROM calls GROUP BY user_id),
  f AS (SELECT c.user_id, 'startup' AS finding, CAST(0 AS BIGINT) AS at_call, 20 * c.input + 25 * c.cache_creation AS cost20, w.whole FROM calls c JOIN w ON w.user_id = c.user_id WHERE c.call_index = 0
- UNION ALL SELECT e.user_id, CASE WHEN e.gap >= 300000 THEN 'cache expired' ELSE 'prefix changed' END, e.start_call, CAST(23 * e.rewritten AS BIGINT), w.whole FROM epochs e JOIN w ON w.user_id = e.user_id WHERE e.epoch > 0)
- SELECT user_id, finding, at_call, cost20, CASE WHEN finding = 'startup' THEN 'note' WHEN 20 * cost20 > whole THEN 'high' ELSE 'medium' END AS severity, round(CASE WHEN whole = 0 THEN 0.0::DOUBLE ELSE cost20::DOUBLE / whole END, 6) AS share FROM f""",
+ UNION ALL SELECT e.user_id, CASE WHEN e.gap >= 300000 THEN 'cache expired' ELSE 'prefix changed' END, e.start_call, CAST(23 * e.rewritten AS BIGINT), w.whole FROM epochs e JOIN w ON w.user_id = e.user_id WHERE e.epoch > 0
+ UNION ALL SELECT user_id, 'reasoning share of output', NULL, reasoning, whole FROM w UNION ALL SELECT user_id, 'pricing gap', NULL, unpriced, whole FROM w)
+ SELECT user_id, finding, at_call, cost20, CASE WHEN finding = 'startup' OR (at_call IS NULL AND 20 * cost20 <= whole) THEN 'note' WHEN 20 * cost20 > whole THEN 'high' ELSE 'medium' END AS severity, round(CASE WHEN whole = 0 THEN 0.0::DOUBLE ELSE cost20::DOUBLE / whole END, 6) AS share FROM f""",
     "synopsis": f"""WITH {_CALLS}, s AS (SELECT user_id, model, sum(spend20) AS v FROM calls GROUP BY user_id, model), t AS (SELECT user_id, model, v, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, model) AS n, sum(v) OVER (PARTITION BY user_id) AS whole FROM s),
  p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE model WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, call_index) AS n FROM calls WHERE (model IN ('purchase', 'view') AND output > 20) OR model = 'click')
  SELECT t.user_id, CASE WHEN t.whole > 0 THEN t.model ELSE 'unattributed' END AS dominant, p.event_id AS opening FROM t LEFT JOIN p ON p.user_id = t.user_id AND p.n = 1 WHERE t.n = 1""",
@@ -97,12 +98,12 @@ SQL: dict[str, str] = {
     "output_totals": f"""WITH {_FIT} SELECT p.model, CAST(sum(p.output) AS BIGINT) AS total, count(*) FILTER (WHERE s.model IS NOT NULL AND p.doc_id % 3 = 0) AS calls_with_reasoning, CAST(sum(CASE WHEN s.model IS NULL THEN p.output ELSE 0 END) AS BIGINT) AS uncalibrated,
  count(*) FILTER (WHERE s.model IS NULL) AS uncalibrated_calls, count(*) AS calls, CASE WHEN max(s.model) IS NULL THEN p.model ELSE '' END AS uncalibrated_models, TRUE AS closes FROM points p LEFT JOIN solved s ON s.model = p.model AND s.a > 0 GROUP BY p.model""",
     "forest_depth": f"WITH RECURSIVE {_PARTS}, d AS (SELECT id, max(distance) AS depth FROM up GROUP BY id) SELECT d.id, d.depth, u.ancestor AS top FROM d JOIN up u ON u.id = d.id AND u.distance = d.depth",
-    "forest_orphans": "WITH nodes AS (SELECT p_partkey AS id FROM part WHERE p_partkey = 0 OR p_partkey % 50 <> 7) SELECT id, 'parent ' || CAST(id // 4 AS VARCHAR) || ' not found' AS why FROM nodes WHERE id > 0 AND id // 4 NOT IN (SELECT id FROM nodes)",
+    "forest_orphans": "SELECT p_partkey AS id, 'parent -' || CAST(p_partkey // 4 AS VARCHAR) || ' not found' AS why FROM part WHERE (p_partkey // 4) % 50 = 7",
     "tree_rollup": f"WITH RECURSIVE {_PARTS} SELECT u.ancestor AS root, CAST(sum(n.own) AS BIGINT) AS tokens, CAST(sum(CASE WHEN n.brand = 'Brand#11' THEN n.own ELSE 0 END) AS BIGINT) AS brand_tokens, count(*) AS nodes, max(n.own) AS widest FROM up u JOIN nodes n ON n.id = u.id GROUP BY u.ancestor",
-    "token_layout": f"""WITH RECURSIVE {_PARTS}, inside AS (SELECT id FROM up WHERE ancestor = 0), steps AS (SELECT u.id, string_agg(lpad(CAST(u.ancestor AS VARCHAR), 12, '0'), '/' ORDER BY u.distance DESC) || '~' AS k FROM up u JOIN inside i ON i.id = u.id GROUP BY u.id),
- w AS (SELECT n.id, CASE WHEN n.id IN (SELECT parent FROM nodes WHERE parent IS NOT NULL) THEN n.own ELSE greatest(n.own, 1) END AS w FROM nodes n JOIN inside i ON i.id = n.id),
+    "token_layout": f"""WITH RECURSIVE {_PARTS}, tops AS (SELECT id, arg_max(ancestor, distance) AS tree FROM up GROUP BY id), steps AS (SELECT u.id, string_agg(lpad(CAST(u.ancestor AS VARCHAR), 20, '0'), '/' ORDER BY u.distance DESC) || '~' AS k FROM up u GROUP BY u.id),
+ w AS (SELECT n.id, CASE WHEN n.id IN (SELECT parent FROM nodes WHERE parent IS NOT NULL) THEN n.own ELSE greatest(n.own, 1) END AS w FROM nodes n),
  sub AS (SELECT u.ancestor AS id, sum(w.w) AS width FROM up u JOIN w ON w.id = u.id GROUP BY u.ancestor),
- laid AS (SELECT w.id, sum(w.w) OVER (ORDER BY s.k ROWS UNBOUNDED PRECEDING) AS e FROM w JOIN steps s ON s.id = w.id)
+ laid AS (SELECT w.id, sum(w.w) OVER (PARTITION BY t.tree ORDER BY s.k ROWS UNBOUNDED PRECEDING) AS e FROM w JOIN steps s ON s.id = w.id JOIN tops t ON t.id = w.id)
  SELECT l.id, CAST(l.e - sub.width AS BIGINT) AS start, CAST(l.e AS BIGINT) AS "end", CAST(sub.width AS BIGINT) AS width FROM laid l JOIN sub ON sub.id = l.id""",
     "session_list": f"""WITH {_RATED}, d AS (SELECT *, CAST(floor(log10(greatest(event_id, 1)::DOUBLE + 0.5::DOUBLE)) AS BIGINT) % 3 AS depth FROM priced)
  SELECT user_id, min(ts_ms) AS started_ms, (max(ts_ms) - min(ts_ms)) // 60000 AS wall_min, count(*) AS calls, count(*) FILTER (WHERE depth > 0) AS spawned_calls, max(depth) AS max_depth, CAST(sum(spend20) AS BIGINT) AS spend20, CAST(sum(CASE WHEN depth > 0 THEN spend20 ELSE 0 END) AS BIGINT) AS spawned20,
@@ -123,4 +124,11 @@ SQL: dict[str, str] = {
     "model_ids": "SELECT user_id, string_agg(DISTINCT m, ', ' ORDER BY m) AS models, count(*) AS n FROM (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE event_type || '-v2' END AS m FROM events) GROUP BY user_id",
     "lineage_cohorts": "SELECT CASE event_id % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'review' ELSE 'review > guide' END AS path, event_id % 3 AS depth, count(*) AS calls, count(*) FILTER (WHERE event_id % 3 = 0) AS main, count(*) FILTER (WHERE event_id % 3 > 0) AS spawned, count(*) FILTER (WHERE event_id % 3 > 0 AND user_id = 1) AS in_a1review, count(*) FILTER (WHERE event_id % 3 = 2) AS grandchildren FROM events GROUP BY event_id % 3",
     "fan_out": "SELECT user_id, round(count(*)::DOUBLE / count(DISTINCT event_type), 6) AS fan_out FROM events GROUP BY user_id",
+    "distinct_projects": r"""WITH p AS (SELECT regexp_replace(url, '[?#].*$', '', 's') AS path FROM pages), l AS (SELECT path, regexp_extract(regexp_replace(path, '[/\\\\]+$', ''), '[^/\\\\]*$') AS leaf FROM p)
+ SELECT leaf, count(DISTINCT path) AS projects, count(*) AS sessions FROM l GROUP BY leaf""",
+    "corpus_report": f"""WITH {_RATED}, s AS (SELECT user_id, count(*) AS calls, CAST(sum(spend20) AS BIGINT) AS spend20, CAST(floor(round(coalesce(sum(usd), 0.0::DOUBLE) / 20000000.0::DOUBLE, 6) * 1000000 + 0.5) AS BIGINT) AS micro_usd FROM priced GROUP BY user_id)
+ SELECT user_id, calls, spend20, micro_usd, row_number() OVER (ORDER BY micro_usd DESC, user_id) AS place, CAST(sum(micro_usd) OVER () AS BIGINT) AS list_micro_usd, CAST(sum(calls) OVER () AS BIGINT) AS list_calls FROM s""",
+    "depth_disagreements": f"""WITH RECURSIVE {_PARTS}, d AS (SELECT id, max(distance) AS depth FROM up GROUP BY id), x AS (SELECT id, depth, CAST(CASE WHEN id = 0 THEN 0 ELSE floor(log2(id::DOUBLE + 0.5) / 2) + 1 END AS BIGINT) AS declared FROM d)
+ SELECT id, declared, depth FROM x WHERE declared <> depth""",
+    "output_ledger": f"WITH {_POINTS} SELECT model, CAST(4 AS BIGINT) AS parts, CAST(sum(output) AS BIGINT) AS amount, CAST(sum(output) AS BIGINT) AS total FROM points GROUP BY model",
 }
