@@ -308,28 +308,38 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int | None = None)
         .agg(F.collect_list(F.struct("start", "n", "least", (F.col("copies") == 1).alias("single"), (F.col("windows") > SORTED_TOGETHER).alias("many"))).alias("runs"))
     )
 
+    columns = ["row_id", "least", "start", "n", "single", "bytes"]
+
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            held, size = [], 0
             for row_id, text, listed in zip(batch["row_id"].tolist(), batch["text"].tolist(), batch["runs"].tolist()):
                 data = _utf8(text)
-                for many in (False, True):
-                    of = [r for r in listed if r["many"] == many]
-                    for at in range(0, len(of), 64):
-                        out = [(r["least"], r["start"], r["n"], r["single"], data[r["start"] : r["start"] + r["n"] - 1 + length]) for r in of[at : at + 64]]
-                        rows = pd.DataFrame(out, columns=["least", "start", "n", "single", "bytes"])
-                        if many:
-                            rows = pd.concat([each_window(r) for r in rows.itertuples(index=False)])
-                        else:
-                            rows["h1"] = rows["h2"] = pd.array([None] * len(rows), "Int64")
-                        rows["row_id"] = row_id
-                        yield rows[["row_id", "least", "start", "n", "single", "bytes", "h1", "h2"]]
-
-    def each_window(r: tuple) -> pd.DataFrame:
-        data = np.frombuffer(r.bytes, np.uint8)
-        h = mixed(window_hashes(prefix_hashes(data), length))
+                for r in listed:
+                    s, n = r["start"], r["n"]
+                    one = (row_id, r["least"], s, n, r["single"], data[s : s + n - 1 + length])
+                    if r["many"]:
+                        yield each_window(one)
+                        continue
+                    held.append(one)
+                    size += len(one[-1])
+                    if size > SLICE:
+                        yield together(held)
+                        held, size = [], 0
+            if held:
+                yield together(held)
+
+    def together(rows: list[tuple]) -> pd.DataFrame:
+        empty = pd.array([None] * len(rows), "Int64")
+        return pd.DataFrame(rows, columns=columns).assign(h1=empty, h2=empty)
+
+    def each_window(run: tuple) -> pd.DataFrame:
+        row_id, least, start, _, single, data = run
+        h = mixed(window_hashes(prefix_hashes(np.frombuffer(data, np.uint8)), length))
         h, at = np.unique(h, return_index=True)
-        second = [xxhash.xxh3_64_intdigest(r.bytes[a : a + length]) for a in at.tolist()]
-        return pd.DataFrame({"least": r.least, "start": at + r.start, "n": 1, "single": r.single, "bytes": None, "h1": h.view(np.int64), "h2": np.array(second, np.uint64).view(np.int64)})
+        second = [xxhash.xxh3_64_intdigest(data[a : a + length]) for a in at.tolist()]
+        out = pd.DataFrame({"least": least, "start": at + start, "n": 1, "single": single, "bytes": None, "h1": h.view(np.int64), "h2": np.array(second, np.uint64).view(np.int64)})
+        return out.assign(row_id=[row_id] * len(out))[[*columns, "h1", "h2"]]
 
     fetched = docs.join(lists, "row_id").mapInPandas(fetch, "row_id binary, least long, start int, n int, single boolean, bytes binary, h1 long, h2 long")
     fetched = written(fetched, "suffixes")
