@@ -20,8 +20,12 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session leaves it unset, a temporary folder."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder on a single machine and an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.conf.get("spark.master", "local")
+    if not named and (master.startswith("local-cluster") or not master.startswith("local")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or _own_folder()).rstrip("/")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
