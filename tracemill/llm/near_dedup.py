@@ -34,8 +34,8 @@ HASHES = 128
 BATCH, MISS = 16, 1e-6
 #: A worker's word hashes are emptied at this many (bounded memory; results do not depend on it).
 LEXICON_ENTRIES = 300_000
-#: Parts into which the pairs of a hub are dealt, and rows of a shingle that one task pairs.
-HUB_PARTS, SHINGLE_ROWS = 16, 1000
+#: Rows of a shingle that one task pairs.
+SHINGLE_ROWS = 1000
 
 _rng = np.random.default_rng(20240301)
 _multipliers = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,16 +154,15 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent
         kept[alive] = True
         return pd.Series(kept)
 
-    def with_side(rows: DataFrame, side: str, columns: DataFrame) -> DataFrame:
-        """Add the columns of one side's node; a node with very many pairs does not gather them in one task."""
-        met = rows.groupBy(side).agg(F.count(F.lit(1)).alias("_met"))
-        keys = columns.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns.columns if c != "node"]).join(met, side)
-        return hot_join(rows, keys, [side], "_met", HUB_PARTS).drop("_met")
-
+    # A hub's pairs are narrow on one side; an uneven partition of them is split by the adaptive join.
     sig = classes.select("node", "sig", "n")
-    sized = with_side(with_side(pairs, "a", sig), "b", sig).filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    survivors = written(sized.filter(likely("sig_a", "sig_b")).select("a", "b", "n_a", "n_b"), "survivors")
-    both = with_side(with_side(survivors, "a", sets), "b", sets).withColumnsRenamed({"shingles_a": "s_a", "shingles_b": "s_b"})
+    left = sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
+    right = sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
+    sized = pairs.join(left, "a").join(right, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    survivors = sized.filter(likely("sig_a", "sig_b")).select("a", "b", "n_a", "n_b")
+    both = survivors.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b"
+    )
     shared = F.size(F.array_intersect("s_a", "s_b"))
     return both.withColumn("shared", shared).filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
