@@ -223,13 +223,20 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str =
     stars = members.join(leaders, "bucket").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     stars = written(stars, "star-pairs")
     first = written(similar_pairs(stars, classes, sets, percent), "star-links")
-    parts = connected_components(first)
+    parts = written(connected_components(first), "star-components")
     labelled = members.join(parts, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
     split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
     open_ = labelled.join(split, "bucket").select("node", "label").distinct()
     across = crossing_pairs(written(open_, "open-nodes"), sets, percent).join(stars, ["a", "b"], "left_anti")
     second = written(similar_pairs(across, classes, sets, percent), "cross-links")
-    roots = connected_components(first.unionByName(second))
+    # What is left to join are the components of the stars, so only their roots are looked at again.
+    left = second.join(parts.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
+    left = left.join(parts.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    joined = connected_components(left.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    joined = written(joined.select("node", F.col("root").alias("last")), "joined-components")
+    # A node of cross links alone is its own root.
+    nodes = parts.unionByName(joined.join(parts, "node", "left_anti").select("node", F.col("node").alias("root")))
+    roots = nodes.join(joined.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
     # Every class finds its component once, and its rows find their class.
     found = written(classes.join(roots, "node", "left").select("set_key", "met", F.coalesce("root", "node").alias("component_id")), "class-components")
     out = hot_join(linked, found, ["set_key"], "met").select("doc_id", "n", "component_id")
