@@ -304,7 +304,10 @@ def test_repeats_do_not_depend_on_slices(docs, monkeypatch):
     assert as_rows(repeats.repeats(docs), *cols) == whole
 
 
-def test_near_groups(docs, empty):
+@pytest.mark.parametrize("hot_rows", [1000, 2])
+def test_near_groups(docs, empty, hot_rows, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+
     def shingles(t):
         ws = (t or "").encode().lower().split()
         return frozenset(tuple(ws[k : k + 3]) for k in range(max(1, len(ws) - 2))) if ws else frozenset()
@@ -324,8 +327,10 @@ def test_near_groups(docs, empty):
     assert near_dedup.near_groups(empty).count() == 0
 
 
-def test_near_groups_lose_no_link_in_a_chain(spark):
+@pytest.mark.parametrize("hot_rows", [1000, 2])
+def test_near_groups_lose_no_link_in_a_chain(spark, hot_rows, monkeypatch):
     """Each text shares enough with the next only; the ends share little, so one star is not enough."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
     words = [word() + str(i) for i in range(400)]
     texts = [(i, " ".join(words[6 * i : 6 * i + 120])) for i in range(30)]
     groups = near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()

@@ -25,8 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # A hub's edges are narrow rows; an uneven partition of them is split by the adaptive join.
+        # Stored, so that both sides of the join are shuffled and the adaptive join can split a hub's edges.
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least-neighbours")
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))

@@ -130,8 +130,8 @@ def band_members(classes: DataFrame) -> DataFrame:
         return pd.Series([*(h ^ (h >> np.uint64(29))).view(np.int64)])
 
     banded = classes.select("node", F.explode(keys("sig")).alias("bucket"))
-    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = written(banded.join(full, "bucket"), "bucket-members")
+    full = written(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "full-buckets")
+    members = written(hot_join(banded, full, ["bucket"], "members"), "bucket-members")
     central = members.groupBy("node").agg(F.sum("members").alias("score"))
     return members.join(central, "node").select("bucket", "node", "score")
 
@@ -177,8 +177,8 @@ def crossing_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     whole group.
     """
     listed = nodes.join(sets, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    known = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    ranked = listed.join(known, "shingle").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    known = written(listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle-counts")
+    ranked = hot_join(listed, known, ["shingle"], "df").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     may_miss = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     prefixes = ranked.select("node", "label", "n", F.posexplode(F.slice("s", F.lit(1), may_miss.cast("int"))).alias("at", "p")).filter("p.df > 1")
     # A shingle of many rows is paired block by block.
@@ -219,14 +219,15 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str =
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(one, "node")
     sets = written(texts.groupBy("node").agg(F.max("text").alias("text")).select("node", shingles("text").alias("shingles")), "shingle-sets")
 
-    leaders = members.groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("score"), F.col("node"))).alias("leader"))
-    stars = members.join(leaders, "bucket").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    # A large group of near copies shares its buckets, so these are joined as hot keys.
+    leaders = members.groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("score"), F.col("node"))).alias("leader"), F.count(F.lit(1)).alias("met"))
+    stars = hot_join(members, written(leaders, "leaders"), ["bucket"], "met").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     stars = written(stars, "star-pairs")
     first = written(similar_pairs(stars, classes, sets, percent), "star-links")
     parts = written(connected_components(first), "star-components")
     labelled = members.join(parts, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = labelled.join(split, "bucket").select("node", "label").distinct()
+    split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("met")).filter("lo <> hi").select("bucket", "met")
+    open_ = hot_join(labelled, written(split, "split-buckets"), ["bucket"], "met").select("node", "label").distinct()
     across = crossing_pairs(written(open_, "open-nodes"), sets, percent).join(stars, ["a", "b"], "left_anti")
     second = written(similar_pairs(across, classes, sets, percent), "cross-links")
     # What is left to join are the components of the stars, so only their roots are looked at again.
