@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.storage import stored as written
 
-__all__ = ["crc_mod", "hot_join", "table", "written"]
+__all__ = ["bounded_batches", "crc_mod", "hot_join", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,22 @@ def crc_mod(col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Most rows and bytes of an Arrow batch of whole texts.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to these bounds; a smaller setting of the session's own stays.
+
+    Executors and Python workers hold a batch several times over, and a batch of
+    ten thousand texts has no bounded size.  Results do not depend on it.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+        spark.conf.set(size, BATCH_BYTES)
+
+
 #: A key that holds more than this share of all rows is joined by broadcast; there are fewer such keys than its inverse.
 HOT_SHARE = 1 / 1000
 #: Keys of fewer rows are never hot.

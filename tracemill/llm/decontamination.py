@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import written
+from tracemill.llm.common import bounded_batches, written
 
 #: Words are runs of anything but ASCII characters that are no letter or digit, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,6 +52,7 @@ def words_column(text: Column) -> Column:
 
 def term_counts(docs: DataFrame, text_col: str, terms: set[str]) -> dict[str, int]:
     """Occurrences over all documents of the given terms (at most one block's vocabulary)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(t.encode() for t in terms))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,6 +95,7 @@ def build_index(docs: DataFrame, rarest: set[str], others: set[str], radius: int
     (words up to ``radius`` before and after) is kept for the ``rarest`` terms, so a
     match needs no second look at the document.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(({t.encode() for t in rarest}, {t.encode() for t in rarest | others}))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import hot_join, written
+from tracemill.llm.common import bounded_batches, hot_join, written
 from tracemill.llm.components import connected_components
 
 #: A pair at the threshold shares no band with probability (1 - 0.85 ** 5) ** 25 < 5e-7.
@@ -98,6 +98,7 @@ def fewest_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]
 
 def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id``, ``n``, ``set_key`` (128-bit digest of the shingle set) and ``sig`` of each row."""
+    bounded_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

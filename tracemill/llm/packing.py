@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import written
+from tracemill.llm.common import bounded_batches, written
 
 #: A worker's lexicon is pruned when it holds this many entries (bounded memory; results do not depend on it).
 LEXICON_ENTRIES = 400_000
@@ -129,6 +129,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut each document's ids (with ``end_id`` after them) into pieces of at most ``capacity``."""
+    bounded_batches(docs.sparkSession)
     schema = "start array<long>, length array<long>, crc array<long>, doc_tokens long"
 
     @F.pandas_udf(schema)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import crc_mod
+from tracemill.llm.common import bounded_batches, crc_mod
 
 #: Labelled documents that training reads at most, chosen by hash of the id.
 TRAIN_DOCUMENTS = 20_000
@@ -132,6 +132,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
 
     The chosen labels are bounded by ``most`` rows of an id and a number, hence broadcast.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     total = known.count()
     if total > most:
@@ -158,6 +159,7 @@ def score_quality(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_co
     Null and empty texts have all features zero and get a score like any other;
     repeated rows score alike; ids are only passed through.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import hot_join, written
+from tracemill.llm.common import bounded_batches, hot_join, written
 
 #: Windows that one task sorts together, about; a gram with more of them is counted window by window instead.
 SORTED_TOGETHER = 200_000
@@ -268,6 +268,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int | None = None)
     Runs of exact copies meet in aggregates that combine before the shuffle, told
     apart by 128 bits; where runs of one gram differ, one run stands for all copies of a context.
     """
+    bounded_batches(docs.sparkSession)
     gram = gram or length // 2
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
