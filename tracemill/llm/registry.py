@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontamination, language_id, licenses, near_dedup, nearest, packing, quality, repeats, token_counts, toxicity
+from tracemill.llm import bpe, decontamination, divergence, language_id, licenses, near_dedup, nearest, packing, quality, repeats, spelling, token_counts, toxicity
 from tracemill.llm.common import table
 from tracemill.llm.sql import SQL as _SQL
 
@@ -64,6 +64,21 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), slips=97)
+    return spelling.variant_groups(words)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("byte_bpe_50k.json")
+    both = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -76,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_toxicity": op9_toxicity,
     "op10_repeats": op10_repeats,
+    "op11_spelling": op11_spelling,
+    "op12_bpe": op12_bpe,
+    "op13_divergence": op13_divergence,
 }
 
 #: A vocabulary's merges, models and alignments have no SQL form; those queries are tested against brute force.

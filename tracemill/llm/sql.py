@@ -31,4 +31,21 @@ WITH RECURSIVE d AS (SELECT doc_id, {_PARTS} AS w FROM documents),
  least_of AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.m, d.doc_id)) AS component_id, d.doc_id <= coalesce(l.m, d.doc_id) AS kept
 FROM d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_of l ON l.doc_id = d.doc_id""",
+    "op13_divergence": rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ words AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+ counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY lang, source, term),
+ kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+ groups AS (SELECT DISTINCT lang, source FROM d),
+ sizes AS (SELECT g.lang, count(k.term) AS v, coalesce(sum(k.n), 0) AS n FROM (SELECT DISTINCT lang FROM groups) g LEFT JOIN kept k ON k.lang = g.lang GROUP BY g.lang),
+ cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ totals AS (SELECT lang, source, sum(n) AS n FROM cells GROUP BY lang, source),
+ p AS (SELECT c.lang, c.source, c.term, c.n, 1 + 1000000000::HUGEINT * (c.n + 1) // (t.n + z.v) AS p, 1 + 1000000000::HUGEINT * (c.lang_n + 1) // (z.n + z.v) AS q
+ FROM cells c JOIN totals t ON t.lang = c.lang AND t.source = c.source JOIN sizes z ON z.lang = c.lang),
+ pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+ valued AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+ LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM valued)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
 }
