@@ -261,6 +261,11 @@ def test_pipeline_stages_judge_rows_by_id_and_text(spark, tmp_path):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, 5, 6, 7, 8, 9, 9]) and kept.columns == list(p.COLUMNS)
     left = p.cut_repeats(spark, docs, str(tmp_path)).collect()
     assert Counter(r["doc_id"] for r in left) == Counter([None, None, 5, 5, 8, 9, 9])
+    # Every text survives near-dedup in one row, and with it in the corpus.
+    once = p.keep_one_of_group(spark, docs.unionByName(docs), str(tmp_path))
+    assert Counter(r["text"] for r in once.collect() if r["text"]) == Counter({t for i, t in rows if t})
+    assert Counter(r["doc_id"] for r in p.cut_repeats(spark, once, str(tmp_path)).collect() if r["text"]) == Counter([None, 5, 5, 6, 9])
+    assert p.keep_one_of_group(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert p.drop_contaminated(spark, docs.limit(0), str(tmp_path)).count() == p.cut_repeats(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
@@ -337,6 +342,43 @@ def test_near_groups_lose_no_link_in_a_chain(spark, hot_rows, monkeypatch):
     assert {r["component_id"] for r in groups} == {0}
 
 
+@pytest.mark.parametrize("hot_rows", [1000, 1])
+def test_near_groups_of_rows_that_share_an_id(spark, hot_rows, monkeypatch):
+    """An id with two texts links what is near to either, whichever row stands for a class."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    a, b = [word() + str(i) for i in range(80)], [word() + str(i) for i in range(80)]
+    near = lambda t: " ".join([*t[:79], "changed"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, near(a)), (10, near(b)), (11, prose(40)), (5, None), (12, None), (None, near(b))]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == Counter([(5, 5, True)] * 3 + [(9, 5, False), (10, 5, False), (11, 11, True), (12, 12, True), (None, None, True)])
+
+
+def test_near_groups_with_an_unlinked_member(spark):
+    """Copies of one label that share their rare shingles with a text of another group: the link across is found."""
+    base = [word() + str(i) for i in range(100)]
+    rows = [(i, " ".join([*base[:95], *(f"v{i}x{k}" for k in range(5))])) for i in range(1, 30)]
+    rows += [(50, " ".join(base[:80])), (51, " ".join([*base[:82], "other"]))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in rows}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for x in sets:
+            for y in sets:
+                if 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]):
+                    root[x] = root[y] = min(root[x], root[y])
+    assert got == root
+
+
+def test_one_of_each_keeps_every_text_once(spark):
+    p, q, r = prose(60), prose(60), prose(60)
+    rows = [(6, p, "a"), (6, p, "b"), (None, q, "c"), (None, q, "d"), (8, r, "e"), (10, r.replace(r.split()[30], "changed", 1), "f"), (None, r, "g"), (11, "", "h"), (11, "", "i"), (None, None, "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_id string").repartition(3)
+    left = near_dedup.one_of_each(docs).collect()
+    assert Counter((x["doc_id"], x["text"]) for x in left) == Counter([(6, p), (None, q), (8, r), (11, ""), (11, ""), (None, None)])
+    assert {x["row_id"] for x in left} >= {"a", "c", "e"} and left[0].__fields__ == docs.columns
+    assert near_dedup.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_bayes_table_is_monotone():
     table = near_dedup.fewest_matches(0.85)
     assert [n for n, _ in table] == [*range(16, 129, 16)] and all(a <= b for (_, a), (_, b) in zip(table, table[1:])) and table[-1][1] < 0.85 * 128

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.storage import stored as written
 
-__all__ = ["bounded_batches", "crc_mod", "hot_join", "table", "written"]
+__all__ = ["bounded_batches", "crc_mod", "hot_join", "row_key", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def crc_mod(col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 128-bit row id that a second reading finds again; rows alike in id and text share it."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(text(id_col), F.lit("\0"), text(text_col)).cast("binary")))
+
+
 #: Most rows and bytes of an Arrow batch of whole texts.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import bounded_batches, hot_join, written
+from tracemill.llm.common import bounded_batches, hot_join, row_key, written
 from tracemill.llm.components import connected_components
 
 #: A pair at the threshold shares no band with probability (1 - 0.85 ** 5) ** 25 < 5e-7.
@@ -97,7 +97,7 @@ def fewest_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]
 
 
 def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``n``, ``set_key`` (128-bit digest of the shingle set) and ``sig`` of each row."""
+    """``doc_id``, ``row_id``, ``n``, ``set_key`` (128-bit digest of the shingle set) and ``sig`` of each row."""
     bounded_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,11 +109,11 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
                     ns.append(len(s))
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
                     sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": ns, "set_key": keys, "sig": sigs})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "row_id": batch["row_id"], "n": ns, "set_key": keys, "sig": sigs})
         _words.clear()
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(sign, "doc_id long, n long, set_key string, sig binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(sign, "doc_id long, row_id binary, n long, set_key string, sig binary")
 
 
 def band_members(classes: DataFrame) -> DataFrame:
@@ -186,28 +186,38 @@ def crossing_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     blocks = F.ceil(F.col("p.df") / SHINGLE_ROWS)
     prefixes = prefixes.select("node", "label", "n", (F.col("n") - F.col("at")).alias("rest"), "p.shingle", F.pmod(F.xxhash64("node"), blocks).alias("own"), F.sequence(F.lit(0).cast("long"), blocks - 1).alias("every"))
     prefixes = written(prefixes, "prefixes")
-    x = prefixes.select("shingle", F.col("own").alias("block_a"), F.explode("every").alias("block_b"), F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("size_a"), F.col("rest").alias("rest_a"))
-    y = prefixes.select("shingle", F.explode("every").alias("block_a"), F.col("own").alias("block_b"), F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("size_b"), F.col("rest").alias("rest_b"))
+    # Of a shingle's labels the largest is not paired with itself, so what is tried and thrown away is no more than what has to be tried.
+    labels = prefixes.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = labels.groupBy("shingle").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"), F.sum("c").alias("df")).filter("labels > 1")
+    prefixes = written(hot_join(prefixes, written(mixed.select("shingle", "largest", "df"), "mixed-shingles"), ["shingle"], "df").drop("df"), "mixed-prefixes")
+    x = prefixes.filter("label <> largest").select("shingle", F.col("own").alias("block_a"), F.explode("every").alias("block_b"), F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("size_a"), F.col("rest").alias("rest_a"))
+    y = prefixes.select("shingle", F.explode("every").alias("block_a"), F.col("own").alias("block_b"), F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("size_b"), F.col("rest").alias("rest_b"), (F.col("label") == F.col("largest")).alias("main"))
     # From the first common shingle on, no more can be common than either has left.
     fits = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("size_a") + F.col("size_b"))
-    return x.join(y, ["shingle", "block_a", "block_b"]).filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & fits).select("a", "b").distinct()
+    return x.join(y, ["shingle", "block_a", "block_b"]).filter((F.col("main") | (F.col("a") < F.col("b"))) & (F.col("label_a") != F.col("label_b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of documents linked by the Jaccard similarity of their word shingles.
+def shared_ids(linked: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (``a``, ``b``) that hold together the classes of rows with one and the same id."""
+    several = linked.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("doc_id is not null and lo <> hi").select("doc_id")
+    owned = written(linked.join(several, "doc_id").select("doc_id", "set_key").distinct().join(classes.select("set_key", "node"), "set_key").select("doc_id", "node"), "shared-ids")
+    least = owned.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return owned.join(least, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")
 
-    Returns a row for each input row: ``doc_id``, ``n_shingles``, ``component_id`` (the
-    smallest id reachable, its own included) and ``kept`` (``doc_id = component_id``).
-    A text of fewer than ``size`` words is one shingle; null texts and texts
-    without words have none and link with nothing; a row with a null id is kept
-    by itself with a null ``component_id``; rows that share an id count as one
-    document; an empty table gives no rows.  Only the two named columns are read.
+
+def row_groups(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text", by_id: bool = False) -> DataFrame:
+    """``doc_id``, ``row_id`` (see ``row_key``), ``n`` and ``part`` of each input row; rows linked directly or through others have one ``part``.
+
+    ``part`` is null for rows without shingles.  With ``by_id`` it is null for rows
+    without an id as well, and rows that share an id are in one part.
     """
-    signed = written(signatures(docs, size, id_col, text_col), "signatures")
-    linked = signed.filter("n > 0 and doc_id is not null")
-    classes = written(
-        linked.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("met")), "classes"
-    )
+    signed = written(signatures(docs, size, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    takes_part = (F.col("n") > 0) & F.col("doc_id").isNotNull() if by_id else F.col("n") > 0
+    linked = signed.filter(takes_part)
+    # A class is numbered by the first of its rows and stands for all of them.
+    one = F.min(F.struct("row", "row_id")).alias("one")
+    classes = linked.groupBy("set_key").agg(one, F.min("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("met"))
+    classes = written(classes.select("set_key", F.col("one.row").alias("node"), F.col("one.row_id").alias("row_id"), "n", "sig", "met"), "classes")
     members = written(band_members(classes), "scored-members")
     nodes = members.select("node").distinct()
 
@@ -215,16 +225,17 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str =
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([s.view(np.int64) for s in shingle_sets(texts.tolist(), size)])
 
-    wanted = classes.select("node", "set_key").join(nodes, "node")
-    one = linked.select(F.col("doc_id").alias("node"), "set_key").join(wanted, ["node", "set_key"]).select("node").distinct()
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(one, "node")
+    # Rows with one row_id are alike, so whichever of them is met has the class's text.
+    wanted = classes.select("node", "row_id").join(nodes, "node")
+    texts = docs.select(row_key(id_col, text_col).alias("row_id"), F.col(text_col).alias("text")).join(wanted, "row_id")
     sets = written(texts.groupBy("node").agg(F.max("text").alias("text")).select("node", shingles("text").alias("shingles")), "shingle-sets")
 
     # A large group of near copies shares its buckets, so these are joined as hot keys.
     leaders = members.groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("score"), F.col("node"))).alias("leader"), F.count(F.lit(1)).alias("met"))
     stars = hot_join(members, written(leaders, "leaders"), ["bucket"], "met").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     stars = written(stars, "star-pairs")
-    first = written(similar_pairs(stars, classes, sets, percent), "star-links")
+    links = similar_pairs(stars, classes, sets, percent)
+    first = written(links.unionByName(shared_ids(linked, classes)) if by_id else links, "star-links")
     parts = written(connected_components(first), "star-components")
     labelled = members.join(parts, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
     split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("met")).filter("lo <> hi").select("bucket", "met")
@@ -240,7 +251,47 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str =
     nodes = parts.unionByName(joined.join(parts, "node", "left_anti").select("node", F.col("node").alias("root")))
     roots = nodes.join(joined.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
     # Every class finds its component once, and its rows find their class.
-    found = written(classes.join(roots, "node", "left").select("set_key", "met", F.coalesce("root", "node").alias("component_id")), "class-components")
-    out = hot_join(linked, found, ["set_key"], "met").select("doc_id", "n", "component_id")
-    alone = signed.filter(~F.coalesce((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.lit(False))).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    found = written(classes.join(roots, "node", "left").select("set_key", "met", F.coalesce("root", "node").alias("part")), "class-components")
+    out = hot_join(linked, found, ["set_key"], "met").select("doc_id", "row_id", "n", "part")
+    return out.unionByName(signed.filter(~takes_part).select("doc_id", "row_id", "n", F.lit(None).cast("long").alias("part")))
+
+
+def near_groups(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Components of documents linked by the Jaccard similarity of their word shingles.
+
+    Returns a row for each input row: ``doc_id``, ``n_shingles``, ``component_id`` (the
+    smallest id reachable, its own included) and ``kept`` (``doc_id = component_id``).
+    A text of fewer than ``size`` words is one shingle; null texts and texts
+    without words have none and link with nothing; a row with a null id is kept
+    by itself with a null ``component_id``; rows that share an id are linked with
+    each other whatever their texts; an empty table gives no rows.  Only the two named columns are read.
+    """
+    rows = written(row_groups(docs, size, percent, id_col, text_col, by_id=True), "row-groups")
+    linked = rows.filter("part is not null")
+    least = linked.groupBy("part").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("met"))
+    out = hot_join(linked, written(least, "least-ids"), ["part"], "met").select("doc_id", "n", "component_id")
+    # A row without shingles belongs to the document of its id, if that has others.
+    alone = rows.filter("part is null").select("doc_id", "n")
+    of_id = linked.join(alone.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "part").distinct().join(least.select("part", "component_id"), "part").select("doc_id", "component_id").distinct()
+    alone = alone.join(of_id, "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest id (null last), of several the one of the least text digest.
+
+    Every row is compared for itself, whatever its id: rows with a null id like any
+    other, and of rows alike in id and text one stays.  Rows without a word stay all.  All columns are kept; where
+    repeated rows differ in another column the least of them stays.
+    """
+    rows = written(row_groups(docs, size, percent, id_col, text_col).filter("part is not null").select("doc_id", "row_id", "part"), "row-groups")
+    best = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("b")).select("b.row_id")
+    each = written(rows.groupBy("row_id").agg(F.count(F.lit(1)).alias("rows")).join(best.withColumn("stays", F.lit(True)), "row_id", "left"), "row-decisions")
+    keyed = docs.withColumn("_near_row", row_key(id_col, text_col))
+    named = lambda rows: rows.select(F.col("row_id").alias("_near_row"))
+    repeated = named(each.filter("stays and rows > 1"))
+    left = keyed.join(named(each.filter("stays is null or rows > 1")), "_near_row", "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return left
+    whole = F.struct(*docs.columns)
+    return left.unionByName(keyed.join(repeated, "_near_row").groupBy("_near_row").agg(F.min(whole).alias("r")).select("r.*"))

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import bounded_batches, hot_join, written
+from tracemill.llm.common import bounded_batches, hot_join, row_key, written
 
 #: Windows that one task sorts together, about; a gram with more of them is counted window by window instead.
 SORTED_TOGETHER = 200_000
@@ -342,7 +342,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int | None = None)
         out = pd.DataFrame({"least": least, "start": at + start, "n": 1, "single": single, "bytes": None, "h1": h.view(np.int64), "h2": np.array(second, np.uint64).view(np.int64)})
         return out.assign(row_id=[row_id] * len(out))[[*columns, "h1", "h2"]]
 
-    fetched = docs.join(lists, "row_id").mapInPandas(fetch, "row_id binary, least long, start int, n int, single boolean, bytes binary, h1 long, h2 long")
+    # Of rows alike in id and text one is fetched.
+    fetched = docs.join(lists, "row_id").dropDuplicates(["row_id"]).mapInPandas(fetch, "row_id binary, least long, start int, n int, single boolean, bytes binary, h1 long, h2 long")
     fetched = written(fetched, "suffixes")
 
     # Few large grams aside, a bucket holds about SORTED_TOGETHER windows, and at most that many of one gram.
@@ -380,12 +381,6 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int | None = None)
     return covered.groupBy("row_id").agg(F.collect_list("start").alias("s"), F.collect_list("n").alias("c")).select("row_id", joined("s", "c").alias("spans"))
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """A 128-bit row id that a second reading finds again; rows alike in id and text share it."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return F.unhex(F.md5(F.concat(text(id_col), F.lit("\0"), text(text_col)).cast("binary")))
-
-
 def cut(text: str | None, spans: list | None) -> bytes:
     """What is left of the text's bytes without the spans."""
     data = _utf8(text)
