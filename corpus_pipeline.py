@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import decontamination, near_dedup, packing, quality, repeats
-from tracemill.llm.common import crc_mod, table, written
+from tracemill.llm.common import crc_mod, row_key, table, written
 from tracemill.llm.registry import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,11 +24,10 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The document of smallest id of each near-duplicate group, and every document that is in none.
 
     Shingles of five words and a similarity of 0.8, the pipeline's own setting.
+    Rows are told apart by id and text: of repeated rows, of rows that share an id and of
+    copies without an id one stays as well, so every text that had a group survives in one row.
     """
-    groups = near_dedup.near_groups(docs, size=5, percent=80)
-    gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    # Of rows that share an id one stays as well.
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return near_dedup.one_of_each(docs.select(*COLUMNS), size=5, percent=80)
 
 
 #: A passage of over 50 words of prose has more bytes than this; the shortest one of check_s that two documents share has 248.
@@ -49,7 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows are told apart by a digest of id and text, so null ids and rows that
     share an id are judged each for itself.
     """
-    keyed = docs.withColumn("_row", F.hex(repeats.row_key("doc_id", "text")))
+    keyed = docs.withColumn("_row", F.hex(row_key("doc_id", "text")))
     found = decontamination.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="_row")
     return keyed.join(found.filter("contaminated").select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*COLUMNS)
 
