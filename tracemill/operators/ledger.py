@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.storage import stored
+from tracemill.operators.scan import running_sum
+
 
 def share_of(total: Column, whole: Column) -> Column:
     """0 where there is nothing to share."""
@@ -84,19 +87,10 @@ def excluded_counts(rows: DataFrame, filters: Sequence[tuple[str, Column]]) -> t
     return rows.filter(passed), rows.agg(*counts, F.count_if(passed).alias("kept"))
 
 
-def placed_by(rows: DataFrame, amount: str, tie: str, parts: int = 1000) -> DataFrame:
-    """Add ``place`` (from 1, largest ``amount`` first, ties to the smaller ``tie``).
+def placed_by(rows: DataFrame, amount: str, tie: str) -> DataFrame:
+    """Add ``place`` (from 1, largest ``amount`` first, nulls last, ties to the smaller ``tie``).
 
-    Rows are dealt into ``parts`` ranges of the amount, whose counts give each
-    range its first place, so no task orders all rows.
+    Rows are dealt into ranges by sampled quantiles, so no task orders all rows and
+    none has more than its share, however uneven the amounts are.
     """
-    lo, hi = rows.agg(F.min(amount), F.max(amount)).first()
-    if lo is None:
-        return rows.withColumn("place", F.lit(0).cast("long"))
-    part = F.floor((F.lit(hi) - F.col(amount)) * F.lit(parts).cast("double") / F.lit(float(hi - lo + 1))).cast("long")
-    dealt = rows.withColumn("_part", F.coalesce(part, F.lit(parts).cast("long")))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # At most ``parts`` + 1 rows are ordered and broadcast here.
-    firsts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("_part").orderBy(F.desc(amount), tie)
-    return dealt.withColumn("_r", F.row_number().over(within)).join(F.broadcast(firsts), "_part").withColumn("place", F.col("_first") + F.col("_r")).drop("_part", "_r", "_first")
+    return running_sum(stored(rows, "placed"), F.lit(1), [F.desc(amount), tie], name="place").withColumn("place", (F.col("place") + 1).cast("long"))

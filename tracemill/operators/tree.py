@@ -2,40 +2,111 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.storage import stored
+from tracemill.operators.scan import running_sum
+
+
+class Circle(ValueError):
+    """Chains of parents that go round."""
+
+
+def _first_jumps(nodes: DataFrame, node: str, parent: str, scope: Sequence[str]) -> DataFrame:
+    ids = nodes.select(*scope, F.col(node).alias("_up"))
+    return nodes.select(*scope, node, F.col(parent).alias("_up")).filter(F.col("_up").isNotNull()).join(ids, [*scope, "_up"], "left_semi")
+
+
+def _jumps(nodes: DataFrame, node: str, parent: str, scope: Sequence[str]) -> Iterator[DataFrame]:
+    """Tables (``node``, ``_up``) of the ancestors 1, 2, 4, ... steps above, each stored, until no chain is as long.
+
+    In a forest every length that is met has a node whose chain ends there, so the
+    tables shrink from one to the next; where one does not, what is left goes round.
+    """
+    now, left = _first_jumps(nodes, node, parent, scope), None
+    while True:
+        now = stored(now, "jumps")
+        n = now.count()
+        if not n:
+            return
+        if n == left:
+            raise Circle(f"chains of {parent} above {node} go round in a circle")
+        left = n
+        yield now
+        above = now.select(*scope, F.col(node).alias("_up"), F.col("_up").alias("_top"))
+        now = now.join(above, [*scope, "_up"]).select(*scope, node, F.col("_top").alias("_up"))
+
 
 def ancestors(nodes: DataFrame, node: str, parent: str, scope: Sequence[str] = ()) -> DataFrame:
     """``node``, ``ancestor`` and ``distance`` for every node and each node above it, itself included.
 
-    Pointer doubling: round k knows all ancestors nearer than 2**k and the one
-    at 2**k, so a forest of any depth takes the logarithm of its depth in rounds,
-    each stored in the shared folder.  A parent that is no node ends the chain; a cycle raises ValueError.
+    As many rows as there are pairs of a node and an ancestor; sums over subtrees and along
+    chains need no such table (``rollup``, ``climb``).  Round k knows all ancestors
+    nearer than 2**k.  A parent that is no node ends the chain; a cycle raises ``Circle``.
     """
-    on = [*scope, "_up"]
-    ids = nodes.select(*scope, F.col(node).alias("_up"))
-    jumps = stored(nodes.select(*scope, node, F.col(parent).alias("_up")).filter(F.col("_up").isNotNull()).join(ids, on, "left_semi"), "jumps")
-    found = stored(nodes.select(*scope, node, F.col(node).alias("ancestor"), F.lit(0).alias("distance")), "ancestors")
-    span, most = 1, nodes.count()
-    while not jumps.isEmpty():
-        if span > most:
-            raise ValueError(f"chains of {parent} above {node} go round in a circle")
+    found, span = nodes.select(*scope, node, F.col(node).alias("ancestor"), F.lit(0).alias("distance")), 1
+    for jumps in _jumps(nodes, node, parent, scope):
+        found = stored(found, "ancestors")
         above = found.select(*scope, F.col(node).alias("_up"), "ancestor", (F.col("distance") + span).alias("distance"))
-        further = jumps.join(above, on).select(*scope, node, "ancestor", "distance")
-        next_jumps = jumps.select(*scope, F.col(node).alias("_up"), F.col("_up").alias("_top"))
-        next_jumps = jumps.join(next_jumps, on).select(*scope, node, F.col("_top").alias("_up"))
-        found, jumps = stored(found.unionByName(further), "ancestors"), stored(next_jumps, "jumps")
+        found = found.unionByName(jumps.join(above, [*scope, "_up"]).select(*scope, node, "ancestor", "distance"))
         span *= 2
-    return found
+    return stored(found, "ancestors")
+
+
+#: Rounds whose sums are left to one plan before they are stored.
+ROUNDS_A_PLAN = 5
 
 
-def rollup(nodes: DataFrame, closure: DataFrame, node: str, sums: Sequence[Column], scope: Sequence[str] = ()) -> DataFrame:
-    """Aggregates over each node's subtree.  A condition inside ``sums`` makes it a partial rollup of the same pass."""
-    return closure.join(nodes, [*scope, node]).groupBy(*scope, F.col("ancestor").alias("root")).agg(*sums)
+def rollup(nodes: DataFrame, node: str, parent: str, measures: Sequence[tuple[str, str, Column]], scope: Sequence[str] = ()) -> DataFrame:
+    """Aggregates over each node's subtree: ``node`` and one column for each measure (name, ``sum``, ``min`` or ``max``, value).
+
+    A condition inside a value makes it a partial rollup of the same pass.  After
+    round k a node holds what its descendants nearer than 2**k steps hold; each
+    then hands its figure on to the ancestor 2**k steps above.  So a round has
+    two rows a node and the rounds grow with the logarithm of the depth; there is no
+    table of nodes and ancestors.  What a node receives is aggregated before the
+    shuffle, so a node with very many children is no burden to one task.  Node
+    ids are unique within ``scope``; a cycle raises ``Circle``.
+    """
+    merge = {"sum": F.sum, "min": F.min, "max": F.max}
+    state = nodes.select(*scope, node, *[value.alias(name) for name, _, value in measures])
+    for k, jumps in enumerate(_jumps(nodes, node, parent, scope), 1):
+        to = F.when(F.col("_up").isNull(), F.array(node)).otherwise(F.array(node, "_up"))
+        sent = state.join(jumps, [*scope, node], "left").select(*scope, F.explode(to).alias(node), *[name for name, _, _ in measures])
+        state = sent.groupBy(*scope, node).agg(*[merge[kind](name).alias(name) for name, kind, _ in measures])
+        if k % ROUNDS_A_PLAN == 0:
+            state = stored(state, "subtrees")
+    return state
+
+
+def climb(nodes: DataFrame, node: str, parent: str, sums: Sequence[tuple[str, Column]] = (), scope: Sequence[str] = ()) -> DataFrame:
+    """``node``, ``top`` (the root above it, or itself), ``depth`` and, for each (name, value), the sum over the node and all above it.
+
+    Pointers double, so the rounds grow with the logarithm of the depth and each has a
+    row a node.  A parent that is no node ends the chain; a cycle raises ``Circle``.
+    """
+    up = _first_jumps(nodes, node, parent, scope)
+    state = nodes.select(*scope, node, *[value.alias(name) for name, value in sums]).join(up, [*scope, node], "left")
+    state = state.withColumn("top", F.coalesce("_up", node)).withColumn("depth", F.when(F.col("_up").isNull(), 0).otherwise(1).cast("long"))
+    left = None
+    while True:
+        state = stored(state, "chains")
+        n = state.filter("_up is not null").count()
+        if not n:
+            return state.drop("_up")
+        if n == left:
+            raise Circle(f"chains of {parent} above {node} go round in a circle")
+        left = n
+        names = [name for name, _ in sums]
+        above = state.select(*scope, F.col(node).alias("_up"), F.col("_up").alias("_next"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), *[F.col(c).alias(f"_{c}") for c in names])
+        both = state.join(above, [*scope, "_up"], "left")
+        state = both.select(
+            *scope, node, *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in names],
+            F.col("_next").alias("_up"), F.coalesce("_top", "top").alias("top"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+        )
 
 
 def orphans(nodes: DataFrame, node: str, parent: str, scope: Sequence[str] = ()) -> DataFrame:
@@ -45,27 +116,28 @@ def orphans(nodes: DataFrame, node: str, parent: str, scope: Sequence[str] = ())
     return lost.withColumn("why", F.concat(F.lit("parent "), F.col(parent).cast("string"), F.lit(" not found")))
 
 
-def post_order(closure: DataFrame, node: str, rank: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """``node`` and a sort key that puts every subtree before its root and siblings in the order of ``rank`` (``node``, ``sibling``)."""
-    ranked = rank.select(*scope, F.col(node).alias("ancestor"), F.lpad(F.col("sibling").cast("string"), 20, "0").alias("_s"))
-    steps = closure.join(ranked, [*scope, "ancestor"])
-    path = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "_s")))
-    return steps.groupBy(*scope, node).agg(F.concat(F.array_join(F.transform(path, lambda x: x["_s"]), "/"), F.lit("~")).alias("post_key"))
+def sibling_offsets(nodes: DataFrame, node: str, parent: str, width: str, order: Sequence[Column | str], scope: Sequence[str] = ()) -> DataFrame:
+    """Add ``offset``: the widths of the siblings before each node; 0 for a node without a parent among the nodes."""
+    known = _first_jumps(nodes, node, parent, scope)
+    placed = stored(nodes.join(known, [*scope, node], "left"), "siblings")
+    below = running_sum(placed.filter("_up is not null"), F.col(width), [*order, node], [*scope, "_up"], "offset")
+    return below.unionByName(placed.filter("_up is null").withColumn("offset", F.lit(0).cast("long"))).drop("_up")
 
 
-def token_layout(nodes: DataFrame, closure: DataFrame, node: str, own: str, keys: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """``start`` and ``end`` of each node on a token axis.
+def token_layout(nodes: DataFrame, node: str, parent: str, own: str, order: Sequence[Column | str], scope: Sequence[str] = ()) -> DataFrame:
+    """Add ``width``, ``start`` and ``end`` of each node on its tree's token axis, which begins at 0.
 
-    A node is as wide as its own tokens and its children's, a leaf at least
-    one; children lie end to end, the node's own after them.  In post-order that
-    is a running sum less the subtree's sum.
+    A node is as wide as its own tokens and its children's, a leaf at least one; children
+    lie end to end in ``order`` (ties by id), the node's own after them.  A node starts
+    where the offsets among siblings of itself and of all above it add up to.  With
+    ``own`` 1 everywhere ``end`` is the node's number in post-order.
     """
-    inner = closure.filter("distance = 1").select(*scope, F.col("ancestor").alias(node)).distinct().withColumn("_inner", F.lit(True))
-    wide = nodes.join(inner, [*scope, node], "left").withColumn("_w", F.when(F.col("_inner"), F.col(own)).otherwise(F.greatest(F.col(own), F.lit(1))))
-    below = rollup(wide.select(*scope, node, "_w"), closure, node, [F.sum("_w").alias("width")], scope).withColumnRenamed("root", node)
-    w = Window.partitionBy(*scope).orderBy("post_key").rowsBetween(Window.unboundedPreceding, 0) if scope else Window.orderBy("post_key").rowsBetween(Window.unboundedPreceding, 0)
-    laid = wide.join(keys, [*scope, node]).join(below, [*scope, node]).withColumn("end", F.sum("_w").over(w))
-    return laid.withColumn("start", F.col("end") - F.col("width")).drop("_inner", "_w", "post_key")
+    inner = _first_jumps(nodes, node, parent, scope).select(*scope, F.col("_up").alias(node)).distinct().withColumn("_inner", F.lit(True))
+    wide = nodes.join(inner, [*scope, node], "left").withColumn("_w", F.when(F.col("_inner"), F.col(own)).otherwise(F.greatest(F.col(own), F.lit(1))).cast("long")).drop("_inner")
+    widths = rollup(wide, node, parent, [("width", "sum", F.col("_w"))], scope)
+    laid = stored(sibling_offsets(wide.drop("_w").join(widths, [*scope, node]), node, parent, "width", order, scope), "laid")
+    starts = climb(laid, node, parent, [("start", F.col("offset"))], scope).select(*scope, node, "start")
+    return laid.drop("offset").join(starts, [*scope, node]).withColumn("end", F.col("start") + F.col("width"))
 
 
 HOP = "array<struct<agent_id:string,agent_type:string,spawned_at_call:int,via:string>>"

@@ -356,9 +356,7 @@ def output_totals(spark, d):
 
 @query
 def forest_depth(spark, d):
-    n = part_forest(spark, d)
-    up = tree.ancestors(n, "id", "parent")
-    return up.groupBy("id").agg(F.max("distance").cast("long").alias("depth"), F.max_by("ancestor", "distance").alias("top"))
+    return tree.climb(part_forest(spark, d), "id", "parent").select("id", "depth", "top")
 
 
 @query
@@ -369,20 +367,21 @@ def forest_orphans(spark, d):
 @query
 def tree_rollup(spark, d):
     n = part_forest(spark, d)
-    up = tree.ancestors(n, "id", "parent")
-    some = F.col("brand") == "Brand#11"
-    out = tree.rollup(n, up, "id", [F.sum("own").alias("tokens"), F.sum(F.when(some, F.col("own")).otherwise(0)).alias("brand_tokens"), F.count(F.lit(1)).alias("nodes"), F.max("own").alias("widest")])
-    return out.select("root", "tokens", "brand_tokens", "nodes", "widest")
+    some = F.when(F.col("brand") == "Brand#11", F.col("own")).otherwise(0)
+    out = tree.rollup(n, "id", "parent", [("tokens", "sum", F.col("own")), ("brand_tokens", "sum", some), ("nodes", "sum", F.lit(1)), ("widest", "max", F.col("own"))])
+    return out.select(F.col("id").alias("root"), *[_l(c).alias(c) for c in ("tokens", "brand_tokens", "nodes", "widest")])
+
+
+@query
+def tree_ancestors(spark, d):
+    """Every node with each node above it."""
+    return tree.ancestors(part_forest(spark, d), "id", "parent").select("id", "ancestor", _l("distance").alias("distance"))
 
 
 @query
 def token_layout(spark, d):
-    n = part_forest(spark, d)
-    up = tree.ancestors(n, "id", "parent")
-    top = up.groupBy("id").agg(F.max_by("ancestor", "distance").alias("tree"))
-    n, up = n.join(top, "id"), up.join(top, "id")
-    keys = tree.post_order(up, "id", n.select("tree", "id", F.col("id").alias("sibling")), ["tree"])
-    return tree.token_layout(n, up, "id", "own", keys, ["tree"]).select("id", _l("start").alias("start"), _l("end").alias("end"), _l("width").alias("width"))
+    laid = tree.token_layout(part_forest(spark, d), "id", "parent", "own", ["id"])
+    return laid.select("id", _l("start").alias("start"), _l("end").alias("end"), _l("width").alias("width"))
 
 
 @query
@@ -514,7 +513,7 @@ def corpus_report(spark, d):
 def depth_disagreements(spark, d):
     """Nodes whose declared depth (the digits of their id in base 4) is not the one they resolve to."""
     n = part_forest(spark, d)
-    depth = tree.ancestors(n, "id", "parent").groupBy("id").agg(F.max("distance").cast("long").alias("depth"))
+    depth = tree.climb(n, "id", "parent").select("id", "depth")
     declared = F.length(F.conv(F.col("id").cast("string"), 10, 4)).cast("long") - F.when(F.col("id") == 0, 1).otherwise(0)
     both = depth.withColumn("declared", declared)
     return both.filter("declared <> depth").select("id", "declared", "depth")

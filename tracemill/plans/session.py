@@ -160,9 +160,9 @@ def spans_of(calls: DataFrame, tools: DataFrame, turns: DataFrame, forest: DataF
 
 def rolled_up(spans: DataFrame) -> DataFrame:
     """Spans with the exact usage of all below them, and extents that reach over their children."""
-    up = tree.ancestors(spans, "span_id", "parent_id", ["session_id"])
-    sums = [F.sum(c).alias(f"all_{c}") for c in ("input", "cache_creation", "cache_read", "output")] + [F.min("ts_start").alias("first_ts"), F.max("ts_end").alias("last_ts")]
-    return spans.join(tree.rollup(spans, up, "span_id", sums, ["session_id"]).withColumnRenamed("root", "span_id"), ["session_id", "span_id"])
+    spans = stored(spans, "spans")
+    measures = [(f"all_{c}", "sum", F.col(c)) for c in ("input", "cache_creation", "cache_read", "output")] + [("first_ts", "min", F.col("ts_start")), ("last_ts", "max", F.col("ts_end"))]
+    return spans.join(tree.rollup(spans, "span_id", "parent_id", measures, ["session_id"]), ["session_id", "span_id"])
 
 
 def analyze(spark: SparkSession, root: str) -> Analysis:

@@ -100,6 +100,7 @@ SQL: dict[str, str] = {
     "forest_depth": f"WITH RECURSIVE {_PARTS}, d AS (SELECT id, max(distance) AS depth FROM up GROUP BY id) SELECT d.id, d.depth, u.ancestor AS top FROM d JOIN up u ON u.id = d.id AND u.distance = d.depth",
     "forest_orphans": "SELECT p_partkey AS id, 'parent -' || CAST(p_partkey // 4 AS VARCHAR) || ' not found' AS why FROM part WHERE (p_partkey // 4) % 50 = 7",
     "tree_rollup": f"WITH RECURSIVE {_PARTS} SELECT u.ancestor AS root, CAST(sum(n.own) AS BIGINT) AS tokens, CAST(sum(CASE WHEN n.brand = 'Brand#11' THEN n.own ELSE 0 END) AS BIGINT) AS brand_tokens, count(*) AS nodes, max(n.own) AS widest FROM up u JOIN nodes n ON n.id = u.id GROUP BY u.ancestor",
+    "tree_ancestors": f"WITH RECURSIVE {_PARTS} SELECT id, ancestor, distance FROM up",
     "token_layout": f"""WITH RECURSIVE {_PARTS}, tops AS (SELECT id, arg_max(ancestor, distance) AS tree FROM up GROUP BY id), steps AS (SELECT u.id, string_agg(lpad(CAST(u.ancestor AS VARCHAR), 20, '0'), '/' ORDER BY u.distance DESC) || '~' AS k FROM up u GROUP BY u.id),
  w AS (SELECT n.id, CASE WHEN n.id IN (SELECT parent FROM nodes WHERE parent IS NOT NULL) THEN n.own ELSE greatest(n.own, 1) END AS w FROM nodes n),
  sub AS (SELECT u.ancestor AS id, sum(w.w) AS width FROM up u JOIN w ON w.id = u.id GROUP BY u.ancestor),
