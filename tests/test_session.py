@@ -129,8 +129,8 @@ def test_lines_that_no_column_can_hold(spark):
     """Numbers beyond 64 bits, infinite ones, lone surrogates and deep nesting give records, and the job goes on."""
     usage = '{"type":"assistant","requestId":"r","message":{"usage":{"input_tokens":%s,"cache_creation":{"a":%s,"b":1}}}}'
     lines = [usage % ("1e999", "9" * 30), usage % ("-1e999", "9" * 5000), '{"type":"system","durationMs":1e400}', '{"type":"user","uuid":"\\ud800","message":{"content":"a\\ud83d"}}', "[" * 100_000, '{"type":"user","message":{"content":' + "[" * 900 + "]" * 900 + "}}", '{"type":"attachment","attachment":{"x":1e999},"timestamp":"0001-01-01T00:00:00+14:00"}']
-    files = spark.createDataFrame([("s", "", "p", "\n".join(lines))], "session_id string, conv_id string, project string, value string")
-    rows = {r["line_no"]: r for r in transcripts.parse_records(files).collect()}
+    table = spark.createDataFrame([("s", "", "p", i, x) for i, x in enumerate(lines)], "session_id string, conv_id string, project string, line_no long, value string")
+    rows = {r["line_no"]: r for r in transcripts.parse_lines(table).collect()}
     assert len(rows) == 7 and [rows[i]["input"] for i in (0, 1)] == [2**63 - 1, -(2**63)] and rows[0]["cache_creation"] == 2**63 - 1
     assert rows[2]["duration_ms"] == 2**63 - 1 and rows[3]["uuid"] == "\ufffd" and rows[3]["snippet"] == "a\ufffd" and rows[4]["kind"] == "unparseable" and rows[6]["chars"] == 10
 

@@ -19,6 +19,7 @@ CONV = ["session_id", "conv_id"]
 class Analysis:
     """Tables of a corpus; each is lazy but for what later tables share."""
 
+    sessions: DataFrame
     records: DataFrame
     calls: DataFrame
     tools: DataFrame
@@ -165,18 +166,23 @@ def rolled_up(spans: DataFrame) -> DataFrame:
     return spans.join(tree.rollup(spans, "span_id", "parent_id", measures, ["session_id"]), ["session_id", "span_id"])
 
 
-def analyze(spark: SparkSession, root: str) -> Analysis:
-    """All tables of the corpus below ``root``; records are parsed once and stored."""
-    files = transcripts.read_transcripts(spark, root)
-    records = stored(transcripts.parse_records(files), "records")
-    metas = transcripts.read_spawn_meta(spark, root)
+def analyze(spark: SparkSession, root: str, picked: DataFrame | None = None) -> Analysis:
+    """All tables of the corpus below ``root``, or of its ``picked`` sessions (see ``transcripts.in_scope``); records are parsed once and stored."""
+    files = transcripts.discover(spark, root)
+    paths = None
+    if picked is not None:
+        paths = transcripts.picked_paths(files, picked)
+        files = files.join(picked.select("project", "session_id"), ["project", "session_id"], "left_semi")
+    files = stored(files, "files")
+    records = stored(transcripts.parse_lines(transcripts.read_lines(spark, root, paths)), "records")
+    metas = transcripts.read_spawn_meta(spark, root, paths)
     seen = sequence.calls_seen(records, CONV, "line_no", F.when(F.col("kind") == "assistant", F.col("request_id")))
     calls = stored(calls_of(records), "calls")
     uses, results = tool_tables(records, calls)
     first = calls.filter("call_index = 0").select("session_id", F.col("conv_id").alias("agent_id"), F.col("ts_ms").alias("first_ts"))
-    known = files.filter("conv_id <> ''").select("session_id", F.col("conv_id").alias("agent_id"))
+    known = files.filter("conv_id <> '' and half = 'transcript'").select("session_id", F.col("conv_id").alias("agent_id"))
     candidates = metas.join(known, ["session_id", "agent_id"], "left_semi").join(first, ["session_id", "agent_id"], "left").fillna(0, ["first_ts"])
     forest = tree.resolve_spawns(candidates, uses.select(*CONV, "tool_use_id", F.col("call_index").cast("int").alias("call_index")), calls.select(*CONV, "call_index", F.col("ts_ms").alias("ts")))
     forest = stored(forest.join(metas.select("session_id", "agent_id", "agent_type", "description", "tool_use_id", "declared_depth"), ["session_id", "agent_id"], "left"), "forest")
     tools, turns = tools_of(uses, results), turns_of(seen, calls)
-    return Analysis(records, calls, tools, arrivals_of(seen, calls, uses, results), turns, forest, labels_of(calls, forest, metas), spans_of(calls, tools, turns, forest))
+    return Analysis(stored(transcripts.sessions_of(files), "sessions"), records, calls, tools, arrivals_of(seen, calls, uses, results), turns, forest, labels_of(calls, forest, metas), spans_of(calls, tools, turns, forest))

@@ -6,13 +6,14 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator, Mapping
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.tokens import INPUT_CAP, SNIPPET_LENGTH
+from tracemill.operators.ledger import excluded_counts
 
 #: Line types that are known and carry nothing to count.
 META_TYPES = frozenset(
@@ -42,6 +43,9 @@ def corpus_root(explicit: str | None = None, env: Mapping[str, str] = os.environ
     return f"{home}/.claude/projects"
 
 
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
 # --- one line -------------------------------------------------------------
 
 
@@ -113,7 +117,7 @@ def instant(v: object) -> int:
     """Milliseconds since 1970, 0 for what is no time; without a zone it is UTC."""
     try:
         t = datetime.fromisoformat(v) if isinstance(v, str) else None
-        return int((t if t.tzinfo else t.replace(tzinfo=timezone.utc)).timestamp() * 1000) if t else 0
+        return ((t if t.tzinfo else t.replace(tzinfo=timezone.utc)) - _EPOCH) // timedelta(milliseconds=1) if t else 0
     except (ValueError, OverflowError):
         return 0
 
@@ -230,6 +234,10 @@ def _path_parts(path: Column, agent: bool) -> list[Column]:
     return [part(1).alias("project"), part(2).alias("session_id"), (part(3) if agent else F.lit("")).alias("conv_id")]
 
 
+def _absent(none: Exception) -> bool:
+    return "PATH_NOT_FOUND" in str(none)
+
+
 def _files(spark: SparkSession, glob: str, agent: bool) -> DataFrame:
     path = F.col("_metadata.file_path")
     return spark.read.text(glob, wholetext=True).select(
@@ -237,27 +245,118 @@ def _files(spark: SparkSession, glob: str, agent: bool) -> DataFrame:
     )
 
 
-def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root`` as one row with its text; spawned agents have a ``conv_id``.
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """``project``, ``session_id``, ``conv_id``, ``half`` (transcript or meta), ``path``, ``bytes`` and ``mtime`` of every file below ``root``.
 
-    A file is read whole, since its order has meaning; files are a few megabytes.
+    Only file metadata is read; no file is opened.
     """
-    own = _files(spark, f"{root}/*/*.jsonl", False)
-    try:
-        return own.unionByName(_files(spark, f"{root}/*/*/subagents/*.jsonl", True))
-    except Exception as none:  # no session has spawned anything
-        if "PATH_NOT_FOUND" not in str(none):
-            raise
-        return own
+    out = None
+    for glob, agent, half in ((f"{root}/*/*.jsonl", False, "transcript"), (f"{root}/*/*/subagents/agent-*.jsonl", True, "transcript"), (f"{root}/*/*/subagents/agent-*.meta.json", True, "meta")):
+        try:
+            files = spark.read.format("binaryFile").load(glob)
+        except Exception as none:
+            if not _absent(none):
+                raise
+            continue
+        part = files.select(*_path_parts(F.col("path"), agent), F.lit(half).alias("half"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"))
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "project string, session_id string, conv_id string, half string, path string, bytes long, mtime timestamp") if out is None else out
+
+
+def sessions_of(files: DataFrame) -> DataFrame:
+    """A row for each session of ``discover``: ``project``, ``session_id``, ``path``, ``bytes``, ``mtime``, ``spawns`` (agents with both files) and ``unpaired`` (what the others lack)."""
+    own = files.filter("half = 'transcript' and conv_id = ''").select("project", "session_id", "path", "bytes", "mtime")
+    agents = files.filter("conv_id <> ''")
+    halves = paired(agents.filter("half = 'transcript'"), agents.filter("half = 'meta'").withColumnRenamed("conv_id", "agent_id"))
+    note = F.concat("agent_id", F.lit(": "), "unpaired")
+    known = halves.groupBy("session_id").agg(F.count_if(F.col("unpaired").isNull()).alias("spawns"), F.array_sort(F.collect_list(note)).alias("unpaired"))
+    return own.join(known, "session_id", "left").withColumn("spawns", F.coalesce("spawns", F.lit(0).cast("long"))).withColumn("unpaired", F.coalesce("unpaired", F.array().cast("array<string>")))
+
+
+def in_scope(
+    sessions: DataFrame, project: str | None = None, prefix: str | None = None, since: str | None = None, has_spawns: bool = False, limit: int | None = None
+) -> tuple[DataFrame, list[str]]:
+    """The sessions that pass all filters (newest first where ``limit`` caps them), and what each filter left out, said at zero as well.
+
+    ``project`` is a regular expression searched in the project's name, ``prefix`` begins the
+    session's id, ``since`` is a day (UTC). Counts come from one pass over file metadata.
+    """
+    filters = []
+    if project is not None:
+        filters.append((f"project matches {project}", F.col("project").rlike(project)))
+    if prefix is not None:
+        filters.append((f"session begins with {prefix}", F.col("session_id").startswith(prefix)))
+    if since is not None:
+        filters.append((f"modified since {since}", F.col("mtime") >= F.lit(datetime.fromisoformat(since).replace(tzinfo=timezone.utc))))
+    if has_spawns:
+        filters.append(("has spawned work", F.col("spawns") > 0))
+    kept, counts = excluded_counts(sessions, [(f"f{i}", keep) for i, (_, keep) in enumerate(filters)])
+    met = counts.first()
+    left = sum(met)
+    criteria = []
+    for i, (name, _) in enumerate(filters):
+        criteria.append(f"{name}: excluded {met[f'f{i}']} of {left}")
+        left -= met[f"f{i}"]
+    if limit is not None:
+        kept = kept.orderBy(F.desc("mtime"), "session_id").limit(limit)
+        criteria.append(f"the {limit} modified last: {max(0, left - limit)} eligible sessions left out")
+    return kept, criteria
+
+
+def picked_paths(files: DataFrame, sessions: DataFrame) -> dict[str, list[str]]:
+    """Paths of the files of the picked sessions by kind: ``own``, ``agents`` and ``metas``.
+
+    As many as are picked; the file listing of a read holds them on the driver as well.
+    """
+    mine = files.join(sessions.select("project", "session_id"), ["project", "session_id"], "left_semi")
+    kind = F.when(F.col("conv_id") == "", "own").when(F.col("half") == "meta", "metas").otherwise("agents")
+    found: dict[str, list[str]] = {"own": [], "agents": [], "metas": []}
+    for r in mine.select(kind.alias("kind"), "path").orderBy("path").collect():
+        found[r["kind"]].append(r["path"])
+    return found
 
 
-def read_spawn_meta(spark: SparkSession, root: str) -> DataFrame:
+def read_lines(spark: SparkSession, root: str, paths: dict[str, list[str]] | None = None) -> DataFrame:
+    """``project``, ``session_id``, ``conv_id``, ``path``, ``line_no`` (from 0) and ``value`` of every line below ``root``, or of the files in ``paths``.
+
+    Files are split at line breaks into byte ranges, so a file of any size is read by many
+    tasks.  A line's number is its place within its range and the number of lines of the
+    ranges before it, a running sum of one count a range.
+    """
+    out = None
+    for agent, glob in ((False, f"{root}/*/*.jsonl"), (True, f"{root}/*/*/subagents/agent-*.jsonl")):
+        given = None if paths is None else paths["agents" if agent else "own"]
+        if given == []:
+            continue
+        try:
+            text = spark.read.option("lineSep", "\n").text(glob if given is None else given)
+        except Exception as none:
+            if not _absent(none):
+                raise
+            continue
+        path = F.col("_metadata.file_path")
+        part = text.select(*_path_parts(path, agent), path.alias("path"), F.col("_metadata.file_block_start").alias("_from"), "value")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "project string, session_id string, conv_id string, path string, line_no long, value string")
+    # The lines of a range lie in one task in order, so their numbers there rise with their place.
+    rows = out.withColumn("_n", F.monotonically_increasing_id())
+    ranges = rows.groupBy("path", "_from").agg(F.count(F.lit(1)).alias("_lines"), F.min("_n").alias("_first"))
+    before = F.sum("_lines").over(Window.partitionBy("path").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.select("path", "_from", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    line = (F.col("_n") - F.col("_first") + F.col("_before")).alias("line_no")
+    return rows.join(starts, ["path", "_from"]).select("project", "session_id", "conv_id", "path", line, "value")
+
+
+def read_spawn_meta(spark: SparkSession, root: str, paths: dict[str, list[str]] | None = None) -> DataFrame:
     """Sidecars of spawned agents: what the spawner claimed, with defaults for what is absent or of another type."""
     schema = "session_id string, agent_id string, agent_type string, description string, tool_use_id string, declared_depth int"
+    if paths is not None and not paths["metas"]:
+        return spark.createDataFrame([], schema)
     try:
-        files = _files(spark, f"{root}/*/*/subagents/*.meta.json", True)
+        files = _files(spark, f"{root}/*/*/subagents/agent-*.meta.json" if paths is None else paths["metas"], True)
     except Exception as none:
-        if "PATH_NOT_FOUND" not in str(none):
+        if not _absent(none):
             raise
         return spark.createDataFrame([], schema)
     o = F.try_parse_json("value")
@@ -277,24 +376,150 @@ def paired(transcripts: DataFrame, metas: DataFrame) -> DataFrame:
     return both.select("session_id", "agent_id", why.alias("unpaired"))
 
 
-def parse_records(files: DataFrame) -> DataFrame:
-    """Typed records of all lines, numbered within their file; blank lines have none."""
+# --- records --------------------------------------------------------------
+#
+# Lines are taken apart as VARIANT values in the JVM.  What the built-in functions read
+# differently (floating-point and very long numbers, whose JSON text depends on the
+# writer; lone surrogates; dates in rare forms; lines that are no JSON) goes to the
+# line parser above, which defines what every record is.
+
+_DAY, _CLOCK, _ZONE = r"\d{4}-\d\d-\d\d", r"([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d{1,6})?", r"(Z|[+-](0\d|1[0-7]):[0-5]\d)"
+_INSTANT = f"^{_DAY}T{_CLOCK}{_ZONE}$"
+_STRINGS = r'"(?:[^"\\]++|\\.)*+"'
+_ODD_NUMBERS = r"[0-9][.eE]|[0-9]{16}|-0"
+_SURROGATES = r"\\u[dD][89a-fA-F]"
+_END = "end of line"
+
+
+def _part(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "variant")
+
+
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == kind, F.lit(False))
+
+
+def _string(v: Column, path: str) -> Column:
+    """The string at a path, null for anything else."""
+    return F.when(_is(_part(v, path), "STRING"), F.try_variant_get(v, path, "string"))
+
+
+def _filled(v: Column, path: str) -> Column:
+    return F.nullif(_string(v, path), F.lit(""))
+
+
+def _whole(v: Column, path: str) -> Column:
+    return F.when(_is(_part(v, path), "BIGINT"), F.try_variant_get(v, path, "bigint"))
+
+
+def _object(v: Column, path: str = "$") -> Column:
+    return F.try_variant_get(v, path, "map<string,variant>")
+
+
+def _list(v: Column, path: str = "$") -> Column:
+    return F.try_variant_get(v, path, "array<variant>")
+
+
+def _utf16(s: Column) -> Column:
+    return F.when(F.octet_length(s) == F.length(s), F.length(s)).otherwise(F.octet_length(F.encode(s, "UTF-16BE")) / 2).cast("long")
+
+
+def _json_chars(v: Column) -> Column:
+    """As ``json_length``; the order of members does not change the length."""
+    return F.when(v.isNull() | _is(v, "VOID"), F.lit(0).cast("long")).when(_is(v, "STRING"), _utf16(F.try_variant_get(v, "$", "string"))).otherwise(_utf16(F.to_json(v)))
+
+
+def _tool_input(b: Column) -> Column:
+    size = F.when(_object(b, "$.input").isNotNull(), _json_chars(_part(b, "$.input"))).otherwise(2)
+    said = F.coalesce(*[_filled(b, f"$.input.{m}") for m in INPUT_MEMBERS], F.concat(size.cast("string"), F.lit(" chars")))
+    return F.substring(said, 1, INPUT_CAP)
+
+
+def _block(b: Column) -> Column:
+    kind = _string(b, "$.type")
+    known = F.coalesce(kind.isin(*BLOCK_FIELDS), F.lit(False))
+    of = lambda k, x: F.when(kind == k, x)
+    text = _string(b, "$.text")
+    chars = (
+        F.when(~known, _json_chars(b)).when(kind == "thinking", _json_chars(_part(b, "$.thinking"))).when(kind == "text", F.coalesce(_utf16(text), F.lit(0)))
+        .when(kind == "tool_use", _json_chars(_part(b, "$.input"))).otherwise(_json_chars(_part(b, "$.content")))
+    )
+    composite = _object(b).isNotNull() | _list(b).isNotNull()
+    return F.struct(
+        F.when(known, kind).otherwise("other").alias("kind"), chars.cast("long").alias("chars"), of("text", F.substring(F.coalesce(text, F.lit("")), 1, SNIPPET_LENGTH)).alias("snippet"),
+        of("tool_use", F.coalesce(_string(b, "$.id"), F.lit(""))).alias("id"), of("tool_use", F.coalesce(_string(b, "$.name"), F.lit("(unnamed)"))).alias("name"),
+        of("tool_use", _json_chars(_part(b, "$.input"))).alias("input_chars"), of("tool_use", _tool_input(b)).alias("input"), of("tool_result", F.coalesce(_string(b, "$.tool_use_id"), F.lit(""))).alias("tool_use_id"),
+        F.when(~known, F.when(composite, F.coalesce(kind, F.lit("?"))).otherwise("malformed")).alias("type"),
+    )
+
+
+def _said(text: Column) -> Column:
+    """A plain text as the one block it stands for."""
+    none = {c: F.lit(None).cast("string").alias(c) for c in ("id", "name", "input", "tool_use_id", "type")}
+    return F.array(F.struct(F.lit("text").alias("kind"), _utf16(text).alias("chars"), F.substring(text, 1, SNIPPET_LENGTH).alias("snippet"), none["id"], none["name"], F.lit(None).cast("long").alias("input_chars"), none["input"], none["tool_use_id"], none["type"]))
+
+
+def _decoded(lines: DataFrame) -> DataFrame:
+    """Add ``v``, the line's value, and ``odd`` where the line parser has to read it."""
+    # In a list with an end mark behind it a line of several values is told from one of one.
+    held = lines.withColumn("_v", F.try_parse_json(F.concat(F.lit("["), "value", F.lit(f'\n,"{_END}"]'))))
+    one = (F.try_variant_get("_v", "$[1]", "string") == _END) & F.try_variant_get("_v", "$[2]", "variant").isNull()
+    v = held.withColumn("v", F.when(one, F.try_variant_get("_v", "$[0]", "variant"))).drop("_v")
+    time = _string(F.col("v"), "$.timestamp")
+    bare = F.regexp_replace("value", _STRINGS, "")
+    odd = F.col("v").isNull() | bare.rlike(_ODD_NUMBERS) | F.col("value").rlike(_SURROGATES) | F.coalesce(~time.rlike(_INSTANT), F.lit(False))
+    return v.withColumn("odd", odd)
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """Records of lines with a value ``v`` that is not odd."""
+    v = F.col("v")
+    composite = _object(v).isNotNull() | _list(v).isNotNull()
+    own = lines.withColumn("type", F.when(composite, F.coalesce(_string(v, "$.type"), F.lit("(untyped)"))).otherwise("(not an object)"))
+    known = [k for k in LINE_FIELDS if k]
+    own = own.withColumn("kind", F.when(~composite, "unknown").when(F.col("type").isin(*known), F.col("type")).when(F.col("type").isin(*META_TYPES), "meta").otherwise("unknown"))
+    is_ = lambda k: F.col("kind") == k
+    tiers = F.aggregate(F.map_values(_object(v, "$.message.usage.cache_creation")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(_whole(x, "$"), F.lit(0)))
+    flat = F.coalesce(_whole(v, "$.message.usage.cache_creation_input_tokens"), F.lit(0))
+    used = lambda name: F.when(is_("assistant"), F.coalesce(_whole(v, f"$.message.usage.{name}"), F.lit(0)))
+    none = F.array().cast(f"array<{BLOCK}>")
+    listed = F.coalesce(F.transform(_list(v, "$.message.content"), _block).cast(f"array<{BLOCK}>"), none)
+    said = _string(v, "$.message.content")
+    blocks = F.when(is_("assistant"), listed).when(is_("user"), F.when(said.isNotNull(), _said(said).cast(f"array<{BLOCK}>")).otherwise(listed))
+    own = own.withColumn("blocks", blocks)
+    uuid = F.coalesce(_string(v, "$.uuid"), F.lit(""))
+    ms = F.coalesce(F.unix_millis(F.try_to_timestamp(_string(v, "$.timestamp"))), F.lit(0))
+    first_text = F.filter("blocks", lambda b: b["kind"] == "text")
+    columns = {
+        "uuid": F.when(composite, uuid), "ts_ms": F.when(composite, ms), "request_id": F.when(is_("assistant"), F.coalesce(_filled(v, "$.requestId"), _filled(v, "$.message.id"), uuid)),
+        "model": F.when(is_("assistant"), F.coalesce(_string(v, "$.message.model"), F.lit("(unknown-model)"))), "input": used("input_tokens"),
+        "cache_creation": F.when(is_("assistant"), F.coalesce(tiers, flat)), "cache_read": used("cache_read_input_tokens"), "output": used("output_tokens"), "cc_flat": F.when(is_("assistant") & tiers.isNotNull(), flat),
+        "agent_id": F.when(is_("user"), _filled(v, "$.toolUseResult.agentId")), "is_tool_result": F.when(is_("user"), F.exists("blocks", lambda b: b["kind"] == "tool_result")),
+        "snippet": F.when(is_("user"), F.coalesce(F.try_element_at(first_text, F.lit(1))["snippet"], F.lit(""))), "attachment_type": F.when(is_("attachment"), F.coalesce(_string(v, "$.attachment.type"), F.lit("?"))),
+        "chars": F.when(is_("attachment"), F.when(_object(v, "$.attachment").isNotNull(), _json_chars(_part(v, "$.attachment"))).otherwise(2)), "subtype": F.when(is_("system"), F.coalesce(_string(v, "$.subtype"), F.lit("?"))),
+        "duration_ms": F.when(is_("system"), _whole(v, "$.durationMs")), "cwd": F.when(composite, _filled(v, "$.cwd")),
+    }
+    return own.select(*[columns.get(c, F.col(c)).alias(c) for c in _COLUMNS])
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Typed records of lines (``session_id``, ``conv_id``, ``project``, ``line_no``, ``value``); blank lines have none.
+
+    A line is read in the JVM unless it is odd (see above); the two readers agree on
+    every line, so it does not matter which of them reads it.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for f in batch.itertuples(index=False):
-                rows = [
-                    parse_line(line) | {"session_id": f.session_id, "conv_id": f.conv_id, "project": f.project, "line_no": n}
-                    for n, line in enumerate((f.value or "").split("\n"))
-                    if line.strip()
-                ]
-                if rows:
-                    # Column by column: a mixed column of numbers and nulls would pass through floating point.
-                    kinds = dict.fromkeys(_NUMBERS, "Int64")
-                    out = pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=kinds.get(c, "object")) for c in _COLUMNS})
-                    yield out
-
-    return files.select("session_id", "conv_id", "project", "value").mapInPandas(parse, RECORD)
+            rows = [parse_line(f.value) | {"session_id": f.session_id, "conv_id": f.conv_id, "project": f.project, "line_no": f.line_no} for f in batch.itertuples(index=False)]
+            # Column by column: a mixed column of numbers and nulls would pass through floating point.
+            kinds = dict.fromkeys(_NUMBERS, "Int64")
+            yield pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=kinds.get(c, "object")) for c in _COLUMNS})
+
+    rows = _decoded(lines.select("session_id", "conv_id", "project", "line_no", "value").filter(F.col("value").rlike(r"(?U)\S")))
+    plain = _records(rows.filter(~F.col("odd")))
+    odd = rows.filter("odd").select("session_id", "conv_id", "project", "line_no", "value").mapInPandas(parse, RECORD)
+    return plain.unionByName(odd).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in odd.schema.fields])
 
 
 def parse_stats(records: DataFrame) -> DataFrame:
