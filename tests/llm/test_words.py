@@ -115,9 +115,10 @@ def test_bpe_rows(docs):
 
     path = tokenizer_file("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    found = sorted(((r.doc_id, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in bpe.decode_ids(bpe.encode_texts(docs, path), path).collect()), key=repr)
     ids = [(i, lib.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in ROWS]
-    assert found == sorted(((i, len(x), x, lib.decode(x, skip_special_tokens=False)) for i, x in ids), key=repr)
+    expected = sorted(((i, len(x), x, lib.decode(x, skip_special_tokens=False)) for i, x in ids), key=repr)
+    for rows in (bpe.decode_ids(bpe.encode_texts(docs, path), path), bpe.encode_texts(docs, path, decoded=True)):
+        assert sorted(((r.doc_id, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in rows.collect()), key=repr) == expected
 
 
 def test_bpe_any_text():

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,11 +28,13 @@ from tracemill.llm.packing import _byte_level
 from tracemill.llm.token_counts import CLASSES, character_classes
 
 #: A worker's lexicon is emptied at this many fragments (bounded memory; results do not depend on it).
-LEXICON_ENTRIES = 300_000
+LEXICON_ENTRIES = 200_000
 #: Longer fragments are encoded each time they come.
 LEXICON_CHARS = 64
 #: Characters cut up at a time.
-STREAM_CHARS = 1_000_000
+STREAM_CHARS = 500_000
+#: Rows that a worker answers at a time.
+BATCH_ROWS = 512
 
 LETTER, DIGIT, WHITE, QUOTE, SIGN = range(5)
 
@@ -150,9 +152,16 @@ _encoders: dict[str, BoundaryEncoder] = {}
 _decoders: dict[str, TokenBytes] = {}
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _worker(kept: dict, tokenizer_path: str, make: Callable[[], object]) -> object:
+    if tokenizer_path not in kept:
+        kept[tokenizer_path] = make()
+    return kept[tokenizer_path]
+
+
+def encode_texts(docs: DataFrame, tokenizer_path: str, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens`` and ``ids`` (binary: little-endian unsigned 32-bit ids) of every whole text.
 
+    With ``decoded`` also what ``decode_ids`` makes of the ids, in the same pass.
     The ids are those that the ``tokenizers`` library gives without begin, end or
     added special tokens; special strings inside a text are one id each.  A row for
     each input row: a null text counts as empty (no ids), a null id stays null,
@@ -162,16 +171,17 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
     shared = docs.sparkSession.sparkContext.broadcast(kinds_of(character_classes()))
 
-    @F.pandas_udf("binary")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoders.get(tokenizer_path)
-        if encoder is None:
-            encoder = _encoders[tokenizer_path] = BoundaryEncoder(tokenizer_path, shared.value)
+    @F.pandas_udf("ids binary, decoded string" if decoded else "ids binary")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = _worker(_encoders, tokenizer_path, lambda: BoundaryEncoder(tokenizer_path, shared.value))
+        decoder = _worker(_decoders, tokenizer_path, lambda: TokenBytes(tokenizer_path)) if decoded else None
         for texts in batches:
-            yield pd.Series(encoder.encode(texts.tolist()), dtype=object)
+            for at in range(0, len(texts), BATCH_ROWS):
+                ids = encoder.encode(texts.iloc[at : at + BATCH_ROWS].tolist())
+                yield pd.DataFrame({"ids": ids} | ({"decoded": [*map(decoder.decode, ids)]} if decoder else {}), dtype=object)
 
-    ids = docs.select(F.col(id_col).alias("doc_id"), ids_of(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
-    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    rows = docs.select(F.col(id_col).alias("doc_id"), encoded(F.coalesce(F.col(text_col), F.lit(""))).alias("e"))
+    return rows.select("doc_id", (F.octet_length("e.ids") / 4).cast("long").alias("n_tokens"), "e.*")
 
 
 def decode_ids(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
@@ -179,9 +189,7 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") ->
 
     @F.pandas_udf("string")
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        decoder = _decoders.get(tokenizer_path)
-        if decoder is None:
-            decoder = _decoders[tokenizer_path] = TokenBytes(tokenizer_path)
+        decoder = _worker(_decoders, tokenizer_path, lambda: TokenBytes(tokenizer_path))
         for rows in batches:
             yield pd.Series([None if r is None else decoder.decode(r) for r in rows], dtype=object)
 

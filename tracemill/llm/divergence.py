@@ -42,25 +42,23 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     """``lang``, ``source``, ``term``, ``n`` (occurrences) and ``df`` (rows that have it); nulls are read as ''."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        met: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+        met: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
         held = 0
 
         def handed() -> Iterator[pd.DataFrame]:
-            for (lang, source), found in met.items():
-                if found:
-                    n, df = zip(*found.values())
-                    yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode() for t in found], "n": n, "df": df})
+            for (lang, source), (n, df) in met.items():
+                if n:
+                    yield pd.DataFrame({"lang": lang, "source": source, "term": b"\n".join(n).decode().split("\n"), "n": [*n.values()], "df": [*map(df.__getitem__, n)]})
             met.clear()
 
         for batch in batches:
             for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
-                found = met.setdefault((lang, source), {})
-                held -= len(found)
-                for term, n in Counter(terms_of(text)).items():
-                    entry = found.setdefault(term, [0, 0])
-                    entry[0] += n
-                    entry[1] += 1
-                held += len(found)
+                words = terms_of(text)
+                n, df = met.setdefault((lang, source), (Counter(), Counter()))
+                held -= len(n)
+                n.update(words)
+                df.update(set(words))
+                held += len(n)
                 if held > FLUSH_TERMS:
                     yield from handed()
                     held = 0
@@ -68,7 +66,8 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
 
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
     found = rows.mapInPandas(count, "lang string, source string, term string, n long, df long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    # Dealt by language and term, as what follows needs it.
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def kept_terms(counts: DataFrame, min_docs: int) -> DataFrame:
@@ -105,7 +104,7 @@ def tallies(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def joint_counts(kept: DataFrame) -> DataFrame:
-    """``lang``, ``source``, ``item``, ``c``, ``d`` and ``m``: how many terms have count ``c`` in ``source`` and ``d`` in ``item``, both over 0."""
+    """``lang``, ``a``, ``b``, ``c``, ``d`` and ``m``: how many terms have count ``c`` in source ``a`` and ``d`` in the later source ``b``, both over 0."""
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -129,14 +128,16 @@ def joint_counts(kept: DataFrame) -> DataFrame:
             yield from whole(True)
 
     rows = kept.select("lang", "term", "source", "n").repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
-    found = rows.mapInPandas(tally, "lang string, a string, b string, c long, d long, m long").groupBy("lang", "a", "b", "c", "d").agg(F.sum("m").alias("m"))
-    one = found.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "c", "d", "m")
-    return one.unionByName(found.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), F.col("d").alias("c"), F.col("c").alias("d"), "m"))
+    found = rows.mapInPandas(tally, "lang string, a string, b string, c long, d long, m long")
+    return found.groupBy("lang", "a", "b", "c", "d").agg(F.sum("m").alias("m"))
 
 
 def probability(count: str, total: str) -> Column:
-    """1 + floor(SCALE * (count + 1) / (total + vocabulary)), exact."""
-    return F.expr(f"1 + (cast({SCALE} as decimal(38,0)) * ({count} + 1)) div cast({total} + vocabulary as decimal(38,0))")
+    """1 + floor(SCALE * (count + 1) / (total + vocabulary)), exact; counts whose product has no room in 64 bits take decimals."""
+    return F.expr(
+        f"1 + case when {count} < {2**63 // SCALE - 1} then ({SCALE}L * ({count} + 1)) div ({total} + vocabulary)"
+        f" else (cast({SCALE} as decimal(38,0)) * ({count} + 1)) div cast({total} + vocabulary as decimal(38,0)) end"
+    )
 
 
 def divergence(p: str, q: str) -> Column:
@@ -149,25 +150,31 @@ def pair_values(groups: DataFrame, sizes: DataFrame, kept: DataFrame) -> DataFra
 
     ``groups`` has ``lang``, ``source`` and ``total`` (occurrences of kept terms), ``sizes`` ``lang`` and ``vocabulary`` (kept terms).
     """
-    keys = ["lang", "source", "item"]
-    items = groups.select("lang", F.col("source").alias("item"), F.col("total").alias("item_total"))
-    # As many rows as are asked for.
-    pairs = written(groups.join(items, "lang").filter("source <> item").join(sizes, "lang"), "source-pairs")
+    keys = ["lang", "a", "b"]
+    first = groups.select("lang", F.col("source").alias("a"), F.col("total").alias("total_a"))
+    second = groups.select("lang", F.col("source").alias("b"), F.col("total").alias("total_b"))
+    # Half as many rows as are asked for; each has the values both ways.
+    pairs = written(first.join(second, "lang").filter("a < b").join(sizes, "lang"), "source-pairs")
     joint = written(joint_counts(kept), "joint-counts")
     own = written(kept.groupBy("lang", "source", F.col("n").alias("c")).agg(F.count(F.lit(1)).alias("m")), "count-histograms")
     cell = lambda rows, c, d, m: rows.select(*keys, F.expr(c).cast("long").alias("c"), F.expr(d).cast("long").alias("d"), F.expr(m).cast("long").alias("m"))
-    left = pairs.select(*keys).join(own, ["lang", "source"])
-    right = pairs.select(*keys).join(own.withColumnRenamed("source", "item"), ["lang", "item"])
+    # Terms that one source or both lack: all terms begin as (0, 0), what a source has moves to its count, what both have goes out.
+    of_a = joint.groupBy(*keys, "c").agg(F.sum("m").alias("m"))
+    of_b = joint.groupBy(*keys, "d").agg(F.sum("m").alias("m"))
+    of_both = of_a.groupBy(*keys).agg(F.sum("m").alias("m"))
+    left = pairs.select(*keys).join(own.withColumnRenamed("source", "a"), ["lang", "a"])
+    right = pairs.select(*keys).join(own.withColumnRenamed("source", "b"), ["lang", "b"])
     cells = cell(pairs, "0", "0", "vocabulary")
-    # All terms begin as (0, 0); those that a source has move to its count, those that both have move to both counts.
-    for rows, moves in ((left, (("c", "0", "m"), ("0", "0", "-m"))), (right, (("0", "c", "m"), ("0", "0", "-m"))), (joint, (("c", "d", "m"), ("c", "0", "-m"), ("0", "d", "-m"), ("0", "0", "m")))):
-        for c, d, m in moves:
-            cells = cells.unionByName(cell(rows, c, d, m))
-    tallied = cells.groupBy(*keys, "c", "d").agg(F.sum("m").alias("m")).filter("m <> 0")
-    known = tallied.join(F.broadcast(pairs) if pairs.count() <= 100_000 else pairs, keys)
-    valued = known.select(*keys, "m", probability("c", "total").alias("p"), probability("d", "item_total").alias("q")).select(*keys, (F.col("m").cast("decimal(20,0)") * divergence("p", "q")).alias("f"))
-    sums = valued.groupBy(*keys).agg(F.sum("f").alias("f"))
-    return pairs.select(*keys).join(sums, keys, "left").select(*keys, F.coalesce("f", F.lit(0)).cast("long").alias("value"))
+    for rows, c, d, m in ((left, "c", "0", "m"), (left, "0", "0", "-m"), (right, "0", "c", "m"), (right, "0", "0", "-m"), (of_a, "c", "0", "-m"), (of_b, "0", "d", "-m"), (of_both, "0", "0", "m")):
+        cells = cells.unionByName(cell(rows, c, d, m))
+    lacking = cells.groupBy(*keys, "c", "d").agg(F.sum("m").alias("m")).filter("m <> 0")
+    every = joint.select(*keys, "c", "d", "m").unionByName(lacking)
+    known = every.join(F.broadcast(pairs) if pairs.count() <= 100_000 else pairs, keys)
+    valued = known.select(*keys, F.col("m").cast("decimal(20,0)").alias("m"), probability("c", "total_a").alias("p"), probability("d", "total_b").alias("q"))
+    sums = valued.groupBy(*keys).agg(F.sum(F.col("m") * divergence("p", "q")).alias("ab"), F.sum(F.col("m") * divergence("q", "p")).alias("ba"))
+    both = pairs.select(*keys).join(sums, keys, "left")
+    ways = F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item"), F.col("ab").alias("value")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"), F.col("ba").alias("value")))
+    return both.select("lang", F.explode(ways).alias("w")).select("lang", "w.source", "w.item", F.coalesce("w.value", F.lit(0)).cast("long").alias("value"))
 
 
 def term_values(groups: DataFrame, sizes: DataFrame, kept: DataFrame, top: int) -> DataFrame:

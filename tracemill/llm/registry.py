@@ -70,8 +70,7 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_file("byte_bpe_50k.json")
-    both = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), path), path)
+    both = bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
