@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import tokens as T
@@ -17,7 +17,7 @@ CONV = ["session_id", "conv_id"]
 
 @dataclass
 class Analysis:
-    """Tables of a corpus; each is lazy but for what later tables share."""
+    """Tables of a corpus, stored once each but for ``lost_results``."""
 
     sessions: DataFrame
     records: DataFrame
@@ -28,6 +28,7 @@ class Analysis:
     forest: DataFrame
     labels: DataFrame
     spans: DataFrame
+    lost_results: DataFrame
 
 
 def calls_of(records: DataFrame) -> DataFrame:
@@ -64,6 +65,11 @@ def tools_of(uses: DataFrame, results: DataFrame) -> DataFrame:
     return joins.answered(one_use, one_result, key)
 
 
+def unmatched_results(uses: DataFrame, results: DataFrame) -> DataFrame:
+    """``unmatched`` results in each conversation: those of tools that nobody requested."""
+    return joins.unmatched(results, uses, [*CONV, "tool_use_id"]).groupBy(*CONV).agg(F.count(F.lit(1)).alias("unmatched"))
+
+
 def arrivals_of(seen: DataFrame, calls: DataFrame, uses: DataFrame, results: DataFrame) -> DataFrame:
     """What entered the context before each call, and how large it is on what basis."""
     cols = [*CONV, "born", "source", "label", "tokens", "basis", "tool_use_id"]
@@ -122,38 +128,70 @@ def labels_of(calls: DataFrame, forest: DataFrame, metas: DataFrame) -> DataFram
     return decided.unionByName(inherited)
 
 
-def spans_of(calls: DataFrame, tools: DataFrame, turns: DataFrame, forest: DataFrame) -> DataFrame:
-    """The session tree as flat spans: session, turn, call, tool and subagent, each under exactly one parent."""
-    placed = forest.filter("parent_agent is not null").select("session_id", F.col("agent_id").alias("conv_id"), "agent_type", "parent_agent", "spawned_at_call", "via", "lineage", "tool_use_id")
+#: What a span of each kind says of itself; null where it does not apply.
+DETAIL = (
+    "snippet string, model string, call_ts long, line_count long, activity string, tier string, because string, tool string, target string, result_chars long, agent_type string, description string"
+)
+
+
+def spans_of(calls: DataFrame, tools: DataFrame, turns: DataFrame, forest: DataFrame, labels: DataFrame) -> DataFrame:
+    """The session tree as flat spans: session, turn, call, tool and subagent, each under exactly one parent.
+
+    ``call_first`` and ``call_last`` are the calls of its conversation that a span covers, ``detail`` what its kind says of itself.
+    Siblings are in order of (``by_time``: the first instant, unless the parent is a turn; ``rank``).
+    """
+    placed = forest.filter("parent_agent is not null").select("session_id", F.col("agent_id").alias("conv_id"), "agent_type", "description", "parent_agent", "spawned_at_call", "via", "lineage", "tool_use_id")
     main = calls.select("session_id").unionByName(placed.select("session_id")).distinct()
-    homes = main.select("session_id", F.lit("").alias("conv_id"), F.array().cast(placed.schema["lineage"].dataType).alias("lineage"))
-    homes = homes.unionByName(placed.select("session_id", "conv_id", "lineage"))
+    none = F.array().cast(placed.schema["lineage"].dataType)
+    homes = main.select("session_id", F.lit("").alias("conv_id"), none.alias("lineage")).unionByName(placed.select("session_id", "conv_id", "lineage"))
+    sizes = calls.groupBy(*CONV).agg(F.count(F.lit(1)).alias("_calls"))
     prefix = F.when(F.col("conv_id") == "", "").otherwise(F.concat(F.col("conv_id"), F.lit(":")))
     head = F.when(F.col("conv_id") == "", F.concat(F.lit("session:"), F.col("session_id"))).otherwise(F.concat(F.lit("subagent:"), F.col("conv_id")))
     named = lambda kind, n: F.concat(F.lit(f"{kind}:"), prefix, n.cast("string"))
     usage = ["input", "cache_creation", "cache_read", "output"]
-    zero = [F.lit(0).cast("long").alias(c) for c in usage]
-    cols = lambda parent, i, kind, label, start, end: [F.col("session_id"), i.alias("span_id"), parent.alias("parent_id"), F.lit(kind).alias("kind"), label.alias("label"), F.col("lineage"), start.cast("long").alias("ts_start"), end.cast("long").alias("ts_end")]
-
-    mine = joins.within(calls.select(*CONV, F.col("call_index").cast("long").alias("call_index"), "ts_ms", *usage), turns.select(*CONV, "first_call", "last_call", "turn_index"), CONV, "call_index").join(homes, CONV)
-    in_turn = F.col("turn_index").isNotNull()
-    call_spans = mine.select(*cols(F.when(in_turn, named("turn", F.col("turn_index"))).otherwise(head), named("call", F.col("call_index")), "call", F.concat(F.lit("call "), F.col("call_index").cast("string")), F.col("ts_ms"), F.col("ts_ms") + 1), *usage)
+    nothing = F.lit(0).cast("long")
+
+    def spans(rows: DataFrame, kind: str, span: Column, parent: Column, label: Column, when: tuple[Column, Column], of: tuple[Column, Column], rank: tuple[Column, Column], detail: dict[str, Column], own: bool = False, by_time: Column | None = None) -> DataFrame:
+        fields = [c.split() for c in DETAIL.split(", ")]
+        said = F.struct(*[detail.get(name, F.lit(None)).cast(of_type).alias(name) for name, of_type in fields])
+        return rows.select(
+            "session_id", span.alias("span_id"), parent.alias("parent_id"), F.lit(kind).alias("kind"), label.alias("label"), "lineage", *[c.cast("long").alias(n) for c, n in zip((*when, *of), ("ts_start", "ts_end", "call_first", "call_last"))],
+            F.struct(rank[0].cast("int").alias("group"), rank[1].cast("string").alias("place")).alias("rank"), (F.lit(True) if by_time is None else by_time).alias("by_time"), said.alias("detail"), *[F.col(c) if own else nothing.alias(c) for c in usage],
+        )
+
+    nowhen, place = (F.lit(None), F.lit(None)), lambda n: F.lpad(n.cast("string"), 20, "0")
+    about = labels.select(*CONV, F.col("call_index").cast("long").alias("call_index"), "activity", "tier", "because")
+    asked = calls.select(*CONV, F.col("call_index").cast("long").alias("call_index"), "ts_ms", "model", "line_count", *usage).join(about, [*CONV, "call_index"], "left")
+    mine = joins.within(asked, turns.select(*CONV, "first_call", "last_call", "turn_index"), CONV, "call_index").join(homes, CONV)
+    index, in_turn = F.col("call_index"), F.col("turn_index").isNotNull()
+    whose = F.when(F.col("conv_id") == "", "").otherwise(F.concat(F.element_at("lineage", -1)["agent_type"], F.lit(" ")))
+    call_spans = spans(
+        mine, "call", named("call", index), F.when(in_turn, named("turn", F.col("turn_index"))).otherwise(head), F.concat(whose, F.lit("call "), index.cast("string")), (F.col("ts_ms"), F.col("ts_ms") + 1), (index, index),
+        (F.lit(1), place(index)), {"model": F.col("model"), "call_ts": F.col("ts_ms"), "line_count": F.col("line_count"), "activity": F.coalesce("activity", F.lit("unclassified")), "tier": F.coalesce("tier", F.lit("none")), "because": F.col("because")}, True, ~in_turn,
+    )
     used = mine.filter(in_turn).select(*CONV, "turn_index").distinct()
-    turn_spans = turns.join(used, [*CONV, "turn_index"]).join(homes, CONV).select(
-        *cols(head, named("turn", F.col("turn_index")), "turn", F.concat(F.lit("turn "), F.col("turn_index").cast("string"), F.lit(": "), F.col("origin.snippet")), F.lit(None), F.lit(None)), *zero
+    number, said = F.col("turn_index"), F.col("origin.snippet")
+    turn_spans = spans(
+        turns.join(used, [*CONV, "turn_index"]).join(homes, CONV), "turn", named("turn", number), head, F.concat(F.lit("turn "), number.cast("string"), F.lit(": "), said), nowhen, (F.col("first_call"), F.col("last_call")), (F.lit(0), place(number)), {"snippet": said}
     )
-    asked = tools.join(homes, CONV)
-    tool_spans = asked.select(*cols(named("call", F.col("call_index")), named("tool", F.col("tool_use_id")), "tool", F.trim(F.concat("name", F.lit(" "), "summary")), F.col("ts_start"), F.coalesce("ts_end", "ts_start")), *zero)
+    tool = tools.join(homes, CONV)
+    tool_spans = spans(
+        tool, "tool", named("tool", F.col("tool_use_id")), named("call", index), F.trim(F.concat("name", F.lit(" "), "summary")), (F.col("ts_start"), F.coalesce("ts_end", "ts_start")), (index, index),
+        (F.lit(0), place(F.col("slot"))), {"tool": F.col("name"), "target": F.col("summary"), "result_chars": F.coalesce("result_chars", F.lit(0))},
+    )
     # A spawn hangs under its tool, else under its call, else (where neither is there) under the conversation.
     up = F.when(F.col("parent_agent") == "", "").otherwise(F.concat(F.col("parent_agent"), F.lit(":")))
     under_tool, under_call = F.concat(F.lit("tool:"), up, F.col("tool_use_id")), F.concat(F.lit("call:"), up, F.col("spawned_at_call").cast("string"))
     above = F.when(F.col("parent_agent") == "", F.concat(F.lit("session:"), F.col("session_id"))).otherwise(F.concat(F.lit("subagent:"), F.col("parent_agent")))
     have = tool_spans.unionByName(call_spans).select("session_id", F.col("span_id").alias("_wanted"), F.lit(True).alias("_there"))
     wanted = F.when(F.col("via") == "tool_use", under_tool).otherwise(under_call)
-    grafted = placed.withColumn("_wanted", wanted).join(have, ["session_id", "_wanted"], "left")
-    agent_spans = grafted.select(*cols(F.when(F.col("_there"), F.col("_wanted")).otherwise(above), head, "subagent", F.concat(F.lit("subagent("), F.col("agent_type"), F.lit(")")), F.lit(None), F.lit(None)), *zero)
-    session_spans = homes.filter("conv_id = ''").select(*cols(F.lit(None).cast("string"), head, "session", F.concat(F.lit("session "), F.substring("session_id", 1, 8)), F.lit(None), F.lit(None)), *zero)
-    out = session_spans
+    grafted = placed.withColumn("_wanted", wanted).join(have, ["session_id", "_wanted"], "left").join(sizes, CONV, "left")
+    last = F.greatest(F.lit(0), F.coalesce("_calls", F.lit(0)) - 1)
+    agent_spans = spans(
+        grafted, "subagent", head, F.when(F.col("_there"), F.col("_wanted")).otherwise(above), F.concat(F.lit("subagent("), F.col("agent_type"), F.lit("): "), F.col("description")), nowhen, (F.lit(0), last),
+        (F.lit(2), F.col("conv_id")), {"agent_type": F.col("agent_type"), "description": F.col("description")},
+    )
+    out = spans(homes.filter("conv_id = ''").join(sizes, CONV, "left"), "session", head, F.lit(None).cast("string"), F.concat(F.lit("session "), F.substring("session_id", 1, 8)), nowhen, (F.lit(0), last), (F.lit(0), F.lit("")), {})
     for part in (turn_spans, call_spans, tool_spans, agent_spans):
         out = out.unionByName(part)
     return out
@@ -161,7 +199,6 @@ def spans_of(calls: DataFrame, tools: DataFrame, turns: DataFrame, forest: DataF
 
 def rolled_up(spans: DataFrame) -> DataFrame:
     """Spans with the exact usage of all below them, and extents that reach over their children."""
-    spans = stored(spans, "spans")
     measures = [(f"all_{c}", "sum", F.col(c)) for c in ("input", "cache_creation", "cache_read", "output")] + [("first_ts", "min", F.col("ts_start")), ("last_ts", "max", F.col("ts_end"))]
     return spans.join(tree.rollup(spans, "span_id", "parent_id", measures, ["session_id"]), ["session_id", "span_id"])
 
@@ -184,5 +221,8 @@ def analyze(spark: SparkSession, root: str, picked: DataFrame | None = None) ->
     candidates = metas.join(known, ["session_id", "agent_id"], "left_semi").join(first, ["session_id", "agent_id"], "left").fillna(0, ["first_ts"])
     forest = tree.resolve_spawns(candidates, uses.select(*CONV, "tool_use_id", F.col("call_index").cast("int").alias("call_index")), calls.select(*CONV, "call_index", F.col("ts_ms").alias("ts")))
     forest = stored(forest.join(metas.select("session_id", "agent_id", "agent_type", "description", "tool_use_id", "declared_depth"), ["session_id", "agent_id"], "left"), "forest")
-    tools, turns = tools_of(uses, results), turns_of(seen, calls)
-    return Analysis(stored(transcripts.sessions_of(files), "sessions"), records, calls, tools, arrivals_of(seen, calls, uses, results), turns, forest, labels_of(calls, forest, metas), spans_of(calls, tools, turns, forest))
+    tools, turns = stored(tools_of(uses, results), "tools"), stored(turns_of(seen, calls), "turns")
+    arrivals, labels = stored(arrivals_of(seen, calls, uses, results), "arrivals"), stored(labels_of(calls, forest, metas), "labels")
+    lost = unmatched_results(uses, results)
+    spans = stored(spans_of(calls, tools, turns, forest, labels), "spans")
+    return Analysis(stored(transcripts.sessions_of(files), "sessions"), records, calls, tools, arrivals, turns, forest, labels, spans, lost)

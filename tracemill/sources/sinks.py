@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import tokens as T
+from tracemill.functions.storage import stored
+from tracemill.operators import tree
 
 SCHEMA = "tracemill/span-tree@1"
 #: Each domain is a service of its own: one places spans by time, the other by tokens.
@@ -24,67 +26,138 @@ def write_tsv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     df.select(*[T.tsv_cell(c).alias(c) for c in columns]).write.option("sep", "\t").option("quote", "").option("escapeQuotes", "false").csv(path, header=True)
 
 
+USAGE = ("input", "cache_creation", "cache_read", "output")
+#: Levels of a tree that are joined in one plan before they are stored.
+LEVELS_A_PLAN = 4
+
+
+def own_tokens() -> Column:
+    """Token-equivalents that a span spends itself; only calls do."""
+    return T.half_up((20 * F.col("input") + 25 * F.col("cache_creation") + 2 * F.col("cache_read") + 20 * F.col("output")) / 20).cast("long")
+
+
+def _node(spans: DataFrame) -> Column:
+    """A span as its tree node without children."""
+    usage = F.struct(*[F.col(f"all_{u}").alias(u) for u in USAGE])
+    total = T.half_up((20 * F.col("all_input") + 25 * F.col("all_cache_creation") + 2 * F.col("all_cache_read") + 20 * F.col("all_output")) / 20).cast("long")
+    return F.struct(
+        F.col("span_id").alias("id"), "label", "kind", F.struct("detail.*").alias("detail"), T.depth_of("lineage").alias("depth"), T.lineage_path("lineage").alias("lineage"), T.immediate_agent("lineage").alias("agentId"), T.parent_agent("lineage").alias("parentAgentId"),
+        F.col("first_ts").alias("start"), F.col("last_ts").alias("end"), F.col("call_first").alias("callFirst"), F.col("call_last").alias("callLast"), usage.alias("usage"), total.alias("tokEq"),
+    )
+
+
 def tree_json(spans: DataFrame) -> DataFrame:
     """``session_id`` and ``tree``: each session's nested span tree as JSON (spans with rolled-up usage, see ``rolled_up``).
 
-    Children are in order of their first instant, ties by id.  A session's tree is
-    written as one value, so it is put together where its spans are.
+    Trees are put together level by level from the leaves: the finished texts of a
+    level's nodes are gathered under their parents, siblings in their order, and each parent
+    is written around them.  No session's spans meet in one group; members that are null are left out.
     """
-    kept = ["session_id", "span_id", "parent_id", "kind", "label", "first_ts", "last_ts", "all_input", "all_cache_creation", "all_cache_read", "all_output"]
-
-    def nest(pdf: pd.DataFrame) -> pd.DataFrame:
-        kids: dict[str | None, list[dict]] = {}
-        for r in pdf.sort_values(["first_ts", "span_id"]).to_dict("records"):
-            usage = {k: int(r[f"all_{k}"]) for k in ("input", "cache_creation", "cache_read", "output")}
-            node = {"id": r["span_id"], "kind": r["kind"], "label": r["label"], "start": None if pd.isna(r["first_ts"]) else int(r["first_ts"]), "end": None if pd.isna(r["last_ts"]) else int(r["last_ts"]), "usage": usage}
-            node["tokEq"] = usage["input"] + T.WRITE * usage["cache_creation"] + T.READ * usage["cache_read"] + usage["output"]
-            kids.setdefault(None if pd.isna(r["parent_id"]) else r["parent_id"], []).append(node)
-        todo = [*kids.get(None, [])]
-        while todo:
-            node = todo.pop()
-            node["children"] = kids.get(node["id"], [])
-            todo += node["children"]
-        sid = pdf["session_id"].iloc[0]
-        return pd.DataFrame({"session_id": [sid], "tree": [json.dumps({"schema": SCHEMA, "session": sid, "roots": kids.get(None, [])}, ensure_ascii=False)]})
-
-    return spans.select(*kept).groupBy("session_id").applyInPandas(nest, "session_id string, tree string")
-
-
-def _attribute(key: str, value: Column) -> Column:
+    depth = tree.climb(spans, "span_id", "parent_id", scope=["session_id"]).select("session_id", "span_id", F.col("depth").alias("level"))
+    at = F.struct(F.when(F.col("by_time"), F.coalesce("first_ts", F.lit(0))).otherwise(0).alias("t"), F.col("rank").alias("r"), F.col("span_id").alias("i"))
+    nodes = stored(spans.join(depth, ["session_id", "span_id"]).select("session_id", "span_id", "parent_id", "level", at.alias("at"), F.to_json(_node(spans)).alias("own")), "tree-nodes")
+    deepest = nodes.agg(F.max("level")).first()[0]
+    below = None
+    for level in range(deepest if deepest is not None else -1, -1, -1):
+        here = nodes.filter(F.col("level") == level)
+        kids = F.lit("")
+        if below is not None:
+            here, kids = here.join(below, ["session_id", "span_id"], "left"), F.coalesce("_kids", F.lit(""))
+        text = F.concat(F.regexp_replace("own", r"\}$", ""), F.lit(',"children":['), kids, F.lit("]}"))
+        written = here.select("session_id", "span_id", "parent_id", "at", text.alias("text"))
+        if (deepest - level) % LEVELS_A_PLAN == LEVELS_A_PLAN - 1:
+            written = stored(written, "tree-level")
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
+        below = written.groupBy("session_id", F.col("parent_id").alias("span_id")).agg(F.array_join(ordered, ",").alias("_kids"))
+    if below is None:
+        return spans.select("session_id", F.lit("").alias("tree")).limit(0)
+    return written.select("session_id", F.concat(F.lit(f'{{"schema":"{SCHEMA}","session":'), F.to_json(F.struct("session_id")).substr(F.lit(15), F.length(F.to_json(F.struct("session_id"))) - 15), F.lit(',"tree":'), "text", F.lit("}")).alias("tree"))
+
+
+def _attribute(key: str, value: Column, number: bool) -> Column:
     """An export attribute; 64-bit integers travel as text, null values are left out."""
-    text, whole = F.struct(value.cast("string").alias("stringValue"), F.lit(None).cast("string").alias("intValue")), F.struct(F.lit(None).cast("string").alias("stringValue"), value.cast("string").alias("intValue"))
-    return F.when(value.isNotNull(), F.struct(F.lit(key).alias("key"), text.alias("value"))), F.when(value.isNotNull(), F.struct(F.lit(key).alias("key"), whole.alias("value")))
-
-
-def _attributes(texts: dict[str, Column], numbers: dict[str, Column]) -> Column:
-    every = [_attribute(k, v)[0] for k, v in texts.items()] + [_attribute(k, v)[1] for k, v in numbers.items()]
-    return F.filter(F.array(*every), lambda a: a.isNotNull())
+    text, whole = (value, F.lit(None)) if not number else (F.lit(None), value)
+    return F.when(value.isNotNull(), F.struct(F.lit(key).alias("key"), F.struct(text.cast("string").alias("stringValue"), whole.cast("string").alias("intValue")).alias("value")))
+
+
+def _attributes(pairs: Sequence[tuple[str, Column, bool]]) -> Column:
+    return F.filter(F.array(*[_attribute(*p) for p in pairs]), lambda a: a.isNotNull())
+
+
+#: What a span of each kind is called.
+SPAN_NAMES = {"session": "tracemill.session", "turn": "interaction", "call": "llm_request", "tool": "tool", "subagent": "tracemill.subagent"}
+#: Attributes that traces can be grouped by: dimension and key.
+GROUPABLE = {
+    "session": "session.id", "project": "tracemill.project", "kind": "tracemill.kind", "depth": "tracemill.depth", "lineage": "tracemill.lineage", "agent": "agent_id", "parent_agent": "parent_agent_id",
+    "model": "model", "activity": "tracemill.activity", "tier": "tracemill.activity.tier", "tool": "tool_name", "subagent_type": "subagent_type",
+}
+UNITS = {"time": "one millisecond is one millisecond of real time", "tokens": "one millisecond is one input-equivalent token"}
+
+
+def span_attributes() -> Column:
+    """What a span says: of its place and its subtree, of its lineage, and of its own kind."""
+    name = F.create_map(*[F.lit(x) for pair in SPAN_NAMES.items() for x in pair])[F.col("kind")]
+    spent = T.half_up((20 * F.col("all_input") + 25 * F.col("all_cache_creation") + 2 * F.col("all_cache_read") + 20 * F.col("all_output")) / 20).cast("long")
+    d, call = (lambda c: F.col(f"detail.{c}")), F.col("kind") == "call"
+    of_call = lambda c: F.when(call, F.col(c))
+    return _attributes([
+        ("span.type", name, False), (GROUPABLE["kind"], F.col("kind"), False), (GROUPABLE["depth"], T.depth_of("lineage"), True), (GROUPABLE["lineage"], T.lineage_path("lineage"), False),
+        ("tracemill.rollup.input_tokens", F.col("all_input"), True), ("tracemill.rollup.output_tokens", F.col("all_output"), True), ("tracemill.rollup.cache_read_tokens", F.col("all_cache_read"), True),
+        ("tracemill.rollup.cache_creation_tokens", F.col("all_cache_creation"), True), ("tracemill.rollup.tok_eq", spent, True), ("tracemill.call_first", F.col("call_first"), True), ("tracemill.call_last", F.col("call_last"), True),
+        (GROUPABLE["agent"], T.immediate_agent("lineage"), False), (GROUPABLE["parent_agent"], T.parent_agent("lineage"), False),
+        ("tracemill.session_id", F.when(F.col("kind") == "session", F.col("session_id")), False), ("tracemill.turn.snippet", d("snippet"), False),
+        (GROUPABLE["model"], d("model"), False), ("gen_ai.request.model", d("model"), False), ("input_tokens", of_call("input"), True), ("output_tokens", of_call("output"), True), ("cache_read_tokens", of_call("cache_read"), True),
+        ("cache_creation_tokens", of_call("cache_creation"), True), ("tracemill.tok_eq", F.when(call, own_tokens()), True), ("tracemill.line_count", d("line_count"), True),
+        (GROUPABLE["activity"], d("activity"), False), (GROUPABLE["tier"], d("tier"), False), ("tracemill.activity.because", d("because"), False),
+        (GROUPABLE["tool"], d("tool"), False), ("tracemill.tool.target", d("target"), False), ("tracemill.tool.result_chars", d("result_chars"), True),
+        (GROUPABLE["subagent_type"], d("agent_type"), False), ("tracemill.subagent.description", d("description"), False),
+    ])
+
+
+def placed_in_domains(spans: DataFrame) -> DataFrame:
+    """Each span once in each domain with ``from_ms`` and ``to_ms``.
+
+    In time a span lies where it was; in tokens the session begins where it began and every
+    token is as wide as a millisecond: children end to end, what a span spends itself after them.
+    """
+    spent = spans.withColumn("own_tokens", own_tokens()).withColumn("_t", F.when(F.col("by_time"), F.coalesce("first_ts", F.lit(0))).otherwise(0))
+    laid = tree.token_layout(spent, "span_id", "parent_id", "own_tokens", ["_t", "rank"], ["session_id"]).drop("_t", "own_tokens", "width")
+    roots = spans.filter("parent_id is null").select("session_id", F.coalesce("first_ts", F.lit(0)).alias("_anchor"))
+    both = F.array(
+        F.struct(F.lit("time").alias("domain"), F.coalesce("first_ts", F.lit(0)).alias("from_ms"), F.coalesce("last_ts", F.lit(0)).alias("to_ms")),
+        F.struct(F.lit("tokens").alias("domain"), (F.col("_anchor") + F.col("start")).alias("from_ms"), (F.col("_anchor") + F.col("end")).alias("to_ms")),
+    )
+    return laid.join(roots, "session_id").withColumn("_d", F.explode(both)).select("*", "_d.*").drop("_d", "_anchor", "start", "end")
 
 
-def export_requests(spans: DataFrame, domain: str, start: str, end: str) -> DataFrame:
-    """``session_id``, ``trace_id`` and ``request``: an OTLP/JSON request for each session in one domain.
+def export_requests(spans: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``session_id``, ``project``, ``traces`` (domain, trace_id, spans) and ``request``: one OTLP/JSON request for each session with both domains.
 
-    ``start`` and ``end`` are milliseconds (time) or tokens (one token is drawn as one millisecond).  Ids are digests of
-    what they name, so a session that has grown replaces its earlier export.
+    ``spans`` are rolled-up spans, ``sessions`` has ``session_id``, ``project``, ``path`` and ``notes``.  Ids are digests
+    of what they name, so a session that has grown replaces its earlier export.
     """
-    trace = T.trace_id(F.lit(domain), F.col("session_id"))
-    nanos = lambda c: (F.coalesce(F.col(c), F.lit(0)).cast("decimal(20,0)") * 1_000_000).cast("decimal(20,0)").cast("string")
-    usage = ("input", "cache_creation", "cache_read", "output")
-    parent = F.when(F.col("parent_id").isNotNull(), T.span_id(F.lit(domain), F.col("session_id"), F.col("parent_id")))
+    service = F.create_map(*[F.lit(x) for pair in SERVICES.items() for x in pair])[F.col("domain")]
+    unit = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])[F.col("domain")]
+    trace = T.trace_id(service, F.col("session_id"))
+    nanos = lambda c: (F.col(c).cast("decimal(20,0)") * 1_000_000).cast("decimal(26,0)").cast("string")
+    name = F.create_map(*[F.lit(x) for pair in SPAN_NAMES.items() for x in pair])[F.col("kind")]
     span = F.struct(
-        trace.alias("traceId"),
-        T.span_id(F.lit(domain), F.col("session_id"), F.col("span_id")).alias("spanId"),
-        parent.alias("parentSpanId"),  # null, and so absent, at the root
-        F.col("label").alias("name"),
-        nanos(start).alias("startTimeUnixNano"),
-        nanos(end).alias("endTimeUnixNano"),
-        _attributes({"span.kind": F.col("kind"), "session": F.col("session_id"), "lineage": T.lineage_path("lineage"), "agent": T.immediate_agent("lineage"), "parent_agent": T.parent_agent("lineage")}, {"depth": T.depth_of("lineage")} | {f"rollup.{u}": F.col(f"all_{u}") for u in usage}).alias("attributes"),
-    )
-    grouped = spans.groupBy("session_id").agg(F.first(trace).alias("trace_id"), F.sort_array(F.collect_list(F.struct(F.col("span_id"), span.alias("s")))).alias("spans"))
-    resource = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.lit(SERVICES[domain]).alias("stringValue")).alias("value"))).alias("attributes"))
-    scope = F.struct(F.struct(F.lit(SCHEMA).alias("name")).alias("scope"), F.transform("spans", lambda x: x["s"]).alias("spans"))
-    body = F.struct(F.array(F.struct(resource.alias("resource"), F.array(scope).alias("scopeSpans"))).alias("resourceSpans"))
-    return grouped.select("session_id", "trace_id", F.to_json(body).alias("request"))
+        trace.alias("traceId"), T.span_id(service, F.col("session_id"), F.col("span_id")).alias("spanId"),
+        F.when(F.col("parent_id").isNotNull(), T.span_id(service, F.col("session_id"), F.col("parent_id"))).alias("parentSpanId"),  # null, and so absent, at the root
+        name.alias("name"), F.lit(1).alias("kind"), nanos("from_ms").alias("startTimeUnixNano"), nanos("to_ms").alias("endTimeUnixNano"), span_attributes().alias("attributes"),
+    )
+    placed = placed_in_domains(spans)
+    grouped = placed.groupBy("session_id", "domain").agg(F.first(trace).alias("trace_id"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct(F.col("span_id"), span.alias("s")))).alias("spans"))
+    noted = F.transform("notes", lambda n, i: F.struct(F.concat(F.lit("tracemill.note."), i.cast("string")).alias("key"), F.struct(n.alias("stringValue"), F.lit(None).cast("string").alias("intValue")).alias("value")))
+    about = _attributes([
+        ("service.name", service, False), ("service.version", F.lit(SCHEMA), False), ("tracemill.axis", unit, False), (GROUPABLE["session"], F.col("session_id"), False), (GROUPABLE["project"], F.col("project"), False),
+        ("tracemill.transcript", F.col("path"), False), ("tracemill.notes", F.size("notes"), True),
+    ])
+    scope = F.struct(F.struct(F.lit("tracemill").alias("name"), F.lit(SCHEMA).alias("version")).alias("scope"), F.transform("spans", lambda x: x["s"]).alias("spans"))
+    resource = F.struct(F.struct(F.concat(about, noted).alias("attributes")).alias("resource"), F.array(scope).alias("scopeSpans"))
+    parts = grouped.join(sessions.select("session_id", "project", "path", "notes"), "session_id").select("session_id", "project", F.struct("domain", "trace_id", F.col("n").alias("spans")).alias("t"), F.struct("domain", resource.alias("r")).alias("p"))
+    whole = parts.groupBy("session_id", "project").agg(F.array_sort(F.collect_list("t")).alias("traces"), F.sort_array(F.collect_list("p")).alias("p"))
+    return whole.select("session_id", "project", "traces", F.to_json(F.struct(F.transform("p", lambda x: x["r"]).alias("resourceSpans"))).alias("request"))
 
 
 def collector_said(body: str) -> tuple[str, str]:
@@ -122,7 +195,12 @@ def post_json(endpoint: str, body: str, timeout: float = 30.0) -> str:
 
 
 def send(requests: DataFrame, post: Callable[[str], str]) -> DataFrame:
-    """POST each request from the task that holds it; returns ``session_id``, ``trace_id``, ``status`` and ``reason``."""
+    """POST each session's request once, from the task that holds it, and store what became of it.
+
+    Returns ``session_id``, ``status`` (stored, warned, rejected or failed) and ``reason`` as stored: however often
+    the result is read, nothing is posted again.  A task that is tried again posts its
+    sessions again, which replace what they had stored.
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -132,7 +210,7 @@ def send(requests: DataFrame, post: Callable[[str], str]) -> DataFrame:
                     status, why = collector_said(post(r.request))
                 except Exception as e:  # reported with its session; the others go on
                     status, why = "failed", str(e)
-                rows.append((r.session_id, r.trace_id, status, why))
-            yield pd.DataFrame(rows, columns=["session_id", "trace_id", "status", "reason"])
+                rows.append((r.session_id, status, why))
+            yield pd.DataFrame(rows, columns=["session_id", "status", "reason"])
 
-    return requests.mapInPandas(each, "session_id string, trace_id string, status string, reason string")
+    return stored(requests.select("session_id", "request").mapInPandas(each, "session_id string, status string, reason string"), "export-outcomes")
