@@ -149,3 +149,19 @@ def at_depth(lineage: Column | str, n: int) -> Column:
 
 def in_agent(lineage: Column | str, agent: str) -> Column:
     return F.exists(_c(lineage), lambda h: h["agent_id"] == agent)
+
+
+def path_of(lineage: Column | str) -> Column:
+    """The agents of a lineage as one text, which tells lineages of a session apart and can be joined on."""
+    return F.array_join(F.transform(_c(lineage), lambda h: h["agent_id"]), "\n")
+
+
+def parent_path(lineage: Column | str) -> Column:
+    """``path_of`` the lineage one hop shorter; null at the root."""
+    line = _c(lineage)
+    return F.when(F.size(line) > 0, path_of(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0)))))
+
+
+def is_child_of(child: Column | str, parent: Column | str) -> Column:
+    """Whether ``child`` extends ``parent`` by exactly one hop."""
+    return (F.size(_c(child)) == F.size(_c(parent)) + 1) & parent_path(child).eqNullSafe(path_of(parent))

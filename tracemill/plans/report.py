@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import tokens as T
-from tracemill.operators import audit, fit, joins, ledger, sequence
+from tracemill.operators import audit, fit, joins, ledger, rules, sequence
 from tracemill.plans.session import CONV, Analysis
 
 #: USD per million input and output tokens as published 2026-08-22, from an instant (ms) to the next.
@@ -47,20 +47,147 @@ def ledgers(rows: DataFrame) -> DataFrame:
     return out
 
 
+def workspaces(a: Analysis) -> DataFrame:
+    """``session_id``, ``workspace`` (what sessions are grouped by: the working folder, else the project's slug) and ``project`` (its name)."""
+    own = F.when(F.col("cwd").isNotNull() & (F.col("conv_id") == ""), F.col("line_no"))
+    seen = a.records.groupBy("session_id").agg(F.min_by("cwd", own).alias("cwd"))
+    known = a.sessions.select("session_id", F.col("project").alias("slug")).join(seen, "session_id", "left")
+    return known.select("session_id", F.coalesce("cwd", "slug").alias("workspace"), F.coalesce(T.leaf_name("cwd"), F.col("slug")).alias("project"))
+
+
 def session_list(a: Analysis, rates: DataFrame) -> DataFrame:
-    """A row for each session: calls, depth, spend in token-equivalents, spawned and unpriced parts, dollars."""
+    """A row for each session, also one without calls: extent, calls, depth, spend in whole token-equivalents, spawned and unpriced parts, dollars.
+
+    A session lasts from the first to the last instant of anything in its tree, tools included.
+    """
     rows = joins.at_rates(call_rows(a), rates, F.col("model_id"), "ts_ms")
     usd = (20 * F.col("input") + 25 * F.col("cache_creation") + 2 * F.col("cache_read")) * F.col("in_rate") + 20 * F.col("output") * F.col("out_rate")
     known = F.coalesce(F.sum(usd), F.lit(0.0)) / 20_000_000
     spawned = F.col("depth") > 0
-    project = a.records.groupBy("session_id").agg(F.first("project").alias("slug"), F.min_by("cwd", F.when(F.col("cwd").isNotNull() & (F.col("conv_id") == ""), F.col("line_no"))).alias("cwd"))
+    whole = lambda x: T.half_up(x / 20).cast("long")
     sums = rows.groupBy("session_id").agg(
-        F.min("ts_ms").alias("started_ms"), F.round((F.max("ts_ms") - F.min("ts_ms")) / 60_000, 1).alias("wall_min"), F.count(F.lit(1)).alias("calls"), F.count_if(spawned).alias("spawned_calls"),
-        F.max("depth").alias("max_depth"), (F.sum("spend20") / 20).alias("tok_eq"), (F.sum(F.when(spawned, F.col("spend20")).otherwise(0)) / 20).alias("spawned_tok_eq"),
-        F.round(known, 4).alias("usd"), (F.sum(F.when(F.col("in_rate").isNull(), F.col("spend20")).otherwise(0)) / 20).alias("unpriced_tok_eq"),
-        F.array_join(F.array_sort(F.collect_set("model_id")), ", ").alias("models"),
+        F.count(F.lit(1)).alias("calls"), F.count_if(spawned).alias("spawned_calls"), F.max("depth").cast("long").alias("max_depth"), whole(F.sum("spend20")).alias("tok_eq"),
+        whole(F.sum(F.when(spawned, F.col("spend20")).otherwise(0))).alias("spawned_tok_eq"), F.round(known, 4).alias("usd"),
+        whole(F.sum(F.when(F.col("in_rate").isNull(), F.col("spend20")).otherwise(0))).alias("unpriced_tok_eq"), F.array_join(F.array_sort(F.collect_set("model_id")), ", ").alias("models"),
     )
-    return sums.join(project, "session_id").withColumn("project", F.coalesce(T.leaf_name("cwd"), F.col("slug"))).drop("slug", "cwd")
+    extent = a.spans.groupBy("session_id").agg(F.min("ts_start").alias("started_ms"), T.half_up((F.max("ts_end") - F.min("ts_start")) / 60_000).cast("long").alias("wall_min"))
+    out = workspaces(a).join(sums, "session_id", "left").join(extent, "session_id", "left")
+    numbers = ["started_ms", "wall_min", "calls", "spawned_calls", "max_depth", "tok_eq", "spawned_tok_eq", "usd", "unpriced_tok_eq"]
+    return out.fillna(0, numbers).fillna("", ["models"]).select("session_id", "project", *numbers, "models")
+
+
+def corpus_report(a: Analysis, rates: DataFrame) -> DataFrame:
+    """Sessions with their ``place`` by dollars (ties by id) and the totals of the list: dollars to four places, calls, spend, workspaces."""
+    rows = session_list(a, rates).withColumn("usd4", T.half_up(F.col("usd") * 10_000).cast("long"))
+    distinct = workspaces(a).agg(F.count_distinct("workspace").alias("workspaces"))
+    totals = rows.agg(F.sum("usd4").alias("list_usd4"), F.sum("calls").alias("list_calls"), F.sum("tok_eq").alias("list_tok_eq"))
+    placed = ledger.placed_by(rows.select("session_id", "usd4", "calls", "tok_eq"), "usd4", "session_id")
+    # Two single rows.
+    return placed.join(F.broadcast(totals), how="cross").join(F.broadcast(distinct), how="cross")
+
+
+def depth_disagreements(a: Analysis) -> DataFrame:
+    """Placed conversations whose chain is not as long as their sidecar claims."""
+    placed = a.forest.filter("parent_agent is not null").select("session_id", "agent_id", T.depth_of("lineage").alias("depth"), F.col("declared_depth").alias("declared"))
+    return placed.filter("depth <> declared")
+
+
+def family(a: Analysis) -> DataFrame:
+    """``session_id``, ``agent_id`` ('' for the root) and ``children``: how many conversations extend each one's lineage by one hop."""
+    placed = a.forest.filter("parent_agent is not null").select("session_id", "agent_id", T.path_of("lineage").alias("path"), T.parent_path("lineage").alias("above"))
+    every = a.sessions.select("session_id", F.lit("").alias("agent_id"), F.lit("").alias("path")).unionByName(placed.drop("above"))
+    counts = placed.groupBy("session_id", F.col("above").alias("path")).agg(F.count(F.lit(1)).alias("children"))
+    return every.join(counts, ["session_id", "path"], "left").select("session_id", "agent_id", F.coalesce("children", F.lit(0)).alias("children"))
+
+
+def notes(a: Analysis) -> DataFrame:
+    """``session_id``, ``about``, ``rank`` and ``note``: what a reader of the session's figures should know, in order of (``rank``, ``note``).
+
+    Of every session how its lines made calls and how its tools were answered; where there are any, lines
+    that cannot be read, line types that are not known, files without their other half, orphans, claims of depth that do not hold.
+    """
+    root = lambda df: df.filter("conv_id = ''")
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    ids = a.sessions.select("session_id")
+    lines = root(a.records).groupBy("session_id").agg(F.count_if(F.col("kind") == "assistant").alias("lines"), F.count_if(F.col("kind") == "unparseable").alias("bad"))
+    calls = root(a.calls).groupBy("session_id").agg(F.count(F.lit(1)).alias("calls"))
+    one = ids.join(lines, "session_id", "left").join(calls, "session_id", "left")
+    # Hundredths of lines a call, rounded half up in whole numbers.
+    each = F.expr("case when coalesce(calls, 0) = 0 then 0 else (200 * lines + calls) div (2 * calls) end")
+    fan = F.concat(F.floor(each / 100).cast("string"), F.lit("."), F.lpad((each % 100).cast("string"), 2, "0"))
+    tools = root(a.tools).groupBy("session_id").agg(F.count(F.lit(1)).alias("tools"), F.count("ts_end").alias("answered"), F.sum("repeated_results").alias("again"), F.sum("repeated_uses").alias("uses"))
+    run = ids.join(tools, "session_id", "left").join(root(a.lost_results).select("session_id", "unmatched"), "session_id", "left")
+    unknown = root(a.records).filter("kind = 'unknown'").groupBy("session_id", "type").agg(F.count(F.lit(1)).alias("met"))
+    types = unknown.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "met"))), lambda t: F.concat(t["type"], F.lit("="), t["met"].cast("string"))), ", ").alias("types"))
+    orphans = a.forest.filter("parent_agent is null")
+    parts = [
+        ("calls", one, text(n("lines"), " lines of the model make ", n("calls"), " calls (", fan, " lines a call)")),
+        ("tools", run, text(n("answered"), " of ", n("tools"), " tools have a result; ", n("unmatched"), " results answer nothing, ", n("again"), " answer again, ", n("uses"), " requests repeat an id")),
+        ("unparseable", lines.filter("bad > 0"), text(F.col("bad"), " lines are no JSON")),
+        ("unknown", types, text("line types that are not known: ", F.col("types"))),
+        ("unpaired", a.sessions.select("session_id", F.explode("unpaired").alias("u")), text("half a spawned agent: ", F.col("u"))),
+        ("orphan", orphans, text("orphan ", F.col("agent_id"), " (", F.col("agent_type"), "): ", F.col("why"))),
+        ("depth", depth_disagreements(a), text(F.col("agent_id"), " is at depth ", F.col("depth"), " and claims ", F.col("declared"))),
+    ]
+    out = None
+    for rank, (about, rows, note) in enumerate(parts):
+        part = rows.select("session_id", F.lit(about).alias("about"), F.lit(rank).alias("rank"), note.alias("note"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def synopsis(a: Analysis, rows: DataFrame | None = None) -> DataFrame:
+    """``session_id``, ``dominant`` (the activity of most spend), ``opening`` (null: no stated task) and ``synopsis``.
+
+    The opening is the first turn of the best kind there is: something of substance that
+    a user said, else that an agent relayed, else a command that asks for work.
+    """
+    rows = call_rows(a) if rows is None else rows
+    top = ledger.dominant(rows, SESSION, "activity", "spend20").select("session_id", F.when(F.col("source") == "unattributed", "unclassified").otherwise(F.col("source")).alias("dominant"))
+    kind, long_ = F.col("origin.kind"), T.utf16_length("origin.snippet") > 20
+    rank = F.when((kind == "user") & long_, 0).when((kind == "agent") & long_, 1).when((kind == "command") & ~rules.is_session_control(F.col("origin")), 2)
+    turns = a.turns.filter("conv_id = ''").withColumn("_r", rank).filter("_r is not null")
+    first = turns.groupBy("session_id").agg(F.min_by(F.col("origin.snippet"), F.struct("_r", "turn_index")).alias("opening"))
+    out = a.sessions.select("session_id").join(top, "session_id", "left").join(first, "session_id", "left").fillna("unclassified", ["dominant"])
+    said = F.coalesce(F.substring("opening", 1, 100), F.lit("no stated task, agents throughout"))
+    return out.withColumn("synopsis", F.concat("dominant", F.lit(" — "), said))
+
+
+def output_ledger(a: Analysis) -> DataFrame:
+    """``session_id``, ``key``, ``amount``, ``share``, ``calls`` and ``models``: a session's output by part; the four parts close on its total.
+
+    ``calls`` are those that reasoned or that no model is calibrated for, ``models`` the latter's.
+    """
+    totals = output_totals(a)
+    parts = [("reasoning", "calls_with_reasoning"), ("visible", None), ("estimator_error", None), ("uncalibrated", "uncalibrated_calls")]
+    entry = lambda key, calls: F.struct(F.lit(key).alias("key"), F.col(key).alias("amount"), (F.col(calls) if calls else F.lit(0)).cast("long").alias("calls"), F.when(F.lit(key == "uncalibrated"), F.col("uncalibrated_models")).otherwise("").alias("models"))
+    rows = totals.select("session_id", "total", F.explode(F.array(*[entry(*p) for p in parts])).alias("e")).select("session_id", "total", "e.*")
+    return rows.select("session_id", "key", "amount", (F.col("amount") / F.greatest("total", F.lit(1))).alias("share"), "calls", "models")
+
+
+def corpus_ledger(ledgers: DataFrame) -> DataFrame:
+    """``ledger``, ``key``, ``cost``, ``calls`` and ``share`` over all sessions, from their own rounded costs."""
+    whole = ledgers.groupBy("ledger", "key").agg(F.sum(T.half_up(F.col("amount20") / 20).cast("long")).alias("cost"), F.sum("calls").alias("calls"))
+    total = F.sum("cost").over(Window.partitionBy("ledger"))
+    return whole.withColumn("share", ledger.share_of(F.col("cost"), total))
+
+
+#: What the corpus is asked first: how much of the spend each of these bought.
+ASKED_FIRST = ("review", "implementation", "exploration", "unclassified")
+
+
+def asked_first(ledgers: DataFrame) -> DataFrame:
+    """``activity``, ``cost`` and ``share`` of the four activities in question, at zero too."""
+    asked = ledgers.sparkSession.createDataFrame([(x,) for x in ASKED_FIRST], "activity string")
+    found = corpus_ledger(ledgers.filter("ledger = 'activity'")).select(F.col("key").alias("activity"), "cost", "share")
+    return asked.join(found, "activity", "left").fillna(0, ["cost"]).fillna(0.0, ["share"])
+
+
+def session_cards(a: Analysis) -> DataFrame:
+    """``session_id``, ``project``, ``path`` and ``notes`` (in order): what an export says of a session."""
+    noted = notes(a).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "note"))), lambda x: x["note"]).alias("notes"))
+    return a.sessions.select("session_id", "path").join(workspaces(a).select("session_id", "project"), "session_id").join(noted, "session_id")
 
 
 def coverage(rows: DataFrame) -> DataFrame:
@@ -81,7 +208,10 @@ def calibration(a: Analysis) -> DataFrame:
 def output_totals(a: Analysis) -> DataFrame:
     """How each session's output divides into visible, reasoning, estimator error and uncalibrated."""
     p = calibration(a)
-    return fit.output_totals(fit.split_output(p, fit.fit_tokenizers(p.filter(~F.col("reasoned")))), SESSION)
+    # Every transcript calibrates; only what has a home in the tree is counted.
+    homes = a.forest.filter("parent_agent is not null").select("session_id", F.col("agent_id").alias("conv_id"), F.lit(True).alias("placed"))
+    counted = p.join(homes, CONV, "left").filter("conv_id = '' or placed").drop("placed")
+    return fit.output_totals(fit.split_output(counted, fit.fit_tokenizers(p.filter(~F.col("reasoned")))), SESSION)
 
 
 def residency(a: Analysis) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -137,7 +267,7 @@ def unaccounted(a: Analysis, rows: DataFrame, rates: DataFrame) -> DataFrame:
     """Two findings of every session, at zero too: reasoning, and spend without a rate or output without a fit."""
     rated = joins.at_rates(rows, rates, F.col("model_id"), "ts_ms").withColumn("rated_model", F.col("model_id"))
     priced = ledger.price_totals(rated, SESSION, F.lit(0.0), F.col("spend20")).select("session_id", "unpriced", (F.col("priced") + F.col("unpriced")).alias("whole"))
-    both = priced.join(output_totals(a).select("session_id", "total", "reasoning", "uncalibrated"), "session_id", "left").fillna(0)
+    both = a.sessions.select("session_id").join(priced, "session_id", "left").join(output_totals(a).select("session_id", "total", "reasoning", "uncalibrated"), "session_id", "left").fillna(0)
     unfit = ledger.share_of(F.col("uncalibrated"), F.col("total"))
     out = None
     for name, cost, gap in (("reasoning share of output", F.col("reasoning"), F.lit(0.0)), ("pricing/calibration gap", F.col("unpriced") / 20, unfit)):

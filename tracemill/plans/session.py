@@ -99,16 +99,18 @@ def turns_of(seen: DataFrame, calls: DataFrame) -> DataFrame:
     return sequence.extents(opened, CONV, "line_no", "first_call", F.col("_calls")).drop("_calls")
 
 
-def labels_of(calls: DataFrame, forest: DataFrame, metas: DataFrame) -> DataFrame:
+def labels_of(calls: DataFrame, forest: DataFrame) -> DataFrame:
     """Activity of every call.  A root call without a sign of its own continues the one before; spawned work has the label of the root call that spawned it."""
     tools = F.filter("blocks", lambda b: b["kind"] == "tool_use")
     root = calls.filter("conv_id = ''").withColumn("_tools", tools)
-    spawned = metas.filter("tool_use_id <> ''").groupBy("session_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("tool_use_id", "agent_type")))).alias("_types"))
-    root = root.join(spawned, "session_id", "left")
+    # Of sidecars that name one tool use the last agent's counts.
+    spawned = forest.filter("parent_agent is not null and tool_use_id <> ''").groupBy("session_id", "tool_use_id").agg(F.max_by("agent_type", "agent_id").alias("agent_type"))
+    asked = root.select("session_id", "call_index", F.explode("_tools").alias("t")).select("session_id", "call_index", F.col("t.id").alias("tool_use_id"))
+    sent = asked.join(spawned, ["session_id", "tool_use_id"]).groupBy("session_id", "call_index").agg(F.collect_list("agent_type").alias("_agents"))
+    root = root.join(sent, ["session_id", "call_index"], "left")
     facts = F.transform("_tools", lambda t: F.struct(t["name"].alias("name"), T.program_text(t["input"]).alias("text")))
     skills = F.transform(F.filter("_tools", lambda t: t["name"] == "Skill"), lambda t: F.lower(t["input"]))
-    agents = F.filter(F.transform("_tools", lambda t: F.try_element_at(F.col("_types"), t["id"])), lambda a: a.isNotNull())
-    own = root.withColumn("_a", rules.activity(facts, skills, F.coalesce(agents, F.array().cast("array<string>"))))
+    own = root.withColumn("_a", rules.activity(facts, skills, F.coalesce("_agents", F.array().cast("array<string>"))))
     w = Window.partitionBy("session_id").orderBy("call_index").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last("_a", ignorenulls=True).over(w)
     continued = F.when(last["activity"] == "unclassified", "none").otherwise("rule")
@@ -222,7 +224,7 @@ def analyze(spark: SparkSession, root: str, picked: DataFrame | None = None) ->
     forest = tree.resolve_spawns(candidates, uses.select(*CONV, "tool_use_id", F.col("call_index").cast("int").alias("call_index")), calls.select(*CONV, "call_index", F.col("ts_ms").alias("ts")))
     forest = stored(forest.join(metas.select("session_id", "agent_id", "agent_type", "description", "tool_use_id", "declared_depth"), ["session_id", "agent_id"], "left"), "forest")
     tools, turns = stored(tools_of(uses, results), "tools"), stored(turns_of(seen, calls), "turns")
-    arrivals, labels = stored(arrivals_of(seen, calls, uses, results), "arrivals"), stored(labels_of(calls, forest, metas), "labels")
+    arrivals, labels = stored(arrivals_of(seen, calls, uses, results), "arrivals"), stored(labels_of(calls, forest), "labels")
     lost = unmatched_results(uses, results)
     spans = stored(spans_of(calls, tools, turns, forest, labels), "spans")
     return Analysis(stored(transcripts.sessions_of(files), "sessions"), records, calls, tools, arrivals, turns, forest, labels, spans, lost)
