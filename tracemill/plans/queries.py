@@ -347,8 +347,7 @@ def _split(spark, d) -> DataFrame:
 @query
 def output_totals(spark, d):
     t = fit.output_totals(_split(spark, d), ["model"])
-    return t.select("model", *[_l(c).alias(c) for c in ("total", "calls_with_reasoning", "uncalibrated", "uncalibrated_calls", "calls")], "uncalibrated_models",
-                    (F.col("visible") + F.col("reasoning") + F.col("estimator_error") + F.col("uncalibrated") == F.col("total")).alias("closes"))
+    return t.select("model", *[_l(c).alias(c) for c in ("total", "visible", "reasoning", "estimator_error", "uncalibrated", "calls_with_reasoning", "uncalibrated_calls", "calls")], "uncalibrated_models")
 
 
 # --- forests --------------------------------------------------------------
@@ -410,12 +409,19 @@ def session_list(spark, d):
 
 @query
 def identity_audit(spark, d):
-    c = _epochs(spark, d)[0]
-    claim = lambda name, rows, left, right: rows.select(F.lit(name).alias("identity"), F.col("user_id").cast("string").alias("session"), F.col("call_index").cast("string").alias("site"), _l(left).alias("lhs"), _l(right).alias("rhs"))
+    c = _epochs(spark, d)[0].withColumn("site", F.col("call_index").cast("string"))
+    claim = lambda name, rows, left, right: rows.select(F.lit(name).alias("identity"), F.col("user_id").cast("string").alias("session"), "site", _l(left).alias("lhs"), _l(right).alias("rhs"))
     claims = claim("cache-read-recurrence", c.filter("previous_read is not null and cache_read >= previous_read"), F.col("cache_read"), F.col("previous_read") + F.col("previous_creation"))
     claims = claims.unionByName(claim("residency-predicts-cache-read", c.filter("predictable"), F.col("cache_read"), F.col("expected")))
-    claims = claims.unionByName(claim("tree-holds-every-token", c, F.col("output"), F.col("event_id") % 251))
-    claims = claims.unionByName(claim("cache-creation-accounted", c.filter("event_id % 2 = 0"), F.greatest(F.lit(0), F.col("cache_creation") - F.lit(95)), F.lit(0)))
+    claims = claims.unionByName(claim("cache-creation-accounted", c, F.greatest(F.lit(0), F.col("cache_creation") - F.lit(95)), F.lit(0)))
+    g = request_group_dedup(spark, d).filter("output_varies").withColumn("site", F.col("day").cast("string"))
+    claims = claims.unionByName(claim("output-snapshot-agrees", g, F.col("output"), F.col("last_output")))
+    # What each tree's root has gathered step by step against the sum of the nodes that find their way to it.
+    n = part_forest(spark, d)
+    rolled = tree.rollup(n, "id", "parent", [("gathered", "sum", F.col("own"))]).withColumnRenamed("id", "top")
+    flat = tree.climb(n, "id", "parent").join(n.select("id", "own"), "id").groupBy("top").agg(F.sum("own").alias("flat"))
+    trees = flat.join(rolled, "top").withColumn("user_id", F.col("top")).withColumn("site", F.lit("tokens"))
+    claims = claims.unionByName(claim("tree-holds-every-token", trees, F.col("gathered"), F.col("flat")))
     return audit.audits(claims).select("identity", "sites", "violations", "allowed", "held")
 
 
@@ -524,5 +530,5 @@ def output_ledger(spark, d):
     """Each model's output by part with its share; the parts close on the total."""
     t = fit.output_totals(_split(spark, d), ["model"])
     parts = [(k, F.col(k)) for k in ("visible", "reasoning", "estimator_error", "uncalibrated")]
-    out = ledger.unpivot(t, ["model"], parts).groupBy("model").agg(F.count(F.lit(1)).alias("parts"), F.sum("amount").alias("amount"))
-    return out.join(t.select("model", "total"), "model").select("model", "parts", _l(F.round("amount")).alias("amount"), _l("total").alias("total"))
+    out = ledger.unpivot(t, ["model", "total"], parts)
+    return out.select("model", "key", _l(F.round("amount")).alias("amount"), F.round(ledger.share_of(F.col("amount"), F.col("total")), 6).alias("share"))

@@ -33,6 +33,8 @@ _FIT = _POINTS + """, parity AS (SELECT model, transcript, row_number() OVER (PA
  sum(chars::DOUBLE) FILTER (WHERE NOT train) AS ec, sum(blocks::DOUBLE) FILTER (WHERE NOT train) AS eb, sum(output::DOUBLE) FILTER (WHERE NOT train) AS ey FROM both_ GROUP BY model),
  solved AS (SELECT *, (cy * bb - by_ * cb) / (cc * bb - cb * cb) AS a, (by_ * cc - cy * cb) / (cc * bb - cb * cb) AS b, (tcy * tbb - tby * tcb) / (tcc * tbb - tcb * tcb) AS ta, (tby * tcc - tcy * tcb) / (tcc * tbb - tcb * tcb) AS tb FROM m WHERE n >= 32 AND test_n > 0)"""
 
+_SPLIT = _FIT + """, split AS (SELECT p.model, p.output, p.doc_id % 3 = 0 AS reasoned, CAST(floor(p.chars / (1 / s.a) + p.blocks * s.b + 0.5::DOUBLE) AS BIGINT) AS visible FROM points p LEFT JOIN solved s ON s.model = p.model AND s.a > 0)"""
+
 SQL: dict[str, str] = {
     "epochs": f"WITH {_EPOCHS} SELECT user_id, epoch, start_call, end_call, CAST(rewritten AS BIGINT) AS rewritten, CAST(gap AS BIGINT) AS gap FROM epochs",
     "invalidation_excess": f"WITH {_EPOCHS} SELECT user_id, count(*) AS epochs, CAST(sum(rewritten) AS BIGINT) AS rewritten, CAST(sum(rewritten) * 23 AS BIGINT) AS excess20 FROM epochs GROUP BY user_id",
@@ -95,8 +97,8 @@ SQL: dict[str, str] = {
  p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE model WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, call_index) AS n FROM calls WHERE (model IN ('purchase', 'view') AND output > 20) OR model = 'click')
  SELECT t.user_id, CASE WHEN t.whole > 0 THEN t.model ELSE 'unattributed' END AS dominant, p.event_id AS opening FROM t LEFT JOIN p ON p.user_id = t.user_id AND p.n = 1 WHERE t.n = 1""",
     "tokenizer_fit": f"WITH {_FIT} SELECT model, round(1 / a, 5) AS chars_per_token, round(b, 5) AS tokens_per_block, round((ta * ec + tb * eb - ey) / ey, 5) AS held_out_error, n AS points, transcripts FROM solved WHERE a > 0",
-    "output_totals": f"""WITH {_FIT} SELECT p.model, CAST(sum(p.output) AS BIGINT) AS total, count(*) FILTER (WHERE s.model IS NOT NULL AND p.doc_id % 3 = 0) AS calls_with_reasoning, CAST(sum(CASE WHEN s.model IS NULL THEN p.output ELSE 0 END) AS BIGINT) AS uncalibrated,
- count(*) FILTER (WHERE s.model IS NULL) AS uncalibrated_calls, count(*) AS calls, CASE WHEN max(s.model) IS NULL THEN p.model ELSE '' END AS uncalibrated_models, TRUE AS closes FROM points p LEFT JOIN solved s ON s.model = p.model AND s.a > 0 GROUP BY p.model""",
+    "output_totals": f"""WITH {_SPLIT} SELECT model, CAST(sum(output) AS BIGINT) AS total, CAST(coalesce(sum(visible), 0) AS BIGINT) AS visible, CAST(coalesce(sum(output - visible) FILTER (WHERE reasoned), 0) AS BIGINT) AS reasoning, CAST(coalesce(sum(output - visible) FILTER (WHERE NOT reasoned), 0) AS BIGINT) AS estimator_error,
+ CAST(coalesce(sum(output) FILTER (WHERE visible IS NULL), 0) AS BIGINT) AS uncalibrated, count(*) FILTER (WHERE reasoned AND visible IS NOT NULL) AS calls_with_reasoning, count(*) FILTER (WHERE visible IS NULL) AS uncalibrated_calls, count(*) AS calls, CASE WHEN max(visible) IS NULL THEN model ELSE '' END AS uncalibrated_models FROM split GROUP BY model""",
     "forest_depth": f"WITH RECURSIVE {_PARTS}, d AS (SELECT id, max(distance) AS depth FROM up GROUP BY id) SELECT d.id, d.depth, u.ancestor AS top FROM d JOIN up u ON u.id = d.id AND u.distance = d.depth",
     "forest_orphans": "SELECT p_partkey AS id, 'parent -' || CAST(p_partkey // 4 AS VARCHAR) || ' not found' AS why FROM part WHERE (p_partkey // 4) % 50 = 7",
     "tree_rollup": f"WITH RECURSIVE {_PARTS} SELECT u.ancestor AS root, CAST(sum(n.own) AS BIGINT) AS tokens, CAST(sum(CASE WHEN n.brand = 'Brand#11' THEN n.own ELSE 0 END) AS BIGINT) AS brand_tokens, count(*) AS nodes, max(n.own) AS widest FROM up u JOIN nodes n ON n.id = u.id GROUP BY u.ancestor",
@@ -109,8 +111,11 @@ SQL: dict[str, str] = {
     "session_list": f"""WITH {_RATED}, d AS (SELECT *, CAST(floor(log10(greatest(event_id, 1)::DOUBLE + 0.5::DOUBLE)) AS BIGINT) % 3 AS depth FROM priced)
  SELECT user_id, min(ts_ms) AS started_ms, (max(ts_ms) - min(ts_ms)) // 60000 AS wall_min, count(*) AS calls, count(*) FILTER (WHERE depth > 0) AS spawned_calls, max(depth) AS max_depth, CAST(sum(spend20) AS BIGINT) AS spend20, CAST(sum(CASE WHEN depth > 0 THEN spend20 ELSE 0 END) AS BIGINT) AS spawned20,
  round(coalesce(sum(usd), 0.0::DOUBLE) / 20000000.0::DOUBLE, 6) AS usd, CAST(sum(CASE WHEN rate IS NULL THEN spend20 ELSE 0 END) AS BIGINT) AS unpriced20 FROM d GROUP BY user_id""",
-    "identity_audit": f"""WITH {_PREDICTED}, c AS (SELECT 'cache-read-recurrence' AS identity, cache_read <> p_read + p_creation AS v FROM predicted WHERE cache_read >= p_read UNION ALL SELECT 'residency-predicts-cache-read', cache_read <> expected FROM predicted WHERE predictable
- UNION ALL SELECT 'tree-holds-every-token', FALSE FROM predicted UNION ALL SELECT 'cache-creation-accounted', cache_creation > 95 FROM predicted WHERE event_id % 2 = 0),
+    "identity_audit": f"""WITH RECURSIVE {_PREDICTED}, {_PARTS}, days AS (SELECT user_id, ts_ms // 86400000 AS day, call_index, output FROM calls),
+ last AS (SELECT user_id, day, max(output) AS output, arg_max(output, call_index) AS last_output, count(DISTINCT output) AS n FROM days GROUP BY user_id, day),
+ tops AS (SELECT id, arg_max(ancestor, distance) AS top FROM up GROUP BY id), gathered AS (SELECT u.ancestor AS top, sum(n.own) AS g FROM up u JOIN nodes n ON n.id = u.id GROUP BY u.ancestor), flat AS (SELECT t.top, sum(n.own) AS f FROM tops t JOIN nodes n ON n.id = t.id GROUP BY t.top),
+ c AS (SELECT 'cache-read-recurrence' AS identity, cache_read <> p_read + p_creation AS v FROM predicted WHERE cache_read >= p_read UNION ALL SELECT 'residency-predicts-cache-read', cache_read <> expected FROM predicted WHERE predictable
+ UNION ALL SELECT 'tree-holds-every-token', g.g <> f.f FROM flat f JOIN gathered g ON g.top = f.top UNION ALL SELECT 'cache-creation-accounted', cache_creation > 95 FROM predicted UNION ALL SELECT 'output-snapshot-agrees', output <> last_output FROM last WHERE n > 1),
  r AS (SELECT * FROM (VALUES ('tree-holds-every-token', 0.0::DOUBLE), ('cache-creation-accounted', 0.0::DOUBLE), ('cache-read-recurrence', 0.05::DOUBLE), ('output-snapshot-agrees', 0.001::DOUBLE), ('residency-predicts-cache-read', 0.3::DOUBLE)) AS t(identity, rate)),
  n AS (SELECT r.identity, r.rate, count(c.identity) AS sites, count(*) FILTER (WHERE c.v) AS violations FROM r LEFT JOIN c ON c.identity = r.identity GROUP BY r.identity, r.rate)
  SELECT identity, sites, violations, CAST(floor(rate * sites) AS BIGINT) AS allowed, violations <= CAST(floor(rate * sites) AS BIGINT) AS held FROM n""",
@@ -131,5 +136,6 @@ SQL: dict[str, str] = {
  SELECT user_id, calls, spend20, micro_usd, row_number() OVER (ORDER BY micro_usd DESC, user_id) AS place, CAST(sum(micro_usd) OVER () AS BIGINT) AS list_micro_usd, CAST(sum(calls) OVER () AS BIGINT) AS list_calls FROM s""",
     "depth_disagreements": f"""WITH RECURSIVE {_PARTS}, d AS (SELECT id, max(distance) AS depth FROM up GROUP BY id), x AS (SELECT id, depth, CAST(CASE WHEN id = 0 THEN 0 ELSE floor(log2(id::DOUBLE + 0.5) / 2) + 1 END AS BIGINT) AS declared FROM d)
  SELECT id, declared, depth FROM x WHERE declared <> depth""",
-    "output_ledger": f"WITH {_POINTS} SELECT model, CAST(4 AS BIGINT) AS parts, CAST(sum(output) AS BIGINT) AS amount, CAST(sum(output) AS BIGINT) AS total FROM points GROUP BY model",
+    "output_ledger": f"""WITH {_SPLIT}, p AS (SELECT model, output AS whole, unnest(['visible', 'reasoning', 'estimator_error', 'uncalibrated']) AS key, unnest([coalesce(visible, 0), CASE WHEN reasoned AND visible IS NOT NULL THEN output - visible ELSE 0 END, CASE WHEN NOT reasoned AND visible IS NOT NULL THEN output - visible ELSE 0 END, CASE WHEN visible IS NULL THEN output ELSE 0 END]) AS v FROM split)
+ SELECT model, key, CAST(sum(v) AS BIGINT) AS amount, round(sum(v)::DOUBLE / sum(whole)::DOUBLE, 6) AS share FROM p GROUP BY model, key""",
 }
