@@ -135,6 +135,11 @@ def lineage_path(lineage: Column | str) -> Column:
     return F.when(depth_of(lineage) == 0, F.lit("main")).otherwise(path)
 
 
+def driver_of(lineage: Column | str) -> Column:
+    """Who speaks in a conversation: a human at the root, an agent below it."""
+    return F.when(depth_of(lineage) == 0, "human").otherwise("agent")
+
+
 def is_main(lineage: Column | str) -> Column:
     return depth_of(lineage) == 0
 

@@ -13,7 +13,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.functions import tokens as T
 from tracemill.functions.storage import shared_folder, stored
+from tracemill.operators import ledger
 from tracemill.plans import report, session
 from tracemill.plans.adapters import calls, table
 from tracemill.plans.queries import RATES, query
@@ -263,3 +265,78 @@ def trace_scope(spark, d):
     root = analysed(spark, d)[0]
     kept, said = transcripts.in_scope(transcripts.sessions_of(transcripts.discover(spark, root)), project="proj-[0-4]$", prefix="s1", has_spawns=True)
     return kept.select("session_id", "project", "spawns", F.size("unpaired").cast("long").alias("unpaired"), F.lit("; ".join(said)).alias("criteria"))
+
+
+@query
+def trace_parse_stats(spark, d):
+    return transcripts.parse_stats(analysed(spark, d)[1].records)
+
+
+@query
+def trace_tools(spark, d):
+    rows = analysed(spark, d)[1].tools
+    return rows.select("session_id", "conv_id", "tool_use_id", "name", "summary", *[_l(c).alias(c) for c in ("call_index", "ts_start", "ts_end", "result_chars", "repeated_results", "repeated_uses")])
+
+
+@query
+def trace_arrivals(spark, d):
+    rows = analysed(spark, d)[1].arrivals
+    return rows.groupBy("session_id", "conv_id", "born", "source", "label", "basis").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
+
+
+@query
+def trace_turns(spark, d):
+    rows = analysed(spark, d)[1].turns
+    return rows.select("session_id", "conv_id", *[_l(c).alias(c) for c in ("turn_index", "first_call", "last_call")], F.col("origin.kind").alias("kind"), F.col("origin.snippet").alias("snippet"))
+
+
+@query
+def trace_causes(spark, d):
+    rows = report.causes(analysed(spark, d)[1])
+    return rows.select("session_id", "conv_id", _l("call_index").alias("call_index"), "source", "label", "arrivals", "tokens", _twentieths("cost").alias("cost20"), "basis")
+
+
+@query
+def trace_basis(spark, d):
+    return report.basis_of_sizes(analysed(spark, d)[1]).withColumn("exact_share", F.round("exact_share", 6))
+
+
+@query
+def trace_forest(spark, d):
+    rows = analysed(spark, d)[1].forest
+    placed = F.col("parent_agent").isNotNull()
+    return rows.select("session_id", "agent_id", "parent_agent", _l("spawned_at_call").alias("spawned_at_call"), "via", "why", F.when(placed, T.lineage_path("lineage")).alias("path"), F.when(placed, T.driver_of("lineage")).alias("driver"))
+
+
+@query
+def trace_epochs(spark, d):
+    rows = report.residency(analysed(spark, d)[1])[1]
+    return rows.select("session_id", *[_l(c).alias(c) for c in ("epoch", "start_call", "end_call", "rewritten", "gap")], (23 * F.col("rewritten")).alias("excess20"))
+
+
+@query
+def trace_lifetimes(spark, d):
+    rows = report.residency(analysed(spark, d)[1])[2]
+    return rows.groupBy("session_id", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("writes").alias("writes"), F.sum("reads").alias("reads"), F.sum(_twentieths("total")).alias("total20"))
+
+
+@query
+def trace_coverage(spark, d):
+    out = report.coverage(report.call_rows(analysed(spark, d)[1]))
+    mean = F.round(ledger.weighted_mean(out, "unclassified", "total", 1.0).scalar(), 6)
+    shares = [c for c in out.columns if c not in ("session_id", "total")]
+    return out.select("session_id", "total", *[F.round(c, 6).alias(c) for c in shares], mean.alias("corpus_unclassified"))
+
+
+@query
+def trace_exports(spark, d):
+    """What is sent of each session: its traces in both domains with their addresses, and how many attributes it carries."""
+    a = analysed(spark, d)[1]
+    sent = sinks.export_requests(stored(session.rolled_up(a.spans), "rolled"), report.session_cards(a))
+    rows = sent.select("session_id", "project", F.explode("traces").alias("t"), F.size(F.split("request", '"spanId":')).alias("n"))
+    return rows.select("session_id", "project", "t.domain", "t.trace_id", _l("t.spans").alias("spans"), _l(F.col("n") - 1).alias("both"), T.trace_url("http://localhost/", F.col("t.trace_id")).alias("url"))
+
+
+@query
+def trace_selection(spark, d):
+    return report.selection(analysed(spark, d)[1], per_project=2, limit=9).select("session_id", "project", "lines", "spawned")

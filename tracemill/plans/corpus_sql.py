@@ -57,7 +57,50 @@ _BELOW = """below AS (SELECT r.user_id, r.k, r.output, r.input, coalesce(g.o, 0)
  LEFT JOIN (SELECT user_id, e, sum(output) AS o, sum(input) AS i FROM placed WHERE conv LIKE 'g%' OR conv LIKE 'h%' GROUP BY user_id, e) g ON g.user_id = r.user_id AND g.e = r.e
  LEFT JOIN (SELECT x.user_id, x.at, sum(p.output) AS o, sum(p.input) AS i FROM forks x JOIN placed p ON p.user_id = x.user_id AND p.conv = x.conv GROUP BY x.user_id, x.at) f ON f.user_id = r.user_id AND f.at = r.k)"""
 
+#: Tools as requested, with what one sees of their input.
+_TOOLS = """asked AS (SELECT user_id, '' AS conv, e, k, ts_ms, 't' || e AS id, CASE model WHEN 'view' THEN 'Read' WHEN 'click' THEN 'Bash' WHEN 'error' THEN 'Odd' WHEN 'purchase' THEN CASE WHEN e % 20 = 0 THEN 'Agent' ELSE 'Edit' END END AS name,
+ CASE model WHEN 'view' THEN 'src/f' || e % 9 || '.py' WHEN 'click' THEN 'git status' WHEN 'error' THEN '7 chars' ELSE CASE WHEN e % 20 = 0 THEN 'go' WHEN e % 6 = 5 THEN '/tmp/x.py' ELSE 'src/a.py' END END AS summary, e % 4 <> 1 AS answered FROM root WHERE model <> 'signup'
+ UNION ALL SELECT user_id, conv, e, k, ts_ms, 't' || e || 'x', 'Agent', 'on', FALSE FROM agents WHERE conv LIKE 'g%' AND k = 0 AND e % 120 = 0)"""
+#: Each arrival with its label.
+_NAMED = """named AS (SELECT user_id, conv, k + 1 AS born, 'toolResult' AS source, name, name || ' ' || summary AS label, (e % 400 + 2) // 4 AS tokens FROM asked WHERE answered UNION ALL SELECT user_id, conv, k + 1, 'toolResult', name, name || ' ' || summary, 1 FROM asked WHERE answered AND e % 28 = 0
+ UNION ALL SELECT c.conv_id, '', least(c.turn, i.n), 'userText', 'user text', substr(regexp_replace(substr(c.text, 1, 200), '\\s+', ' ', 'g'), 1, 90), (length(c.text) + 2) // 4 FROM conversations c JOIN ids i ON i.user_id = c.conv_id WHERE c.role = 'user' AND length(c.text) > 0
+ UNION ALL SELECT c.conv_id, '', least(c.turn, i.n), 'attachment', c.role, c.role, (length(CAST(json_object('type', c.role, 'content', c.text) AS VARCHAR)) + 2) // 4 FROM conversations c JOIN ids i ON i.user_id = c.conv_id WHERE c.role <> 'user'
+ UNION ALL SELECT user_id, '', k, 'attachment', 'file', 'file', (length('{"type":"file","content":""}') + e % 50 + 2) // 4 FROM root WHERE e % 11 = 0
+ UNION ALL SELECT user_id, conv, k + 1, 'assistantOutput', 'prior output', 'assistant output of call ' || k, output FROM every)"""
+_SPANS = """counted AS (SELECT user_id, sum(n) AS n FROM (SELECT DISTINCT user_id, 1 AS n FROM placed UNION ALL SELECT user_id, count(*) FROM placed GROUP BY user_id UNION ALL SELECT user_id, count(*) FROM asked GROUP BY user_id UNION ALL SELECT user_id, count(DISTINCT conv) FROM placed WHERE conv <> '' GROUP BY user_id
+ UNION ALL SELECT c.conv_id, count(*) FROM conversations c JOIN ids i ON i.user_id = c.conv_id WHERE c.role = 'user' AND c.turn < i.n GROUP BY c.conv_id) GROUP BY user_id)"""
+
 SQL: dict[str, str] = {
+    "trace_parse_stats": f"""WITH {_BASE}, l AS (SELECT user_id, '' AS conv, 'assistant' AS kind, 'assistant' AS type, 1 + CASE WHEN e % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN e % 30 = 0 OR (e % 34 = 0 AND output > 0) THEN 1 ELSE 0 END AS n FROM root UNION ALL SELECT user_id, conv, 'assistant', 'assistant', 1 FROM agents
+ UNION ALL SELECT user_id, '', 'user', 'user', 1 + CASE WHEN e % 28 = 0 THEN 1 ELSE 0 END FROM root WHERE model <> 'signup' AND e % 4 <> 1 UNION ALL SELECT conv_id, '', CASE role WHEN 'user' THEN 'user' ELSE 'attachment' END, CASE role WHEN 'user' THEN 'user' ELSE 'attachment' END, 1 FROM conversations
+ UNION ALL SELECT user_id, '', 'attachment', 'attachment', 1 FROM root WHERE e % 11 = 0 UNION ALL SELECT user_id, '', 'meta', 'summary', 1 FROM root WHERE e % 50 = 0 UNION ALL SELECT user_id, '', 'unknown', 'novelty', 1 FROM root WHERE e % 70 = 0 UNION ALL SELECT user_id, '', 'unparseable', NULL, 1 FROM root WHERE e % 97 = 0)
+ SELECT 's' || user_id AS session_id, conv AS conv_id, kind, type, CAST(sum(n) AS BIGINT) AS lines FROM l GROUP BY user_id, conv, kind, type""",
+    "trace_tools": f"""WITH {_BASE}, {_TOOLS} SELECT 's' || user_id AS session_id, conv AS conv_id, id AS tool_use_id, name, summary, k AS call_index, ts_ms AS ts_start, CASE WHEN answered THEN ts_ms + CASE WHEN e % 28 = 0 THEN 800 ELSE 700 END END AS ts_end,
+ CAST(CASE WHEN answered THEN CASE WHEN e % 28 = 0 THEN 5 ELSE e % 400 END END AS BIGINT) AS result_chars, CAST(CASE WHEN answered THEN CASE WHEN e % 28 = 0 THEN 1 ELSE 0 END END AS BIGINT) AS repeated_results, CAST(0 AS BIGINT) AS repeated_uses FROM asked""",
+    "trace_arrivals": f"WITH {_BASE}, {_TOOLS}, {_NAMED} SELECT 's' || user_id AS session_id, conv AS conv_id, CAST(born AS BIGINT) AS born, source, label, CASE source WHEN 'assistantOutput' THEN 'exact-api-usage' ELSE 'estimated-from-chars' END AS basis, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM named GROUP BY user_id, conv, born, source, label",
+    "trace_turns": rf"""WITH {_BASE}, u AS (SELECT c.conv_id, c.turn, least(c.turn, i.n) AS first_call, i.n, substr(regexp_replace(substr(c.text, 1, 200), '\s+', ' ', 'g'), 1, 110) AS snippet FROM conversations c JOIN ids i ON i.user_id = c.conv_id WHERE c.role = 'user')
+ SELECT 's' || conv_id AS session_id, '' AS conv_id, CAST(row_number() OVER w - 1 AS BIGINT) AS turn_index, first_call, CAST(coalesce(lead(first_call) OVER w - 1, greatest(0, n - 1)) AS BIGINT) AS last_call, 'user' AS kind, snippet FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "trace_causes": f"""WITH {_BASE}, {_TOOLS}, {_NAMED} SELECT 's' || n.user_id AS session_id, n.conv AS conv_id, v.k AS call_index, n.source, n.name AS label, count(*) AS arrivals, CAST(sum(n.tokens) AS BIGINT) AS tokens, CAST(25 * sum(n.tokens) AS BIGINT) AS cost20,
+ CASE n.source WHEN 'assistantOutput' THEN 'exact-api-usage' ELSE 'estimated-from-chars' END AS basis FROM named n JOIN every v ON v.user_id = n.user_id AND v.conv = n.conv AND v.k = n.born GROUP BY n.user_id, n.conv, v.k, n.source, n.name""",
+    "trace_basis": f"""WITH {_BASE}, {_ARRIVALS}, s AS (SELECT user_id, sum(CASE WHEN source = 'assistantOutput' THEN tokens ELSE 0 END) AS x, sum(CASE WHEN source = 'assistantOutput' THEN 0 ELSE tokens END) AS y FROM arrivals WHERE conv = '' GROUP BY user_id)
+ SELECT 's' || i.user_id AS session_id, CAST(coalesce(x, 0) AS BIGINT) AS exact, CAST(coalesce(y, 0) AS BIGINT) AS estimated, round(CASE WHEN coalesce(x + y, 0) = 0 THEN 0.0::DOUBLE ELSE x::DOUBLE / (x + y)::DOUBLE END, 6) AS exact_share FROM ids i LEFT JOIN s ON s.user_id = i.user_id""",
+    "trace_forest": f"""WITH {_BASE}, c AS (SELECT DISTINCT a.user_id, a.e, a.conv, r.k, f.at AS fork_at FROM agents a JOIN root r ON r.user_id = a.user_id AND r.e = a.e LEFT JOIN forks f ON f.conv = a.conv WHERE a.conv NOT LIKE 'x%')
+ SELECT 's' || user_id AS session_id, conv AS agent_id, CASE left(conv, 1) WHEN 'h' THEN 'g' || e WHEN 'o' THEN NULL ELSE '' END AS parent_agent, CAST(CASE left(conv, 1) WHEN 'g' THEN k WHEN 'h' THEN 0 WHEN 'k' THEN fork_at END AS BIGINT) AS spawned_at_call, CASE left(conv, 1) WHEN 'k' THEN 'command' WHEN 'o' THEN NULL ELSE 'tool_use' END AS via,
+ CASE left(conv, 1) WHEN 'o' THEN 'no placed conversation holds its tool use none' END AS why, CASE left(conv, 1) WHEN 'g' THEN CASE WHEN e % 40 = 0 THEN 'Explore' ELSE 'helper' END WHEN 'h' THEN 'Explore > deep' WHEN 'k' THEN 'fork' END AS path, CASE left(conv, 1) WHEN 'o' THEN NULL ELSE 'agent' END AS driver FROM c""",
+    "trace_epochs": f"WITH {_EPOCHS} SELECT 's' || user_id AS session_id, epoch, start_call, end_call, CAST(rewritten AS BIGINT) AS rewritten, CAST(gap AS BIGINT) AS gap, CAST(23 * rewritten AS BIGINT) AS excess20 FROM epochs",
+    "trace_lifetimes": f"""WITH {_EPOCHS}, {_ROOT}, {_ARRIVALS}, a AS (SELECT *, row_number() OVER () AS id FROM arrivals WHERE conv = ''),
+ l AS (SELECT a.id, a.user_id, a.source, a.tokens, count(p.epoch) AS writes, coalesce(sum(p.end_call - greatest(p.start_call, a.born)), 0) AS reads FROM a LEFT JOIN epochs p ON p.user_id = a.user_id AND p.end_call >= a.born GROUP BY a.id, a.user_id, a.source, a.tokens)
+ SELECT 's' || user_id AS session_id, source, count(*) AS n, CAST(sum(writes) AS BIGINT) AS writes, CAST(sum(reads) AS BIGINT) AS reads, CAST(sum(tokens * (25 * writes + 2 * reads)) AS BIGINT) AS total20 FROM l GROUP BY user_id, source""",
+    "trace_coverage": f"""WITH {_BASE}, {_ACTS}, tiers AS (SELECT a.user_id, a.e, a.k, a.activity, CASE WHEN a.activity = 'unclassified' THEN 'none' WHEN r.model = 'purchase' AND r.e % 40 = 0 THEN 'marker' ELSE 'rule' END AS tier FROM acts a JOIN root r ON r.user_id = a.user_id AND r.k = a.k),
+ t AS (SELECT p.user_id, p.spend20::DOUBLE AS s, t.tier, t.activity FROM placed p JOIN tiers t ON t.user_id = p.user_id AND t.e = p.e WHERE p.conv NOT LIKE 'k%' UNION ALL SELECT p.user_id, p.spend20::DOUBLE, t.tier, t.activity FROM placed p JOIN forks f ON f.user_id = p.user_id AND f.conv = p.conv JOIN tiers t ON t.user_id = f.user_id AND t.k = f.at)
+ SELECT 's' || user_id AS session_id, CAST(sum(s) AS BIGINT) AS total, round(coalesce(sum(s) FILTER (WHERE tier = 'marker'), 0) / sum(s), 6) AS tier_marker, round(coalesce(sum(s) FILTER (WHERE tier = 'rule'), 0) / sum(s), 6) AS tier_rule, 0.0::DOUBLE AS tier_judge, 0.0::DOUBLE AS tier_hand,
+ round(coalesce(sum(s) FILTER (WHERE tier = 'none'), 0) / sum(s), 6) AS tier_none, round(coalesce(sum(s) FILTER (WHERE activity = 'unclassified'), 0) / sum(s), 6) AS unclassified, (SELECT round(coalesce(sum(s) FILTER (WHERE activity = 'unclassified'), 0) / sum(s), 6) FROM t) AS corpus_unclassified FROM t GROUP BY user_id""",
+    "trace_exports": f"""WITH {_BASE}, {_SPACES}, {_TOOLS}, {_SPANS}, d AS (SELECT unnest(['time', 'tokens']) AS domain) SELECT 's' || c.user_id AS session_id, regexp_extract(s.workspace, '[^/]+$') AS project, d.domain, substr(sha256('tracemill-' || d.domain || chr(10) || 's' || c.user_id), 1, 32) AS trace_id, CAST(c.n AS BIGINT) AS spans,
+ CAST(2 * c.n AS BIGINT) AS both, 'http://localhost/trace/' || substr(sha256('tracemill-' || d.domain || chr(10) || 's' || c.user_id), 1, 32) AS url FROM counted c JOIN spaces s ON s.user_id = c.user_id, d WHERE s.user_id IN (SELECT user_id FROM placed)""",
+    "trace_selection": f"""WITH {_BASE}, l AS (SELECT user_id, sum(n) AS lines FROM (SELECT user_id, sum(1 + CASE WHEN e % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN e % 30 = 0 OR (e % 34 = 0 AND output > 0) THEN 1 ELSE 0 END + CASE WHEN model <> 'signup' AND e % 4 <> 1 THEN 1 ELSE 0 END + CASE WHEN model <> 'signup' AND e % 28 = 0 THEN 1 ELSE 0 END
+ + CASE WHEN e % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN e % 50 = 0 THEN 1 ELSE 0 END + CASE WHEN e % 70 = 0 THEN 1 ELSE 0 END + CASE WHEN e % 97 = 0 THEN 1 ELSE 0 END) AS n FROM root GROUP BY user_id UNION ALL SELECT conv_id, count(*) FROM conversations GROUP BY conv_id) GROUP BY user_id),
+ s AS (SELECT user_id, lines, 'proj-' || user_id % 7 AS project, EXISTS (SELECT 1 FROM agents g WHERE g.user_id = l.user_id AND g.conv NOT LIKE 'x%') AS spawned, 'proj-' || user_id % 7 || '/s' || user_id || '.jsonl' AS path FROM l WHERE lines BETWEEN 60 AND 700), r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY spawned DESC, path) AS n FROM s)
+ SELECT 's' || user_id AS session_id, project, CAST(lines AS BIGINT) AS lines, spawned FROM r WHERE n <= 2 ORDER BY spawned DESC, path LIMIT 9""",
     "trace_sessions": f"WITH {_BASE}, {_LIST} SELECT session_id, project, started_ms, wall_min, calls, spawned_calls, max_depth, tok_eq, spawned_tok_eq, usd, unpriced_tok_eq, models FROM list",
     "trace_ledgers": f"WITH {_BASE}, {_LEDGERS} SELECT 's' || l.user_id AS session_id, l.ledger, l.key, round(l.amount20::DOUBLE, 2) AS amount20, round(CASE WHEN w.whole = 0 THEN 0.0::DOUBLE ELSE l.amount20::DOUBLE / w.whole::DOUBLE END, 6) AS share, l.calls FROM ledgers l JOIN wholes w ON w.user_id = l.user_id",
     "trace_attribution": f"""WITH {_BASE}, {_ARRIVALS}, s AS (SELECT user_id, conv, born, sum(tokens) AS t, count(*) AS n FROM arrivals GROUP BY user_id, conv, born)

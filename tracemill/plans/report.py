@@ -229,6 +229,31 @@ def attribution(a: Analysis) -> DataFrame:
     return out.select(*CONV, "call_index", "exact", "caused", (F.col("exact") - F.col("caused")).alias("unattributed"), F.coalesce("causes", F.lit(0)).alias("causes"))
 
 
+def causes(a: Analysis) -> DataFrame:
+    """What arrived before each call by source and label (for a result the tool's name): ``arrivals``, ``tokens``, ``cost`` and the basis of the sizes."""
+    names = a.tools.select(*CONV, "tool_use_id", "name")
+    named = a.arrivals.join(names, [*CONV, "tool_use_id"], "left")
+    source = F.col("source")
+    label = F.when(source == "toolResult", F.coalesce("name", F.lit("unknown tool"))).when(source == "attachment", F.col("label")).when(source == "userText", "user text").otherwise("prior output")
+    met = named.join(a.calls.select(*CONV, F.col("call_index").cast("long").alias("born")), [*CONV, "born"], "left_semi")
+    sums = met.groupBy(*CONV, F.col("born").alias("call_index"), "source", label.alias("label")).agg(F.count(F.lit(1)).alias("arrivals"), F.sum("tokens").alias("tokens"), F.first("basis").alias("basis"))
+    return sums.withColumn("cost", F.lit(T.WRITE) * F.col("tokens"))
+
+
+def basis_of_sizes(a: Analysis) -> DataFrame:
+    """``session_id``, ``exact``, ``estimated`` and ``exact_share``: how much of what entered the root's context is known and how much estimated."""
+    of = lambda b: F.coalesce(F.sum(F.when(F.col("basis") == b, F.col("tokens"))), F.lit(0))
+    sums = a.arrivals.filter("conv_id = ''").groupBy("session_id").agg(of("exact-api-usage").alias("exact"), of("estimated-from-chars").alias("estimated"))
+    return a.sessions.select("session_id").join(sums, "session_id", "left").fillna(0, ["exact", "estimated"]).withColumn("exact_share", ledger.share_of(F.col("exact"), F.col("exact") + F.col("estimated")))
+
+
+def selection(a: Analysis, per_project: int = 2, limit: int = 24, fewest: int = 60, most: int = 700) -> DataFrame:
+    """The sessions a report shows: of a size that can be read, those with spawned work first, then by path; few of each project and in all."""
+    lines = a.records.filter("conv_id = ''").groupBy("session_id").agg(F.count(F.lit(1)).alias("lines"))
+    sized = a.sessions.join(lines, "session_id").filter(F.col("lines").between(fewest, most)).select("session_id", "project", "path", "lines", (F.col("spawns") > 0).alias("spawned"))
+    return sequence.capped_selection(sized, "project", [F.desc("spawned"), F.col("path")], per_project, limit)
+
+
 def strata(a: Analysis) -> DataFrame:
     """Layers of written context of root calls with their main source, stacked by epoch."""
     calls, _, _ = residency(a)
