@@ -28,12 +28,24 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or _own_folder()).rstrip("/")
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Where this application keeps its tables: a folder of its own in the shared one."""
+    return f"{shared_folder(spark)}/tracemill/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write and read back.
 
     Cuts the lineage: what follows depends on stored files, not on executors,
-    and row ids drawn before the write stay what they are.
+    and row ids drawn before the write stay what they are.  The files stay until
+    ``discard`` is called, or for a folder of this process's own until it ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/tracemill/{label}-{uuid.uuid4().hex}"
+    path = f"{application_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> bool:
+    """Delete all tables this application has stored; results that read them must have been written out before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

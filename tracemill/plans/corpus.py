@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import tokens as T
-from tracemill.functions.storage import shared_folder, stored
+from tracemill.functions.storage import application_folder, stored
 from tracemill.operators import ledger
 from tracemill.plans import report, session
 from tracemill.plans.adapters import calls, table
@@ -157,7 +157,7 @@ def analysed(spark: SparkSession, d: str) -> tuple[str, session.Analysis]:
             return _kept[key]
         except Exception:  # the stored tables were cleared away
             del _kept[key]
-    root = f"{shared_folder(spark)}/tracemill/corpus-{uuid.uuid4().hex}"
+    root = f"{application_folder(spark)}/corpus-{uuid.uuid4().hex}"
     write_files(corpus_lines(spark, d), root)
     _kept[key] = (root, session.analyze(spark, root))
     return _kept[key]
