@@ -19,12 +19,16 @@ def share_of(total: Column, whole: Column) -> Column:
 def ledger(calls: DataFrame, key: Column, amount: Column, scope: Sequence[str] = (), flag: Column | None = None) -> DataFrame:
     """``key``, ``amount``, ``calls`` and ``share`` of the scope's total; with ``flag`` also the flagged part of the bucket.
 
-    The whole is summed over the buckets, not over the calls again.
+    The whole is summed over the buckets, not over the calls again; without a scope
+    it is one row that meets them where they are.
     """
     flagged = [F.sum(F.when(flag, amount).otherwise(0)).alias("flagged")] if flag is not None else []
     sums = calls.groupBy(*scope, key.alias("key")).agg(F.sum(amount).alias("amount"), F.count(F.lit(1)).alias("calls"), *flagged)
-    whole = F.sum("amount").over(Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0)))
-    out = sums.withColumn("share", share_of(F.col("amount"), whole))
+    if scope:
+        out = sums.withColumn("share", share_of(F.col("amount"), F.sum("amount").over(Window.partitionBy(*scope))))
+    else:
+        whole = sums.agg(F.sum("amount").alias("_whole"))
+        out = sums.join(F.broadcast(whole), how="cross").withColumn("share", share_of(F.col("amount"), F.col("_whole"))).drop("_whole")
     return out.withColumn("flagged_share", share_of(F.col("flagged"), F.col("amount"))) if flagged else out
 
 
