@@ -413,6 +413,32 @@ def test_nearest(spark):
     assert nearest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("norms", ["one very long", "lognormal", "alike"])
+def test_nearest_with_uneven_norms_over_several_blocks(spark, norms, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK_VECTORS", 400)
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 30)
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((1200, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if norms == "lognormal":
+        v *= rng.lognormal(0, 1, (1200, 1))
+    elif norms == "one very long":
+        v[17] *= 100
+    v[1101], v[1102] = v[40] * 3, v[40] * 3  # ties at the top
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(got) == {*range(0, 1200, 20)} and all(len(set(f)) == 20 for f in got.values())
+    shares = []
+    for q, found in got.items():
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        shares.append(len({*found} & {*np.argsort(-scores)[:20].tolist()}) / 20)
+    assert np.mean(shares) >= 0.95 and min(shares) >= 0.7
+    assert [i for i in got[40] if i > 1100 and i < 1103] == [1101, 1102]
+
+
 def test_language_id(spark, docs, empty):
     a, b = ["lo", "ka", "mi"], ["ü", "né", "vo"]
     make = lambda s: " ".join("".join(random.choice(s) for _ in range(3)) for _ in range(30))
