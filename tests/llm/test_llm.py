@@ -487,7 +487,7 @@ def test_licenses(spark, docs, empty):
 
 def test_licenses_at_the_top_close_by_and_with_a_word_lost():
     scanner, templates = licenses.Scanner([*licenses.TEMPLATES, ("short", "All Rights Reserved")]), dict(licenses.TEMPLATES)
-    spans = lambda text, name: [s for n, _, found in scanner.scan(text) if n == name for s in found]
+    spans = lambda text, name: [s for n, _, found in scanner.scan([text])[0] if n == name for s in found]
     grant = templates["MIT-grant"].replace("is hereby", "hereby")
     assert spans(grant, "MIT-grant")[0]["start"] == 0 and 0.9 < spans(grant, "MIT-grant")[0]["coverage"] < 1
     header = templates["Apache-2.0-notice"].split(" ", 3)[3]
@@ -504,6 +504,86 @@ def test_licenses_at_the_top_close_by_and_with_a_word_lost():
     assert max(s["coverage"] for s in spans(better, "MIT-grant")) == 1
 
 
+def plain_align(template, text):
+    """Score, matched words of the best local alignments (every one of best score) in the whole table, without a band."""
+    rows = [[{(0, 0)} for _ in range(len(text) + 1)] for _ in range(len(template) + 1)]
+    best = {(0, 0)}
+    for i, w in enumerate(template):
+        for j, x in enumerate(text):
+            cells = {(s + (2 if w == x else -1), m + (w == x)) for s, m in rows[i][j]} | {(s - 1, m) for s, m in rows[i][j + 1] | rows[i + 1][j]} | {(0, 0)}
+            top = max(s for s, _ in cells)
+            rows[i + 1][j + 1] = {c for c in cells if c[0] == top} if top > 0 else {(0, 0)}
+            best |= rows[i + 1][j + 1] if top >= max(best)[0] else set()
+            best = {c for c in best if c[0] == max(best)[0]}
+    return best
+
+
+def test_alignment_is_the_best_one():
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        template, text = rng.integers(0, 6, rng.integers(1, 7)), rng.integers(0, 6, rng.integers(1, 7))
+        # Short enough for the band to hold the whole table.
+        matched, start, end = (int(x[0]) for x in licenses.align(template.astype(np.int32), text.astype(np.int32), np.array([0]), np.array([0]), np.array([len(text)])))
+        best = plain_align(template, text)
+        assert matched in {m for _, m in best}
+        if matched:
+            assert matched in {m for _, m in plain_align(template, text[start:end])} and plain_align(template, text[start:end]) <= best
+    many = [np.array(x) for x in zip(*[(s, lo, 30) for s in range(-5, 30) for lo in range(0, 30, 7)])]
+    template, text = rng.integers(0, 6, 12).astype(np.int32), rng.integers(0, 6, 30).astype(np.int32)
+    together = np.stack(licenses.align(template, text, *many))
+    alone = np.concatenate([np.stack(licenses.align(template, text, *(x[i : i + 1] for x in many))) for i in range(len(many[0]))], axis=1)
+    assert (together == alone).all()
+    for least in (3, 8, 12):
+        bounded = np.stack(licenses.align(template, text, *many, least))
+        assert (bounded[:, together[0] >= least] == together[:, together[0] >= least]).all()
+
+
+def test_licenses_found_are_those_of_an_exhaustive_alignment():
+    """Every template against every diagonal of texts that hold changed, shuffled and cut copies."""
+    rng = random.Random(6)
+    templates = [("a", prose(12)), ("b", prose(30)), ("c", prose(4)), ("d", "la la la lo la la")]
+    scanner, texts = licenses.Scanner(templates), [None, "", "la " * 40]
+    for _ in range(60):
+        words = rng.choice(templates)[1].rstrip(".").split()
+        for _ in range(rng.randint(0, len(words) // 2)):
+            i = rng.randrange(len(words))
+            words[i : i + 1] = rng.choice([[], [words[i], "x"], ["y"]]) or []
+            words = words or ["z"]
+        if rng.random() < 0.2:
+            rng.shuffle(words)
+        texts.append(" ".join([prose(rng.randint(0, 9)), *words, prose(rng.randint(0, 9))]))
+    got = scanner.scan(texts)
+    assert got == [scanner.scan([t])[0] for t in texts]
+    for text, found in zip(texts, got):
+        words = licenses.word_hashes(licenses._word.findall((text or "").encode().lower()))
+        want = set()
+        for name, template in templates:
+            t = licenses.word_hashes(licenses._word.findall(template.encode().lower()))
+            ids = {int(w): i for i, w in enumerate(np.unique(np.concatenate([t, words])))}
+            t, x = (np.array([ids[int(w)] for w in a], np.int32) for a in (t, words))
+            shifts = np.arange(-len(t), len(x) + 1)
+            if len(x) and licenses.align(t, x, shifts, np.zeros_like(shifts), np.full_like(shifts, len(x)))[0].max() >= licenses.LEAST_COVERAGE * len(t):
+                want.add(name)
+        assert {n for n, _, _ in found} == want
+        for _, best, spans in found:
+            assert best == max(s["coverage"] for s in spans)
+            assert all(a["end"] <= b["start"] for a, b in zip(spans, spans[1:]))
+
+
+def test_full_license_texts_repeated_rows_and_ties(spark):
+    mit, bsd = dict(licenses.TEMPLATES)["MIT"], dict(licenses.TEMPLATES)["BSD-3-Clause"]
+    rows = [(1, prose(20) + "\nCopyright (c) 2001 N. N.\n" + mit + "\n" + prose(20)), (1, mit), (1, mit), (None, bsd.replace("copyright holder", "University")), (2, bsd[:300])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license_id", F.lit("x")).withColumn("spans", F.lit("x"))
+    found = licenses.scan_licenses(df).collect()
+    assert sorted(r["coverage"] for r in found if r["license_id"] == "MIT") == [1.0, 1.0, 1.0]
+    of_null = {r["license_id"]: r["coverage"] for r in found if r["doc_id"] is None}
+    assert 0.9 < of_null["BSD-3-Clause"] < 1 and "MIT" not in of_null
+    assert {r["license_id"] for r in found if r["doc_id"] == 2} == {"BSD-3-Clause-conditions"}
+    # Two templates of the same words are both found.
+    alike = licenses.scan_licenses(df, [("one", mit), ("two", mit), ("none", "...")])
+    assert as_rows(alike, "doc_id", "license_id") == sorted([(1, n) for n in ("one", "two")] * 3, key=repr)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 

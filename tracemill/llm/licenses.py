@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.decontamination import _word
+from tracemill.llm.license_texts import FULL_TEXTS
 
 #: Words in a fingerprinted gram, and grams of which winnowing keeps the least: runs of GRAM + WINDOW - 1 shared words are always seen.
 #: Finds without such a run are seen by single words (``Scanner.rare``).
@@ -22,9 +23,11 @@ GRAM, WINDOW = 3, 2
 BAND, LEAST_COVERAGE = 6, 0.7
 #: Words of all templates that one pass holds; more templates are scanned in several passes.
 PASS_WORDS = 200_000
+#: Words of texts that are scanned together, and cells that are compared at once; a longer text is scanned by itself.
+SCAN_WORDS, SCAN_CELLS = 200_000, 4_000_000
 LEXICON_ENTRIES = 500_000
 
-#: Notices as their publishers word them.
+#: Notices as their publishers word them, and full texts.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0-line", "Licensed under the Apache License, Version 2.0."),
     ("MIT-line", "Released under the MIT License."),
@@ -51,6 +54,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         " Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     ("CC-BY-SA-4.0-line", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    *FULL_TEXTS,
 )
 
 _hashes: dict[bytes, int] = {}
@@ -81,127 +85,174 @@ def fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, h[place]
 
 
-def align(template: np.ndarray, text: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Best local alignment within BAND of the diagonal: matched words and the text's words [start, end).
+#: One number holds a cell's score, matched words and start (counted down), in this order.
+_ONE, _HIT = 1 << 42, 1 << 21
+MOST_WORDS = (1 << 20) - 2 * BAND - 1
 
-    A match scores 2, a difference or a gap -1.
+
+def align(template: np.ndarray, text: np.ndarray, shift: np.ndarray, low: np.ndarray, high: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best local alignment of each (shift, low, high): within BAND of the diagonal ``shift`` and the text's words [low, high).
+
+    Returns matched words and the text's words [start, end).  A match scores 2, a difference or a gap -1; of equal
+    scores the alignment that ends first in the template counts.  Where fewer than ``least`` of the template's words
+    occur in the band, there is no such alignment and all three are 0.  All alignments go through the template together.
     """
-    size = 2 * BAND + 1
-    prev = [(0, 0, 0)] * (size + 1)  # score, matched, start
-    best = (0, 0, 0, 0)
-    for i in range(len(template)):
-        now = []
-        for b in range(size):
-            j = i + shift + b - BAND
-            if not 0 <= j < len(text):
-                now.append((0, 0, j + 1))
-                continue
-            diagonal = prev[b] if prev[b][0] else (0, 0, j)
-            same = template[i] == text[j]
-            cell = (diagonal[0] + (2 if same else -1), diagonal[1] + same, diagonal[2])
-            for other in (prev[b + 1], now[-1] if now else (0, 0, 0)):
-                if other[0] - 1 > cell[0]:
-                    cell = (other[0] - 1, other[1], other[2])
-            cell = cell if cell[0] > 0 else (0, 0, j + 1)
-            now.append(cell)
-            if cell[0] > best[0]:
-                best = (cell[0], cell[1], cell[2], j + 1)
-        prev = [*now, (0, 0, 0)]
-    return int(best[1]), best[2], best[3]
+    n, size = len(template), 2 * BAND + 1
+    out = np.zeros((3, len(shift)), np.int64)
+    step = max(1, SCAN_CELLS // (n * size))
+    for at in range(0, len(shift), step):
+        place = shift[at : at + step, None] - BAND + np.arange(n + size - 1)
+        valid = (place >= low[at : at + step, None]) & (place < high[at : at + step, None])
+        words = np.where(valid, text[np.clip(place, 0, len(text) - 1)], -1)
+        same = np.lib.stride_tricks.sliding_window_view(words, size, axis=1) == template[:, None]
+        some = np.flatnonzero(same.any(axis=2).sum(axis=1) >= least)
+        if len(some):
+            out[:, at + some] = _aligned(same[some], valid[some]) + np.array([[0], [1], [1]]) * (shift[at + some] - BAND)
+    return out[0], out[1], out[2]
+
+
+def _aligned(same: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Matched words, start and end, in columns of the band, for cells (alignment, template word, column in the band)."""
+    many, n, size = same.shape
+    steps = np.arange(size) * _ONE
+    gain = np.where(same, 2 * _ONE + _HIT, -_ONE)
+    before = np.full((many, size + 1), -(1 << 60))  # nothing stands right of the band
+    before[:, :size] = _HIT - 1 - np.arange(size)
+    best, end = np.zeros(many, np.int64), np.zeros(many, np.int64)
+    rows = np.arange(many)
+    for i in range(n):
+        inside = valid[:, i : i + size]
+        cell = np.maximum(before[:, :size] + gain[:, i], before[:, 1:] - _ONE)
+        cell[~inside] = -(1 << 60)
+        cell = np.maximum.accumulate(cell + steps, axis=1) - steps  # gaps along the text
+        before[:, :size] = np.where(inside & (cell >= _ONE), cell, _HIT - 2 - i - np.arange(size))
+        top = before[:, :size].argmax(axis=1)
+        value = before[rows, top]
+        better = value // _ONE > best // _ONE
+        best[better], end[better] = value[better], (top + i + 1)[better]
+    return np.stack([best // _HIT % _HIT, np.where(best > 0, _HIT - 1 - best % _HIT, 0), end])
+
+
+class Postings:
+    """(template, place) of each hash, in arrays sorted by hash."""
+
+    def __init__(self, rows: list[tuple[int, int, int]]):
+        hashes, template, place = np.array(sorted(rows), np.uint64).reshape(-1, 3).T
+        self.keys, self.first = np.unique(hashes, return_index=True)
+        self.first = np.append(self.first, len(hashes))
+        self.template, self.place = template.astype(np.int64), place.astype(np.int64)
+
+    def hits(self, places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Columns of template, diagonal and word of the text."""
+        if not len(self.keys) or not len(hashes):
+            return np.zeros((3, 0), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        met = np.flatnonzero(self.keys[at] == hashes)
+        first, n = self.first[at[met]], np.diff(self.first)[at[met]]
+        rows = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        where = np.repeat(places[met], n)
+        return np.stack([self.template[rows], where - self.place[rows], where])
 
 
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]]):
         self.names = [n for n, _ in templates]
-        self.words = [word_hashes(_word.findall(t.encode().lower())) for _, t in templates]
-        self.counts = [Counter(words.tolist()) for words in self.words]
+        texts = [_word.findall(t.encode().lower()) for _, t in templates]
+        hashes = [word_hashes(t) for t in texts]
+        if any(len(t) > MOST_WORDS for t in texts):
+            raise ValueError(f"a template has over {MOST_WORDS} words")
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
+        self.words = [np.searchsorted(self.vocabulary, h).astype(np.int32) for h in hashes]
         self.least = [math.ceil(LEAST_COVERAGE * len(words)) for words in self.words]
-        index: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, words in enumerate(self.words):
-            for place, h in zip(*fingerprints(words)):
-                index[int(h)].append((k, int(place)))
-        self.index = index
-        self.keys = np.sort(np.array([*index], np.uint64))
+        self.grams = Postings([(int(h), k, int(place)) for k, words in enumerate(hashes) for place, h in zip(*fingerprints(words))])
         # A find misses len - least of its template's words at most, so it has one of any len - least + 1 of them.
-        used = Counter(w for counts in self.counts for w in counts)
-        size = {int(h): len(w) for _, t in templates for w in _word.findall(t.encode().lower()) for h in word_hashes([w])}
-        rare: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, words in enumerate(self.words):
-            order = sorted(range(len(words)), key=lambda i: (used[int(words[i])], -size[int(words[i])], i))
-            for place in order[: len(words) - self.least[k] + 1]:
-                rare[int(words[place])].append((k, place))
-        self.rare = rare
-        self.rare_keys = np.sort(np.array([*rare], np.uint64))
-
-    def hits(self, words: np.ndarray) -> dict[int, set[tuple[int, int]]]:
-        """(diagonal, word of the text) of each template's fingerprints and rare words."""
-        found: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        place, h = fingerprints(words)
-        for keys, index, places, hashes in ((self.keys, self.index, place, h), (self.rare_keys, self.rare, np.arange(len(words)), words)):
-            if not len(keys) or not len(hashes):
-                continue
-            at = np.searchsorted(keys, hashes)
-            for i in np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == hashes).tolist():
-                for k, where in index[int(hashes[i])]:
-                    found[k].add((int(places[i]) - where, int(places[i])))
-        return found
-
-    def spans(self, k: int, words: np.ndarray, hits: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        used = Counter(w for words in texts for w in set(words))
+        rare = []
+        for k, words in enumerate(texts):
+            order = sorted(range(len(words)), key=lambda i: (used[words[i]], -len(words[i]), i))
+            rare += [(int(hashes[k][place]), k, place) for place in order[: len(words) - self.least[k] + 1]]
+        self.rare = Postings(rare)
+
+    def spans(self, k: int, text: np.ndarray, shift: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, int]]:
         """(start, end, matched words) of one template's finds, which do not overlap; better ones go first.
 
-        Hits outside them are aligned again over the words between, until no find is left.
+        A hit is a diagonal, a word and the bounds of its text.  Hits outside the finds are aligned
+        again over the words between, until no find is left.
         """
-        template, least, done = self.words[k], self.least[k], {}
-        ours = np.concatenate([[0], np.isin(words, template).cumsum()])
-
-        def aligned(shift: int, lo: int, hi: int) -> tuple[int, int, int]:
-            if (shift, lo, hi) not in done:
-                done[shift, lo, hi] = (0, 0, 0)
-                # Words in common, in any order, are no fewer than those in order.
-                if ours[hi] - ours[lo] >= least and (Counter(words[lo:hi].tolist()) & self.counts[k]).total() >= least:
-                    matched, start, end = align(template, words[lo:hi], shift - lo)
-                    done[shift, lo, hi] = (matched, lo + start, lo + end)
-            return done[shift, lo, hi]
-
+        template, least = self.words[k], self.least[k]
+        held = np.zeros(len(self.vocabulary) + 1, bool)
+        held[template] = True
+        ours = np.concatenate([[0], held[text].cumsum()])
+        low, high = np.maximum(low, shift - BAND), np.minimum(high, shift + len(template) + BAND)
         # Far from enough words of the template there is nothing to align.
-        wide = [(s, p, max(0, s - BAND), min(len(words), s + len(template) + BAND)) for s, p in sorted(hits)]
-        left = [(s, p, lo, hi) for s, p, lo, hi in wide if ours[hi] - ours[lo] >= least]
+        left = np.stack([shift, place, low, high, *np.full((5, len(shift)), -1)])[:, ours[high] - ours[low] >= least]
         taken: list[tuple[int, int, int]] = []
-        while left:
-            starts, ends = [a for a, _, _ in taken], [b for _, b, _ in taken]
-            finds, rest = set(), []
-            for s, p, lo, hi in left:
-                nth = bisect_right(starts, p)
-                if nth and p < ends[nth - 1]:
-                    continue
-                lo, hi = max(lo, ends[nth - 1] if nth else 0), min(hi, starts[nth] if nth < len(starts) else hi)
-                matched, start, end = aligned(s, lo, hi)
-                if matched >= least:
-                    finds.add((-matched, start, end))
-                rest.append((s, p, lo, hi))
-            if not finds:
+        while left.shape[1]:
+            starts, ends = np.array([(0, 0), *((a, b) for a, b, _ in taken), (len(text), len(text))]).T
+            nth = np.searchsorted(starts[:-1], left[1], "right")
+            out = left[1] >= ends[nth - 1]
+            left, nth = left[:, out], nth[out]
+            # Rows 4 and 5 are the bounds of the last alignment, 6 to 8 what it found.
+            bounds = np.stack([np.maximum(left[2], ends[nth - 1]), np.minimum(left[3], starts[nth])])
+            changed = (bounds != left[4:6]).any(axis=0)
+            left[4:6], left[6:9, changed] = bounds, 0
+            new = np.flatnonzero(changed & (ours[bounds[1]] - ours[bounds[0]] >= least))
+            if len(new):
+                asked, back = np.unique(np.stack([left[0, new], *bounds[:, new]]), axis=1, return_inverse=True)
+                left[6:9, new] = np.stack(align(template, text, *asked, least))[:, back.ravel()]
+            finds = left[6:9, left[6] >= least]
+            if not finds.shape[1]:
                 break
-            for matched, start, end in sorted(finds):
-                nth = bisect_right(taken, (start, math.inf))
-                if (not nth or taken[nth - 1][1] <= start) and (nth == len(taken) or end <= taken[nth][0]):
-                    taken.insert(nth, (start, end, -matched))
-            left = rest
+            for matched, start, end in sorted({(-m, a, b) for m, a, b in finds.T.tolist()}):
+                nth_find = bisect_right(taken, (start, math.inf))
+                if (not nth_find or taken[nth_find - 1][1] <= start) and (nth_find == len(taken) or end <= taken[nth_find][0]):
+                    taken.insert(nth_find, (start, end, -matched))
         return taken
 
-    def scan(self, text: str | None) -> list[tuple[str, float, list[dict]]]:
-        """(license, best coverage, spans in bytes) of the templates found."""
-        if not text:
-            return []
-        data = text.encode().lower()
-        words = word_hashes(_word.findall(data))
-        bounds, found = None, []
-        for k, hits in sorted(self.hits(words).items()):
-            if spans := self.spans(k, words, hits):
-                bounds = bounds or [m.span() for m in _word.finditer(data)]
-                size = len(self.words[k])
-                listed = [{"start": bounds[a][0], "end": bounds[b - 1][1], "coverage": n / size} for a, b, n in spans]
-                found.append((self.names[k], max(s["coverage"] for s in listed), listed))
-        return found
+    def scan(self, texts: list[str | None]) -> list[list[tuple[str, float, list[dict]]]]:
+        """(license, best coverage, spans in bytes) of the templates found in each text."""
+        out, group, size = [], [], 0
+        for text in texts:
+            data = (text or "").encode().lower()
+            found = _word.findall(data)
+            if group and size + len(found) > SCAN_WORDS:
+                out += self.scan_together(group)
+                group, size = [], 0
+            group.append((data, word_hashes(found)))
+            size += len(found)
+        return out + self.scan_together(group)
+
+    def scan_together(self, group: list[tuple[bytes, np.ndarray]]) -> list[list[tuple[str, float, list[dict]]]]:
+        """The words of all texts lie in one array; no alignment leaves its text."""
+        out: list[list[tuple[str, float, list[dict]]]] = [[] for _ in group]
+        first = np.concatenate([[0], np.cumsum([len(h) for _, h in group], dtype=np.int64)])
+        if not first[-1] or not len(self.vocabulary):
+            return out
+        hashes = np.concatenate([h for _, h in group])
+        grams = [fingerprints(h) for _, h in group]
+        hits = np.concatenate(
+            [
+                self.grams.hits(np.concatenate([p + f for (p, _), f in zip(grams, first)]), np.concatenate([h for _, h in grams])),
+                self.rare.hits(np.arange(len(hashes)), hashes),
+            ],
+            axis=1,
+        )
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        text = np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary)).astype(np.int32)
+        owner = np.searchsorted(first, hits[2], "right") - 1
+        bounds: dict[int, list[tuple[int, int]]] = {}
+        for k in np.unique(hits[0]).tolist():
+            of = hits[0] == k
+            listed: dict[int, list[dict]] = {}
+            for start, end, matched in self.spans(k, text, hits[1, of], hits[2, of], first[owner[of]], first[owner[of] + 1]):
+                i = int(np.searchsorted(first, start, "right")) - 1
+                if i not in bounds:
+                    bounds[i] = [m.span() for m in _word.finditer(group[i][0])]
+                a, b = bounds[i][start - first[i]][0], bounds[i][end - 1 - first[i]][1]
+                listed.setdefault(i, []).append({"start": a, "end": b, "coverage": matched / len(self.words[k])})
+            for i, spans in listed.items():
+                out[i].append((self.names[k], max(s["coverage"] for s in spans), spans))
+        return out
 
 
 def scanned(text: Column, templates: list[tuple[str, str]]) -> Column:
@@ -209,7 +260,7 @@ def scanned(text: Column, templates: list[tuple[str, str]]) -> Column:
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scanner = Scanner(templates)
         for texts in batches:
-            yield pd.Series([[dict(zip(("license_id", "coverage", "spans"), f)) for f in scanner.scan(t)] for t in texts.tolist()])
+            yield pd.Series([[dict(zip(("license_id", "coverage", "spans"), f)) for f in found] for found in scanner.scan(texts.tolist())])
 
     return scan(text)
 
