@@ -45,10 +45,10 @@ def usable(v: Column) -> Column:
 
 def scale_of(v: Column) -> Column:
     """Number of the range of norms that a vector is in; a double's exponents allow some 4,300 of them."""
-    largest = F.array_max(F.transform(v, F.abs))
-    squares = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))
-    # Norms of 1, give or take rounding, lie inside a range.
-    return F.floor(SCALES_PER_DOUBLING * (F.log2(largest) + F.log2(squares) / 2) + 0.25)
+    squares = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
+    # Norms of 1, give or take rounding, lie inside a range; where squares leave a double's range the largest component will do.
+    by_norm = F.floor(SCALES_PER_DOUBLING / 2 * F.log2(squares) + 0.25)
+    return F.when(squares.between(1e-280, 1e300), by_norm).otherwise(F.floor(SCALES_PER_DOUBLING * F.log2(F.array_max(F.transform(v, F.abs)))))
 
 
 def unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,10 +114,14 @@ class Block:
         lo, hi = self.spans(at, np.maximum(width_at(bounds), FIRST_WIDTH))
         need = math.ceil(THRESHOLD * PROJECTIONS)
         for i in range(len(queries)):
-            found = np.flatnonzero(self.collisions(lo[i], hi[i]) >= need)
+            passed = self.collisions(lo[i], hi[i]) >= need
             # The first round's best stay in, so there are never fewer than k.
-            found = np.union1d(found[self.ids[found] != query_ids[i]], first[i])
+            passed[first[i]] = True
+            found = np.flatnonzero(passed & (self.ids != query_ids[i]))
             scores = self.vectors[found] @ queries[i]
+            if len(found) > k:
+                top = np.flatnonzero(scores >= np.partition(scores, len(found) - k)[len(found) - k])
+                found, scores = found[top], scores[top]
             best = np.lexsort((self.ids[found], -scores))[:k]
             yield int(query_ids[i]), self.ids[found][best], scores[best]
 
