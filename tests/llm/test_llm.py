@@ -504,6 +504,63 @@ def test_licenses_at_the_top_close_by_and_with_a_word_lost():
     assert max(s["coverage"] for s in spans(better, "MIT-grant")) == 1
 
 
+def test_pipeline_quality_and_packing_with_awkward_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, ids that share labels, labels without documents and empty tables."""
+    import corpus_pipeline as p
+
+    rng = random.Random(2)
+    rows = [(i, prose(rng.randint(30, 80)) if i % 2 else "!!! $$$ " * rng.randint(5, 40), "en", "s", 1) for i in range(60)]
+    rows += [(None, rows[1][1], None, None, None), rows[1], rows[1], (100, None, "en", "s", 0), (101, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = [(i, i % 2) for i in range(60)] + [(1, 1), (1, None), (None, 1), (999, 0)]
+    schema = "doc_id long, quality int"
+    spark.createDataFrame(labels, schema).write.parquet(f"{tmp_path}/labels.parquet")
+    kept = p.keep_quality(spark, docs, str(tmp_path))
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert kept.columns == list(p.COLUMNS)
+    assert {d for d, _ in got if d is not None and d < 60} == set(range(1, 60, 2)) and got[1, rows[1][1]] == 3 and got[None, rows[1][1]] == 1
+    # Null and empty texts are alike to the classifier.
+    assert ((100, None) in got) == ((101, "") in got)
+    assert p.keep_quality(spark, docs.limit(0), str(tmp_path)).count() == 0
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert p.keep_quality(spark, docs, f"{tmp_path}/none").columns == list(p.COLUMNS)
+    pieces = as_rows(p.pack(spark, docs, str(tmp_path)), "doc_id", "start", "length", "doc_tokens")
+    assert Counter(i for i, at, *_ in pieces if at == 0) == Counter(r[0] for r in rows)
+    assert sum(n for *_, n, _ in pieces) == sum(n for _, at, _, n in pieces if at == 0)
+    assert (100, 0, 1, 1) in pieces and (101, 0, 1, 1) in pieces and p.pack(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_repeats_of_thousands_of_rows_and_a_variant(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(1200))
+    variant = text[:600] + "#" + text[601:]
+    rows = [(i % 500, text) for i in range(3000)] + [(7000, variant), (None, None)]
+    got = as_rows(repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)), "doc_id", "n_bytes", "n_removed", "n_spans")
+    assert Counter(got) == Counter([*((i % 500, 1200, 1200, 1) for i in range(3000)), (7000, 1200, 1199, 2), (None, 0, 0, 0)])
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    """One word over and over, in the items as in the texts."""
+    items = [(1, "la " * 50), (2, "la la lo " * 20), (3, "la la la")]
+    texts = [(1, "la " * 3000), (2, "la la lo " * 500), (3, "la " * 9 + "x " + "la " * 10), (4, "LA, la; " * 5), (5, "lo " * 40), (6, "la la"), (6, "la la")]
+    windows = {}
+    for i, t in items:
+        ws = t.split()
+        for k in range(max(1, len(ws) - 9)):
+            windows.setdefault(tuple(ws[k : k + 10]), set()).add(i)
+    want = []
+    for i, t in texts:
+        ws, hit, found = decontamination.words_of(t), set(), set()
+        for n in (3, 10):
+            for k in range(len(ws) - n + 1):
+                if (of := windows.get(tuple(w for w in ws[k : k + n]))) is not None:
+                    hit.update(range(k, k + n))
+                    found |= of
+        want.append((i, len(ws), len(hit), len(found)))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert as_rows(decontamination.contamination(docs, bench), "doc_id", "n_words", "n_hit", "n_items") == sorted(want, key=repr)
+
+
 def plain_align(template, text):
     """Score, matched words of the best local alignments (every one of best score) in the whole table, without a band."""
     rows = [[{(0, 0)} for _ in range(len(text) + 1)] for _ in range(len(template) + 1)]
