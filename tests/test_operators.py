@@ -164,3 +164,14 @@ def test_query_equals_its_sql(spark, oracle, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL) | set(corpus_sql.SQL)
+
+
+def test_dollars_beside_a_half_round_as_in_sql(spark):
+    """Twentieths of a micro-dollar that stand for a half lie just beside it as doubles; both engines take the double as it is."""
+    duckdb = pytest.importorskip("duckdb")
+    x = spark.range(10, 4_000_000, 20).select((F.col("id") / 20_000_000).alias("x"))
+    got = [r[0] for r in x.select(T.rounded(F.col("x"), 6)).collect()]
+    by_text = [r[0] for r in x.select(F.round("x", 6)).collect()]
+    con = duckdb.connect()
+    expected = [r[0] for r in con.execute("select round(w / 20000000.0::DOUBLE, 6) from range(10, 4000000, 20) t(w) order by w").fetchall()]
+    assert got == expected and by_text != expected

@@ -45,6 +45,14 @@ def half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Round a double to ``digits`` places as SQL engines do: scaled, to the nearest whole number (halves away from zero), scaled back.
+
+    ``round(x, digits)`` of Spark goes by the decimal text of ``x`` and differs where the scaled double lies just beside a half.
+    """
+    return F.round(x * F.lit(float(10**digits))) / F.lit(float(10**digits))
+
+
 def estimate_tokens(chars: Column | str) -> Column:
     return F.floor((_c(chars) + 2) / 4).cast("long")
 

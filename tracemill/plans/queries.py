@@ -176,7 +176,7 @@ def price_calls(spark, d):
     side = 20 * F.col("input") + 25 * F.col("cache_creation") + 2 * F.col("cache_read")
     usd = side * F.col("in_rate") + 20 * F.col("output") * F.col("out_rate")  # whole numbers, so that sums are exact
     p = ledger.price_totals(_rated(spark, d), USER, usd, T.spend20())
-    return p.select("user_id", F.round(F.col("usd") / 20_000_000, 6).alias("usd"), "priced", "unpriced", "unpriced_calls", "calls", "unpriced_models")
+    return p.select("user_id", T.rounded(F.col("usd") / 20_000_000, 6).alias("usd"), "priced", "unpriced", "unpriced_calls", "calls", "unpriced_models")
 
 
 @query
@@ -399,7 +399,7 @@ def session_list(spark, d):
         F.max("depth").alias("max_depth"),
         F.sum(T.spend20()).alias("spend20"),
         F.sum(F.when(spawned, T.spend20()).otherwise(0)).alias("spawned20"),
-        F.round(F.coalesce(F.sum(usd), F.lit(0.0)) / 20_000_000, 6).alias("usd"),
+        T.rounded(F.coalesce(F.sum(usd), F.lit(0.0)) / 20_000_000, 6).alias("usd"),
         F.sum(F.when(F.col("in_rate").isNull(), T.spend20()).otherwise(0)).alias("unpriced20"),
     )
 

@@ -67,7 +67,7 @@ def session_list(a: Analysis, rates: DataFrame) -> DataFrame:
     whole = lambda x: T.half_up(x / 20).cast("long")
     sums = rows.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("calls"), F.count_if(spawned).alias("spawned_calls"), F.max("depth").cast("long").alias("max_depth"), whole(F.sum("spend20")).alias("tok_eq"),
-        whole(F.sum(F.when(spawned, F.col("spend20")).otherwise(0))).alias("spawned_tok_eq"), F.round(known, 4).alias("usd"),
+        whole(F.sum(F.when(spawned, F.col("spend20")).otherwise(0))).alias("spawned_tok_eq"), T.rounded(known, 4).alias("usd"),
         whole(F.sum(F.when(F.col("in_rate").isNull(), F.col("spend20")).otherwise(0))).alias("unpriced_tok_eq"), F.array_join(F.array_sort(F.collect_set("model_id")), ", ").alias("models"),
     )
     extent = a.spans.groupBy("session_id").agg(F.min("ts_start").alias("started_ms"), T.half_up((F.max("ts_end") - F.min("ts_start")) / 60_000).cast("long").alias("wall_min"))
