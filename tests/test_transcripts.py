@@ -9,7 +9,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.sources import transcripts
+from tracemill.plans import session
+from tracemill.sources import transcripts, writer
 
 LINES = "session_id string, conv_id string, project string, line_no long, value string"
 TEXTS = ["", "x", "é😀", "a\nb", "tab\t", 'q"uote', " ", "long " * 60, "\x01\x7f", "</x>", "5"]
@@ -97,6 +98,43 @@ def test_a_large_file_is_read_in_ranges(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+@pytest.mark.parametrize("odd", [False, True])
+def test_the_reader_in_the_jvm_agrees(spark, odd):
+    make = Lines(6, odd)
+    lines = [make.line() for _ in range(500)] + ODD
+    table = spark.createDataFrame([("s", "", "p", i, x) for i, x in enumerate(lines)], LINES).repartition(4)
+    by = [{r["line_no"]: r.asDict(recursive=True) for r in transcripts.parse_lines(table, in_jvm=j).collect()} for j in (False, True)]
+    assert by[0] == by[1] and len(by[0]) == sum(bool(x.strip()) for x in lines)
+
+
+def test_a_packed_corpus_reads_as_its_files_do(spark, tmp_path):
+    """Files, lines, sidecars and picked sessions of a packed corpus are those of the same lines written to a file each."""
+    rows = [(f"p-{i % 3}/s{i}.jsonl", 10 * k, json.dumps({"type": "user", "uuid": f"{i}-{k}é"})) for i in range(5) for k in range(i % 3 + 1)]
+    rows += [("p-1/s1/subagents/agent-a.jsonl", 0, "{}"), ("p-1/s1/subagents/agent-a.meta.json", 0, '{"agentType":"x",'), ("p-1/s1/subagents/agent-a.meta.json", 1, '"spawnDepth":2}'), ("p-2/s2/subagents/agent-b.meta.json", 0, "{}")]
+    lines = spark.createDataFrame(rows, "path string, place long, value string").repartition(3)
+    root = (tmp_path / "files").as_uri()
+    writer.write_files(lines, root)
+    packed = writer.pack_files(lines)
+    every = lambda df, *cols: sorted(map(tuple, df.select(*cols).collect()), key=repr)
+    names = ("project", "session_id", "conv_id", "half", "bytes")
+    assert every(transcripts.discover(spark, packed), *names) == every(transcripts.discover(spark, root), *names)
+    picked, said = transcripts.in_scope(transcripts.sessions_of(packed.files), has_spawns=True)
+    assert [r["session_id"] for r in picked.collect()] == ["s1"] and said == ["has spawned work: excluded 4 of 5"]
+    paths = transcripts.picked_paths(transcripts.discover(spark, root), picked)
+    for source, files in ((packed, None), (packed.picked(picked), paths)):
+        names = ("project", "session_id", "conv_id", "line_no", "value")
+        assert every(transcripts.read_lines(spark, source), *names) == every(transcripts.read_lines(spark, root, files), *names)
+        assert every(transcripts.read_spawn_meta(spark, source), "*") == every(transcripts.read_spawn_meta(spark, root, files), "*") != []
+
+
+def test_a_query_makes_only_the_tables_it_needs(spark):
+    """Counting the lines of each type waits for no forest and no spans; before, every query waited for all tables and a file for each conversation."""
+    lines = spark.createDataFrame([("p/s1.jsonl", i, json.dumps({"type": "user", "message": {"content": "hi"}})) for i in range(3)], "path string, place long, value string")
+    a = session.analyze(spark, writer.pack_files(lines))
+    assert transcripts.parse_stats(a.records).first()["lines"] == 3 and len(a.made()) == 1
+    assert a.turns.count() == 3 and "spans" not in vars(a) and "forest" not in vars(a)
+
+
 @pytest.fixture
 def corpus(tmp_path):
     for i, (project, name) in enumerate([("alpha", "s1"), ("alpha", "s2"), ("beta", "t1"), ("beta", "s9")]):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,22 +15,6 @@ from tracemill.sources import transcripts
 CONV = ["session_id", "conv_id"]
 
 
-@dataclass
-class Analysis:
-    """Tables of a corpus, stored once each but for ``lost_results``."""
-
-    sessions: DataFrame
-    records: DataFrame
-    calls: DataFrame
-    tools: DataFrame
-    arrivals: DataFrame
-    turns: DataFrame
-    forest: DataFrame
-    labels: DataFrame
-    spans: DataFrame
-    lost_results: DataFrame
-
-
 def calls_of(records: DataFrame) -> DataFrame:
     """API calls with their usage snapshot, the union of their blocks and, for the audits, the last line's figures."""
     lines = records.filter("kind = 'assistant'")
@@ -205,26 +189,90 @@ def rolled_up(spans: DataFrame) -> DataFrame:
     return spans.join(tree.rollup(spans, "span_id", "parent_id", measures, ["session_id"]), ["session_id", "span_id"])
 
 
-def analyze(spark: SparkSession, root: str, picked: DataFrame | None = None) -> Analysis:
+class Analysis:
+    """Tables of the corpus ``source``, or of its ``picked`` sessions: each is made when it is first asked for, with those it needs, and stored."""
+
+    def __init__(self, spark: SparkSession, source: str | transcripts.Packed, picked: DataFrame | None = None):
+        self._spark, self._source, self._paths = spark, source, None
+        files = transcripts.discover(spark, source)
+        if picked is not None and isinstance(source, transcripts.Packed):
+            self._source = source.picked(picked)
+            files = self._source.files
+        elif picked is not None:
+            self._paths = transcripts.picked_paths(files, picked)
+            files = files.join(picked.select("project", "session_id"), ["project", "session_id"], "left_semi")
+        self._found = files
+
+    def made(self) -> list[DataFrame]:
+        """The tables that are stored by now."""
+        return [vars(self)[name] for name, f in vars(type(self)).items() if isinstance(f, functools.cached_property) and name in vars(self) and not name.startswith("_")]
+
+    @functools.cached_property
+    def files(self) -> DataFrame:
+        return stored(self._found, "files")
+
+    @functools.cached_property
+    def sessions(self) -> DataFrame:
+        return stored(transcripts.sessions_of(self.files), "sessions")
+
+    @functools.cached_property
+    def records(self) -> DataFrame:
+        return stored(transcripts.parse_lines(transcripts.read_lines(self._spark, self._source, self._paths)), "records")
+
+    @functools.cached_property
+    def metas(self) -> DataFrame:
+        return stored(transcripts.read_spawn_meta(self._spark, self._source, self._paths), "metas")
+
+    @functools.cached_property
+    def _seen(self) -> DataFrame:
+        return sequence.calls_seen(self.records, CONV, "line_no", F.when(F.col("kind") == "assistant", F.col("request_id")))
+
+    @functools.cached_property
+    def calls(self) -> DataFrame:
+        return stored(calls_of(self.records), "calls")
+
+    @functools.cached_property
+    def uses(self) -> DataFrame:
+        return stored(tool_tables(self.records, self.calls)[0], "uses")
+
+    @functools.cached_property
+    def results(self) -> DataFrame:
+        return stored(tool_tables(self.records, self.calls)[1], "results")
+
+    @functools.cached_property
+    def forest(self) -> DataFrame:
+        first = self.calls.filter("call_index = 0").select("session_id", F.col("conv_id").alias("agent_id"), F.col("ts_ms").alias("first_ts"))
+        known = self.files.filter("conv_id <> '' and half = 'transcript'").select("session_id", F.col("conv_id").alias("agent_id"))
+        candidates = stored(self.metas.join(known, ["session_id", "agent_id"], "left_semi").join(first, ["session_id", "agent_id"], "left").fillna(0, ["first_ts"]), "candidates")
+        uses = self.uses.select(*CONV, "tool_use_id", F.col("call_index").cast("int").alias("call_index"))
+        forest = tree.resolve_spawns(candidates, uses, self.calls.select(*CONV, "call_index", F.col("ts_ms").alias("ts")))
+        return stored(forest.join(self.metas.select("session_id", "agent_id", "agent_type", "description", "tool_use_id", "declared_depth"), ["session_id", "agent_id"], "left"), "forest")
+
+    @functools.cached_property
+    def tools(self) -> DataFrame:
+        return stored(tools_of(self.uses, self.results), "tools")
+
+    @functools.cached_property
+    def turns(self) -> DataFrame:
+        return stored(turns_of(self._seen, self.calls), "turns")
+
+    @functools.cached_property
+    def arrivals(self) -> DataFrame:
+        return stored(arrivals_of(self._seen, self.calls, self.uses, self.results), "arrivals")
+
+    @functools.cached_property
+    def labels(self) -> DataFrame:
+        return stored(labels_of(self.calls, self.forest), "labels")
+
+    @functools.cached_property
+    def lost_results(self) -> DataFrame:
+        return stored(unmatched_results(self.uses, self.results), "lost-results")
+
+    @functools.cached_property
+    def spans(self) -> DataFrame:
+        return stored(spans_of(self.calls, self.tools, self.turns, self.forest, self.labels), "spans")
+
+
+def analyze(spark: SparkSession, root: str | transcripts.Packed, picked: DataFrame | None = None) -> Analysis:
     """All tables of the corpus below ``root``, or of its ``picked`` sessions (see ``transcripts.in_scope``); records are parsed once and stored."""
-    files = transcripts.discover(spark, root)
-    paths = None
-    if picked is not None:
-        paths = transcripts.picked_paths(files, picked)
-        files = files.join(picked.select("project", "session_id"), ["project", "session_id"], "left_semi")
-    files = stored(files, "files")
-    records = stored(transcripts.parse_lines(transcripts.read_lines(spark, root, paths)), "records")
-    metas = transcripts.read_spawn_meta(spark, root, paths)
-    seen = sequence.calls_seen(records, CONV, "line_no", F.when(F.col("kind") == "assistant", F.col("request_id")))
-    calls = stored(calls_of(records), "calls")
-    uses, results = tool_tables(records, calls)
-    first = calls.filter("call_index = 0").select("session_id", F.col("conv_id").alias("agent_id"), F.col("ts_ms").alias("first_ts"))
-    known = files.filter("conv_id <> '' and half = 'transcript'").select("session_id", F.col("conv_id").alias("agent_id"))
-    candidates = metas.join(known, ["session_id", "agent_id"], "left_semi").join(first, ["session_id", "agent_id"], "left").fillna(0, ["first_ts"])
-    forest = tree.resolve_spawns(candidates, uses.select(*CONV, "tool_use_id", F.col("call_index").cast("int").alias("call_index")), calls.select(*CONV, "call_index", F.col("ts_ms").alias("ts")))
-    forest = stored(forest.join(metas.select("session_id", "agent_id", "agent_type", "description", "tool_use_id", "declared_depth"), ["session_id", "agent_id"], "left"), "forest")
-    tools, turns = stored(tools_of(uses, results), "tools"), stored(turns_of(seen, calls), "turns")
-    arrivals, labels = stored(arrivals_of(seen, calls, uses, results), "arrivals"), stored(labels_of(calls, forest), "labels")
-    lost = unmatched_results(uses, results)
-    spans = stored(spans_of(calls, tools, turns, forest, labels), "spans")
-    return Analysis(stored(transcripts.sessions_of(files), "sessions"), records, calls, tools, arrivals, turns, forest, labels, spans, lost)
+    return Analysis(spark, root, picked)

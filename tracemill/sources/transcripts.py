@@ -6,6 +6,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
 import pandas as pd
@@ -234,6 +235,30 @@ def _path_parts(path: Column, agent: bool) -> list[Column]:
     return [part(1).alias("project"), part(2).alias("session_id"), (part(3) if agent else F.lit("")).alias("conv_id")]
 
 
+@dataclass(frozen=True)
+class Packed:
+    """A corpus held as a table of lines in place of a file for each conversation (see ``writer.pack_files``).
+
+    Every file of a folder costs a listing and an opening, which grows past the reading itself where
+    files are many and small.  ``lines`` has ``project``, ``session_id``, ``conv_id``, ``half`` (transcript or meta), ``path``, ``line_no``
+    (from 0) and ``value``; ``files`` has a row for each file that has lines, as ``discover`` gives it.
+    """
+
+    files: DataFrame
+    lines: DataFrame
+
+    def picked(self, sessions: DataFrame) -> Packed:
+        mine = sessions.select("project", "session_id")
+        return Packed(*[t.join(mine, ["project", "session_id"], "left_semi") for t in (self.files, self.lines)])
+
+
+def path_columns(path: Column) -> list[Column]:
+    """``project``, ``session_id``, ``conv_id`` and ``half`` of a path that ends as transcripts and sidecars do."""
+    agent = path.rlike(_AGENT)
+    parts = [F.when(agent, a).otherwise(own).alias(name) for name, a, own in zip(("project", "session_id", "conv_id"), _path_parts(path, True), _path_parts(path, False))]
+    return [*parts, F.when(path.endswith(".meta.json"), "meta").otherwise("transcript").alias("half")]
+
+
 def _absent(none: Exception) -> bool:
     return "PATH_NOT_FOUND" in str(none)
 
@@ -245,11 +270,13 @@ def _files(spark: SparkSession, glob: str, agent: bool) -> DataFrame:
     )
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
+def discover(spark: SparkSession, root: str | Packed) -> DataFrame:
     """``project``, ``session_id``, ``conv_id``, ``half`` (transcript or meta), ``path``, ``bytes`` and ``mtime`` of every file below ``root``.
 
     Only file metadata is read; no file is opened.
     """
+    if isinstance(root, Packed):
+        return root.files
     out = None
     for glob, agent, half in ((f"{root}/*/*.jsonl", False, "transcript"), (f"{root}/*/*/subagents/agent-*.jsonl", True, "transcript"), (f"{root}/*/*/subagents/agent-*.meta.json", True, "meta")):
         try:
@@ -316,13 +343,15 @@ def picked_paths(files: DataFrame, sessions: DataFrame) -> dict[str, list[str]]:
     return found
 
 
-def read_lines(spark: SparkSession, root: str, paths: dict[str, list[str]] | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, root: str | Packed, paths: dict[str, list[str]] | None = None) -> DataFrame:
     """``project``, ``session_id``, ``conv_id``, ``path``, ``line_no`` (from 0) and ``value`` of every line below ``root``, or of the files in ``paths``.
 
     Files are split at line breaks into byte ranges, so a file of any size is read by many
     tasks.  A line's number is its place within its range and the number of lines of the
     ranges before it, a running sum of one count a range.
     """
+    if isinstance(root, Packed):
+        return root.lines.filter("half = 'transcript'").select("project", "session_id", "conv_id", "path", "line_no", "value")
     out = None
     for agent, glob in ((False, f"{root}/*/*.jsonl"), (True, f"{root}/*/*/subagents/agent-*.jsonl")):
         given = None if paths is None else paths["agents" if agent else "own"]
@@ -348,17 +377,21 @@ def read_lines(spark: SparkSession, root: str, paths: dict[str, list[str]] | Non
     return rows.join(starts, ["path", "_from"]).select("project", "session_id", "conv_id", "path", line, "value")
 
 
-def read_spawn_meta(spark: SparkSession, root: str, paths: dict[str, list[str]] | None = None) -> DataFrame:
+def read_spawn_meta(spark: SparkSession, root: str | Packed, paths: dict[str, list[str]] | None = None) -> DataFrame:
     """Sidecars of spawned agents: what the spawner claimed, with defaults for what is absent or of another type."""
     schema = "session_id string, agent_id string, agent_type string, description string, tool_use_id string, declared_depth int"
-    if paths is not None and not paths["metas"]:
-        return spark.createDataFrame([], schema)
-    try:
-        files = _files(spark, f"{root}/*/*/subagents/agent-*.meta.json" if paths is None else paths["metas"], True)
-    except Exception as none:
-        if not _absent(none):
-            raise
+    if isinstance(root, Packed):
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]), "\n")
+        files = root.lines.filter("half = 'meta'").groupBy("session_id", "conv_id").agg(text.alias("value"))
+    elif paths is not None and not paths["metas"]:
         return spark.createDataFrame([], schema)
+    else:
+        try:
+            files = _files(spark, f"{root}/*/*/subagents/agent-*.meta.json" if paths is None else paths["metas"], True)
+        except Exception as none:
+            if not _absent(none):
+                raise
+            return spark.createDataFrame([], schema)
     o = F.try_parse_json("value")
     text = lambda m, default: F.when(F.schema_of_variant(F.try_variant_get(o, f"$.{m}", "variant")) == "STRING", F.try_variant_get(o, f"$.{m}", "string")).otherwise(default)
     return files.select(
@@ -378,7 +411,7 @@ def paired(transcripts: DataFrame, metas: DataFrame) -> DataFrame:
 
 # --- records --------------------------------------------------------------
 #
-# Lines are taken apart as VARIANT values in the JVM.  What the built-in functions read
+# Lines can also be taken apart as VARIANT values in the JVM.  What the built-in functions read
 # differently (floating-point and very long numbers, whose JSON text depends on the
 # writer; lone surrogates; dates in rare forms; lines that are no JSON) goes to the
 # line parser above, which defines what every record is.
@@ -387,6 +420,8 @@ _DAY, _CLOCK, _ZONE = r"\d{4}-\d\d-\d\d", r"([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d
 _INSTANT = f"^{_DAY}T{_CLOCK}{_ZONE}$"
 _STRINGS = r'"(?:[^"\\]++|\\.)*+"'
 _ODD_NUMBERS = r"[0-9][.eE]|[0-9]{16}|-0"
+#: Where no string ends before a colon and no comma, bracket or beginning stands before such a number, there is none outside of strings.
+_MAYBE_ODD = r'(?:^|"\s*:|[,\[])\s*(?:-0|-?[0-9]+[.eE]|-?[0-9]{16})'
 _SURROGATES = r"\\u[dD][89a-fA-F]"
 _END = "end of line"
 
@@ -435,8 +470,9 @@ def _tool_input(b: Column) -> Column:
     return F.substring(said, 1, INPUT_CAP)
 
 
-def _block(b: Column) -> Column:
-    kind = _string(b, "$.type")
+def _block(typed: Column) -> Column:
+    """A block from ``b``, its value, and ``kind``, the string that names its type."""
+    b, kind = typed["b"], typed["kind"]
     known = F.coalesce(kind.isin(*BLOCK_FIELDS), F.lit(False))
     of = lambda k, x: F.when(kind == k, x)
     text = _string(b, "$.text")
@@ -467,14 +503,16 @@ def _decoded(lines: DataFrame) -> DataFrame:
     v = held.withColumn("v", F.when(one, F.try_variant_get("_v", "$[0]", "variant"))).drop("_v")
     time = _string(F.col("v"), "$.timestamp")
     bare = F.regexp_replace("value", _STRINGS, "")
-    odd = F.col("v").isNull() | bare.rlike(_ODD_NUMBERS) | F.col("value").rlike(_SURROGATES) | F.coalesce(~time.rlike(_INSTANT), F.lit(False))
+    numbers = F.col("value").rlike(_MAYBE_ODD) & bare.rlike(_ODD_NUMBERS)
+    surrogates = F.col("value").contains("\\u") & F.col("value").rlike(_SURROGATES)
+    odd = F.col("v").isNull() | numbers | surrogates | F.coalesce(~time.rlike(_INSTANT), F.lit(False))
     return v.withColumn("odd", odd)
 
 
 def _records(lines: DataFrame) -> DataFrame:
     """Records of lines with a value ``v`` that is not odd."""
     v = F.col("v")
-    composite = _object(v).isNotNull() | _list(v).isNotNull()
+    composite = F.col("value").rlike(r"^\s*[{\[]")
     own = lines.withColumn("type", F.when(composite, F.coalesce(_string(v, "$.type"), F.lit("(untyped)"))).otherwise("(not an object)"))
     known = [k for k in LINE_FIELDS if k]
     own = own.withColumn("kind", F.when(~composite, "unknown").when(F.col("type").isin(*known), F.col("type")).when(F.col("type").isin(*META_TYPES), "meta").otherwise("unknown"))
@@ -483,7 +521,8 @@ def _records(lines: DataFrame) -> DataFrame:
     flat = F.coalesce(_whole(v, "$.message.usage.cache_creation_input_tokens"), F.lit(0))
     used = lambda name: F.when(is_("assistant"), F.coalesce(_whole(v, f"$.message.usage.{name}"), F.lit(0)))
     none = F.array().cast(f"array<{BLOCK}>")
-    listed = F.coalesce(F.transform(_list(v, "$.message.content"), _block).cast(f"array<{BLOCK}>"), none)
+    typed = F.transform(_list(v, "$.message.content"), lambda b: F.struct(b.alias("b"), _string(b, "$.type").alias("kind")))
+    listed = F.coalesce(F.transform(typed, _block).cast(f"array<{BLOCK}>"), none)
     said = _string(v, "$.message.content")
     blocks = F.when(is_("assistant"), listed).when(is_("user"), F.when(said.isNotNull(), _said(said).cast(f"array<{BLOCK}>")).otherwise(listed))
     own = own.withColumn("blocks", blocks)
@@ -502,11 +541,12 @@ def _records(lines: DataFrame) -> DataFrame:
     return own.select(*[columns.get(c, F.col(c)).alias(c) for c in _COLUMNS])
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, in_jvm: bool = False) -> DataFrame:
     """Typed records of lines (``session_id``, ``conv_id``, ``project``, ``line_no``, ``value``); blank lines have none.
 
-    A line is read in the JVM unless it is odd (see above); the two readers agree on
-    every line, so it does not matter which of them reads it.
+    The line parser reads them in batches.  With ``in_jvm`` it reads only odd lines (see above)
+    and no others pass through Python, which takes several times as long; the two readers agree on
+    every line.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -516,7 +556,10 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             kinds = dict.fromkeys(_NUMBERS, "Int64")
             yield pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=kinds.get(c, "object")) for c in _COLUMNS})
 
-    rows = _decoded(lines.select("session_id", "conv_id", "project", "line_no", "value").filter(F.col("value").rlike(r"(?U)\S")))
+    filled = lines.select("session_id", "conv_id", "project", "line_no", "value").filter(F.col("value").rlike(r"(?U)\S"))
+    if not in_jvm:
+        return filled.mapInPandas(parse, RECORD)
+    rows = _decoded(filled)
     plain = _records(rows.filter(~F.col("odd")))
     odd = rows.filter("odd").select("session_id", "conv_id", "project", "line_no", "value").mapInPandas(parse, RECORD)
     return plain.unionByName(odd).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in odd.schema.fields])

@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tracemill.functions.storage import stored
+from tracemill.sources.transcripts import Packed, path_columns
 
 
 def write_files(lines: DataFrame, root: str) -> None:
@@ -36,3 +40,12 @@ def write_files(lines: DataFrame, root: str) -> None:
 
     dealt = lines.select("path", "place", "value").repartition("path").sortWithinPartitions("path", "place")
     dealt.mapInPandas(write, "files long").agg({"files": "sum"}).collect()
+
+
+def pack_files(lines: DataFrame) -> Packed:
+    """The corpus that ``write_files`` writes, as stored tables: very many small files would take longer to list and to open than to read."""
+    numbered = lines.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("place")) - 1).cast("long").alias("line_no"), "value")
+    held = stored(numbered.select(*path_columns(F.col("path")), "path", "line_no", "value"), "lines")
+    size = F.sum(F.octet_length("value") + 1).alias("bytes")
+    files = held.groupBy("project", "session_id", "conv_id", "half", "path").agg(size).withColumn("mtime", F.current_timestamp())
+    return Packed(stored(files, "packed-files"), held)
