@@ -196,3 +196,22 @@ def test_probability_of_large_counts(spark):
     rows = spark.createDataFrame([(3 * 10**12, 10**13, 10**7)], "c long, total long, vocabulary long")
     assert rows.select(divergence.probability("c", "total")).first()[0] == 1 + 10**9 * (3 * 10**12 + 1) // (10**13 + 10**7)
     assert rows.select(F.lit(10**9 + 1).cast("long").alias("p"), F.lit(1).cast("long").alias("q")).select(divergence.divergence("p", "q")).first()[0] == 10**18
+
+
+def test_runs_of_signs_behind_letters_are_learnt_once():
+    """Ids equal the library's, and a word with signs behind it takes the word's ids; before, each such word went through the whole tokenizer."""
+    from tokenizers import Tokenizer
+
+    from tracemill.llm import packing
+
+    path = tokenizer_file("word_bpe_49k.json")
+    encoder, library = packing.WordEncoder(path), Tokenizer.from_file(path)
+    words = ["Haus", "\u00e9t\u00e9", "wor\u0301d", "a1", "don't", "x's", "\u03a3\u03a3", "\u4e2d", ""]
+    tails = ["###", ".&&&", ",!!", "'", "'s", ".'s", "...", "-", "-x", "<=>", "<\u0338", ").", "$1", "\u0301.", "\u2026.", "[unk]", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = [f"{w}{t} {w} {t}" for w in words for t in tails]
+    got = encoder.encode(texts)
+    assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    calls = []
+    encoder.tokenizer = type("Counting", (), {"encode_batch": lambda _, block, **k: calls.extend(block) or library.encode_batch(block, **k)})()
+    encoder.encode(["garten### garten.&&& garten,!!"])
+    assert calls == []

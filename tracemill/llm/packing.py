@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -40,13 +41,15 @@ def _byte_level() -> dict[int, str]:
 
 
 _byte_characters = _byte_level()
+#: Signs that never belong to the letters before them (an apostrophe can).
+_SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 class WordEncoder:
     """Ids of whole texts from a lexicon of blank-separated parts.
 
     Valid for vocabularies that lower-case, whose pre-tokens never span a blank
-    and keep letters apart from a full stop or comma; blanks give no ids.
+    and keep letters apart from a run of ASCII signs other than apostrophes; blanks give no ids.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -75,7 +78,7 @@ class WordEncoder:
         self.lexicon[b""] = b""
         self.lexicon.update(self.special_ids)
         if self.batches % 8 == 0:
-            self.again.update(w for w in every if w in self.lexicon)
+            self.again.update(every - every.difference(self.lexicon))
         self.batches += 1
         self._learn(every)
         get = self.lexicon.__getitem__
@@ -100,28 +103,29 @@ class WordEncoder:
         return w
 
     def _learn(self, parts: set[bytes]) -> None:
-        missing = {w for w in parts if w not in self.lexicon}
+        lexicon, tokenize = self.lexicon, self.model.tokenize
+        missing = parts.difference(lexicon)
         if not missing:
             return
-        ended = {w for w in missing if w[-1:] in b".," and w[-2:-1].isalpha()}
-        bases = (missing - ended) | {w[:-1] for w in ended} | {b".", b","}
+        # A run of signs behind a letter is a pre-token of its own.
+        ended = {w: (base, w[len(base) :]) for w in missing if w[-1] in _SIGNS and (base := w.rstrip(_SIGNS))[-1:].isalpha()}
         odd = []
-        for raw in bases:
-            if raw in self.lexicon:
-                continue
+        for raw in missing.difference(ended).union(*ended.values()).difference(lexicon):
             w = raw.decode()
             # A lower-case Latin word is one pre-token that the normaliser leaves alone: straight to the model.
-            if len(w) < 100 and w.isalpha() and max(w) < "\u0250" and w.islower() and w == w.lower():
-                got = self.model.tokenize(w if w.isascii() else raw.decode("latin-1").translate(_byte_characters))
-                self.lexicon[raw] = np.array([t.id for t in got], "<u4").tobytes()
+            plain = raw.isalpha() if raw.isascii() else w.isalpha() and max(w) < "\u0250" and w.islower() and w == w.lower()
+            if plain and len(w) < 100:
+                ids = [t.id for t in tokenize(w if raw.isascii() else raw.decode("latin-1").translate(_byte_characters))]
+                lexicon[raw] = pack(f"<{len(ids)}I", *ids)
             else:
                 odd.append(w)
         for at in range(0, len(odd), 5_000):
             block = odd[at : at + 5_000]
             for w, e in zip(block, self.tokenizer.encode_batch([*map(self.unspecial, block)], add_special_tokens=False)):
-                self.lexicon[w.encode()] = np.array(e.ids, "<u4").tobytes()
-        for w in ended:
-            self.lexicon[w] = self.lexicon[w[:-1]] + self.lexicon[w[-1:]]
+                ids = e.ids
+                lexicon[w.encode()] = pack(f"<{len(ids)}I", *ids)
+        for w, (base, signs) in ended.items():
+            lexicon[w] = lexicon[base] + lexicon[signs]
 
 
 _encoders: dict[str, WordEncoder] = {}
