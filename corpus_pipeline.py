@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import decontamination, near_dedup, packing, quality, repeats
-from tracemill.llm.common import crc_mod, row_key, table, written
+from tracemill.llm.common import BATCH_BYTES, BATCH_ROWS, bounded_batches, crc_mod, row_key, table, written
 from tracemill.llm.registry import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -58,12 +59,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with Arrow batches half as large: workers of several stages stay about side by side and keep what they took."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark, BATCH_ROWS // 2, BATCH_BYTES // 2)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", keep_quality),
-    ("near_dedup", keep_one_of_group),
-    ("repeats", cut_repeats),
-    ("decontamination", drop_contaminated),
-    ("packing", pack),
+    ("quality", in_small_batches(keep_quality)),
+    ("near_dedup", in_small_batches(keep_one_of_group)),
+    ("repeats", in_small_batches(cut_repeats)),
+    ("decontamination", in_small_batches(drop_contaminated)),
+    ("packing", in_small_batches(pack)),
 ]
 
 
