@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import fit
-from tracemill.plans import corpus, corpus_sql, queries, report
+from tracemill.plans import corpus, corpus_sql, queries, report, session
 from tracemill.plans.sql import SQL
+from tracemill.sources.writer import pack_files
 
 D = "/root/testdata/sf0.001"
 
@@ -60,3 +61,22 @@ def test_notes_come_in_order_for_the_export(spark):
     cards = {r["session_id"]: r for r in report.session_cards(corpus.analysed(spark, D)[1]).collect()}
     assert len(cards) == 20 and all(" calls (" in r["notes"][0] and " tools have a result" in r["notes"][1] for r in cards.values())
     assert any(n.startswith("orphan ") for r in cards.values() for n in r["notes"])
+
+
+def test_lines_written_after_they_are_put_in_order_are_the_same(spark):
+    """Short rows are numbered first and their texts made afterwards; no text passes the shuffle."""
+    late = pack_files(*corpus.unwritten(spark, D)).lines
+    lines = pack_files(corpus.corpus_lines(spark, D)).lines.select(late.columns)
+    assert late.count() == lines.count() > 1000 and late.exceptAll(lines).isEmpty()
+    rows, _ = corpus.unwritten(spark, D)
+    assert "value" not in rows.columns
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_calls_and_lines_seen_are_dealt_once(spark):
+    records = corpus.analysed(spark, D)[1].records
+    assert shuffles(session.calls_of(records)) == 1
+    assert shuffles(session.seen_of(records)) == 1

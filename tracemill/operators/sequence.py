@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def request_groups(lines: DataFrame, partition: Sequence[str], request: str, line: str, output: str, snapshot: Sequence[str], first: Sequence[str] = ()) -> DataFrame:
+def request_groups(lines: DataFrame, partition: Sequence[str], request: str, line: str, output: str, snapshot: Sequence[str], first: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
     """One row for each request: the snapshot of its most complete line.
 
     The whole snapshot comes from the line of greatest output, the earliest of
     equals; ``last_output`` is the rival rule's figure, ``output_varies`` tells whether
     the lines disagree, ``line_count`` how many there are, and ``first`` columns come from the
-    first line.  ``call_index`` numbers the groups of a partition by first line.
+    first line; ``more`` are further aggregates of a group.  ``call_index`` numbers the groups of a partition by first line.
     One shuffle, combined before it.
     """
     rank = F.struct(F.col(output), -F.col(line))
@@ -25,6 +25,7 @@ def request_groups(lines: DataFrame, partition: Sequence[str], request: str, lin
         F.count(F.lit(1)).alias("line_count"),
         F.min(line).alias("first_line"),
         *[F.min_by(c, line).alias(c) for c in first],
+        *more,
     )
     w = Window.partitionBy(*partition).orderBy("first_line")
     return grouped.select("*", "_s.*").drop("_s").withColumn("call_index", F.row_number().over(w) - 1)

@@ -17,28 +17,42 @@ CONV = ["session_id", "conv_id"]
 
 def calls_of(records: DataFrame) -> DataFrame:
     """API calls with their usage snapshot, the union of their blocks and, for the audits, the last line's figures."""
-    lines = records.filter("kind = 'assistant'")
+    # Dealt by conversation once: groups of lines and the order of calls both lie within one.
+    lines = records.filter("kind = 'assistant'").repartition(*CONV)
     usage = ["output", "input", "cache_creation", "cache_read", "cc_flat"]
-    grouped = sequence.request_groups(lines, CONV, "request_id", "line_no", "output", usage, ["ts_ms", "model"])
-    blocks = lines.groupBy(*CONV, "request_id").agg(
+    more = [
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "blocks"))), lambda x: x["blocks"])).alias("blocks"),
         F.max_by(F.col("input") + F.col("cache_creation") + F.col("cache_read") + F.col("output") == 0, "line_no").alias("last_is_zero"),
-    )
-    return grouped.join(blocks, [*CONV, "request_id"])
+    ]
+    return sequence.request_groups(lines, CONV, "request_id", "line_no", "output", usage, ["ts_ms", "model"], more)
 
 
-def tool_tables(records: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(requests, results): every tool_use and tool_result block in order; ``pos`` orders both."""
-    pos = (F.shiftleft(F.col("line_no").cast("long"), 32) + F.col("at")).alias("pos")
-    lines = records.join(calls.select(*CONV, "request_id", "call_index"), [*CONV, "request_id"], "left")
-    exploded = lines.select(*CONV, "line_no", "kind", "ts_ms", "call_index", F.posexplode("blocks").alias("at", "b"))
-    uses = exploded.filter("kind = 'assistant' and b.kind = 'tool_use'").select(
-        *CONV, F.col("b.id").alias("tool_use_id"), F.col("b.name").alias("name"), T.display("b.input").alias("summary"), F.col("b.input").alias("input"), "call_index", F.col("ts_ms").alias("ts_start"), pos
-    )
-    results = exploded.filter("kind = 'user' and b.kind = 'tool_result'").select(
-        *CONV, F.col("b.tool_use_id").alias("tool_use_id"), F.col("b.chars").alias("result_chars"), F.col("ts_ms").alias("ts_end"), "line_no", pos
-    )
-    return uses, results
+def _blocks(records: DataFrame, line: str, block: str, *columns: str) -> DataFrame:
+    """The blocks ``b`` of a kind in lines of a kind; ``pos`` orders all blocks of a conversation."""
+    pos = F.shiftleft(F.col("line_no").cast("long"), 32) + F.col("at")
+    some = records.filter((F.col("kind") == line) & F.exists("blocks", lambda b: b["kind"] == block))
+    return some.select(*CONV, "line_no", "ts_ms", *columns, F.posexplode("blocks").alias("at", "b")).filter(F.col("b.kind") == block).withColumn("pos", pos)
+
+
+def uses_of(records: DataFrame, calls: DataFrame) -> DataFrame:
+    """Every tool_use block in order with its call."""
+    blocks = _blocks(records, "assistant", "tool_use", "request_id").join(calls.select(*CONV, "request_id", "call_index"), [*CONV, "request_id"], "left")
+    return blocks.select(*CONV, F.col("b.id").alias("tool_use_id"), F.col("b.name").alias("name"), T.display("b.input").alias("summary"), F.col("b.input").alias("input"), "call_index", F.col("ts_ms").alias("ts_start"), "pos")
+
+
+def results_of(records: DataFrame) -> DataFrame:
+    """Every tool_result block in order."""
+    blocks = _blocks(records, "user", "tool_result")
+    return blocks.select(*CONV, F.col("b.tool_use_id").alias("tool_use_id"), F.col("b.chars").alias("result_chars"), F.col("ts_ms").alias("ts_end"), "line_no", "pos")
+
+
+def seen_of(records: DataFrame) -> DataFrame:
+    """Lines of users and attachments with ``next_call`` and what is counted of each; the lines of calls only tell where they stand."""
+    chars = F.aggregate(F.filter("blocks", lambda b: b["kind"] == "text"), F.lit(0).cast("long"), lambda a, b: a + b["chars"])
+    of_user = F.when(F.col("kind") == "user", chars)
+    short = records.filter("kind in ('assistant', 'user', 'attachment')").select(*CONV, "line_no", "kind", "ts_ms", "request_id", of_user.alias("text_chars"), "snippet", "is_tool_result", "attachment_type", "chars")
+    request = F.when(F.col("kind") == "assistant", F.col("request_id"))
+    return sequence.calls_seen(short.repartition(*CONV), CONV, "line_no", request).filter("kind <> 'assistant'").drop("request_id")
 
 
 def tools_of(uses: DataFrame, results: DataFrame) -> DataFrame:
@@ -58,13 +72,12 @@ def arrivals_of(seen: DataFrame, calls: DataFrame, uses: DataFrame, results: Dat
     """What entered the context before each call, and how large it is on what basis."""
     cols = [*CONV, "born", "source", "label", "tokens", "basis", "tool_use_id"]
     estimated, none = F.lit("estimated-from-chars"), F.lit("")
-    born = seen.select(*CONV, "line_no", F.col("next_call").alias("born"))
+    born = seen.filter("is_tool_result").select(*CONV, "line_no", F.col("next_call").alias("born"))
     known = results.alias("r").join(uses.alias("u"), [F.col("r.session_id") == F.col("u.session_id"), F.col("r.conv_id") == F.col("u.conv_id"), F.col("r.tool_use_id") == F.col("u.tool_use_id"), F.col("u.pos") < F.col("r.pos")], "left")
     named = known.groupBy("r.session_id", "r.conv_id", "r.tool_use_id", "r.line_no", "r.pos", "r.result_chars").agg(F.max_by(F.struct("u.name", "u.summary"), "u.pos").alias("use"))
     label = F.trim(F.concat(F.coalesce("use.name", F.lit("?")), F.lit(" "), F.coalesce("use.summary", F.lit(""))))
     from_tools = named.join(born, [*CONV, "line_no"]).select(*CONV, "born", F.lit("toolResult").alias("source"), label.alias("label"), T.estimate_tokens("result_chars").alias("tokens"), estimated.alias("basis"), "tool_use_id")
-    chars = F.aggregate(F.filter("blocks", lambda b: b["kind"] == "text"), F.lit(0).cast("long"), lambda a, b: a + b["chars"])
-    texts = seen.filter("kind = 'user'").withColumn("text_chars", chars).filter("text_chars > 0")
+    texts = seen.filter("kind = 'user' and text_chars > 0")
     from_users = texts.select(*CONV, F.col("next_call").alias("born"), F.lit("userText").alias("source"), T.display("snippet").alias("label"), T.estimate_tokens("text_chars").alias("tokens"), estimated.alias("basis"), none.alias("tool_use_id"))
     attached = seen.filter("kind = 'attachment'").select(*CONV, F.col("next_call").alias("born"), F.lit("attachment").alias("source"), F.col("attachment_type").alias("label"), T.estimate_tokens("chars").alias("tokens"), estimated.alias("basis"), none.alias("tool_use_id"))
     produced = calls.select(*CONV, (F.col("call_index") + 1).alias("born"), F.lit("assistantOutput").alias("source"), F.concat(F.lit("assistant output of call "), F.col("call_index").cast("string")).alias("label"), F.col("output").alias("tokens"), F.lit("exact-api-usage").alias("basis"), none.alias("tool_use_id"))
@@ -225,7 +238,7 @@ class Analysis:
 
     @functools.cached_property
     def _seen(self) -> DataFrame:
-        return sequence.calls_seen(self.records, CONV, "line_no", F.when(F.col("kind") == "assistant", F.col("request_id")))
+        return stored(seen_of(self.records), "seen")
 
     @functools.cached_property
     def calls(self) -> DataFrame:
@@ -233,11 +246,11 @@ class Analysis:
 
     @functools.cached_property
     def uses(self) -> DataFrame:
-        return stored(tool_tables(self.records, self.calls)[0], "uses")
+        return stored(uses_of(self.records, self.calls), "uses")
 
     @functools.cached_property
     def results(self) -> DataFrame:
-        return stored(tool_tables(self.records, self.calls)[1], "results")
+        return stored(results_of(self.records), "results")
 
     @functools.cached_property
     def forest(self) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +30,17 @@ RECORD = (
     f" input long, cache_creation long, cache_read long, output long, cc_flat long, blocks array<{BLOCK}>, agent_id string, is_tool_result boolean,"
     " snippet string, attachment_type string, chars long, subtype string, duration_ms long, cwd string"
 )
-_NUMBERS = ("line_no", "ts_ms", "input", "cache_creation", "cache_read", "output", "cc_flat", "chars", "duration_ms")
 _COLUMNS = [c.strip().split(" ")[0] for c in re.sub(r"<.*>", "", RECORD).split(",")]
 
 
+def _arrow_types() -> dict[str, pa.DataType]:
+    """The columns of ``RECORD`` as Arrow types."""
+    plain = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    block = pa.struct([(name, plain[of]) for name, of in (f.split(":") for f in BLOCK.removeprefix("struct<").removesuffix(">").split(","))])
+    kinds = dict(c.split(" ") for c in re.sub(r"array<.*>", "blocks", RECORD).replace(", ", ",").strip().split(","))
+    return {c: pa.list_(block) if of == "blocks" else plain[of] for c, of in kinds.items()}
+
+
 def corpus_root(explicit: str | None = None, env: Mapping[str, str] = os.environ) -> str:
     """The folder of projects: as given, else under the home folder; without either an error."""
     if explicit:
@@ -60,6 +67,9 @@ def _number(x: float) -> str:
     return str(int(x)) if x == int(x) and abs(x) < 1e21 else repr(x)
 
 
+_quoted = json.JSONEncoder(ensure_ascii=False).encode
+
+
 def json_length(value: object) -> int:
     """Length in UTF-16 units of the compact JSON text; a string counts without quotes, nothing as 0."""
     if value is None:
@@ -69,23 +79,30 @@ def json_length(value: object) -> int:
 
     def text(v: object) -> str:
         if isinstance(v, dict):
-            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{text(x)}" for k, x in v.items()) + "}"
+            return "{" + ",".join([f"{_quoted(k)}:{text(x)}" for k, x in v.items()]) + "}"
         if isinstance(v, list):
             return "[" + ",".join(map(text, v)) + "]"
         if isinstance(v, float):
             return _number(v)
-        return json.dumps(v, ensure_ascii=False)
+        return _quoted(v)
 
     return utf16(text(value))
 
 
-def member(value: object, path: str) -> object:
-    """What stands at a dotted path of nested objects; None where a step is no object."""
-    for name in path.split("."):
-        value = value.get(name) if isinstance(value, dict) else None
+def member(value: object, path: Sequence[str]) -> object:
+    """What stands at a path of names of nested objects; None where a step is no object."""
+    for name in path:
+        if not isinstance(value, dict):
+            return None
+        value = value.get(name)
     return value
 
 
+def steps(fields: tuple) -> tuple:
+    """Fields (column, dotted path, reader) with their paths as names."""
+    return tuple((c, tuple(path.split(".")), read) for c, path, read in fields)
+
+
 def text(default: str | None = "", limit: int | None = None) -> Callable[[object], str | None]:
     """Reader of a string; lone surrogates, which no column can hold, are replaced."""
 
@@ -111,7 +128,7 @@ def optional_whole(v: object) -> int | None:
 
 
 def whole(v: object) -> int:
-    return optional_whole(v) or 0
+    return v if type(v) is int and abs(v) < 2**63 else optional_whole(v) or 0
 
 
 def instant(v: object) -> int:
@@ -142,16 +159,19 @@ BLOCK_FIELDS: dict[str, tuple] = {
     "tool_result": (("chars", "content", json_length), ("tool_use_id", "tool_use_id", text())),
 }
 _BLOCK_COLUMNS = ("kind", "chars", "snippet", "id", "name", "input_chars", "input", "tool_use_id", "type")
+_BLOCK_STEPS = {kind: steps(fields) for kind, fields in BLOCK_FIELDS.items()}
 
 
 def block_of(raw: object) -> dict:
     """A content block; a kind that is not in the table is ``other`` with its name and size."""
-    kind = member(raw, "type")
-    if isinstance(kind, str) and kind in BLOCK_FIELDS:
-        found = {c: read(member(raw, path)) for c, path, read in BLOCK_FIELDS[kind]} | {"kind": kind}
-    else:
-        found = {"kind": "other", "chars": json_length(raw), "type": text("?")(kind) if isinstance(raw, (dict, list)) else "malformed"}
-    return dict.fromkeys(_BLOCK_COLUMNS) | found
+    kind = member(raw, ("type",))
+    found: dict = dict.fromkeys(_BLOCK_COLUMNS)
+    if isinstance(kind, str) and kind in _BLOCK_STEPS:
+        found["kind"] = kind
+        for c, path, read in _BLOCK_STEPS[kind]:
+            found[c] = read(member(raw, path))
+        return found
+    return found | {"kind": "other", "chars": json_length(raw), "type": text("?")(kind) if isinstance(raw, (dict, list)) else "malformed"}
 
 
 def blocks_of(content: object) -> list[dict]:
@@ -180,6 +200,8 @@ LINE_FIELDS: dict[str, tuple] = {
     "attachment": (("attachment_type", "attachment.type", text("?")), ("chars", "attachment", lambda v: json_length(v if isinstance(v, dict) else {}))),
     "system": (("subtype", "subtype", text("?")), ("duration_ms", "durationMs", optional_whole)),
 }
+_LINE_STEPS = {kind: steps(LINE_FIELDS[""] + (fields if kind else ())) for kind, fields in LINE_FIELDS.items()}
+_TYPE = text("(untyped)")
 
 
 def decoded(raw: str) -> object:
@@ -208,10 +230,10 @@ def record_of(value: object) -> dict:
     out: dict = dict.fromkeys(_COLUMNS)
     if not isinstance(value, (dict, list)):
         return out | {"kind": "unknown", "type": "(not an object)"}
-    kind = text("(untyped)")(member(value, "type"))
-    fields = LINE_FIELDS[""] + (LINE_FIELDS[kind] if kind else ()) if kind in LINE_FIELDS else LINE_FIELDS[""]
-    out |= {"type": kind, "kind": kind if kind and kind in LINE_FIELDS else "meta" if kind in META_TYPES else "unknown"}
-    out |= {c: read(member(value, path)) for c, path, read in fields}
+    kind = _TYPE(member(value, ("type",)))
+    out["type"], out["kind"] = kind, kind if kind and kind in LINE_FIELDS else "meta" if kind in META_TYPES else "unknown"
+    for c, path, read in _LINE_STEPS.get(kind, _LINE_STEPS[""]):
+        out[c] = read(member(value, path))
     if kind == "assistant":
         out["request_id"] = out["request_id"] or out.pop("message_id") or out["uuid"]
         out.pop("message_id", None)
@@ -549,19 +571,21 @@ def parse_lines(lines: DataFrame, in_jvm: bool = False) -> DataFrame:
     every line.
     """
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [parse_line(f.value) | {"session_id": f.session_id, "conv_id": f.conv_id, "project": f.project, "line_no": f.line_no} for f in batch.itertuples(index=False)]
-            # Column by column: a mixed column of numbers and nulls would pass through floating point.
-            kinds = dict.fromkeys(_NUMBERS, "Int64")
-            yield pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=kinds.get(c, "object")) for c in _COLUMNS})
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = _arrow_types()
+        # Few records at a time: what is gone before the garbage collector looks costs it nothing.
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            rows = [parse_line(value) for value in batch.column("value").to_pylist()]
+            given = {c: batch.column(c) for c in ("session_id", "conv_id", "project", "line_no")}
+            # Column by column with its type: records become columns without passing through pandas.
+            yield pa.RecordBatch.from_arrays([given[c].cast(of) if c in given else pa.array([r[c] for r in rows], of) for c, of in types.items()], list(types))
 
     filled = lines.select("session_id", "conv_id", "project", "line_no", "value").filter(F.col("value").rlike(r"(?U)\S"))
     if not in_jvm:
-        return filled.mapInPandas(parse, RECORD)
+        return filled.mapInArrow(parse, RECORD)
     rows = _decoded(filled)
     plain = _records(rows.filter(~F.col("odd")))
-    odd = rows.filter("odd").select("session_id", "conv_id", "project", "line_no", "value").mapInPandas(parse, RECORD)
+    odd = rows.filter("odd").select("session_id", "conv_id", "project", "line_no", "value").mapInArrow(parse, RECORD)
     return plain.unionByName(odd).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in odd.schema.fields])
 
 

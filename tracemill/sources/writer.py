@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.storage import stored
@@ -42,10 +42,14 @@ def write_files(lines: DataFrame, root: str) -> None:
     dealt.mapInPandas(write, "files long").agg({"files": "sum"}).collect()
 
 
-def pack_files(lines: DataFrame) -> Packed:
-    """The corpus that ``write_files`` writes, as stored tables: very many small files would take longer to list and to open than to read."""
-    numbered = lines.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("place")) - 1).cast("long").alias("line_no"), "value")
-    held = stored(numbered.select(*path_columns(F.col("path")), "path", "line_no", "value"), "lines")
-    size = F.sum(F.octet_length("value") + 1).alias("bytes")
-    files = held.groupBy("project", "session_id", "conv_id", "half", "path").agg(size).withColumn("mtime", F.current_timestamp())
-    return Packed(stored(files, "packed-files"), held)
+def pack_files(lines: DataFrame, value: Column | None = None) -> Packed:
+    """The corpus that ``write_files`` writes, as stored tables: very many small files would take longer to list and to open than to read.
+
+    With ``value`` rows are dealt and put in order as they are, and the text of each is made of its columns
+    afterwards, so that short rows travel in place of long lines.
+    """
+    numbered = lines.withColumn("line_no", (F.row_number().over(Window.partitionBy("path").orderBy("place")) - 1).cast("long"))
+    texts = numbered.select(*path_columns(F.col("path")), "path", "line_no", (F.col("value") if value is None else value).alias("value"))
+    held = stored(texts.withColumn("bytes", (F.octet_length("value") + 1).cast("long")), "lines")
+    files = held.groupBy("project", "session_id", "conv_id", "half", "path").agg(F.sum("bytes").alias("bytes")).withColumn("mtime", F.current_timestamp())
+    return Packed(stored(files, "packed-files"), held.drop("bytes"))
