@@ -150,3 +150,9 @@ def test_tsv(spark, tmp_path):
     sinks.write_tsv(df, str(tmp_path / "out"), ["x", "y", "z"])
     text = max((p.read_text() for p in (tmp_path / "out").glob("part-*")), key=len)
     assert text.splitlines()[0] == "x\ty\tz" and len(text.splitlines()) == 2
+
+
+def test_spans_are_written_once_for_both_domains(rolled, named):
+    """No span is multiplied by domain before it is gathered, and what is gathered is not dealt again for the session's card."""
+    plan = sinks.export_requests(rolled, named)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("collect_list") == 1

@@ -285,6 +285,10 @@ class Analysis:
     def spans(self) -> DataFrame:
         return stored(spans_of(self.calls, self.tools, self.turns, self.forest, self.labels), "spans")
 
+    @functools.cached_property
+    def rolled(self) -> DataFrame:
+        return stored(rolled_up(self.spans), "rolled")
+
 
 def analyze(spark: SparkSession, root: str | transcripts.Packed, picked: DataFrame | None = None) -> Analysis:
     """All tables of the corpus below ``root``, or of its ``picked`` sessions (see ``transcripts.in_scope``); records are parsed once and stored."""

@@ -94,13 +94,13 @@ GROUPABLE = {
 UNITS = {"time": "one millisecond is one millisecond of real time", "tokens": "one millisecond is one input-equivalent token"}
 
 
-def span_attributes() -> Column:
+def span_attributes() -> list[tuple[str, Column, bool]]:
     """What a span says: of its place and its subtree, of its lineage, and of its own kind."""
     name = F.create_map(*[F.lit(x) for pair in SPAN_NAMES.items() for x in pair])[F.col("kind")]
     spent = T.half_up((20 * F.col("all_input") + 25 * F.col("all_cache_creation") + 2 * F.col("all_cache_read") + 20 * F.col("all_output")) / 20).cast("long")
     d, call = (lambda c: F.col(f"detail.{c}")), F.col("kind") == "call"
     of_call = lambda c: F.when(call, F.col(c))
-    return _attributes([
+    return [
         ("span.type", name, False), (GROUPABLE["kind"], F.col("kind"), False), (GROUPABLE["depth"], T.depth_of("lineage"), True), (GROUPABLE["lineage"], T.lineage_path("lineage"), False),
         ("tracemill.rollup.input_tokens", F.col("all_input"), True), ("tracemill.rollup.output_tokens", F.col("all_output"), True), ("tracemill.rollup.cache_read_tokens", F.col("all_cache_read"), True),
         ("tracemill.rollup.cache_creation_tokens", F.col("all_cache_creation"), True), ("tracemill.rollup.tok_eq", spent, True), ("tracemill.call_first", F.col("call_first"), True), ("tracemill.call_last", F.col("call_last"), True),
@@ -111,7 +111,23 @@ def span_attributes() -> Column:
         (GROUPABLE["activity"], d("activity"), False), (GROUPABLE["tier"], d("tier"), False), ("tracemill.activity.because", d("because"), False),
         (GROUPABLE["tool"], d("tool"), False), ("tracemill.tool.target", d("target"), False), ("tracemill.tool.result_chars", d("result_chars"), True),
         (GROUPABLE["subagent_type"], d("agent_type"), False), ("tracemill.subagent.description", d("description"), False),
-    ])
+    ]
+
+
+def _attribute_text(key: str, value: Column, number: bool) -> Column:
+    """An export attribute as JSON, null for a null value."""
+    if number:
+        return F.concat(F.lit(f'{{"key":"{key}","value":{{"intValue":"'), value.cast("string"), F.lit('"}}'))
+    return F.when(value.isNotNull(), F.concat(F.lit(f'{{"key":"{key}","value":'), F.to_json(F.struct(value.cast("string").alias("stringValue"))), F.lit("}")))
+
+
+def _laid(spans: DataFrame) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
+    """Spans laid out, and from when to when each lies in both domains."""
+    spent = spans.withColumn("own_tokens", own_tokens()).withColumn("_t", F.when(F.col("by_time"), F.coalesce("first_ts", F.lit(0))).otherwise(0))
+    laid = tree.token_layout(spent, "span_id", "parent_id", "own_tokens", ["_t", "rank"], ["session_id"]).drop("_t", "own_tokens", "width")
+    roots = spans.filter("parent_id is null").select("session_id", F.coalesce("first_ts", F.lit(0)).alias("_anchor"))
+    domains = {"time": (F.coalesce("first_ts", F.lit(0)), F.coalesce("last_ts", F.lit(0))), "tokens": (F.col("_anchor") + F.col("start"), F.col("_anchor") + F.col("end"))}
+    return laid.join(roots, "session_id"), domains
 
 
 def placed_in_domains(spans: DataFrame) -> DataFrame:
@@ -120,44 +136,44 @@ def placed_in_domains(spans: DataFrame) -> DataFrame:
     In time a span lies where it was; in tokens the session begins where it began and every
     token is as wide as a millisecond: children end to end, what a span spends itself after them.
     """
-    spent = spans.withColumn("own_tokens", own_tokens()).withColumn("_t", F.when(F.col("by_time"), F.coalesce("first_ts", F.lit(0))).otherwise(0))
-    laid = tree.token_layout(spent, "span_id", "parent_id", "own_tokens", ["_t", "rank"], ["session_id"]).drop("_t", "own_tokens", "width")
-    roots = spans.filter("parent_id is null").select("session_id", F.coalesce("first_ts", F.lit(0)).alias("_anchor"))
-    both = F.array(
-        F.struct(F.lit("time").alias("domain"), F.coalesce("first_ts", F.lit(0)).alias("from_ms"), F.coalesce("last_ts", F.lit(0)).alias("to_ms")),
-        F.struct(F.lit("tokens").alias("domain"), (F.col("_anchor") + F.col("start")).alias("from_ms"), (F.col("_anchor") + F.col("end")).alias("to_ms")),
-    )
-    return laid.join(roots, "session_id").withColumn("_d", F.explode(both)).select("*", "_d.*").drop("_d", "_anchor", "start", "end")
+    laid, domains = _laid(spans)
+    both = F.array(*[F.struct(F.lit(d).alias("domain"), of.alias("from_ms"), to.alias("to_ms")) for d, (of, to) in domains.items()])
+    return laid.withColumn("_d", F.explode(both)).select("*", "_d.*").drop("_d", "_anchor", "start", "end")
 
 
 def export_requests(spans: DataFrame, sessions: DataFrame) -> DataFrame:
     """``session_id``, ``project``, ``traces`` (domain, trace_id, spans) and ``request``: one OTLP/JSON request for each session with both domains.
 
     ``spans`` are rolled-up spans, ``sessions`` has ``session_id``, ``project``, ``path`` and ``notes``.  Ids are digests
-    of what they name, so a session that has grown replaces its earlier export.
+    of what they name, so a session that has grown replaces its earlier export.  What a span says is
+    written once, before spans are gathered by session, and serves both domains.
     """
-    service = F.create_map(*[F.lit(x) for pair in SERVICES.items() for x in pair])[F.col("domain")]
-    unit = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])[F.col("domain")]
-    trace = T.trace_id(service, F.col("session_id"))
-    nanos = lambda c: (F.col(c).cast("decimal(20,0)") * 1_000_000).cast("decimal(26,0)").cast("string")
+    nanos = lambda c: (c.cast("decimal(20,0)") * 1_000_000).cast("decimal(26,0)").cast("string")
     name = F.create_map(*[F.lit(x) for pair in SPAN_NAMES.items() for x in pair])[F.col("kind")]
-    span = F.struct(
-        trace.alias("traceId"), T.span_id(service, F.col("session_id"), F.col("span_id")).alias("spanId"),
-        F.when(F.col("parent_id").isNotNull(), T.span_id(service, F.col("session_id"), F.col("parent_id"))).alias("parentSpanId"),  # null, and so absent, at the root
-        name.alias("name"), F.lit(1).alias("kind"), nanos("from_ms").alias("startTimeUnixNano"), nanos("to_ms").alias("endTimeUnixNano"), span_attributes().alias("attributes"),
-    )
-    placed = placed_in_domains(spans)
-    grouped = placed.groupBy("session_id", "domain").agg(F.first(trace).alias("trace_id"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct(F.col("span_id"), span.alias("s")))).alias("spans"))
+    member = lambda key, value: F.concat(F.lit(f',"{key}":"'), value, F.lit('"'))
+    laid, domains = _laid(spans)
+    heads = []
+    for d, (of, to) in domains.items():
+        span_id = lambda c: T.span_id(F.lit(SERVICES[d]), F.col("session_id"), F.col(c))  # noqa: E731, B023
+        up = F.when(F.col("parent_id").isNotNull(), member("parentSpanId", span_id("parent_id"))).otherwise("")  # absent at the root
+        trace = T.trace_id(F.lit(SERVICES[d]), F.col("session_id"))
+        head = F.concat(F.lit('{"traceId":"'), trace, F.lit('"'), member("spanId", span_id("span_id")), up, member("name", name), F.lit(',"kind":1'), member("startTimeUnixNano", nanos(of)), member("endTimeUnixNano", nanos(to)), F.lit(',"attributes":['))
+        heads.append(head.alias(d))
+    said = F.concat(F.concat_ws(",", *[_attribute_text(*a) for a in span_attributes()]), F.lit("]}"))
+    grouped = laid.select("session_id", F.struct("span_id", *heads, said.alias("said")).alias("s")).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("s")).alias("spans"))
     noted = F.transform("notes", lambda n, i: F.struct(F.concat(F.lit("tracemill.note."), i.cast("string")).alias("key"), F.struct(n.alias("stringValue"), F.lit(None).cast("string").alias("intValue")).alias("value")))
-    about = _attributes([
-        ("service.name", service, False), ("service.version", F.lit(SCHEMA), False), ("tracemill.axis", unit, False), (GROUPABLE["session"], F.col("session_id"), False), (GROUPABLE["project"], F.col("project"), False),
-        ("tracemill.transcript", F.col("path"), False), ("tracemill.notes", F.size("notes"), True),
-    ])
-    scope = F.struct(F.struct(F.lit("tracemill").alias("name"), F.lit(SCHEMA).alias("version")).alias("scope"), F.transform("spans", lambda x: x["s"]).alias("spans"))
-    resource = F.struct(F.struct(F.concat(about, noted).alias("attributes")).alias("resource"), F.array(scope).alias("scopeSpans"))
-    parts = grouped.join(sessions.select("session_id", "project", "path", "notes"), "session_id").select("session_id", "project", F.struct("domain", "trace_id", F.col("n").alias("spans")).alias("t"), F.struct("domain", resource.alias("r")).alias("p"))
-    whole = parts.groupBy("session_id", "project").agg(F.array_sort(F.collect_list("t")).alias("traces"), F.sort_array(F.collect_list("p")).alias("p"))
-    return whole.select("session_id", "project", "traces", F.to_json(F.struct(F.transform("p", lambda x: x["r"]).alias("resourceSpans"))).alias("request"))
+    traces, parts = [], []
+    for d in SERVICES:
+        about = _attributes([
+            ("service.name", F.lit(SERVICES[d]), False), ("service.version", F.lit(SCHEMA), False), ("tracemill.axis", F.lit(UNITS[d]), False), (GROUPABLE["session"], F.col("session_id"), False), (GROUPABLE["project"], F.col("project"), False),
+            ("tracemill.transcript", F.col("path"), False), ("tracemill.notes", F.size("notes"), True),
+        ])
+        traces.append(F.struct(F.lit(d).alias("domain"), T.trace_id(F.lit(SERVICES[d]), F.col("session_id")).alias("trace_id"), F.col("n").alias("spans")))
+        written = F.array_join(F.transform("spans", lambda x: F.concat(x[d], x["said"])), ",")  # noqa: B023
+        scope = F.to_json(F.struct(F.lit("tracemill").alias("name"), F.lit(SCHEMA).alias("version")))
+        parts.append(F.concat(F.lit('{"resource":'), F.to_json(F.struct(F.concat(about, noted).alias("attributes"))), F.lit(',"scopeSpans":[{"scope":'), scope, F.lit(',"spans":['), written, F.lit("]}]}")))
+    request = F.concat(F.lit('{"resourceSpans":['), F.concat_ws(",", *parts), F.lit("]}"))
+    return grouped.join(sessions.select("session_id", "project", "path", "notes"), "session_id").select("session_id", "project", F.array(*traces).alias("traces"), request.alias("request"))
 
 
 def collector_said(body: str) -> tuple[str, str]:
