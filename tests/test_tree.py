@@ -144,3 +144,13 @@ def test_rollup_is_quick(spark):
     began = time.time()
     tree.rollup(nodes, "id", "parent", measures()).count()
     assert time.time() - began < 30
+
+
+def test_tables_of_nodes_are_not_broadcast(spark):
+    """What passes through the driver does not grow with the nodes: only rounds of few rows are sent to all tasks."""
+    nodes = forest(spark, {i: i // 3 if i else None for i in range(50)})
+    plan = tree.token_layout(nodes, "id", "parent", "own", ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    big, small = nodes.hint("merge"), tree._sized(nodes, tree.FEW)
+    for rows, kind in ((tree._sized(nodes, tree.FEW + 1), "merge"), (small, "broadcast")):
+        assert f"strategy={kind}" in (rows._jdf.queryExecution().logical().toString() + rows.join(big, "id")._jdf.queryExecution().analyzed().toString()).lower()

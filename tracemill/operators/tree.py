@@ -17,7 +17,7 @@ class Circle(ValueError):
 
 def _first_jumps(nodes: DataFrame, node: str, parent: str, scope: Sequence[str]) -> DataFrame:
     ids = nodes.select(*scope, F.col(node).alias("_up"))
-    return nodes.select(*scope, node, F.col(parent).alias("_up")).filter(F.col("_up").isNotNull()).join(ids, [*scope, "_up"], "left_semi")
+    return nodes.select(*scope, node, F.col(parent).alias("_up")).filter(F.col("_up").isNotNull()).join(ids.hint("merge"), [*scope, "_up"], "left_semi")
 
 
 def _jumps(nodes: DataFrame, node: str, parent: str, scope: Sequence[str]) -> Iterator[DataFrame]:
@@ -37,7 +37,7 @@ def _jumps(nodes: DataFrame, node: str, parent: str, scope: Sequence[str]) -> It
         left = n
         yield now
         above = now.select(*scope, F.col(node).alias("_up"), F.col("_up").alias("_top"))
-        now = now.join(above, [*scope, "_up"]).select(*scope, node, F.col("_top").alias("_up"))
+        now = _sized(now, n).join(above, [*scope, "_up"]).select(*scope, node, F.col("_top").alias("_up"))
 
 
 def ancestors(nodes: DataFrame, node: str, parent: str, scope: Sequence[str] = ()) -> DataFrame:
@@ -56,57 +56,77 @@ def ancestors(nodes: DataFrame, node: str, parent: str, scope: Sequence[str] = (
     return stored(found, "ancestors")
 
 
-#: Rounds whose sums are left to one plan before they are stored.
-ROUNDS_A_PLAN = 5
+#: Rows of a round up to which its table is sent to all tasks; larger ones are shuffled, so that what passes through the driver is bounded.
+FEW = 20_000
+
+
+def _sized(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, of which there are ``n``, for a join whose kind depends on that number alone."""
+    return F.broadcast(rows) if n <= FEW else rows.hint("merge")
+
+
+def _placed(nodes: DataFrame, node: str, parent: str, scope: Sequence[str]) -> DataFrame:
+    """Add ``_up``: the parent, or null where it is no node."""
+    ids = nodes.select(*scope, F.col(node).alias(parent), F.col(node).alias("_up"))
+    return nodes.join(ids.hint("merge"), [*scope, parent], "left")
 
 
 def rollup(nodes: DataFrame, node: str, parent: str, measures: Sequence[tuple[str, str, Column]], scope: Sequence[str] = ()) -> DataFrame:
     """Aggregates over each node's subtree: ``node`` and one column for each measure (name, ``sum``, ``min`` or ``max``, value).
 
     A condition inside a value makes it a partial rollup of the same pass.  After
-    round k a node holds what its descendants nearer than 2**k steps hold; each
-    then hands its figure on to the ancestor 2**k steps above.  So a round has
-    two rows a node and the rounds grow with the logarithm of the depth; there is no
+    round k a node has received what its descendants nearer than 2**k steps hold; in the next each hands
+    its own and all it has received on to the ancestor 2**k steps above.  So a round has
+    a row for each node with an ancestor that far up, and the rounds grow with the logarithm of the depth; there is no
     table of nodes and ancestors.  What a node receives is aggregated before the
     shuffle, so a node with very many children is no burden to one task.  Node
     ids are unique within ``scope``; a cycle raises ``Circle``.
     """
     merge = {"sum": F.sum, "min": F.min, "max": F.max}
-    state = nodes.select(*scope, node, *[value.alias(name) for name, _, value in measures])
-    for k, jumps in enumerate(_jumps(nodes, node, parent, scope), 1):
-        to = F.when(F.col("_up").isNull(), F.array(node)).otherwise(F.array(node, "_up"))
-        sent = state.join(jumps, [*scope, node], "left").select(*scope, F.explode(to).alias(node), *[name for name, _, _ in measures])
-        state = sent.groupBy(*scope, node).agg(*[merge[kind](name).alias(name) for name, kind, _ in measures])
-        if k % ROUNDS_A_PLAN == 0:
-            state = stored(state, "subtrees")
-    return state
-
-
-def climb(nodes: DataFrame, node: str, parent: str, sums: Sequence[tuple[str, Column]] = (), scope: Sequence[str] = ()) -> DataFrame:
+    sums = [merge[kind](name).alias(name) for name, kind, _ in measures]
+    names = [name for name, _, _ in measures]
+    held = nodes.select(*scope, node, *[value.alias(name) for name, _, value in measures])
+    # What nodes have and what they have received need not be put together between the rounds.
+    all_held = held.withColumn("_is", F.lit(True))
+    for k, jumps in enumerate(_jumps(nodes, node, parent, scope)):
+        if k:
+            sent = all_held.drop("_is").join(_sized(jumps, jumps.count()), [*scope, node]).drop(node)
+        else:  # parents that are no nodes fall out at the end
+            sent = nodes.filter(F.col(parent).isNotNull()).select(*scope, F.col(parent).alias("_up"), *[value.alias(name) for name, _, value in measures])
+        got = stored(sent.groupBy(*scope, F.col("_up").alias(node)).agg(*sums), "received")
+        all_held = all_held.unionByName(got.withColumn("_is", F.lit(None).cast("boolean")))
+    out = all_held.groupBy(*scope, node).agg(*sums, F.max("_is").alias("_is"))
+    return out.filter("_is").select(*scope, node, *names)
+
+
+def climb(nodes: DataFrame, node: str, parent: str, sums: Sequence[tuple[str, Column]] = (), scope: Sequence[str] = (), kept: Sequence[str] = ()) -> DataFrame:
     """``node``, ``top`` (the root above it, or itself), ``depth`` and, for each (name, value), the sum over the node and all above it.
 
-    Pointers double, so the rounds grow with the logarithm of the depth and each has a
-    row a node.  A parent that is no node ends the chain; a cycle raises ``Circle``.
+    Pointers double, so the rounds grow with the logarithm of the depth, and a round has a
+    row for each node whose chain goes on.  A parent that is no node ends the chain; a cycle raises ``Circle``.
+    Columns in ``kept`` stay as they are.
     """
-    up = _first_jumps(nodes, node, parent, scope)
-    state = nodes.select(*scope, node, *[value.alias(name) for name, value in sums]).join(up, [*scope, node], "left")
-    state = state.withColumn("top", F.coalesce("_up", node)).withColumn("depth", F.when(F.col("_up").isNull(), 0).otherwise(1).cast("long"))
-    left = None
+    names = [name for name, _ in sums]
+    placed = _placed(nodes.select(*scope, node, parent, *kept, *[value.alias(name) for name, value in sums]), node, parent, scope)
+    first = placed.select(*scope, node, *kept, *names, "_up", F.coalesce("_up", node).alias("top"), F.when(F.col("_up").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    state, ended, left = stored(first, "chains"), None, None
     while True:
-        state = stored(state, "chains")
-        n = state.filter("_up is not null").count()
+        going = state.filter("_up is not null")
+        n = going.count()
+        every = state if ended is None else ended.unionByName(state)
         if not n:
-            return state.drop("_up")
+            return every.drop("_up")
         if n == left:
             raise Circle(f"chains of {parent} above {node} go round in a circle")
         left = n
-        names = [name for name, _ in sums]
-        above = state.select(*scope, F.col(node).alias("_up"), F.col("_up").alias("_next"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), *[F.col(c).alias(f"_{c}") for c in names])
-        both = state.join(above, [*scope, "_up"], "left")
-        state = both.select(
-            *scope, node, *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in names],
-            F.col("_next").alias("_up"), F.coalesce("_top", "top").alias("top"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-        )
+        above = every.select(*scope, F.col(node).alias("_up"), F.col("_up").alias("_next"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), *[F.col(c).alias(f"_{c}") for c in names])
+        done = state.filter("_up is null")
+        ended = done if ended is None else ended.unionByName(done)
+        both = _sized(going, n).join(above, [*scope, "_up"])
+        further = both.select(
+            *scope, node, *kept, *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in names], F.col("_next").alias("_up"), F.col("_top").alias("top"), (F.col("depth") + F.col("_depth")).alias("depth")
+        )
+        state = stored(further, "chains")
 
 
 def orphans(nodes: DataFrame, node: str, parent: str, scope: Sequence[str] = ()) -> DataFrame:
@@ -116,12 +136,14 @@ def orphans(nodes: DataFrame, node: str, parent: str, scope: Sequence[str] = ())
     return lost.withColumn("why", F.concat(F.lit("parent "), F.col(parent).cast("string"), F.lit(" not found")))
 
 
+def _offsets(placed: DataFrame, node: str, width: str, order: Sequence[Column | str], scope: Sequence[str]) -> DataFrame:
+    below = running_sum(placed.filter("_up is not null"), F.col(width), [*order, node], [*scope, "_up"], "offset")
+    return below.unionByName(placed.filter("_up is null").withColumn("offset", F.lit(0).cast("long")))
+
+
 def sibling_offsets(nodes: DataFrame, node: str, parent: str, width: str, order: Sequence[Column | str], scope: Sequence[str] = ()) -> DataFrame:
     """Add ``offset``: the widths of the siblings before each node; 0 for a node without a parent among the nodes."""
-    known = _first_jumps(nodes, node, parent, scope)
-    placed = stored(nodes.join(known, [*scope, node], "left"), "siblings")
-    below = running_sum(placed.filter("_up is not null"), F.col(width), [*order, node], [*scope, "_up"], "offset")
-    return below.unionByName(placed.filter("_up is null").withColumn("offset", F.lit(0).cast("long"))).drop("_up")
+    return _offsets(stored(_placed(nodes, node, parent, scope).select(*nodes.columns, "_up"), "siblings"), node, width, order, scope).drop("_up")
 
 
 def token_layout(nodes: DataFrame, node: str, parent: str, own: str, order: Sequence[Column | str], scope: Sequence[str] = ()) -> DataFrame:
@@ -130,14 +152,20 @@ def token_layout(nodes: DataFrame, node: str, parent: str, own: str, order: Sequ
     A node is as wide as its own tokens and its children's, a leaf at least one; children
     lie end to end in ``order`` (ties by id), the node's own after them.  A node starts
     where the offsets among siblings of itself and of all above it add up to.  With
-    ``own`` 1 everywhere ``end`` is the node's number in post-order.
+    ``own`` 1 everywhere ``end`` is the node's number in post-order.  Where ``order`` consists of
+    names no other columns travel through the rounds.
     """
-    inner = _first_jumps(nodes, node, parent, scope).select(*scope, F.col("_up").alias(node)).distinct().withColumn("_inner", F.lit(True))
-    wide = nodes.join(inner, [*scope, node], "left").withColumn("_w", F.when(F.col("_inner"), F.col(own)).otherwise(F.greatest(F.col(own), F.lit(1))).cast("long")).drop("_inner")
-    widths = rollup(wide, node, parent, [("width", "sum", F.col("_w"))], scope)
-    laid = stored(sibling_offsets(wide.drop("_w").join(widths, [*scope, node]), node, parent, "width", order, scope), "laid")
-    starts = climb(laid, node, parent, [("start", F.col("offset"))], scope).select(*scope, node, "start")
-    return laid.drop("offset").join(starts, [*scope, node]).withColumn("end", F.col("start") + F.col("width"))
+    names = all(isinstance(o, str) for o in order)
+    short = nodes.select(*dict.fromkeys([*scope, node, parent, own, *order])) if names else nodes
+    placed = _placed(short, node, parent, scope)
+    inner = placed.filter("_up is not null").select(*scope, F.col("_up").alias(node)).distinct().withColumn("_inner", F.lit(True))
+    wide = placed.join(inner.hint("merge"), [*scope, node], "left").withColumn("_w", F.when(F.col("_inner"), F.col(own)).otherwise(F.greatest(F.col(own), F.lit(1))).cast("long")).drop("_inner")
+    wide = stored(wide, "wide")
+    widths = rollup(wide.select(*scope, node, F.col("_up").alias("_parent"), "_w"), node, "_parent", [("width", "sum", F.col("_w"))], scope)
+    sized = stored(wide.drop("_w").join(widths.hint("merge"), [*scope, node]), "sized")
+    laid = stored(_offsets(sized, node, "width", order, scope).select(*scope, node, F.col("_up").alias("_parent"), "width", "offset"), "laid")
+    starts = climb(laid, node, "_parent", [("start", F.col("offset"))], scope, ["width"]).select(*scope, node, "width", "start")
+    return nodes.join(starts.hint("merge"), [*scope, node]).withColumn("end", F.col("start") + F.col("width"))
 
 
 HOP = "array<struct<agent_id:string,agent_type:string,spawned_at_call:int,via:string>>"
