@@ -204,18 +204,23 @@ _LINE_STEPS = {kind: steps(LINE_FIELDS[""] + (fields if kind else ())) for kind,
 _TYPE = text("(untyped)")
 
 
-def decoded(raw: str) -> object:
-    """The JSON value of a line; ValueError or RecursionError if there is none."""
+def _constant(name: str) -> None:
+    raise ValueError(name)
+
 
-    def constant(name: str) -> None:
-        raise ValueError(name)
+#: Made once: a decoder costs more than reading a line of usual length.
+_read = json.JSONDecoder(parse_constant=_constant).decode
+_read_long = json.JSONDecoder(parse_constant=_constant, parse_int=float).decode
 
+
+def decoded(raw: str) -> object:
+    """The JSON value of a line; ValueError or RecursionError if there is none."""
     try:
-        return json.loads(raw, parse_constant=constant)
+        return _read(raw)
     except json.JSONDecodeError:
         raise
     except ValueError:  # a whole number of thousands of digits
-        return json.loads(raw, parse_constant=constant, parse_int=float)
+        return _read_long(raw)
 
 
 def parse_line(raw: str) -> dict:
