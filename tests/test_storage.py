@@ -17,3 +17,25 @@ def test_tables_lie_in_the_named_folder_and_can_be_deleted(spark, tmp_path, monk
     assert not storage.discard(spark)
     with pytest.raises(Exception, match="not exist"):
         rows.collect()
+
+
+def test_wide_rows_are_written_without_methods_that_stay_interpreted(spark, monkeypatch):
+    """While a wide table is written Spark's limit on methods is what HotSpot compiles; the caller's setting comes back, also after an error."""
+    from pyspark.sql import DataFrameWriter
+
+    name, seen, write = "spark.sql.codegen.hugeMethodLimit", [], DataFrameWriter.parquet
+
+    def watched(self, path):
+        seen.append(int(spark.conf.get(name)))
+        if "fails" in path:
+            raise OSError("full")
+        return write(self, path)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    before = spark.conf.get(name)
+    assert storage.stored(spark.range(3), "wide", wide=True).count() == 3 and spark.conf.get(name) == before
+    with pytest.raises(OSError):
+        storage.stored(spark.range(3), "fails", wide=True)
+    assert spark.conf.get(name) == before
+    storage.stored(spark.range(3), "narrow")
+    assert seen == [storage.COMPILED_METHOD, storage.COMPILED_METHOD, int(before)]

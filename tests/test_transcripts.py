@@ -180,3 +180,22 @@ def test_only_picked_files_are_read(spark, corpus):
     assert transcripts.read_spawn_meta(spark, corpus, paths).count() == 2
     none = {"own": [], "agents": [], "metas": []}
     assert transcripts.read_lines(spark, corpus, none).count() == transcripts.read_spawn_meta(spark, corpus, none).count() == 0
+
+
+def test_columns_of_lines_are_those_of_their_records():
+    """Lines are read into columns; blocks of unread kinds, of a line that fails midway and of none keep their places."""
+    make = Lines(11, True)
+    for raw in [make.line() for _ in range(800)] + ODD:
+        read, record = transcripts.columns_of(raw), transcripts.parse_line(raw)
+        assert len(read) == len(transcripts._READ_COLUMNS) and list(record) == transcripts._COLUMNS
+        blocks = read[transcripts._BLOCKS]
+        assert (blocks is None) == (record["blocks"] is None)
+        assert [tuple(b) for b in blocks or []] == [tuple(b.values()) for b in record["blocks"] or []]
+        assert {c: v for c, v in zip(transcripts._COLUMNS, read) if c != "blocks"} == {c: v for c, v in record.items() if c != "blocks"}
+
+
+def test_lengths_are_those_of_compact_json():
+    make = Lines(12, False)
+    for v in [make.value() for _ in range(2000)] + [True, False, 10**30, {"a": [None, True, {"b": False}]}, {"k\n é": '"\\'}]:
+        text = json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+        assert transcripts.json_length(v) == (0 if v is None else transcripts.utf16(v if isinstance(v, str) else text))

@@ -230,7 +230,7 @@ class Analysis:
 
     @functools.cached_property
     def records(self) -> DataFrame:
-        return stored(transcripts.parse_lines(transcripts.read_lines(self._spark, self._source, self._paths)), "records")
+        return stored(transcripts.parse_lines(transcripts.read_lines(self._spark, self._source, self._paths)), "records", wide=True)
 
     @functools.cached_property
     def metas(self) -> DataFrame:
@@ -238,19 +238,19 @@ class Analysis:
 
     @functools.cached_property
     def _seen(self) -> DataFrame:
-        return stored(seen_of(self.records), "seen")
+        return stored(seen_of(self.records), "seen", wide=True)
 
     @functools.cached_property
     def calls(self) -> DataFrame:
-        return stored(calls_of(self.records), "calls")
+        return stored(calls_of(self.records), "calls", wide=True)
 
     @functools.cached_property
     def uses(self) -> DataFrame:
-        return stored(uses_of(self.records, self.calls), "uses")
+        return stored(uses_of(self.records, self.calls), "uses", wide=True)
 
     @functools.cached_property
     def results(self) -> DataFrame:
-        return stored(results_of(self.records), "results")
+        return stored(results_of(self.records), "results", wide=True)
 
     @functools.cached_property
     def forest(self) -> DataFrame:
@@ -263,19 +263,19 @@ class Analysis:
 
     @functools.cached_property
     def tools(self) -> DataFrame:
-        return stored(tools_of(self.uses, self.results), "tools")
+        return stored(tools_of(self.uses, self.results), "tools", wide=True)
 
     @functools.cached_property
     def turns(self) -> DataFrame:
-        return stored(turns_of(self._seen, self.calls), "turns")
+        return stored(turns_of(self._seen, self.calls), "turns", wide=True)
 
     @functools.cached_property
     def arrivals(self) -> DataFrame:
-        return stored(arrivals_of(self._seen, self.calls, self.uses, self.results), "arrivals")
+        return stored(arrivals_of(self._seen, self.calls, self.uses, self.results), "arrivals", wide=True)
 
     @functools.cached_property
     def labels(self) -> DataFrame:
-        return stored(labels_of(self.calls, self.forest), "labels")
+        return stored(labels_of(self.calls, self.forest), "labels", wide=True)
 
     @functools.cached_property
     def lost_results(self) -> DataFrame:
@@ -283,7 +283,7 @@ class Analysis:
 
     @functools.cached_property
     def spans(self) -> DataFrame:
-        return stored(spans_of(self.calls, self.tools, self.turns, self.forest, self.labels), "spans")
+        return stored(spans_of(self.calls, self.tools, self.turns, self.forest, self.labels), "spans", wide=True)
 
     @functools.cached_property
     def rolled(self) -> DataFrame:

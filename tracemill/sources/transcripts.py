@@ -8,6 +8,8 @@ import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
+from itertools import accumulate
+from json.encoder import encode_basestring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,9 +69,6 @@ def _number(x: float) -> str:
     return str(int(x)) if x == int(x) and abs(x) < 1e21 else repr(x)
 
 
-_quoted = json.JSONEncoder(ensure_ascii=False).encode
-
-
 def json_length(value: object) -> int:
     """Length in UTF-16 units of the compact JSON text; a string counts without quotes, nothing as 0."""
     if value is None:
@@ -78,29 +77,42 @@ def json_length(value: object) -> int:
         return utf16(value)
 
     def text(v: object) -> str:
+        if isinstance(v, str):
+            return encode_basestring(v)
         if isinstance(v, dict):
-            return "{" + ",".join([f"{_quoted(k)}:{text(x)}" for k, x in v.items()]) + "}"
+            return "{" + ",".join([f"{encode_basestring(k)}:{text(x)}" for k, x in v.items()]) + "}"
         if isinstance(v, list):
             return "[" + ",".join(map(text, v)) + "]"
         if isinstance(v, float):
             return _number(v)
-        return _quoted(v)
+        return "null" if v is None else "true" if v is True else "false" if v is False else str(v)
 
     return utf16(text(value))
 
 
-def member(value: object, path: Sequence[str]) -> object:
-    """What stands at a path of names of nested objects; None where a step is no object."""
-    for name in path:
-        if not isinstance(value, dict):
-            return None
-        value = value.get(name)
-    return value
+def steps(fields: tuple, columns: Sequence[str]) -> tuple:
+    """Fields (column, dotted path, reader) by the object that holds them: its path, and of each field its place among ``columns``, its name there and its reader."""
+    found: dict[tuple, list] = {}
+    for c, path, read in fields:
+        *above, name = path.split(".")
+        found.setdefault(tuple(above), []).append((columns.index(c), name, read))
+    return tuple((above, tuple(held)) for above, held in found.items())
+
+
+_NOTHING: dict = {}
 
 
-def steps(fields: tuple) -> tuple:
-    """Fields (column, dotted path, reader) with their paths as names."""
-    return tuple((c, tuple(path.split(".")), read) for c, path, read in fields)
+def read_members(value: dict, taken: tuple, out: list) -> None:
+    """Put what ``steps`` name into ``out``; a reader gets None where a step is no object or has no such member."""
+    for above, fields in taken:
+        holder = value
+        for name in above:
+            holder = holder.get(name)
+            if type(holder) is not dict:
+                holder = _NOTHING
+                break
+        for at, name, read in fields:
+            out[at] = read(holder.get(name))
 
 
 def text(default: str | None = "", limit: int | None = None) -> Callable[[object], str | None]:
@@ -109,15 +121,19 @@ def text(default: str | None = "", limit: int | None = None) -> Callable[[object
     def read(v: object) -> str | None:
         if not isinstance(v, str):
             return default
-        v = v[:limit]
+        if limit is not None:
+            v = v[:limit]
         return v if v.isascii() else v.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
     return read
 
 
+_text_or_none = text(None)
+
+
 def filled(v: object) -> str | None:
     """A string that is not empty."""
-    return text(None)(v) or None
+    return _text_or_none(v) or None
 
 
 def optional_whole(v: object) -> int | None:
@@ -140,11 +156,17 @@ def instant(v: object) -> int:
         return 0
 
 
+_capped = text(limit=INPUT_CAP)
+
+
 def tool_input(v: object) -> str:
     """The first telling member of a tool's input, else how large the input is."""
     given = v if isinstance(v, dict) else {}
-    said = (given[m] for m in INPUT_MEMBERS if isinstance(given.get(m), str) and given[m])
-    return text(limit=INPUT_CAP)(next(said, f"{json_length(given)} chars"))
+    for m in INPUT_MEMBERS:
+        said = given.get(m)
+        if said and isinstance(said, str):
+            return _capped(said)
+    return f"{json_length(given)} chars"
 
 
 def string_length(v: object) -> int:
@@ -155,30 +177,33 @@ def string_length(v: object) -> int:
 BLOCK_FIELDS: dict[str, tuple] = {
     "thinking": (("chars", "thinking", json_length),),
     "text": (("chars", "text", string_length), ("snippet", "text", text(limit=SNIPPET_LENGTH))),
-    "tool_use": (("chars", "input", json_length), ("input_chars", "input", json_length), ("input", "input", tool_input), ("id", "id", text()), ("name", "name", text("(unnamed)"))),
+    "tool_use": (("chars", "input", json_length), ("input", "input", tool_input), ("id", "id", text()), ("name", "name", text("(unnamed)"))),
     "tool_result": (("chars", "content", json_length), ("tool_use_id", "tool_use_id", text())),
 }
 _BLOCK_COLUMNS = ("kind", "chars", "snippet", "id", "name", "input_chars", "input", "tool_use_id", "type")
-_BLOCK_STEPS = {kind: steps(fields) for kind, fields in BLOCK_FIELDS.items()}
+_BLOCK_STEPS = {kind: steps(fields, _BLOCK_COLUMNS) for kind, fields in BLOCK_FIELDS.items()}
+_BLOCK_TYPE = text("?")
 
 
-def block_of(raw: object) -> dict:
-    """A content block; a kind that is not in the table is ``other`` with its name and size."""
-    kind = member(raw, ("type",))
-    found: dict = dict.fromkeys(_BLOCK_COLUMNS)
+def block_of(raw: object) -> list:
+    """The columns of a content block; a kind that is not in the table is ``other`` with its name and size."""
+    kind = raw.get("type") if isinstance(raw, dict) else None
+    out: list = [None] * 9
     if isinstance(kind, str) and kind in _BLOCK_STEPS:
-        found["kind"] = kind
-        for c, path, read in _BLOCK_STEPS[kind]:
-            found[c] = read(member(raw, path))
-        return found
-    return found | {"kind": "other", "chars": json_length(raw), "type": text("?")(kind) if isinstance(raw, (dict, list)) else "malformed"}
+        out[0] = kind
+        read_members(raw, _BLOCK_STEPS[kind], out)
+        if kind == "tool_use":
+            out[5] = out[1]  # its size as a block is that of its input
+        return out
+    out[0], out[1], out[8] = "other", json_length(raw), _BLOCK_TYPE(kind) if isinstance(raw, (dict, list)) else "malformed"
+    return out
 
 
-def blocks_of(content: object) -> list[dict]:
+def blocks_of(content: object) -> list[list]:
     return [block_of(b) for b in content] if isinstance(content, list) else []
 
 
-def said_blocks(content: object) -> list[dict]:
+def said_blocks(content: object) -> list[list]:
     """As ``blocks_of``; plain text is one block."""
     return blocks_of([{"type": "text", "text": content}] if isinstance(content, str) else content)
 
@@ -200,7 +225,12 @@ LINE_FIELDS: dict[str, tuple] = {
     "attachment": (("attachment_type", "attachment.type", text("?")), ("chars", "attachment", lambda v: json_length(v if isinstance(v, dict) else {}))),
     "system": (("subtype", "subtype", text("?")), ("duration_ms", "durationMs", optional_whole)),
 }
-_LINE_STEPS = {kind: steps(LINE_FIELDS[""] + (fields if kind else ())) for kind, fields in LINE_FIELDS.items()}
+#: The columns of a record, and behind them what only stands in for another.
+_READ_COLUMNS = (*_COLUMNS, "message_id")
+_LINE_STEPS = {kind: steps(LINE_FIELDS[""] + (fields if kind else ()), _READ_COLUMNS) for kind, fields in LINE_FIELDS.items()}
+_KIND, _TYPE_AT, _UUID, _REQUEST, _CREATION, _FLAT, _BLOCKS, _IS_RESULT, _SNIPPET = map(
+    _READ_COLUMNS.index, ("kind", "type", "uuid", "request_id", "cache_creation", "cc_flat", "blocks", "is_tool_result", "snippet")
+)
 _TYPE = text("(untyped)")
 
 
@@ -223,30 +253,41 @@ def decoded(raw: str) -> object:
         return _read_long(raw)
 
 
-def parse_line(raw: str) -> dict:
-    """The record of a line.  Every text maps to one; what is not JSON, or nested too deeply to read, is ``unparseable``."""
+def columns_of(raw: str) -> list:
+    """What ``_READ_COLUMNS`` name of a line, blocks as lists of their columns.  Every text has them; what is not JSON, or nested too deeply to read, is ``unparseable``."""
     try:
         return record_of(decoded(raw))
     except (ValueError, RecursionError):
-        return dict.fromkeys(_COLUMNS) | {"kind": "unparseable"}
+        out: list = [None] * len(_READ_COLUMNS)
+        out[_KIND] = "unparseable"
+        return out
+
+
+def parse_line(raw: str) -> dict:
+    """The record of a line by names (see ``columns_of``)."""
+    found = dict(zip(_COLUMNS, columns_of(raw)))
+    if found["blocks"] is not None:
+        found["blocks"] = [dict(zip(_BLOCK_COLUMNS, b)) for b in found["blocks"]]
+    return found
 
 
-def record_of(value: object) -> dict:
-    out: dict = dict.fromkeys(_COLUMNS)
+def record_of(value: object) -> list:
+    out: list = [None] * len(_READ_COLUMNS)
     if not isinstance(value, (dict, list)):
-        return out | {"kind": "unknown", "type": "(not an object)"}
-    kind = _TYPE(member(value, ("type",)))
-    out["type"], out["kind"] = kind, kind if kind and kind in LINE_FIELDS else "meta" if kind in META_TYPES else "unknown"
-    for c, path, read in _LINE_STEPS.get(kind, _LINE_STEPS[""]):
-        out[c] = read(member(value, path))
+        out[_KIND], out[_TYPE_AT] = "unknown", "(not an object)"
+        return out
+    held = value if isinstance(value, dict) else _NOTHING
+    kind = _TYPE(held.get("type"))
+    out[_TYPE_AT], out[_KIND] = kind, kind if kind and kind in LINE_FIELDS else "meta" if kind in META_TYPES else "unknown"
+    read_members(held, _LINE_STEPS.get(kind) or _LINE_STEPS[""], out)
     if kind == "assistant":
-        out["request_id"] = out["request_id"] or out.pop("message_id") or out["uuid"]
-        out.pop("message_id", None)
-        if out["cache_creation"] is None:  # tiers are what is costed; without them the flat figure is
-            out["cache_creation"], out["cc_flat"] = out["cc_flat"], None
+        out[_REQUEST] = out[_REQUEST] or out[-1] or out[_UUID]
+        if out[_CREATION] is None:  # tiers are what is costed; without them the flat figure is
+            out[_CREATION], out[_FLAT] = out[_FLAT], None
     elif kind == "user":
-        out["is_tool_result"] = any(b["kind"] == "tool_result" for b in out["blocks"])
-        out["snippet"] = next((b["snippet"] for b in out["blocks"] if b["kind"] == "text"), "")
+        blocks = out[_BLOCKS]
+        out[_IS_RESULT] = any([b[0] == "tool_result" for b in blocks])
+        out[_SNIPPET] = next((b[2] for b in blocks if b[0] == "text"), "")
     return out
 
 
@@ -578,12 +619,18 @@ def parse_lines(lines: DataFrame, in_jvm: bool = False) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = _arrow_types()
+        block = types["blocks"].value_type
         # Few records at a time: what is gone before the garbage collector looks costs it nothing.
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            rows = [parse_line(value) for value in batch.column("value").to_pylist()]
-            given = {c: batch.column(c) for c in ("session_id", "conv_id", "project", "line_no")}
-            # Column by column with its type: records become columns without passing through pandas.
-            yield pa.RecordBatch.from_arrays([given[c].cast(of) if c in given else pa.array([r[c] for r in rows], of) for c, of in types.items()], list(types))
+            found = dict(zip(_READ_COLUMNS, zip(*map(columns_of, batch.column("value").to_numpy(zero_copy_only=False)))))
+            # Column by column with its type, those of blocks as well: no record becomes an object of its own.
+            lists = found["blocks"]
+            flat = [b for some in lists if some for b in some]
+            parts = [pa.array(c, of.type) for c, of in zip(zip(*flat) if flat else [()] * len(block), block)]
+            ends = pa.array([0, *accumulate([len(some) if some else 0 for some in lists])], pa.int32())
+            made = {c: batch.column(c) for c in ("session_id", "conv_id", "project", "line_no")}
+            made["blocks"] = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, fields=list(block)), types["blocks"], mask=pa.array([some is None for some in lists]))
+            yield pa.RecordBatch.from_arrays([made[c].cast(of) if c in made else pa.array(found[c], of) for c, of in types.items()], list(types))
 
     filled = lines.select("session_id", "conv_id", "project", "line_no", "value").filter(F.col("value").rlike(r"(?U)\S"))
     if not in_jvm:

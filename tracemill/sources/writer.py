@@ -50,6 +50,6 @@ def pack_files(lines: DataFrame, value: Column | None = None) -> Packed:
     """
     numbered = lines.withColumn("line_no", (F.row_number().over(Window.partitionBy("path").orderBy("place")) - 1).cast("long"))
     texts = numbered.select(*path_columns(F.col("path")), "path", "line_no", (F.col("value") if value is None else value).alias("value"))
-    held = stored(texts.withColumn("bytes", (F.octet_length("value") + 1).cast("long")), "lines")
+    held = stored(texts.withColumn("bytes", (F.octet_length("value") + 1).cast("long")), "lines", wide=True)
     files = held.groupBy("project", "session_id", "conv_id", "half", "path").agg(F.sum("bytes").alias("bytes")).withColumn("mtime", F.current_timestamp())
     return Packed(stored(files, "packed-files"), held.drop("bytes"))
