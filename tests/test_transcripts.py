@@ -199,3 +199,16 @@ def test_lengths_are_those_of_compact_json():
     for v in [make.value() for _ in range(2000)] + [True, False, 10**30, {"a": [None, True, {"b": False}]}, {"k\n é": '"\\'}]:
         text = json.dumps(v, ensure_ascii=False, separators=(",", ":"))
         assert transcripts.json_length(v) == (0 if v is None else transcripts.utf16(v if isinstance(v, str) else text))
+
+
+def test_instants_are_whole_milliseconds_rounded_down():
+    from datetime import datetime, timedelta, timezone
+
+    for raw in [t for t in PLAIN_TIMES + ODD_TIMES + ["9999-12-31T23:59:59-23:59", "1969-12-31T23:59:59.0005-05:30"]] * 2:
+        try:
+            t = datetime.fromisoformat(raw)
+            expected = ((t if t.tzinfo else t.replace(tzinfo=timezone.utc)) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(milliseconds=1)
+        except (ValueError, OverflowError):
+            expected = 0
+        assert transcripts.instant(raw) == expected
+    assert [transcripts.instant(x) for x in (None, 5, {}, [])] == [0, 0, 0, 0]

@@ -7,7 +7,8 @@ import os
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
+from functools import lru_cache
 from itertools import accumulate
 from json.encoder import encode_basestring
 
@@ -147,15 +148,21 @@ def whole(v: object) -> int:
     return v if type(v) is int and abs(v) < 2**63 else optional_whole(v) or 0
 
 
-def instant(v: object) -> int:
-    """Milliseconds since 1970, 0 for what is no time; without a zone it is UTC."""
+@lru_cache(1024)  # the lines of a call have one instant
+def _instant(v: str) -> int:
     try:
-        t = datetime.fromisoformat(v) if isinstance(v, str) else None
-        return ((t if t.tzinfo else t.replace(tzinfo=timezone.utc)) - _EPOCH) // timedelta(milliseconds=1) if t else 0
+        t = datetime.fromisoformat(v)
+        past = (t if t.tzinfo else t.replace(tzinfo=timezone.utc)) - _EPOCH
+        return past.days * 86_400_000 + past.seconds * 1000 + past.microseconds // 1000
     except (ValueError, OverflowError):
         return 0
 
 
+def instant(v: object) -> int:
+    """Milliseconds since 1970, 0 for what is no time; without a zone it is UTC."""
+    return _instant(v) if isinstance(v, str) else 0
+
+
 _capped = text(limit=INPUT_CAP)
 
 
@@ -239,13 +246,20 @@ def _constant(name: str) -> None:
 
 
 #: Made once: a decoder costs more than reading a line of usual length.
-_read = json.JSONDecoder(parse_constant=_constant).decode
+_decoder = json.JSONDecoder(parse_constant=_constant)
+_read, _scan = _decoder.decode, _decoder.scan_once
 _read_long = json.JSONDecoder(parse_constant=_constant, parse_int=float).decode
 
 
 def decoded(raw: str) -> object:
     """The JSON value of a line; ValueError or RecursionError if there is none."""
     try:
+        value, end = _scan(raw, 0)
+        if end == len(raw):
+            return value
+    except (StopIteration, ValueError):
+        pass
+    try:  # space around the value, or what is wrong with it
         return _read(raw)
     except json.JSONDecodeError:
         raise
