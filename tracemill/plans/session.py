@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import tokens as T
-from tracemill.functions.storage import stored
+from tracemill.functions.storage import measured_joins, stored
 from tracemill.operators import joins, rules, sequence, tree
 from tracemill.sources import transcripts
 
@@ -206,6 +206,7 @@ class Analysis:
     """Tables of the corpus ``source``, or of its ``picked`` sessions: each is made when it is first asked for, with those it needs, and stored."""
 
     def __init__(self, spark: SparkSession, source: str | transcripts.Packed, picked: DataFrame | None = None):
+        measured_joins(spark)
         self._spark, self._source, self._paths = spark, source, None
         files = transcripts.discover(spark, source)
         if picked is not None and isinstance(source, transcripts.Packed):
