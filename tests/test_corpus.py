@@ -117,3 +117,9 @@ def test_labels_are_not_broadcast_because_their_files_are_small(spark):
     finally:
         for name, value in zip(names, before):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_joins_behind_the_five_ledgers_run_once(spark):
+    a = corpus.analysed(spark, D)[1]
+    plan = report.ledgers(report.call_rows(a))._jdf.queryExecution().optimizedPlan().toString()
+    assert "/call-rows-" in "".join(report.ledgers(report.call_rows(a)).inputFiles()) and "labels-" not in plan and plan.count("Join LeftOuter") == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import tokens as T
+from tracemill.functions.storage import stored
 from tracemill.operators import audit, fit, joins, ledger, rules, sequence
 from tracemill.plans.session import CONV, Analysis
 
@@ -32,7 +33,11 @@ def call_rows(a: Analysis) -> DataFrame:
 
 
 def ledgers(rows: DataFrame) -> DataFrame:
-    """``session_id``, ``ledger``, ``key``, ``amount20``, ``share`` and ``calls``: by activity, spawn depth, model, tool and cache part."""
+    """``session_id``, ``ledger``, ``key``, ``amount20``, ``share`` and ``calls``: by activity, spawn depth, model, tool and cache part.
+
+    What the five read of ``rows`` is stored, so that the joins behind it run once.
+    """
+    rows = stored(rows.select("session_id", "activity", "depth", "model_id", "tools", "spend20", "input", "cache_creation", "cache_read", "output"), "call-rows")
     by = lambda name, key: ledger.ledger(rows, key, F.col("spend20"), SESSION).select("session_id", F.lit(name).alias("ledger"), "key", F.col("amount").cast("double").alias("amount20"), "share", "calls")
     depth = F.when(F.col("depth") == 0, "main conversation").otherwise(F.concat(F.lit("spawned depth "), F.col("depth").cast("string")))
     out = by("activity", F.col("activity")).unionByName(by("depth", depth)).unionByName(by("model", F.col("model_id")))
